@@ -11,6 +11,7 @@ from kinspark.llm.bpe import bpe_round_trip
 from kinspark.llm.common import table
 from kinspark.llm.exact_dedup import exact_dedup
 from kinspark.llm.packing import pack_documents
+from kinspark.llm.set_join import jaccard_components
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -35,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op5_set_join": op5_set_join, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
