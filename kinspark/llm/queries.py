@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspark.llm.bpe import bpe_round_trip
-from kinspark.llm.common import table
+from kinspark.llm.common import ensure_checkpoint_dir, table
 from kinspark.llm.exact_dedup import exact_dedup
+from kinspark.llm.language_id import fold, identify_language, training_sample
+from kinspark.llm.license_scan import scan_licenses
 from kinspark.llm.packing import pack_documents
+from kinspark.llm.secret_scan import scan_secrets
 from kinspark.llm.set_join import jaccard_components
+from kinspark.llm.token_rollup import TOKENIZERS, Rollup, counted, deleted, inserted, revised
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -36,14 +41,82 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s.kind != "novel")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify_language(docs, training_sample(docs.filter(fold() != 2)))
+    return out.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    starts = F.col("places.start")
+    n_base = F.size("places").cast("long")
+    cover = F.array_max(F.col("spans.cover"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_base.alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"),
+        joined(F.concat(F.col("places.label"), F.col("spans.label"))).alias("labels"),
+        F.when(n_base > 0, F.lit(1.0)).when(F.size("spans") > 0, F.least(cover, F.lit(1.0))).otherwise(F.lit(0.0)).alias("score"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, each delivered twice: a provisional count of every document (a quarter of its
+    characters), the revision to what the tokenizers count, and the removal of the documents labelled toxic."""
+    docs = table(spark, sf_dir, "documents")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    gone = docs.join(toxic, "doc_id", "left_semi")
+    guess = F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 4).cast("long")
+    provisional = docs.select("source", "lang", guess.alias("tokens"), F.explode(F.array(*map(F.lit, TOKENIZERS))).alias("tokenizer"))
+    actual = counted(docs.withColumn("guess", guess).withColumn("source", F.struct("source", "guess")))
+    actual = actual.select("source.source", "lang", "tokenizer", "tokens", F.col("source.guess").alias("old_tokens"))
+    rollup = Rollup(spark, f"{ensure_checkpoint_dir(spark)}/kinspark-rollup-{uuid.uuid4().hex}")
+    for _ in range(2):
+        rollup.commit("provisional", inserted(provisional))
+        rollup.commit("revision", revised(actual))
+        rollup.commit("removal", deleted(counted(gone)))
+    return rollup.totals()
+
+
+OP10_SQL = """
+with kept as (select * from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1)),
+t as (
+  select source, lang, 'words-1' as tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) as n from kept
+  union all
+  select source, lang, 'bytes-1' as tokenizer, strlen(coalesce(text, '')) as n from kept
+)
+select source, lang, tokenizer, count(*)::bigint as docs, sum(n)::bigint as tokens from t group by all
+"""
+
 OP8_SQL = """
 with t as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents
@@ -53,8 +126,17 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_packing": op3_packing, "op5_set_join": op5_set_join, "op8_exact_dedup": op8_exact_dedup}
+    return {
+        "op1_bpe": op1_bpe,
+        "op3_packing": op3_packing,
+        "op4_secrets": op4_secrets,
+        "op5_set_join": op5_set_join,
+        "op6_language": op6_language,
+        "op7_licenses": op7_licenses,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op10_token_counts": OP10_SQL}
