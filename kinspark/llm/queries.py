@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinspark.llm.bpe import bpe_round_trip
 from kinspark.llm.common import ensure_checkpoint_dir, table
+from kinspark.llm.embedding_dedup import near_duplicates
 from kinspark.llm.exact_dedup import exact_dedup
 from kinspark.llm.language_id import fold, identify_language, training_sample
 from kinspark.llm.license_scan import scan_licenses
@@ -89,6 +90,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), limit=0.9)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches, each delivered twice: a provisional count of every document (a quarter of its
     characters), the revision to what the tokenizers count, and the removal of the documents labelled toxic."""
@@ -134,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": op6_language,
         "op7_licenses": op7_licenses,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_embeddings": op9_embeddings,
         "op10_token_counts": op10_token_counts,
     }
 
