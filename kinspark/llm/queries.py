@@ -18,6 +18,7 @@ from kinspark.llm.packing import pack_documents
 from kinspark.llm.secret_scan import scan_secrets
 from kinspark.llm.set_join import jaccard_components
 from kinspark.llm.token_rollup import TOKENIZERS, Rollup, counted, deleted, inserted, revised
+from kinspark.llm.url_filter import judge_urls, rule
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -38,6 +39,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The listed rules.
+URL_RULES = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block", "example.org/en/1"), rule("allow", "com/fr/"), rule("block", "com/de/")]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -133,6 +142,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as te
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_urls": op2_urls,
         "op3_packing": op3_packing,
         "op4_secrets": op4_secrets,
         "op5_set_join": op5_set_join,
