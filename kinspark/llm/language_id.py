@@ -38,6 +38,8 @@ ALPHABET = 62
 STRETCH, BLOCK_CHARS = 1024, 4 << 20
 SHARPNESS = 4.0
 UNDETERMINED = "und"
+#: Score from which a language stands out; equal entropies in four languages give 0.25.
+LEAST_SCORE = 0.4
 
 
 def training_sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
@@ -215,5 +217,27 @@ def identify_language(df: DataFrame, sample: list[tuple[str, str]], id_col: str
     return picked.mapInArrow(run, f"`{id_col}` long, lang_pred string, score double, entropy double")
 
 
+def accept(lang: str, score: float, entropy: float | None) -> bool:
+    """A text with letters in which one language stands out."""
+    return lang != UNDETERMINED and score >= LEAST_SCORE
+
+
+def keep_identified(df: DataFrame, sample: list[tuple[str, str]], text_col: str = "text", accepts=accept) -> DataFrame:
+    """The rows of df, with all their columns, whose text a language is found for. No shuffle. Without a sample none is judged and all stay."""
+    if not sample:
+        return df
+    shared = df.sparkSession.sparkContext.broadcast(tuple(sample))
+
+    def run(batches):
+        parser = _parser(shared.value)
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                yield part.filter(pa.array([accepts(*found) for found in parser.judge(part.column(at).to_pylist())], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
