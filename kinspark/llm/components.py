@@ -1,9 +1,10 @@
 """Connected components of a graph of links, by repeated hooking and contraction. Native.
 
-In each round every node takes its smallest neighbour, or itself if that is smaller, for its parent; parents are
-followed to the roots of that forest in a few doublings, and the links are contracted to links between roots. Links
-shrink by half at least in each round, so rounds grow with the logarithm of the longest chain. A node with very many
-links is only ever a key of sums that combine before the shuffle, or of a join that Spark can split.
+In each round every node takes its smallest neighbour for its parent, or itself if that is smaller, and then its
+parent's parent; the links become links between what their ends took. Of two linked nodes the larger always goes, so
+only nodes without a smaller neighbour are left for the next round, and the rounds grow with the logarithm of the
+longest chain or so. A node with very many links is only ever a key of sums that combine before the shuffle, or of a
+join that Spark can split.
 """
 
 from __future__ import annotations
@@ -16,36 +17,23 @@ from kinspark.llm.workspace import Workspace
 
 def connected_components(links: DataFrame, ws: Workspace) -> DataFrame:
     """(node, comp) for each node of links (a, b): comp is the smallest node that can be reached. Nulls are left out."""
-    links = ws.save(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null and a <> b").distinct())
+    links = ws.save(links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).filter("a is not null and b is not null and a <> b").distinct())
     comps: DataFrame | None = None
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = ws.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).select(F.col("a").alias("node"), "p"))
-        while True:
-            up = parents.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            nearer = ws.save(parents.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
-            done = nearer.filter("moved").isEmpty()
-            ws.drop(parents)
-            parents = nearer
-            if done:
-                break
-        parents = _with_path(parents.drop("moved"), parents)
-        root_a, root_b = parents.select(F.col("node").alias("a"), F.col("p").alias("ra")), parents.select(F.col("node").alias("b"), F.col("p").alias("rb"))
-        fewer = links.join(root_a, "a").join(root_b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        old_links, links = links, ws.save(fewer)
-        ws.drop(old_links)
+        parents = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")).select(F.col("a").alias("node"), "p")
+        up = parents.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        parents = ws.save(parents.join(up, "p").select("node", F.col("pp").alias("p")))
+        end_a, end_b = parents.select(F.col("node").alias("a"), F.col("p").alias("pa")), parents.select(F.col("node").alias("b"), F.col("p").alias("pb"))
+        fewer = links.join(end_a, "a").join(end_b, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        done, links = links, ws.save(fewer)
+        ws.drop(done)
         if comps is None:
             comps = parents
-        else:
-            step = parents.select(F.col("node").alias("comp"), "p")
-            new = ws.save(comps.select("node", F.col("p").alias("comp")).join(step, "comp", "left").select("node", F.coalesce("p", "comp").alias("p")))
-            ws.drop(comps, parents)
-            comps = new
+            continue
+        step = parents.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        older, comps = comps, ws.save(comps.join(step, "p", "left").select("node", F.coalesce("pp", "p").alias("p")))
+        ws.drop(older, parents)
     if comps is None:
         return ws.spark.createDataFrame([], "node long, comp long")
     return comps.select("node", F.col("p").alias("comp"))
-
-
-def _with_path(df: DataFrame, saved: DataFrame) -> DataFrame:
-    df.saved_at = saved.saved_at
-    return df

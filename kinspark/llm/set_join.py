@@ -13,8 +13,8 @@ Two sets of shingles link when 100 * |x & y| >= percent * |x | y|. The join is e
    different components is compared in full; no pair is dropped and no list is capped.
 
 Cases: null and empty texts have empty sets and link with nothing; a text of fewer words than a shingle is one shingle;
-texts are read whole; rows that repeat an id and a text give repeated rows, rows that share an id have one component; a
-null id links with nothing (component null); an empty table gives no rows; other columns are not read.
+texts are read whole; rows that repeat an id and a text give repeated rows; an id with several texts links what any of
+them links; a null id links with nothing (component null); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ SKETCH_BITS = 22
 FILTER_BITS = 26
 #: 64-bit words of a set's bitmap.
 BITMAP_WORDS = 16
-#: Members of a block that all others are compared with, in each of so many rounds.
-HUBS, HUB_ROUNDS = 4, 2
+#: Members of a block, on average, that its members of other components are compared with, round by round.
+HUBS = (4, 16, 64)
 _CHARS, _ENTRIES, _CHUNK = 1 << 20, 1_000_000, 1 << 16
 _U = np.uint64
 
@@ -266,12 +266,19 @@ def _blocks(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return e.select("token", "doc", "n", "pos", "comp", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r")).select("token", "r.cls", "r.indexed", "doc", "n", "pos", "comp")
 
 
+def _mixed(blocks: DataFrame) -> DataFrame:
+    """Blocks that hold several components, with the number of their members."""
+    return blocks.groupBy("token", "cls").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1").select("token", "cls", "m")
+
+
 def _hub_pairs(blocks: DataFrame, percent: int, turn: int) -> DataFrame:
-    hubs = [F.min(F.struct(F.xxhash64("doc", F.lit(turn * HUBS + i)).alias("h"), "doc", "n", "pos", "comp")).alias(f"hub{i}") for i in range(HUBS)]
-    mixed = blocks.groupBy("token", "cls").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("indexed").alias("has"), *hubs).filter("c0 <> c1 and has")
-    mixed = mixed.select("token", "cls", F.array_distinct(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hubs"))
-    rows = blocks.join(mixed, ["token", "cls"]).withColumn("hub", F.explode("hubs")).filter("comp <> hub.comp")
-    return rows.select(F.col("hub.doc").alias("x"), F.col("hub.n").alias("nx"), F.col("hub.pos").alias("px"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py")).filter(_may_link(percent))
+    """Members of mixed blocks with hubs of other components; a member is a hub by the hash of its id, in small blocks all are."""
+    members = blocks.filter("not indexed")
+    rows = members.join(_mixed(members), ["token", "cls"])
+    share = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
+    hubs = rows.filter(share < F.lit(float(HUBS[turn])) / F.col("m")).select("token", "cls", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
+    other = rows.select("token", "cls", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
+    return hubs.join(other, ["token", "cls"]).filter("cx <> cy").filter(_may_link(percent)).select("x", "nx", "px", "y", "ny", "py")
 
 
 def _all_pairs(blocks: DataFrame, percent: int) -> DataFrame:
@@ -293,14 +300,14 @@ def _links(pairs: DataFrame, prints: DataFrame, tested: DataFrame | None, picked
     bits_a = prints.select(F.col("doc").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
     bits_b = prints.select(F.col("doc").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("by"))
     differ = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    a = ws.save(a.join(bits_a, "a").join(bits_b, "b").filter(differ <= F.col("nx") + F.col("ny") - 2 * _overlap(percent)).select("a", "b", "nx", "ny"))
+    a = ws.save(a.join(bits_a, "a").join(bits_b, "b").filter(differ <= F.col("nx") + F.col("ny") - 2 * _overlap(percent)).select("a", "b").distinct())
     if a.isEmpty():
         ws.drop(a)
         return None
     sets = _sets_of(picked, a.select("a").union(a.select("b")).distinct(), width)
     sa, sb = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    hit = F.size(F.array_intersect("sa", "sb")) >= _overlap(percent)
-    linked = ws.save(a.join(sa, "a").join(sb, "b").filter(hit).select("a", "b").distinct())
+    both = a.select("a", "b").join(sa, "a").join(sb, "b").withColumns({"nx": F.size("sa"), "ny": F.size("sb")})
+    linked = ws.save(both.filter(F.size(F.array_intersect("sa", "sb")) >= _overlap(percent)).select("a", "b").distinct())
     return a, linked
 
 
@@ -316,31 +323,38 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, id_col:
     known = docs.filter("doc is not null and n > 0")
     classes = ws.save(known.groupBy("print", "n").agg(F.min("doc").alias("rep"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("m")))
     prints = classes.select(F.col("rep").alias("doc"), F.col("n").cast("int").alias("n"), "bits")
-    members = ws.save(known.select("doc", "print", "n").join(classes.filter("m > 1").select("print", "n", "rep"), ["print", "n"]).select("doc", "rep").filter("doc <> rep").distinct())
+    members_of = ws.save(known.select("doc", "print", "n").join(classes.select("print", "n", "rep"), ["print", "n"]).select("doc", F.col("n").cast("int").alias("n"), "rep").distinct())
+    members = members_of.filter("doc <> rep")
 
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     run, ddl = _heads(width, percent, levels, parts)
     shared, shared_ddl = _shared(parts)
     entries = picked.mapInArrow(run, ddl).groupBy("part").applyInArrow(shared, shared_ddl)
-    entries = entries.join(members, "doc", "left").withColumn("doc", F.coalesce("rep", "doc")).drop("rep")
+    entries = entries.join(members, ["doc", "n"], "left").withColumn("doc", F.coalesce("rep", "doc")).drop("rep")
     entries = ws.save(entries.groupBy("token", "doc").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
 
-    # an id with several texts: their sets are linked through the id
-    links = members.select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    labels = connected_components(links, ws)
+    # an id with several texts links their classes
+    many = members_of.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").drop("z")
+    links = ws.save(many.join(members_of, "doc").select("a", F.col("rep").alias("b")).filter("a <> b"))
+    labels = spark.createDataFrame([], "node long, comp long")
     tested: DataFrame | None = None
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in range(len(HUBS) + 1):
         blocks = _blocks(entries, labels.select(F.col("node").alias("doc"), "comp"), percent)
-        pairs = _hub_pairs(blocks, percent, turn) if turn < HUB_ROUNDS else _all_pairs(blocks, percent)
+        pairs = _hub_pairs(blocks, percent, turn) if turn < len(HUBS) else _all_pairs(blocks, percent)
         found = _links(pairs, prints, tested, picked, width, percent, ws)
-        if found is None:
-            continue
-        new, linked = found
-        tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
-        links = links.union(linked)
-        labels = connected_components(links, ws)
-    out = docs.join(labels, F.col("doc") == F.col("node"), "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
+        if found is not None:
+            new, linked = found
+            tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
+            links = links.union(linked)
+        if found is not None or turn == len(HUBS):
+            labels = connected_components(links, ws)
+    return _with_components(docs, classes, labels).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _with_components(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    known = docs.filter("doc is not null and n > 0").join(classes.select("print", "n", "rep"), ["print", "n"])
+    linked = known.join(labels, F.col("rep") == F.col("node"), "left").select("doc", "n", F.coalesce("comp", "rep").alias("component_id"))
+    return linked.unionByName(docs.filter("doc is null or n = 0").select("doc", "n", F.col("doc").alias("component_id")))
 
 
 def drop_near_copies(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
