@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from kinspark.llm.common import arrow_rows, rows_of, slices_of
 
-#: Entries a worker keeps for words it has met; a full table is emptied, which costs time and no result.
+#: Entries a worker keeps for words it has met, twice as many if it keeps ids only; a full table is emptied, which costs time and no result.
 CACHE_WORDS = 500_000
 #: Pre-tokens of up to so many bytes are merged side by side, one segment tree each in the rows of one array.
 WIDE = 64
@@ -76,6 +76,7 @@ class BpeCodec:
         from tokenizers import Tokenizer
 
         self.with_text = with_text
+        self.room = CACHE_WORDS if with_text else 2 * CACHE_WORDS
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -103,8 +104,10 @@ class BpeCodec:
         self.last = [vocab[c + self.suffix] for c in chars]
         self.inner_of, self.last_of = np.array(self.inner, np.int64), np.array(self.last, np.int64)
         self.by_char = {c: b for b, c in enumerate(chars)}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.words: dict[str, bytes] = {}  # ids of what stands between two white spaces
+        self.word_texts: dict[str, bytes] = {}  # and what they decode to
+        self.pieces: dict[str, bytes] = {}  # the same for pre-tokens
+        self.piece_texts: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge the leftmost pair of the lowest rank until no pair can be merged."""
@@ -204,42 +207,58 @@ class BpeCodec:
 
     def learn(self, texts: set[str]) -> None:
         """Put the ids of pre-tokens into the table of pieces."""
-        by_size: dict[int, list[str]] = {}
+        by_size: dict[int, tuple[list[str], list[bytes]]] = {}
         for p in texts:
             raw = p.encode()
-            if len(raw) > WIDE:
-                symbols = [self.inner[b] for b in raw]
-                symbols[-1] = self.last[raw[-1]]
-                self._keep(p, _packed(self.merge(symbols)))
-            else:
-                by_size.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append(p)
-        for size, same in by_size.items():
-            for s in range(0, len(same), 20_000):
-                part = same[s : s + 20_000]
-                for p, ids in zip(part, self.merge_rows([p.encode() for p in part], size), strict=True):
-                    self._keep(p, ids)
-
-    def _keep(self, piece: str, ids: bytes) -> None:
-        self.pieces[piece] = (ids, self.decode(array("I", ids)) if self.with_text else b"")
+            n = len(raw)
+            size = 8 if n <= 8 else 16 if n <= 16 else 32 if n <= 32 else WIDE if n <= WIDE else 0
+            if size not in by_size:
+                by_size[size] = [], []
+            names, raws = by_size[size]
+            names.append(p)
+            raws.append(raw)
+        for size, (names, raws) in by_size.items():
+            for s in range(0, len(names), 20_000):
+                part = names[s : s + 20_000]
+                ids = self.merge_rows(raws[s : s + 20_000], size) if size else [_packed(self._piece(raw)) for raw in raws[s : s + 20_000]]
+                self.pieces.update(zip(part, ids, strict=True))
+                if self.with_text:
+                    self.piece_texts.update(zip(part, map(self.decode, map(_unpacked, ids)), strict=True))
+
+    def _piece(self, raw: bytes) -> list[int]:
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        return self.merge(symbols)
 
     def learn_words(self, missing: set[str]) -> None:
         """Put what stands between two white spaces into the table of words."""
-        pieces, cut, new = self.pieces, {}, set()
-        if len(pieces) + len(missing) > CACHE_WORDS:
+        pieces, texts, whole, mixed, new = self.pieces, self.piece_texts, [], [], set()
+        if len(pieces) > self.room:
             pieces.clear()
+            texts.clear()
         for w in missing:
             if w.isalpha():
-                cut[w] = parts = (w,)
-            elif w[:-1].isalpha() and not w[-1].isalnum():
-                cut[w] = parts = (w[:-1], w[-1])
-            else:
-                cut[w] = parts = self.pattern.findall(w)
-            new.update(p for p in parts if p not in pieces)
+                whole.append(w)
+                if w not in pieces:
+                    new.add(w)
+                continue
+            head, end = w[:-1], w[-1]
+            parts = [head, end] if head.isalpha() and not end.isalnum() else self.pattern.findall(w)
+            mixed.append((w, parts))
+            for p in parts:
+                if p not in pieces:
+                    new.add(p)
         self.learn(new)
-        words = self.words
-        for w, parts in cut.items():
-            got = [pieces[p] for p in parts]
-            words[w] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), b" ".join([g[1] for g in got]))
+        words, word_texts = self.words, self.word_texts
+        for w in whole:
+            words[w] = pieces[w]
+        for w, parts in mixed:
+            words[w] = b"".join([pieces[p] for p in parts])
+        if self.with_text:
+            for w in whole:
+                word_texts[w] = texts[w]
+            for w, parts in mixed:
+                word_texts[w] = b" ".join([texts[p] for p in parts])
 
     def _odd_words(self, text: str) -> list[tuple[bytes, bytes]]:
         """As the library normalises and cuts a text with rare characters; merged by the segment tree like any other."""
@@ -247,9 +266,7 @@ class BpeCodec:
         for w in _SPACE.split(self.library.normalizer.normalize_str(text)):
             ids: list[int] = []
             for mapped, _ in self.library.pre_tokenizer.pre_tokenize_str(w) if w else ():
-                symbols = [self.inner[self.by_char[c]] for c in mapped]
-                symbols[-1] = self.last[self.by_char[mapped[-1]]]
-                ids += self.merge(symbols)
+                ids += self._piece(bytes(self.by_char[c] for c in mapped))
             if ids:
                 out.append((_packed(ids), self.decode(ids)))
         return out
@@ -259,18 +276,27 @@ class BpeCodec:
         tokens = self.tokens
         return b" ".join([tokens[i] for i in ids if i in tokens])
 
-    def _cut(self, text: str | None) -> list:
-        """Words, still to be looked up, and (ids, text) of what needs no look-up."""
+    def _cut(self, text: str | None) -> list[str] | tuple:
+        """Words, still to be looked up; or, of texts with special tokens or rare characters, (ids, text) of each part."""
         if not text:
             return []
         if self.special_re is not None and "<|" in text:
-            parts = self.special_re.split(text)
-            return [x for p in parts for x in ([(_packed([self.special[p]]), p.encode())] if p in self.special else self._plain(p) if p else [])]
+            out: list[tuple[bytes, bytes]] = []
+            for part in self.special_re.split(text):
+                if part in self.special:
+                    out.append((_packed([self.special[part]]), part.encode()))
+                elif part:
+                    ws = self._plain(part)
+                    if type(ws) is list:
+                        self.learn_words({w for w in ws if w not in self.words})
+                        ws = [(self.words[w], self.word_texts.get(w, b"")) for w in ws]
+                    out += ws
+            return tuple(out)
         return self._plain(text)
 
-    def _plain(self, text: str) -> list:
+    def _plain(self, text: str) -> list[str] | tuple:
         if _UNSETTLED.search(text) is not None:
-            return self._odd_words(text)
+            return tuple(self._odd_words(text))
         if text.isascii():
             return text.lower().split()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().split()
@@ -282,16 +308,17 @@ class BpeCodec:
             chars += len(text or "")
             if chars >= CHUNK_CHARS or stop == len(texts):
                 cut = [self._cut(t) for t in texts[start:stop]]
-                if len(self.words) > CACHE_WORDS:
-                    self.words.clear()
-                self.learn_words({w for ws in cut for w in ws if w not in self.words and isinstance(w, str)})
-                words = self.words
+                words, word_texts = self.words, self.word_texts
+                if len(words) > self.room:
+                    words.clear()
+                    word_texts.clear()
+                met: set = set().union(*(ws for ws in cut if type(ws) is list))
+                self.learn_words({w for w in met if w not in words})
                 for ws in cut:
-                    try:
-                        got = [words[w] for w in ws]
-                    except KeyError:
-                        got = [words[w] if isinstance(w, str) else w for w in ws]
-                    yield b"".join([g[0] for g in got]), b" ".join([g[1] for g in got]) if self.with_text else b""
+                    if type(ws) is list:
+                        yield b"".join(map(words.__getitem__, ws)), b" ".join(map(word_texts.__getitem__, ws)) if self.with_text else b""
+                    else:
+                        yield b"".join([ids for ids, _ in ws]), b" ".join([text for _, text in ws])
                 start, chars = stop, 0
 
 
@@ -302,6 +329,13 @@ def _packed(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+def _unpacked(ids: bytes) -> array:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a
+
+
 def _byte_chars() -> list[str]:
     """The printable character that stands for each byte: itself if printable, else the next free one from U+0100."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
