@@ -108,16 +108,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     characters), the revision to what the tokenizers count, and the removal of the documents labelled toxic."""
     docs = table(spark, sf_dir, "documents")
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    gone = docs.join(toxic, "doc_id", "left_semi")
     guess = F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 4).cast("long")
     provisional = docs.select("source", "lang", guess.alias("tokens"), F.explode(F.array(*map(F.lit, TOKENIZERS))).alias("tokenizer"))
-    actual = counted(docs.withColumn("guess", guess).withColumn("source", F.struct("source", "guess")))
-    actual = actual.select("source.source", "lang", "tokenizer", "tokens", F.col("source.guess").alias("old_tokens"))
+    actual = counted(docs.withColumn("old_tokens", guess), keep=("doc_id", "old_tokens"))
+    gone = actual.join(toxic, "doc_id")  # an inner join: a semi join would be pushed below the counting and shuffle the texts
     rollup = Rollup(spark, f"{ensure_checkpoint_dir(spark)}/kinspark-rollup-{uuid.uuid4().hex}")
     for _ in range(2):
         rollup.commit("provisional", inserted(provisional))
         rollup.commit("revision", revised(actual))
-        rollup.commit("removal", deleted(counted(gone)))
+        rollup.commit("removal", deleted(gone))
     return rollup.totals()
 
 

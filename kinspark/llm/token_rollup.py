@@ -28,11 +28,15 @@ TOKENIZERS = {
 }
 
 
-def counted(df: DataFrame, tokenizers: dict | None = None, text_col: str = "text") -> DataFrame:
-    """df's source and lang with a row (tokenizer, tokens) for each tokenizer version."""
+def counted(df: DataFrame, tokenizers: dict | None = None, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """df's source and lang, and the columns named in keep, with a row (tokenizer, tokens) for each tokenizer version.
+
+    The text ends here: what is joined or shuffled later is a count.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     counts = [F.struct(F.lit(name).alias("tokenizer"), count(text).alias("tokens")) for name, count in (tokenizers or TOKENIZERS).items()]
-    return df.select("source", "lang", F.explode(F.array(*counts)).alias("c")).select("source", "lang", "c.tokenizer", "c.tokens")
+    names = [*keep, "source", "lang"]
+    return df.select(*names, F.explode(F.array(*counts)).alias("c")).select(*names, "c.tokenizer", "c.tokens")
 
 
 def inserted(counts: DataFrame) -> DataFrame:
