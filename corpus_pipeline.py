@@ -60,6 +60,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    done = None
     for _, stage in STAGES:
         docs = ws.save(stage(spark, docs, sf_dir))
+        if done is not None:
+            ws.drop(done)
+        done = docs
     return docs

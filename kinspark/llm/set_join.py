@@ -266,26 +266,30 @@ def _blocks(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return e.select("token", "doc", "n", "pos", "comp", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r")).select("token", "r.cls", "r.indexed", "doc", "n", "pos", "comp")
 
 
-def _mixed(blocks: DataFrame) -> DataFrame:
-    """Blocks that hold several components, with the number of their members."""
-    return blocks.groupBy("token", "cls").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 <> c1").select("token", "cls", "m")
+def _mixed(blocks: DataFrame, above: int) -> DataFrame:
+    """Blocks of more than `above` members that hold several components, with the number m of their members."""
+    sizes = blocks.filter("not indexed").groupBy("token", "cls").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"))
+    return sizes.filter((F.col("c0") != F.col("c1")) & (F.col("m") > above)).select("token", "cls", "m")
 
 
-def _hub_pairs(blocks: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Members of mixed blocks with hubs of other components; a member is a hub by the hash of its id, in small blocks all are."""
-    members = blocks.filter("not indexed")
-    rows = members.join(_mixed(members), ["token", "cls"])
+def _hub_pairs(blocks: DataFrame, mixed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Members of mixed blocks with hubs of other components; a member is a hub by the hash of its id.
+
+    In a block of no more members than a turn has hubs all are, so that block is done with. Whatever stands in a block
+    in the role of an index entry stands there as a member too.
+    """
+    rows = blocks.filter("not indexed").join(mixed, ["token", "cls"])
     share = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
     hubs = rows.filter(share < F.lit(float(HUBS[turn])) / F.col("m")).select("token", "cls", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
     other = rows.select("token", "cls", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
     return hubs.join(other, ["token", "cls"]).filter("cx <> cy").filter(_may_link(percent)).select("x", "nx", "px", "y", "ny", "py")
 
 
-def _all_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """Every pair between components that a block can hold: members outside its largest component, with all members."""
-    by_comp = blocks.groupBy("token", "cls", "comp").agg(F.count(F.lit(1)).alias("m"), F.max("indexed").alias("has"))
-    mixed = by_comp.groupBy("token", "cls").agg(F.max_by("comp", "m").alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("has").alias("has")).filter("c0 <> c1 and has").select("token", "cls", "main")
-    rows = blocks.join(mixed, ["token", "cls"])
+def _all_pairs(blocks: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """Every pair between components that a mixed block can hold: members outside its largest component, with all members."""
+    rows = blocks.join(mixed.select("token", "cls"), ["token", "cls"])
+    largest = rows.groupBy("token", "cls", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token", "cls").agg(F.max_by("comp", "m").alias("main"))
+    rows = rows.join(largest, ["token", "cls"])
     minor = rows.filter("comp <> main").select("token", "cls", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), F.col("indexed").alias("ix"))
     other = rows.select("token", "cls", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"), F.col("indexed").alias("iy"))
     ordered = F.when(F.col("ix"), F.col("nx") <= F.col("ny")).otherwise(F.col("ny") <= F.col("nx"))
@@ -326,7 +330,8 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, id_col:
     members_of = ws.save(known.select("doc", "print", "n").join(classes.select("print", "n", "rep"), ["print", "n"]).select("doc", F.col("n").cast("int").alias("n"), "rep").distinct())
     members = members_of.filter("doc <> rep")
 
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * (100 - percent) / 100 / _ENTRIES) + 1)
     run, ddl = _heads(width, percent, levels, parts)
     shared, shared_ddl = _shared(parts)
     entries = picked.mapInArrow(run, ddl).groupBy("part").applyInArrow(shared, shared_ddl)
@@ -338,16 +343,23 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, id_col:
     links = ws.save(many.join(members_of, "doc").select("a", F.col("rep").alias("b")).filter("a <> b"))
     labels = spark.createDataFrame([], "node long, comp long")
     tested: DataFrame | None = None
+    stale = True
     for turn in range(len(HUBS) + 1):
         blocks = _blocks(entries, labels.select(F.col("node").alias("doc"), "comp"), percent)
-        pairs = _hub_pairs(blocks, percent, turn) if turn < len(HUBS) else _all_pairs(blocks, percent)
+        mixed = ws.save(_mixed(blocks, HUBS[turn - 1] if turn else 1))
+        if mixed.isEmpty():
+            break
+        pairs = _hub_pairs(blocks, mixed, percent, turn) if turn < len(HUBS) else _all_pairs(blocks, mixed, percent)
         found = _links(pairs, prints, tested, picked, width, percent, ws)
+        ws.drop(mixed)
         if found is not None:
             new, linked = found
             tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
             links = links.union(linked)
-        if found is not None or turn == len(HUBS):
-            labels = connected_components(links, ws)
+            labels, stale = connected_components(links, ws), False
+    if stale:
+        labels = connected_components(links, ws)
+    ws.drop(entries, members_of)
     return _with_components(docs, classes, labels).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
