@@ -15,7 +15,7 @@ from kinspark.operators.curvature import integral_curvature
 from kinspark.plans.tables import boxes, polylines, series, table
 from kinspark.sources import sinks
 
-_B = """b as (select l_orderkey as image_id, (l_linenumber::bigint * 1000000 + l_partkey) * 100000 + l_suppkey as det_idx, 11 + l_linenumber % 6 as version, 1.0e0 - 5 * l_discount as confidence, l_quantity * (1 + l_tax) as area,
+_B = """b as (select l_orderkey as image_id, ((l_linenumber::bigint * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + l_quantity::bigint as det_idx, 11 + l_linenumber % 6 as version, 1.0e0 - 5 * l_discount as confidence, l_quantity * (1 + l_tax) as area,
 (l_partkey % 100)::double as x1, (l_suppkey % 100)::double as y1, l_partkey % 100 + 20 + l_quantity as x2, l_suppkey % 100 + 30 + l_quantity as y2 from lineitem)"""
 _PAIRS = f"""{_B}, ok as (select * from b where confidence >= 0.5e0),
 f as (select image_id, version, count(*) as n, arg_min(struct_pack(x1, y1, x2, y2), det_idx) as q from ok group by all),

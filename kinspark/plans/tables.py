@@ -31,10 +31,10 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as detections of an order's image. Line numbers repeat within an order, so part and supplier make the index unique."""
+    """lineitem as detections of an order's image. Line numbers repeat within an order, so part, supplier and quantity make the index unique up to equal boxes."""
     x, y = F.col("l_partkey") % 100, F.col("l_suppkey") % 100
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("image_id"), ((F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("det_idx"), (11 + F.col("l_linenumber") % 6).alias("version"),
+        F.col("l_orderkey").alias("image_id"), (((F.col("l_linenumber") * F.lit(1000000).cast("long") + F.col("l_partkey")) * 100000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("det_idx"), (11 + F.col("l_linenumber") % 6).alias("version"),
         (1.0 - 5 * F.col("l_discount")).alias("confidence"), (F.col("l_quantity") * (1 + F.col("l_tax"))).alias("area"),
         x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 20 + F.col("l_quantity")).alias("x2"), (y + 30 + F.col("l_quantity")).alias("y2"),
     )
