@@ -113,6 +113,25 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, u), the unit vectors of rows (id, v) that have a length and finite components only."""
+    schema = pa.schema([("id", pa.int64()), ("u", pa.list_(pa.float64()))])
+    for batch in batches:
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+        starts = np.cumsum(sizes) - sizes
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            v = flat[starts[at][:, None] + np.arange(size)]
+            # divided by the largest component before squaring, so neither very large nor very small vectors lose their length
+            largest = np.abs(v).max(1)
+            good = np.isfinite(largest) & (largest > 0)
+            v = v[good] / largest[good, None]
+            u = v / np.linalg.norm(v, axis=1, keepdims=True) + 0.0
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, u.size + 1, size), pa.int32()), pa.array(u.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[good])), lists], schema=schema)
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member of each node's component, for links between positions."""
     root = np.arange(n)
@@ -131,15 +150,8 @@ def near_duplicates(df: DataFrame, limit: float = 0.9, id_col: str = "vec_id", v
     """One row per row of df: (id_col, n_links, component_id, kept)."""
     spark = df.sparkSession
     ws = Workspace(spark, "vectors")
-    v = F.col("v")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    # divided by the largest component before squaring, so neither very large nor very small vectors lose their length
-    largest = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / largest)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    usable = rows.filter("id is not null and v is not null and size(v) > 1").filter(finite).filter(F.exists("v", lambda x: x != 0))
-    unit = usable.select("id", F.transform(scaled, lambda x: x / length + 0.0).alias("u"))
+    unit = rows.filter("id is not null and size(v) > 1").mapInArrow(_unit_rows, "id long, u array<double>")
     classes = ws.save(unit.groupBy("u").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("m")))
     members = ws.save(unit.join(classes.filter("m > 1"), "u").select("id", "rep", "m").distinct())
     n = classes.count()
