@@ -13,15 +13,16 @@ Equal vectors are one class (its members link with each other, and count as many
 BLOCK are cut into blocks, and the queries of a cell likewise, so a task holds two blocks at a time whatever the size
 of a cell; a task returns sums of links and, for the components, one edge a vector and not the pairs.
 
-Cases: a vector that is null, empty, all zero or has null or non-finite components links with nothing; so does one of
-another length than most of the sample; ties and repeated rows of an id are one node; an empty table gives no rows;
-other columns are not read.
+Vectors of different lengths cannot link; each length that occurs in two classes or more has an index and a sample of
+its own (and some jobs of its own: lengths are taken to be few).
+
+Cases: a vector that is null, empty, all zero or has null or non-finite components links with nothing; ties and
+repeated rows of an id are one node; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,18 +152,24 @@ def near_duplicates(df: DataFrame, limit: float = 0.9, id_col: str = "vec_id", v
     spark = df.sparkSession
     ws = Workspace(spark, "vectors")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    unit = rows.filter("id is not null and size(v) > 1").mapInArrow(_unit_rows, "id long, u array<double>")
+    unit = rows.filter("id is not null and size(v) > 0").mapInArrow(_unit_rows, "id long, u array<double>")
     classes = ws.save(unit.groupBy("u").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("m")))
     members = ws.save(unit.join(classes.filter("m > 1"), "u").select("id", "rep", "m").distinct())
-    n = classes.count()
+    lengths = {r.dim: r["count"] for r in classes.groupBy(F.size("u").alias("dim")).count().collect()}
     result = rows.select("id").withColumn("n_links", F.lit(0).cast("long")).withColumn("comp", F.col("id"))
-    if n:
-        sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("u").collect()
-        dim = Counter(len(r.u) for r in sample).most_common(1)[0][0]
-        vectors = np.array([r.u for r in sample if len(r.u) == dim])
-        codes = int(min(MOST_CODES, max(LEAST_CODES, 2 ** round(np.log2(max(1.0, np.sqrt(n / PER_CELL)))))))
-        index = MultiIndex(vectors, min(codes, len(vectors)), limit)
-        counts, edges = _search(classes.filter(F.size("u") == dim), index, limit, dim, ws)
+    if lengths:
+        counts, edges = spark.createDataFrame([], "node long, links long"), spark.createDataFrame([], "a long, b long")
+        for dim, n in sorted(lengths.items()):
+            if n < 2:
+                continue
+            own = classes.filter(F.size("u") == dim)
+            sample = own.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("u").collect()
+            vectors = np.array([r.u for r in sample])
+            codes = int(min(MOST_CODES, max(LEAST_CODES, 2 ** round(np.log2(max(1.0, np.sqrt(n / PER_CELL)))))))
+            index = MultiIndex(vectors, min(codes, len(vectors)), limit)
+            own_counts, own_edges = _search(own, index, limit, dim, ws)
+            counts, edges = counts.union(own_counts), edges.union(own_edges)
+        counts = counts.groupBy("node").agg(F.sum("links").alias("links"))
         comps = connected_components(edges, ws)
         of_class = classes.select("rep", "m").join(counts, F.col("rep") == F.col("node"), "left").join(comps.withColumnRenamed("node", "cnode"), F.col("rep") == F.col("cnode"), "left")
         of_class = ws.save(of_class.select("rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("comp")))

@@ -363,6 +363,20 @@ def test_embeddings_recall(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_several_lengths(spark):
+    x, y = vectors(240, 64, 1), vectors(120, 48, 2)
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate([*x, *y])] + [(360, [2.0]), (361, [5.0]), (362, [-1.0]), (363, [1.0, 2.0, 3.0])]
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    for first, full in ((0, x), (240, y)):
+        unit = full / np.linalg.norm(full, axis=1, keepdims=True)
+        want = unit @ unit.T >= 0.9
+        np.fill_diagonal(want, False)
+        found = [got[first + i].n_links for i in range(len(full))]
+        assert all(f <= w for f, w in zip(found, want.sum(1), strict=True)) and sum(found) >= 0.95 * want.sum() > 0
+    assert [(got[i].n_links, got[i].component_id) for i in range(360, 364)] == [(1, 360), (1, 360), (0, 362), (0, 363)]
+
+
 def test_token_counts_match_sql(spark, duck):
     compare(spark, duck, q.op10_token_counts, q.OP10_SQL)
 
