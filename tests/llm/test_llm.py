@@ -209,6 +209,19 @@ def test_secret_in_many_lines():
         assert find_secrets(dull)[1] == []
 
 
+def test_secret_given_twice():
+    r = random.Random(7)
+    for n in (20, 28, 40, 64, 128):
+        for between in (" and ", "\n", " for example " * 5, " for example " * 28, " word" * 75, " word" * 90):
+            own = random_key(r, n - 4) + "aB3x"
+            text = f"bearer {own}{between}call with credential {own}\n"
+            assert covered(text, own) and own not in redacted(text, find_secrets(text)[1])
+    own = "9xQ2vLr7TzW1kPd8HsYb4NcJ6mGf"
+    text = f"auth_key/{own} then bearer {own}" + " word" * 20 + f" {own} again"
+    assert own not in redacted(text, find_secrets(text)[1])
+    assert find_secrets("credential " + "zb12" * 8 + "\ncredential " + "zb12" * 8)[1] == []
+
+
 def brute_components(rows, width, percent):
     sets = {}
     for i, text in rows:
