@@ -50,6 +50,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """Rows of df that exact_dedup keeps, each id once, with all columns."""
-    kept = exact_dedup(df, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return df.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
+    """Rows of df that exact_dedup keeps, with all columns: each id once with each of its texts, null ids too."""
+    def document(id_: str, sha: Column) -> Column:
+        return F.struct(F.col(id_).alias("id"), sha.alias("sha"))  # nulls in a struct are equal; one key, so one shuffle
+
+    kept = exact_dedup(df, id_col, text_col, keep).filter("kept").select(document(id_col, F.col("text_sha256")).alias("__kept")).distinct()
+    own = df.withColumn("__own", document(id_col, F.sha2(lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)))
+    return own.join(kept, F.col("__own") == F.col("__kept"), "left_semi").dropDuplicates(["__own"]).drop("__own")

@@ -370,6 +370,20 @@ def _with_components(docs: DataFrame, classes: DataFrame, labels: DataFrame) ->
 
 
 def drop_near_copies(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of df without the near copies: of each component the row with the smallest id stays."""
-    kept = jaccard_components(df, width, percent, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept_id")).distinct()
-    return df.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    """Rows of df without the near copies: of each component the row with the smallest id stays, a null id after all others.
+
+    Where ids are null or have several texts, each (id, text) is a document of its own, numbered in the order of ids.
+    """
+    mark = F.xxhash64(F.col("__text"))
+    picked = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    unclear = picked.groupBy("__id").agg(F.min(mark).alias("__a"), F.max(mark).alias("__z")).filter("__id is null or __a <> __z")
+    if unclear.isEmpty():
+        kept = jaccard_components(df, width, percent, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept_id")).distinct()
+        return df.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    ws = Workspace(df.sparkSession, "numbered")
+    marked = df.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    names = marked.select(F.col(id_col).alias("__id"), F.col("__sha").alias("__own")).distinct()
+    names = ws.save(names.orderBy(F.col("__id").asc_nulls_last(), "__own").withColumn("__key", F.monotonically_increasing_id()))
+    numbered = ws.save(marked.join(names, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__own"))).drop("__id", "__own", "__sha"))
+    kept = jaccard_components(numbered, width, percent, "__key", text_col).filter("__key = component_id").select(F.col("__key").alias("__kept_key")).distinct()
+    return numbered.join(kept, F.col("__key") == F.col("__kept_key"), "left_semi").drop("__key")

@@ -23,7 +23,7 @@ from kinspark.llm.language_id import UNDETERMINED, identify_language, keep_ident
 from kinspark.llm.license_scan import LicenceAutomaton, scan_licenses, words_of
 from kinspark.llm.packing import Limits, Piece, VectorBinPacker, pack_conversations, pack_documents
 from kinspark.llm.secret_scan import KINDS, base_spans, find_secrets, redact_secrets, redacted, scan_secrets
-from kinspark.llm.set_join import jaccard_components
+from kinspark.llm.set_join import drop_near_copies, jaccard_components
 from kinspark.llm.shingles import shingle_sets
 from kinspark.llm.token_rollup import Rollup, counted, deleted, inserted, revised
 from kinspark.llm.url_filter import judge_urls, rule
@@ -368,6 +368,20 @@ def test_exact_dedup_edges_and_collisions(spark):
     assert exact_dedup(d.limit(0)).count() == 0
 
 
+def test_drops_keep_null_and_repeated_ids(spark):
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven", "red green blue black white grey", "north east south west up down")
+    rows = [(5, a), (5, b), (9, b), (None, c), (None, c), (None, d), (5, a), (None, a.upper()), (7, None)]
+    got = drop_copies(docs(spark, [t for _, t in rows], [i for i, _ in rows]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, a), (9, b), (None, c), (None, d), (7, None)], key=str)
+    assert got.columns == docs(spark).columns
+    long = [" ".join(f"{x}{i}" for i in range(60)) for x in "pqrs"]
+    near = [x + " tail" for x in long]
+    rows = [(3, long[0]), (5, near[0]), (5, long[1]), (None, near[1]), (None, long[2]), (None, long[3]), (-4, near[3]), (8, ""), (None, "")]
+    got = drop_near_copies(docs(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, long[0]), (5, long[1]), (None, long[2]), (-4, near[3]), (8, ""), (None, "")], key=str)
+    assert got.columns == docs(spark).columns
+
+
 def test_exact_dedup_is_native(spark):
     plan = exact_dedup(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
