@@ -127,7 +127,7 @@ def _heads(width: int, percent: int, levels, parts: int):
     """Index entries of the heads of all sets, dealt by shingle.
 
     Entries of shingles that a task has met twice are certain to be of use and are dealt evenly (part >= parts) with
-    one marker (doc -1) where the shingle belongs, so no part gets more than an entry per task for a frequent shingle.
+    one marker (position -1) where the shingle belongs, so no part gets more than an entry per task for a frequent shingle.
     """
     schema = pa.schema([("part", pa.int32()), ("entries", pa.binary())])
 
@@ -139,7 +139,7 @@ def _heads(width: int, percent: int, levels, parts: int):
         many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         first = many & ~np.concatenate([[False], same])
         marker = e[first].copy()
-        marker["doc"] = -1
+        marker["pos"] = -1
         even = e[many]
         alone = np.concatenate([e[~many], marker])
         where = (mix(alone["token"]) % _U(parts)).astype(np.int64)
@@ -190,7 +190,7 @@ def _shared(parts: int):
         if key[0].as_py() < parts:
             e = e[np.argsort(e["token"], kind="stable")]
             same = e["token"][1:] == e["token"][:-1]
-            e = e[(np.concatenate([same, [False]]) | np.concatenate([[False], same])) & (e["doc"] >= 0)] if len(e) else e
+            e = e[(np.concatenate([same, [False]]) | np.concatenate([[False], same])) & (e["pos"] >= 0)] if len(e) else e
         return pa.table({"token": e["token"].view("<i8"), "doc": e["doc"], "n": e["n"], "pos": e["pos"]})
 
     return run, "token long, doc long, n int, pos int"

@@ -271,6 +271,19 @@ def test_set_join_finds_every_link(spark, width, percent):
     assert len({c for _, c in want.values()}) < len(want)
 
 
+def test_set_join_with_negative_ids(spark):
+    r = random.Random(11)
+    rows = []
+    for _ in range(30):
+        base = [f"v{r.randrange(5000)}" for _ in range(40)]
+        rows += [(r.randrange(-(1 << 63), 1 << 63), " ".join(base)), (-r.randrange(2, 1000000), " ".join([*base, "more"])), (r.randrange(1 << 40), " ".join(["less", *base]))]
+    rows.append((-1, rows[0][1] + " end"))
+    want = brute_components(rows, 4, 85)
+    for parts in (1, 7):
+        got = jaccard_components(docs(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(parts))
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
+
+
 def test_set_join_edges(spark):
     text = "one two three four five six"
     got = jaccard_components(docs(spark, [text, text, None, text, "", None], [3, 3, None, 9, 4, 5]))
