@@ -7,7 +7,8 @@ and examples may be cut, the one with the largest product is cut to what is left
 
 Packing is local to a partition: no shuffle, memory bounded by the window, and a lost task packs the same rows in the
 same way again. The price is one unfinished bin per partition; where cutting is allowed it is divided into sequences
-whose lengths are powers of two, which need no padding.
+whose lengths are powers of two, which need no padding; so is a bin that its number of segments closes. A bin that
+takes all that waits before it is full is put back and waits for more.
 
 Cases: a null text is an empty one (one token, the end mark); very long texts fill whole sequences; repeated rows are
 packed as often as they occur; an empty table gives no rows; other columns are not read.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from kinspark.llm.bpe import codec
 from kinspark.llm.common import arrow_rows, slices_of
 
-#: Examples that wait for a bin at a time.
+#: Examples that wait for a bin at a time, or more until they have the tokens of two bins or the segments of more than one.
 WINDOW = 1024
 
 
@@ -63,7 +64,8 @@ class VectorBinPacker:
     def __init__(self, limits: Limits, cut: bool, window: int = WINDOW):
         self.limits, self.cut, self.window = limits, cut, window
         self.caps = np.array([limits.tokens, limits.segments, limits.loss], float)
-        self.waiting: list[Piece | None] = []
+        self.waiting: list[Piece] = []
+        self.tokens = 0
 
     def bins(self, pieces: Iterable[Piece]) -> Iterator[list[Piece]]:
         size = self.limits.tokens
@@ -76,7 +78,9 @@ class VectorBinPacker:
                 yield [whole]
             if len(p.ids):
                 self.waiting.append(p)
-            if len(self.waiting) >= self.window:
+                self.tokens += len(p.ids)
+            n = len(self.waiting)
+            if n >= self.window and (self.tokens >= 2 * size or n >= self.window + self.limits.segments):
                 yield from self._pack(self.window // 2)
         yield from self._pack(0)
 
@@ -87,7 +91,7 @@ class VectorBinPacker:
         alive = np.ones(len(items), bool)
         left = len(items)
         while left > leave:
-            rest, own = np.ones(3), []
+            rest, own, took, full = np.ones(3), [], [], False
             weights = need[alive].mean(0)
             while left:
                 worth = need @ (weights * rest)
@@ -95,6 +99,7 @@ class VectorBinPacker:
                 if fits.any():
                     i = int(np.where(fits, worth, -1).argmax())
                     own.append(items[i])
+                    took.append(i)
                     rest = rest - need[i]
                     alive[i] = False
                     left -= 1
@@ -113,13 +118,18 @@ class VectorBinPacker:
                 break
             if not own:  # nothing fits an empty bin: cannot happen for pieces within the limits
                 i = int(np.flatnonzero(alive)[0])
-                own, alive[i] = [items[i]], False
+                own, alive[i], full = [items[i]], False, True
                 left -= 1
-            if left == 0 and leave == 0 and self.cut:
+            if left == 0 and leave and not full and (rest * caps >= 0.5).all():
+                alive[took] = True
+                break
+            closed = left == 0 and leave == 0 or rest[1] * caps[1] < 0.5
+            if closed and self.cut:
                 yield from powers_of_two(own)
             else:
                 yield own
         self.waiting = [p for p, a in zip(items, alive, strict=True) if a]
+        self.tokens = sum(len(p.ids) for p in self.waiting)
 
 
 def _loss_room(p: Piece, room: int, loss: int) -> int:

@@ -138,6 +138,18 @@ def test_packing_holds_all_limits():
     assert [len(p.ids) for b in alone for p in b] == [500]
 
 
+def test_packing_of_very_short_texts():
+    r = np.random.default_rng(1)
+    for low, high in ((1, 2), (1, 3), (2, 3), (1, 1)):
+        sizes = [*r.integers(low, high + 1, 9000).tolist(), 3000, 5000, 700, *r.integers(low, high + 1, 3000).tolist()]
+        bins = list(VectorBinPacker(Limits(), cut=True).bins(Piece(i, 0, np.arange(n), None, n) for i, n in enumerate(sizes)))
+        lengths = [sum(len(p.ids) for p in b) for b in bins]
+        assert sum(lengths) == sum(sizes) and all(n <= 4096 and not n & (n - 1) for n in lengths) and all(len(b) <= 2048 for b in bins)
+        whole = list(VectorBinPacker(Limits(), cut=False).bins(Piece(i, 0, np.arange(n), None, n) for i, n in enumerate(sizes) if n <= 4096))
+        assert sum(len(p.ids) for b in whole for p in b) == sum(n for n in sizes if n <= 4096)
+        assert all(len(b) == 2048 or sum(len(p.ids) for p in b) > 4096 - 4 for b in whole[:-1])
+
+
 def test_packing_of_conversations(spark):
     c = table(spark, SMALL, "conversations")
     rows = pack_conversations(c, PATH).collect()
