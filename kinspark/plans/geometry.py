@@ -261,7 +261,7 @@ def curvature(spark, sf_dir):
 
 
 def descriptors(spark, sf_dir):
-    return sg.descriptors(series(spark, sf_dir), length=256)
+    return sg.descriptors(series(spark, sf_dir))
 
 
 QUERIES = {

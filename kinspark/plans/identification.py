@@ -209,7 +209,7 @@ def pca_project(spark, sf_dir):
 def ovr_svm(spark, sf_dir):
     """Classes of the queries, from a classifier of the database, ranked."""
     d = descriptors(spark, sf_dir).withColumn("class_idx", F.col("name").cast("int"))
-    fitted = ft.linear_classifier(d.filter("not is_query"), "vec", "class_idx", 5)
+    fitted = ft.linear_classifier(d.filter("not is_query"), "vec", "class_idx")
     return ft.class_probabilities(d.filter("is_query"), fitted, "vec", "desc_id")
 
 

@@ -166,6 +166,56 @@ def test_descriptors_have_unit_length(spark):
     assert sg.descriptors(series(spark, range(50)), length=64).count() == 0  # no extrema
 
 
+def plain_descriptors(values, length=1024, dim=32, number=32):
+    even = np.interp(np.arange(length) * (len(values) - 1) / length, np.arange(len(values)), values)
+    w = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
+    smooth = np.convolve(np.pad(even, 8, "symmetric"), w / w.sum(), "valid")
+    held = np.pad(smooth, 3, "edge")
+    around = [np.delete(held[i : i + 7], 3) for i in range(length)]
+    p = [i for i in range(length) if smooth[i] > max(around[i])] + [i for i in range(length) if smooth[i] < min(around[i])]
+    p = ([0] if p[0] > 1 else []) + p
+    p += [length - 1] if p[-1] < length - 2 else []
+    rank = sorted(range(len(p)), key=lambda k: (-math.inf if k in (0, len(p) - 1) else -abs(smooth[p[k]] - 0.5), p[k]))
+    points = sorted({p[k] for k in rank[:number]})
+    out = {}
+    for i, a in enumerate(points):
+        for b in points[i + 1 :]:
+            f = np.interp(np.arange(dim) * (b - a) / dim, np.arange(b - a + 1), even[a : b + 1])
+            out[a, b] = f / np.linalg.norm(f)
+    return out
+
+
+def test_descriptor_query_has_the_operators_size(spark, monkeypatch):
+    from kinspark.plans import geometry
+
+    values = [math.sin(i / 9) + 0.4 * math.sin(i / 2.3 + 1) + 2 for i in range(600)]
+    monkeypatch.setattr(geometry, "series", lambda spark, sf_dir: series(spark, values))
+    got = {(r.kp0, r.kp1): r.feature for r in geometry.QUERIES["descriptors"][0](spark, "").collect()}
+    want = plain_descriptors(values)
+    assert set(got) == set(want) and max(k for _, k in got) > 900 and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_classifier_query_has_the_operators_iterations(spark, monkeypatch):
+    from kinspark.operators import features as ft
+    from kinspark.plans import identification
+
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=6) + 0.6 * (i % 3) * np.arange(6)], str(i % 3), i % 5 == 0) for i in range(120)]
+    d = spark.createDataFrame(rows, "desc_id long, vec array<double>, name string, is_query boolean")
+    monkeypatch.setattr(identification, "descriptors", lambda spark, sf_dir: d)
+    got = {(x.desc_id, x.class_idx): x.p for x in identification.QUERIES["ovr_svm"][0](spark, "").collect()}
+    train = np.array([v for _, v, _, asked in rows if not asked])
+    label = np.array([int(n) for _, _, n, asked in rows if not asked])
+    fitted = ft.linear_classifier(d.filter("not is_query").withColumn("class_idx", F.col("name").cast("int")), "vec", "class_idx", 20)
+    mean, scale = train.mean(0), train.std(0)
+    for i, v, _, asked in rows:
+        if asked:
+            margin = [float(m.coefficients.toArray() @ ((np.array(v) - mean) / scale) + m.intercept) for m in fitted[1]]
+            p = np.exp(np.array(margin) - max(margin))
+            assert [got[i, c] for c in range(3)] == pytest.approx(list(p / p.sum()), rel=1e-6)
+    assert len(got) == 3 * sum(x[3] for x in rows) and set(label) == {0, 1, 2}
+
+
 def test_curvature(spark):
     line = np.array([(float(i), 0.0) for i in range(21)])
     assert curvature_at(line, 10, 3.0) == pytest.approx(0.5) and curvature_at(line, 10, 0.5) == 0.5
