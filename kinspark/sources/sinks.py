@@ -1,4 +1,4 @@
-"""Sinks: splits, class maps, caches, result files, models and annotation documents."""
+"""Sinks: splits, class maps, caches, result files and annotation documents."""
 
 from __future__ import annotations
 
