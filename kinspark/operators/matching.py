@@ -1,33 +1,105 @@
-"""Nearest-neighbour joins and local naive Bayes nearest neighbour (LNBNN) scores."""
+"""Nearest-neighbour joins and local naive Bayes nearest neighbour (LNBNN) scores.
+
+The exact joins deal both sides into blocks, so that every pair of blocks is one task's group: its distances are one
+matrix product, and it gives back the best few of each query. No side is broadcast, no group grows with the data, and a
+pair of rows never becomes a row.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.functions.vectors import cosine, l2_distance
+#: Bytes of vectors (as Catalyst estimates them) in a block of the database and of the queries.
+BLOCK_BYTES, QUERY_BYTES = 16 << 20, 4 << 20
+#: Estimates from here on are no estimates: the rows are counted instead, at so many bytes each.
+_UNKNOWN, _ROW_BYTES = 1 << 60, 1024
+#: Squared distances of a matrix product that are closer than this may change places; they are computed again, exactly.
+_NEAR = 1e-9
+#: Lists that the names of a database are dealt into.
+NAME_PARTS = 64
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The size of df as Catalyst estimates it, without a job; sources that have no estimate are counted."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < _UNKNOWN else df.count() * _ROW_BYTES
+
+
+def _best_of_block(n: int, cosine: bool, schema: pa.Schema):
+    """For each query of a group its n best database rows, ties by desc_id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy(zero_copy_only=False)
+        at_q, at_d = np.flatnonzero(side), np.flatnonzero(~side)
+        if not len(at_q) or not len(at_d):
+            return schema.empty_table()
+        vec = table.column("vec").combine_chunks()
+        v = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
+        ids = table.column("id").to_numpy()
+        q, d = v[at_q], v[at_d]
+        k = min(n, len(d))
+        norm_d = np.linalg.norm(d, axis=1) if cosine else (d * d).sum(1)
+        found_q, found_d, found = [], [], []
+        for s in range(0, len(q), 512):
+            part = q[s : s + 512]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rough = -(part @ d.T) / (np.linalg.norm(part, axis=1)[:, None] * norm_d) if cosine else (part * part).sum(1)[:, None] + norm_d - 2 * part @ d.T
+            rough = np.where(np.isnan(rough), np.inf, rough)
+            scale = 1.0 if cosine else 1 + np.abs(norm_d).max()
+            bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + _NEAR * scale
+            i, j = np.nonzero((rough <= bound[:, None]) & (rough < np.inf))
+            if cosine:
+                exact = -(part[i] * d[j]).sum(1) / np.sqrt((part[i] ** 2).sum(1) * (d[j] ** 2).sum(1))
+            else:
+                exact = np.sqrt(((part[i] - d[j]) ** 2).sum(1))
+            order = np.lexsort((ids[at_d[j]], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.searchsorted(i, i)
+            keep = np.arange(len(i)) - first < n
+            found_q.append(at_q[s + i[keep]])
+            found_d.append(at_d[j[keep]])
+            found.append(exact[keep])
+        fq, fd, dist = (np.concatenate(x) for x in (found_q, found_d, found))
+        keys = [table.column(c).take(pa.array(fq)) for c in schema.names[1:-3]]
+        return pa.table([pa.array(ids[fq]), *keys, pa.array(ids[fd]), table.column("name").take(pa.array(fd)), pa.array(dist)], schema=schema)
+
+    return run
+
+
+def best_matches(queries: DataFrame, database: DataFrame, n: int, keys: list[str] | None = None, cosine: bool = False, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(query_id, *keys, desc_id, name, dist, rk): the n best database rows of each query among rows with equal keys.
+
+    queries: (query_id, query_vec, *keys); database: (desc_id, name, vec, *keys). dist is the Euclidean distance, or the
+    negative cosine; ties go to the smaller desc_id. blocks: how many of each side (database, queries); by default from
+    the estimated sizes. A row without a vector, or by cosine without a length, matches nothing.
+    """
+    keys = keys or []
+    d = database.select(*keys, F.col("desc_id").cast("long").alias("id"), F.col("name").cast("string").alias("name"), F.col("vec").cast("array<float>").alias("vec"), F.lit(False).alias("side"))
+    q = queries.select(*keys, F.col("query_id").cast("long").alias("id"), F.lit(None).cast("string").alias("name"), F.col("query_vec").cast("array<float>").alias("vec"), F.lit(True).alias("side"))
+    nd, nq = blocks or (plan_bytes(database) // BLOCK_BYTES + 1, plan_bytes(queries) // QUERY_BYTES + 1)
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        return df.filter("vec is not null").withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    both = dealt(d, "db", nd, "ask", nq).unionByName(dealt(q, "ask", nq, "db", nd))
+    kinds = dict(both.select(*keys).dtypes)
+    ddl = ", ".join(["query_id long", *(f"`{k}` {kinds[k]}" for k in keys), "desc_id long", "name string", "dist double"])
+    arrow = pa.schema([("query_id", pa.int64()), *((k, _ARROW[kinds[k]]) for k in keys), ("desc_id", pa.int64()), ("name", pa.string()), ("dist", pa.float64())])
+    best = both.groupBy(*keys, "db", "ask").applyInArrow(_best_of_block(n, cosine, arrow), ddl)
+    overall = Window.partitionBy("query_id", *keys).orderBy("dist", "desc_id")
+    return best.withColumn("rk", F.row_number().over(overall)).filter(F.col("rk") <= n)
 
-#: Database rows that one task compares with the queries it holds.
-BLOCK_ROWS = 512
 
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16()}
 
-def knn_join(queries: DataFrame, database: DataFrame, n: int, keys: list[str] | None = None, rows_hint: int | None = None) -> DataFrame:
-    """The n nearest database rows of each query, by Euclidean distance and then desc_id, among rows with equal keys.
 
-    queries: (query_id, query_vec, *keys); database: (desc_id, name, vec, *keys). The database is cut into blocks by a
-    hash of its id, the queries are sent to each block, and each block keeps its n best before the results meet: no
-    side is broadcast and no cell of the keys lands in one task. Blocks follow the size of the database.
-    """
-    keys = keys or []
-    rows = rows_hint if rows_hint is not None else database.count()
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-    db = database.withColumn("block", F.pmod(F.xxhash64("desc_id"), F.lit(blocks)).cast("int"))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = asked.join(db, [*keys, "block"]).withColumn("dist", l2_distance(F.col("query_vec"), F.col("vec")))
-    in_block = Window.partitionBy("query_id", *keys, "block").orderBy("dist", "desc_id")
-    best = pairs.withColumn("rk", F.row_number().over(in_block)).filter(F.col("rk") <= n)
-    overall = Window.partitionBy("query_id", *keys).orderBy("dist", "desc_id")
-    return best.withColumn("rk", F.row_number().over(overall)).filter(F.col("rk") <= n).select("query_id", *keys, "desc_id", "name", "dist", "rk")
+def knn_join(queries: DataFrame, database: DataFrame, n: int, keys: list[str] | None = None, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """The n nearest database rows of each query, by Euclidean distance and then desc_id, among rows with equal keys."""
+    return best_matches(queries, database, n, keys, blocks=blocks)
 
 
 def lnbnn_contributions(neighbours: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -37,15 +109,22 @@ def lnbnn_contributions(neighbours: DataFrame, keys: list[str] | None = None) ->
     return marked.filter("rk < last").groupBy("query_id", *(keys or []), "name").agg((F.min("dist") - F.first("background")).alias("contribution"))
 
 
+def lnbnn_hits(contributions: DataFrame, owners: DataFrame) -> DataFrame:
+    """(image_id, name, score) of the names that an image's descriptors met. owners: (query_id, image_id)."""
+    return contributions.join(owners, "query_id").groupBy("image_id", "name").agg(F.sum("contribution").alias("score"))
+
+
 def lnbnn_scores(contributions: DataFrame, owners: DataFrame, names: DataFrame) -> DataFrame:
-    """(image_id, name, score): contributions summed over an image's descriptors; names never hit have 0.
+    """(image_id, name, score) of every image and name: contributions summed over an image's descriptors; names never hit have 0.
 
-    owners: (query_id, image_id). names: (name), the distinct names of the database, repeated for each image by a join
-    on a constant number of blocks, not broadcast.
+    owners: (query_id, image_id). names: (name), the names of the database; they meet the images in NAME_PARTS lists, so
+    the join has a row for each image and list. The result has one for each image and name; where only names that were
+    hit matter, lnbnn_hits is enough.
     """
-    hits = contributions.join(owners, "query_id").groupBy("image_id", "name").agg(F.sum("contribution").alias("score"))
-    images = owners.select("image_id").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    every = images.join(names.distinct().withColumn("block", F.pmod(F.xxhash64("name"), F.lit(8)).cast("int")), "block").select("image_id", "name")
+    hits = lnbnn_hits(contributions, owners)
+    lists = names.groupBy(F.pmod(F.xxhash64("name"), F.lit(NAME_PARTS)).alias("part")).agg(F.collect_set("name").alias("names"))
+    images = owners.select("image_id").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))))
+    every = images.join(lists, "part").select("image_id", F.explode("names").alias("name"))
     return every.join(hits, ["image_id", "name"], "left").select("image_id", "name", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -55,15 +134,10 @@ def rank_names(scores: DataFrame, descending: bool = False, by: str = "score") -
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(order, "name")))
 
 
-def cosine_top1(queries: DataFrame, database: DataFrame, rows_hint: int | None = None) -> DataFrame:
+def cosine_top1(queries: DataFrame, database: DataFrame, blocks: tuple[int, int] | None = None) -> DataFrame:
     """(query_id, desc_id, name, similarity) of the most similar database row, ties by desc_id."""
-    rows = rows_hint if rows_hint is not None else database.count()
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-    db = database.withColumn("block", F.pmod(F.xxhash64("desc_id"), F.lit(blocks)).cast("int"))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = asked.join(db, "block").withColumn("similarity", cosine(F.col("query_vec"), F.col("vec")))
-    best = F.min_by(F.struct("desc_id", "name", "similarity"), F.struct((-F.col("similarity")).alias("s"), "desc_id")).alias("best")
-    return pairs.groupBy("query_id").agg(best).select("query_id", "best.*")
+    best = best_matches(queries, database, 1, cosine=True, blocks=blocks)
+    return best.select("query_id", "desc_id", "name", (-F.col("dist")).alias("similarity"))
 
 
 def lsh_knn(queries: DataFrame, database: DataFrame, n: int, dim: int, tables: int = 8, width: float = 0.5, reach: float = 1.5, seed: int = 42) -> DataFrame:

@@ -9,10 +9,9 @@ from kinspark.operators.matching import knn_join, lnbnn_contributions
 
 def score_stream(queries: DataFrame, database: DataFrame, folder: str, checkpoint: str, k: int = 2):
     """Start a query that writes (query_id, name, contribution) of each micro-batch to its own folder, so that a batch run again overwrites itself."""
-    rows = database.count()
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        found = lnbnn_contributions(knn_join(df, database, k + 1, rows_hint=rows))
+        found = lnbnn_contributions(knn_join(df, database, k + 1))
         found.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
