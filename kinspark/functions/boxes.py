@@ -14,7 +14,8 @@ def clamp(x: Column, lo: Column, hi: Column) -> Column:
 
 
 def area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return (x2 - x1) * (y2 - y1)
+    """0 for a box whose corners are the wrong way round."""
+    return F.greatest(F.lit(0.0), x2 - x1) * F.greatest(F.lit(0.0), y2 - y1)
 
 
 def iou(a: list[Column], b: list[Column]) -> Column:

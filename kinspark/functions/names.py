@@ -75,14 +75,23 @@ def last_segment(url: Column) -> Column:
 
 
 def slider_images(html: Column) -> Column:
-    """Lazily loaded images of a gallery page."""
-    return F.regexp_extract_all(html, F.lit(r'data-flickity-lazyload="([^"]*)"'), F.lit(1))
+    """Addresses of the lazily loaded pictures (class aspect__media) from a page's main slider on; none without a slider."""
+    at = F.instr(html, 'id="main-slider"')
+    tags = F.regexp_extract_all(F.when(at > 0, F.substr(html, at)).otherwise(""), F.lit("(<img[^>]*>)"), F.lit(1))
+    media = F.filter(tags, lambda t: t.rlike(r'class="([^"]* )?aspect__media[ "]') & t.contains("data-flickity-lazyload="))
+    return F.transform(media, lambda t: F.regexp_extract(t, r'data-flickity-lazyload="([^"]*)"', 1))
 
 
 def layer_size(layer: Column) -> Column:
     """Spatial size of a network layer's output by its prefix; an unknown layer is an error."""
     return (
-        F.when(F.startswith(layer, F.lit("conv2")), 56).when(F.startswith(layer, F.lit("conv3")), 28)
+        F.when(F.startswith(layer, F.lit("conv1")), 112).when(F.startswith(layer, F.lit("pool1")), 56).when(F.startswith(layer, F.lit("conv2")), 56).when(F.startswith(layer, F.lit("conv3")), 28)
         .when(F.startswith(layer, F.lit("conv4")), 14).when(F.startswith(layer, F.lit("conv5")), 7)
         .otherwise(F.raise_error(F.concat(F.lit("unknown layer "), layer)).cast("int"))
     )
+
+
+def model_name(ratio: Column, rembg: Column, least: Column, layer: Column, pool: Column, components: Column) -> Column:
+    """Name of the saved model of a configuration."""
+    mark = F.when(rembg, "rembg").otherwise("norembg")
+    return F.format_string("split%s_%s_min%d_%s_pool%d_pca%d", ratio.cast("string"), mark, least, layer, pool, components)

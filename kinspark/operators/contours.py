@@ -102,3 +102,28 @@ def select_by_weight(predictions: DataFrame, mode: str = "auto") -> DataFrame:
     first = F.max(F.when(F.col("rank") == 1, F.col("weight"))).over(Window.partitionBy("image_id"))
     keep = {"side": F.lit(1), "front": F.lit(2), "auto": F.when(second.isNull() | (first > 3 * second), 1).otherwise(2)}[mode]
     return p.withColumn("keep", keep).filter("rank <= keep").select("image_id", "idx", "weight", "rank")
+
+
+def rotated(points: DataFrame, angles: DataFrame) -> DataFrame:
+    """Points turned by the angle of their contour, angles (contour_id, angle, cx, cy) in radians, about its center:
+    x' = c*dx + s*dy, y' = -s*dx + c*dy, seen from the center."""
+    c, s = F.cos("angle"), F.sin("angle")
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    return points.join(angles, "contour_id").select("contour_id", "pos", (c * dx + s * dy).alias("x"), (c * dy - s * dx).alias("y"))
+
+
+def reoriented(points: DataFrame, centers: DataFrame) -> DataFrame:
+    """Points seen from a center (contour_id, cx, cy), turned so that the chord from the first to the last is level."""
+    chord = points.groupBy("contour_id").agg((F.max_by("y", "pos") - F.min_by("y", "pos")).alias("dy"), (F.max_by("x", "pos") - F.min_by("x", "pos")).alias("dx"))
+    return rotated(points, chord.join(centers, "contour_id").select("contour_id", F.atan2("dy", "dx").alias("angle"), "cx", "cy"))
+
+
+def mirrored(points: DataFrame, widths: DataFrame) -> DataFrame:
+    """Points of pictures mirrored left to right: x becomes width - 1 - x. widths: (contour_id, width)."""
+    return points.join(widths, "contour_id").select("contour_id", "pos", (F.col("width") - 1 - F.col("x")).alias("x"), "y")
+
+
+def radii(points: DataFrame, scales: list[float]) -> DataFrame:
+    """(contour_id, scale_idx, radius): shares of the larger side of a contour's extent."""
+    r = F.array(*(F.greatest("w", "h") * F.lit(s) for s in scales))
+    return extent(points).select("contour_id", F.posexplode(r).alias("scale_idx", "radius"))

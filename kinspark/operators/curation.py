@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kinspark.functions.names import reflected
 from kinspark.schemas import require_columns
 
+# Fixed values.
 #: Least images of an individual: whole images, and per ear; share of an individual's images that train.
 MIN_IMAGES, MIN_PER_EAR, RATIO = 9, 8, 0.67
 

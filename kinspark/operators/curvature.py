@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Radii as shares of the larger side of a contour's extent.
 SCALES = (0.02, 0.04, 0.06, 0.08)
+#: Distances that are held at a time.
+BLOCK_CELLS = 1 << 20
 
 
 def curvature_at(points: np.ndarray, i: int, radius: float) -> float:
@@ -33,6 +35,33 @@ def curvature_at(points: np.ndarray, i: int, radius: float) -> float:
     return float(((h[1:] + h[:-1]) / 2 * np.diff(x)).sum() / box)
 
 
+def curvatures(points: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """curvature_at of every point (rows) and radius (columns): one block of distances for all radii, sums by segments."""
+    n = len(points)
+    out = np.full((n, len(radii)), np.nan)
+    for start in range(0, n, max(1, BLOCK_CELLS // n)):
+        d = points[None, :, :] - points[start : start + max(1, BLOCK_CELLS // n), None, :]
+        square = (d**2).sum(2)
+        for k, radius in enumerate(radii.tolist()):
+            i, j = np.nonzero(square <= radius * radius)
+            dx, dy = d[i, j, 0], d[i, j, 1]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            last = np.append(first[1:], len(i)) - 1
+            size = last - first + 1
+            angle = np.arctan2(dy[last] - dy[first], dx[last] - dx[first])
+            c, s = np.repeat(np.cos(angle), size), np.repeat(np.sin(angle), size)
+            x, y = c * dx + s * dy, c * dy - s * dx
+            left, right = np.maximum(np.minimum.reduceat(x, first), -radius), np.minimum(np.maximum.reduceat(x, first), radius)
+            box = (right - left) * 2 * radius
+            strip = np.append(((y[1:] + y[:-1]) / 2 + radius) * np.diff(x), 0.0)
+            strip[last] = 0.0  # between two points' segments
+            area = np.add.reduceat(strip, first)
+            own = np.full(len(first), np.nan)
+            np.divide(area, box, out=own, where=box > 0)
+            out[start : start + len(first), k] = np.where(size == 1, 0.5, own)
+    return out
+
+
 def integral_curvature(points: DataFrame, scales: tuple[float, ...] = SCALES) -> DataFrame:
     """(contour_id, pos, scale_idx, curv) from (contour_id, pos, x, y); null where it has no value."""
 
@@ -40,8 +69,21 @@ def integral_curvature(points: DataFrame, scales: tuple[float, ...] = SCALES) ->
         pdf = pdf.sort_values("pos")
         xy = pdf[["x", "y"]].to_numpy(float)
         reach = float((xy.max(0) - xy.min(0)).max())
-        rows = [(pdf.contour_id.iloc[0], int(pos), k, curvature_at(xy, i, s * reach)) for k, s in enumerate(scales) for i, pos in enumerate(pdf.pos)]
-        return pd.DataFrame(rows, columns=["contour_id", "pos", "scale_idx", "curv"])
+        curv = curvatures(xy, reach * np.array(scales))
+        n, k = curv.shape
+        return pd.DataFrame({"contour_id": np.repeat(pdf.contour_id.to_numpy(), k), "pos": np.repeat(pdf.pos.to_numpy(), k), "scale_idx": np.tile(np.arange(k), n), "curv": curv.ravel()})
 
     out = points.groupBy("contour_id").applyInPandas(run, "contour_id long, pos int, scale_idx int, curv double")
     return out.withColumn("curv", F.when(~F.isnan("curv"), F.col("curv")))
+
+
+def neighbours_within(points: DataFrame, share: float) -> DataFrame:
+    """(contour_id, pos, other) of points of one contour whose distance is at most `share` of the larger side of its extent.
+
+    A range join within a contour, which is one image's outline.
+    """
+    reach = points.groupBy("contour_id").agg((F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * F.lit(share)).alias("r"))
+    a = points.join(reach, "contour_id")
+    b = points.select("contour_id", F.col("pos").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    return a.join(b, "contour_id").filter(dx * dx + dy * dy <= F.col("r") * F.col("r")).select("contour_id", "pos", "other")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinspark.functions.names import layer_size
+
+#: Size up to which a matrix of weights is broadcast.
+HEAD_BYTES = 128 << 20
+
 
 @dataclass(frozen=True)
 class PopulationScaler:
@@ -27,45 +35,113 @@ class PopulationScaler:
         return df.withColumn(out, F.zip_with(centred, std, lambda x, s: x / s))
 
 
-def pca(df: DataFrame, column: str, components: int, out: str = "projected") -> DataFrame:
-    """df with the scores on the principal components of the scaled column; at most as many as rows and dimensions allow."""
+def fit_pca(df: DataFrame, column: str, components: int):
+    """(scaler, model) of the principal components of the scaled column; at most as many as rows and dimensions allow."""
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     scaler = PopulationScaler.fit(df, column)
     k = min(components, len(scaler.mean), df.count())
+    scaled = scaler.transform(df, column, "__scaled").select(array_to_vector("__scaled").alias("__features"))
+    return scaler, PCA(k=k, inputCol="__features", outputCol="__pca").fit(scaled)
+
+
+def pca(df: DataFrame, column: str, components: int, out: str = "projected") -> DataFrame:
+    """df with the scores on the principal components of the scaled column."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    scaler, model = fit_pca(df, column, components)
     scaled = scaler.transform(df, column, "__scaled").withColumn("__features", array_to_vector("__scaled"))
-    model = PCA(k=k, inputCol="__features", outputCol="__pca").fit(scaled)
     return model.transform(scaled).withColumn(out, vector_to_array("__pca")).drop("__scaled", "__features", "__pca")
 
 
-def linear_classifier(train: DataFrame, column: str, label: str, iterations: int = 20):
-    """A one-vs-rest linear support vector machine on scaled features; (scaler, one model for each class)."""
+@dataclass(frozen=True)
+class LinearHead:
+    """Margins of classes as one matrix: weights (classes by dimensions of the raw vector) and an intercept for each class."""
+
+    weights: np.ndarray
+    intercepts: np.ndarray
+
+    @classmethod
+    def folded(cls, scaler: PopulationScaler, weights: np.ndarray, intercepts: np.ndarray, components: np.ndarray | None = None) -> LinearHead:
+        """Scaling, projection (dimensions by components) and classifier as one step."""
+        w = weights if components is None else weights @ components.T
+        w = w / np.array(scaler.std)
+        return cls(w, intercepts - w @ np.array(scaler.mean))
+
+    def probabilities(self, df: DataFrame, column: str, id_col: str) -> DataFrame:
+        """(id_col, class_idx, p, rank) of each row and class: softmax of the margins, ties to the smaller class.
+
+        A null vector gives no rows. The matrix is broadcast up to HEAD_BYTES; beyond, its classes are taken in parts,
+        a pass over df for each.
+        """
+        rows = max(1, HEAD_BYTES // max(1, 8 * self.weights.shape[1]))
+        parts = [self._margins(df, column, id_col, a, min(a + rows, len(self.weights))) for a in range(0, len(self.weights), rows)]
+        margins = functools.reduce(DataFrame.unionByName, parts)
+        if len(parts) == 1:
+            return margins
+        w = Window.partitionBy(id_col)
+        e = margins.withColumn("e", F.exp(F.col("p") - F.max("p").over(w)))
+        p = e.select(id_col, "class_idx", (F.col("e") / F.sum("e").over(w)).alias("p"))
+        return p.withColumn("rank", F.row_number().over(w.orderBy(F.desc("p"), "class_idx")))
+
+    def _margins(self, df: DataFrame, column: str, id_col: str, first: int, last: int) -> DataFrame:
+        """Of a part of the classes margins in the place of p; of all of them the result."""
+        whole = last - first == len(self.weights)
+        shared = df.sparkSession.sparkContext.broadcast((self.weights[first:last], self.intercepts[first:last]))
+        names = [id_col, "class_idx", "p", "rank"] if whole else [id_col, "class_idx", "p"]
+
+        def run(batches):
+            weights, intercepts = shared.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):
+                    part = batch.slice(start, 1024)
+                    v = np.array([x.as_py() for x in part.column(1)], float).reshape(part.num_rows, -1)
+                    m = v @ weights.T + intercepts
+                    columns = [part.column(0).take(pa.array(np.repeat(np.arange(len(m)), m.shape[1]))), pa.array(np.tile(np.arange(first, last, dtype=np.int32), len(m)))]
+                    if whole:
+                        e = np.exp(m - m.max(1, keepdims=True))
+                        m = e / e.sum(1, keepdims=True)
+                        place = np.empty(m.shape, np.int32)
+                        np.put_along_axis(place, np.argsort(-m, 1, kind="stable"), np.arange(1, m.shape[1] + 1, dtype=np.int32)[None, :], 1)
+                        columns += [pa.array(m.ravel()), pa.array(place.ravel())]
+                    else:
+                        columns.append(pa.array(m.ravel()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        kind = dict(df.dtypes)[id_col]
+        ddl = f"`{id_col}` {kind}, class_idx int, p double" + (", rank int" if whole else "")
+        return df.filter(F.col(column).isNotNull()).select(id_col, F.col(column).cast("array<double>").alias("v")).mapInArrow(run, ddl)
+
+
+def linear_classifier(train: DataFrame, column: str, label: str, iterations: int = 20, components: int | None = None) -> LinearHead:
+    """A one-vs-rest linear support vector machine on scaled and, with `components`, projected features; classes are 0, 1, ..."""
     from pyspark.ml.classification import LinearSVC, OneVsRest
     from pyspark.ml.functions import array_to_vector
 
-    scaler = PopulationScaler.fit(train, column)
-    rows = scaler.transform(train, column, "__scaled").select(array_to_vector("__scaled").alias("features"), F.col(label).cast("double").alias("label"))
-    model = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01)).fit(rows)
-    return scaler, model.models
-
-
-def class_probabilities(df: DataFrame, fitted, column: str, id_col: str) -> DataFrame:
-    """(id_col, class_idx, p, rank): softmax of the margins, ranked; order is that of the margins."""
-    scaler, models = fitted
-    scored = scaler.transform(df, column, "__scaled")
-    margins = []
-    for m in models:  # a few weights for each class; the margin is a plain expression
-        weights = F.array(*(F.lit(float(x)) for x in m.coefficients))
-        margins.append(F.aggregate(F.zip_with("__scaled", weights, lambda x, w: x * w), F.lit(float(m.intercept)), lambda s, x: s + x))
-    m = scored.select(id_col, F.posexplode(F.array(*margins)).alias("class_idx", "margin"))
-    w = Window.partitionBy(id_col)
-    e = m.withColumn("e", F.exp(F.col("margin") - F.max("margin").over(w)))
-    p = e.select(id_col, "class_idx", (F.col("e") / F.sum("e").over(w)).alias("p"))
-    return p.withColumn("rank", F.row_number().over(w.orderBy(F.desc("p"), "class_idx")))
-
-
-def config_grid(spark, layers: list[str], pools: list[int], sizes: dict[str, int]) -> DataFrame:
-    """(layer, pool, spatial) of all combinations whose pool is not larger than the layer's output."""
-    rows = [(layer, p, sizes[layer]) for layer in layers for p in pools if p <= sizes[layer]]
-    return spark.createDataFrame(rows, "layer string, pool int, spatial int")
+    if components is None:
+        scaler, projection = PopulationScaler.fit(train, column), None
+    else:
+        scaler, projection = fit_pca(train, column, components)
+    rows = scaler.transform(train, column, "__scaled").select(array_to_vector("__scaled").alias("__features"), F.col(label).cast("double").alias("label"))
+    rows = (projection.transform(rows) if projection else rows.withColumnRenamed("__features", "__pca")).select(F.col("__pca").alias("features"), "label")
+    models = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01), parallelism=4).fit(rows).models
+    weights, intercepts = np.array([m.coefficients.toArray() for m in models]), np.array([m.intercept for m in models])
+    return LinearHead.folded(scaler, weights, intercepts, projection.pc.toArray() if projection else None)
+
+
+def centroid_classifier(train: DataFrame, column: str, label: str) -> LinearHead:
+    """The linear classifier of the nearest class mean: weights are the means, intercepts half their squared lengths below 0."""
+    sums = train.select(F.col(label).alias("c"), F.posexplode(F.col(column).cast("array<double>")).alias("dim", "x")).groupBy("c", "dim").agg(F.avg("x").alias("m"))
+    means: dict[int, dict[int, float]] = {}
+    for r in sums.collect():  # classes by dimensions, as large as the model
+        means.setdefault(r.c, {})[r.dim] = r.m
+    dims = max(map(len, means.values()), default=0)
+    weights = np.array([[means.get(c, {}).get(d, 0.0) for d in range(dims)] for c in range(max(means, default=-1) + 1)])
+    return LinearHead(weights, -(weights**2).sum(1) / 2)
+
+
+def config_grid(layers: DataFrame, pools: list[int]) -> DataFrame:
+    """(layer, spatial, pool) of all combinations whose pool is not larger than the layer's output. layers: (layer)."""
+    rows = layers.select("layer", layer_size(F.col("layer")).alias("spatial"), F.explode(F.array(*map(F.lit, pools))).alias("pool"))
+    return rows.filter("pool <= spatial")

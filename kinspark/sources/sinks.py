@@ -1,38 +1,71 @@
-"""Sinks: splits, class maps, caches, result files and annotation documents."""
+"""Sinks: splits, class maps, caches, result files, models' records and annotation documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinspark.operators.numbering import numbered
+
 
 def write_splits(split: DataFrame, folder: str) -> None:
     """CSV files in a folder for each view and split."""
     split.write.mode("overwrite").partitionBy("view", "split").option("header", True).csv(folder)
 
 
+def write_split_files(tables: dict[str, DataFrame], folder: str) -> None:
+    """A CSV table for each name: left_train, left_test, right_train, right_test, train, test, or some of them."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+
+
 def write_class_map(classes: DataFrame, folder: str, by: str = "individual") -> None:
-    """A JSON object of names and indices; as large as the set of names, which a class map must be in one document."""
-    classes.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(by, "class_idx"))))).alias("value")).write.mode("overwrite").text(folder)
+    """A JSON object of names and indices in the order of the indices; its entries are written by many tasks."""
+    pair = F.to_json(F.struct(F.col(by).cast("string").alias("k")))  # {"k":"name"}: the name as JSON stands from the sixth character
+    entry = F.concat(F.when(F.col("class_idx") == 0, "").otherwise(","), F.substr(pair, F.lit(6), F.length(pair) - 6), F.lit(":"), F.col("class_idx").cast("string"))
+    lines = classes.select("class_idx", entry.alias("value")).repartitionByRange(F.col("class_idx")).sortWithinPartitions("class_idx")
+    _assembled(classes.sparkSession, folder, [(lines.select("value"), "{", "}")])
 
 
 def write_json(df: DataFrame, folder: str) -> None:
+    """Result rows, a JSON object each."""
     df.write.mode("overwrite").json(folder)
 
 
+def write_cache(df: DataFrame, folder: str, mode: str = "append") -> None:
+    """Cached predictions (path, cached), cached a struct of one of the cache schemas: a JSON line for each picture."""
+    df.select("path", F.to_json("cached").alias("cached")).write.mode(mode).json(folder)
+
+
+def write_record(spark: SparkSession, folder: str, record: dict) -> None:
+    """A model's settings."""
+    spark.createDataFrame([(json.dumps(record),)], "value string").write.mode("overwrite").text(folder)
+
+
+def read_record(spark: SparkSession, folder: str) -> dict:
+    return json.loads(spark.read.text(folder).first().value)
+
+
 def write_database(descriptors: DataFrame, folder: str) -> None:
     """Descriptors by view and scale, so that a search reads its own part only."""
     descriptors.write.mode("overwrite").partitionBy("view", "scale_idx").parquet(folder)
 
 
+def read_database(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
+def contour_json(points: DataFrame) -> DataFrame:
+    """(image_id, value) of contours (image_id, contour_id, pos, x, y): a JSON list of a picture's contours, each a list of [x, y]."""
+    one = points.groupBy("image_id", "contour_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.array("x", "y").alias("p")))).alias("a"))
+    return one.groupBy("image_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("contour_id", F.col("a.p").alias("ps")))), lambda c: c.ps)).alias("value"))
+
+
 def coco_ids(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """files with image_id, from 0 in order of the names: counts of ranges give the start of each."""
-    w = Window.partitionBy("__part").orderBy(name)
-    parts = files.repartitionByRange(F.col(name)).withColumn("__part", F.spark_partition_id())
-    rn = parts.withColumn("__rn", F.row_number().over(w) - 1)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rn.groupBy("__part").agg(F.count(F.lit(1)).alias("c")).withColumn("__start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    return rn.join(starts, "__part").withColumn("image_id", (F.col("__start") + F.col("__rn")).cast("long")).drop("__part", "__rn", "__start")
+    """files with image_id, from 0 in order of the names."""
+    return numbered(files, [name], "image_id")
 
 
 def coco_annotations(points: DataFrame) -> DataFrame:
@@ -46,19 +79,76 @@ def coco_annotations(points: DataFrame) -> DataFrame:
     return g.filter("n >= 2").select("contour_id", F.array("x0", "y0", w, h).alias("bbox"), (w * h).alias("area"), keys.alias("keypoints"))
 
 
-def flat_polygons(polygons):
+def coco_detections(detections: DataFrame) -> DataFrame:
+    """(file_name, det_idx, bbox, area, keypoints) of detections (file_name, det_idx, x, y, width, height, keypoints
+    array<struct<x, y>>): center boxes as top-left ones; fewer than two keypoints are none, each is visible."""
+    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
+    keys = F.flatten(F.transform("keypoints", lambda k: F.array(k.x, k.y, F.lit(2.0))))
+    keys = F.when(F.size("keypoints") >= 2, keys).otherwise(F.array().cast("array<double>"))
+    return detections.select("file_name", "det_idx", F.array(x - w / 2, y - h / 2, w, h).alias("bbox"), (w * h).alias("area"), keys.alias("keypoints"))
+
+
+def coco_images_with(files: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) of the files (file_name, ...) that have an annotation: others consume no id.
+
+    Images are numbered from 0 by name, annotations (file_name, det_idx, ...) from 1 by image and index.
+    """
+    images = coco_ids(files.join(annotations.select("file_name").distinct(), "file_name", "left_semi"))
+    notes = numbered(annotations.join(images.select("file_name", "image_id"), "file_name"), ["image_id", "det_idx"], "id", 1)
+    return images, notes
+
+
+def flat_polygons(polygons: Column) -> Column:
     """Polygons (array<array<struct<x, y>>>) of three points or more as flat lists of coordinates."""
     kept = F.filter(polygons, lambda p: F.size(p) >= 3)
     return F.transform(kept, lambda p: F.flatten(F.transform(p, lambda q: F.array(q.x, q.y))))
 
 
-def coco_document(images: DataFrame, annotations: DataFrame, description: str) -> DataFrame:
-    """One row `value`, the annotation document; annotation ids count from 1 in order of (image_id, contour_id)."""
-    w = Window.orderBy("image_id", "contour_id")
-    notes = annotations.withColumn("id", F.row_number().over(w)).select("id", "image_id", F.lit(1).alias("category_id"), "bbox", "area", F.array().cast("array<array<double>>").alias("segmentation"), F.lit(0).alias("iscrowd"), "keypoints")
-    i = images.agg(F.sort_array(F.collect_list(F.struct(F.col("image_id").alias("id"), "file_name", "height", "width"))).alias("images"))
-    a = notes.agg(F.sort_array(F.collect_list(F.struct(*notes.columns))).alias("annotations"))
-    info = F.struct(F.lit(description).alias("description"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("date_created"))
-    both = i.withColumn("k", F.lit(1)).join(a.withColumn("k", F.lit(1)), "k")
-    categories = F.array(F.struct(F.lit(1).alias("id"), F.lit("ear").alias("name")))
-    return both.select(F.to_json(F.struct(info.alias("info"), F.array().cast("array<string>").alias("licenses"), categories.alias("categories"), "images", "annotations")).alias("value"))
+def rle_masks(predictions: Column) -> Column:
+    """The masks of predictions (array<struct<rle_mask>>) that have one."""
+    return F.transform(F.filter(predictions, lambda p: p.rle_mask.isNotNull()), lambda p: p.rle_mask)
+
+
+#: The categories of ear contours and of detections.
+EAR = [{"id": 1, "name": "ear"}]
+
+
+def write_coco(images: DataFrame, annotations: DataFrame, folder: str, description: str = "", categories: list[dict] | None = None) -> None:
+    """One annotation document, folder/document.json.
+
+    images: (image_id from 0, file_name, height, width); annotations: (id from 1, image_id, bbox, area, keypoints). Rows
+    are written by many tasks, in order; the document is put together from their files as streams.
+    """
+    spark = images.sparkSession
+    i = images.select(F.col("image_id").alias("id"), F.lit(1).alias("license"), "file_name", "height", "width")
+    a = annotations.select("id", "image_id", F.lit(1).alias("category_id"), "bbox", "area", F.array().cast("array<array<double>>").alias("segmentation"), F.lit(0).alias("iscrowd"), "keypoints")
+    head = json.dumps({"info": {"description": description}, "licenses": [], "categories": EAR if categories is None else categories})[:-1]
+
+    def lines(df: DataFrame, first: int) -> DataFrame:
+        text = F.concat(F.when(F.col("id") == first, "").otherwise(","), F.to_json(F.struct(*df.columns)))
+        return df.select("id", text.alias("value")).repartitionByRange(F.col("id")).sortWithinPartitions("id").select("value")
+
+    _assembled(spark, folder, [(lines(i, 0), head + ',"images":[', "]"), (lines(a, 1), ',"annotations":[', "]}")])
+
+
+def _assembled(spark: SparkSession, folder: str, parts: list[tuple[DataFrame, str, str]]) -> None:
+    """folder/document.json: for each part its head, its lines and its tail."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for n, (df, _, _) in enumerate(parts):
+        df.write.mode("overwrite").text(f"{folder}/_rows/{n}")
+    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/document.json")
+    fs = target.getFileSystem(conf)
+    out = fs.create(target, True)
+    try:
+        for n, (_, head, tail) in enumerate(parts):
+            out.write(bytearray(head.encode()))
+            files = sorted(s.getPath().toString() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/_rows/{n}")))
+            for f in files:
+                if f.rsplit("/", 1)[1].startswith("part-"):
+                    source = fs.open(jvm.org.apache.hadoop.fs.Path(f))
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+                    source.close()
+            out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/_rows"), True)
