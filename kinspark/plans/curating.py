@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinspark.operators import curation as cu
 from kinspark.plans.tables import catalogue, table
 
+# Least counts of the sweep.
 THRESHOLDS = [1, 5, 6, 7, 8, 9, 10, 11, 12, 15]
 _C = "c as (select o_custkey as individual, o_orderkey as filepath, o_orderstatus as view from orders)"
 _N = f"{_C}, n as (select individual, count(*) as n from c group by 1)"
@@ -52,14 +53,21 @@ select individual, view, filepath, case when rn <= {_CUT} then 'train' else 'tes
 
 
 def split_leakage(spark, sf_dir):
-    """Sizes of the sides and the keys on both, mirrored training copies counted as their originals."""
-    s = _split(spark, sf_dir).withColumn("filepath", F.concat(F.col("filepath").cast("string"), F.lit(".jpg")))
-    s = cu.with_reflections(s.filter("split = 'train'")).unionByName(s.filter("split = 'test'"))
+    """Sizes of the sides and the keys on both, mirrored copies counted as their originals; every fiftieth training key also tests, mirrored."""
+    s = _split(spark, sf_dir)
+    named = s.withColumn("filepath", F.concat(F.col("filepath").cast("string"), F.lit(".jpg")))
+    leaking = cu.with_reflections(named.filter("split = 'train'").join(s.filter("filepath % 50 = 0").select(F.concat(F.col("filepath").cast("string"), F.lit(".jpg")).alias("filepath")), "filepath", "left_semi")).filter("filepath like '%reflected%'")
+    s = cu.with_reflections(named.filter("split = 'train'")).unionByName(named.filter("split = 'test'")).unionByName(leaking.withColumn("split", F.lit("test")).select(named.columns))
     sizes = s.agg(F.count(F.when(F.col("split") == "train", 1)).alias("train"), F.count(F.when(F.col("split") == "test", 1)).alias("test")).withColumn("k", F.lit(1))
     leaked = cu.leakage(s).agg(F.count(F.lit(1)).alias("leaked")).withColumn("k", F.lit(1))
     return sizes.join(leaked, "k").drop("k")
 
 
+_LEAKAGE = f"""with {SPLIT}, f as (select filepath || '.jpg' as f, split from s union all select filepath || '_reflected.jpg', 'train' from s where split = 'train'
+union all select filepath || '_reflected.jpg', 'test' from s where split = 'train' and filepath % 50 = 0), k as (select distinct replace(f, '_reflected', '') as f, split from f)
+select (select count(*) from f where split = 'train') as train, (select count(*) from f where split = 'test') as test, (select count(*) from (select f from k group by f having count(*) = 2)) as leaked"""
+
+
 def split_balance(spark, sf_dir):
     return cu.split_balance(_split(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
@@ -125,7 +133,7 @@ QUERIES = {
     "stratified_split": (stratified_split, f"with {SPLIT} select * from s"),
     "stratified_split_single_trains": (stratified_split_single_trains, f"with {SINGLE} select * from s"),
     "split_by_view": (split_by_view, _BY_VIEW),
-    "split_leakage": (split_leakage, f"with {SPLIT} select 2 * count(*) filter (split = 'train') as train, count(*) filter (split = 'test') as test, 0::bigint as leaked from s"),
+    "split_leakage": (split_leakage, _LEAKAGE),
     "split_balance": (split_balance, f"with {SPLIT} select individual, count(*) filter (split = 'train') as train, count(*) filter (split = 'test') as test, count(*) as total, round(count(*) filter (split = 'train') / count(*)::double, 6) as ratio from s group by 1"),
     "split_sets": (split_sets, f"with {SPLIT}, b as (select individual, bool_or(split = 'train') as a, bool_or(split = 'test') as t from s group by 1) select count(*) filter (a and not t) as only_train, count(*) filter (t and not a) as only_test, count(*) filter (a and t) as both from b"),
     "class_index": (class_index, f"with {_N} select * from {_CLASSES.format(names='n')}"),

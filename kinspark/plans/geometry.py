@@ -11,7 +11,7 @@ from kinspark.functions import boxes as bx
 from kinspark.operators import contours as ct
 from kinspark.operators import detections as dt
 from kinspark.operators import signal as sg
-from kinspark.operators.curvature import integral_curvature
+from kinspark.operators.curvature import SCALES, integral_curvature, neighbours_within
 from kinspark.plans.tables import boxes, polylines, series, table
 from kinspark.sources import sinks
 
@@ -21,7 +21,7 @@ _PAIRS = f"""{_B}, ok as (select * from b where confidence >= 0.5e0),
 f as (select image_id, version, count(*) as n, arg_min(struct_pack(x1, y1, x2, y2), det_idx) as q from ok group by all),
 p as (select a.image_id, a.version as v1, b.version as v2,
   greatest(0, least(a.q.x2, b.q.x2) - greatest(a.q.x1, b.q.x1)) * greatest(0, least(a.q.y2, b.q.y2) - greatest(a.q.y1, b.q.y1)) as i,
-  (a.q.x2 - a.q.x1) * (a.q.y2 - a.q.y1) + (b.q.x2 - b.q.x1) * (b.q.y2 - b.q.y1) as s
+  greatest(0, a.q.x2 - a.q.x1) * greatest(0, a.q.y2 - a.q.y1) + greatest(0, b.q.x2 - b.q.x1) * greatest(0, b.q.y2 - b.q.y1) as s
   from f a join f b on a.image_id = b.image_id and a.version < b.version),
 u as (select image_id, v1, v2, case when s - i <= 0 then 0 else i / (s - i) end as iou from p)"""
 
@@ -83,7 +83,7 @@ def best_box(spark, sf_dir):
 
 
 def box_conversions(spark, sf_dir):
-    """Center boxes as top-left boxes and back, with the text of their labels."""
+    """Corners and sides of the boxes, taken as center boxes, as top-left boxes and back."""
     b = boxes(spark, sf_dir)
     t = bx.center_to_top_left(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     back = b.withColumn("t", t).withColumn("c", bx.top_left_to_center(*(F.get("t", F.lit(i)) for i in range(4))))
@@ -257,7 +257,78 @@ select i, case s when 0 then 255 when 1 then x when 2 then 0 when 3 then 0 when
 
 
 def curvature(spark, sf_dir):
-    return integral_curvature(polylines(spark, sf_dir))
+    out = integral_curvature(polylines(spark, sf_dir))
+    return out.withColumn("curv", F.round(F.col("curv") + 1e-9, 5))
+
+
+_CURVATURE = f"""with {_P}, {_E}, r as (select contour_id, k::int as scale_idx, ([0.02e0, 0.04e0, 0.06e0, 0.08e0])[k + 1] * greatest(xmax - xmin, ymax - ymin) as r from e, range(0, 4) t(k)),
+m as (select a.contour_id, a.pos, scale_idx, r, b.pos as j, b.x - a.x as dx, b.y - a.y as dy from p a join p b using (contour_id) join r using (contour_id)
+  where (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= r * r),
+c as (select contour_id, pos, scale_idx, count(*) as n, atan2(arg_max(dy, j) - arg_min(dy, j), arg_max(dx, j) - arg_min(dx, j)) as a from m group by all),
+t as (select m.*, n, cos(a) * dx + sin(a) * dy as u, cos(a) * dy - sin(a) * dx as v from m join c using (contour_id, pos, scale_idx)),
+l as (select *, lead(u) over w as u1, lead(v) over w as v1 from t window w as (partition by contour_id, pos, scale_idx order by j)),
+s as (select contour_id, pos, scale_idx, any_value(n) as n, any_value(r) as r, sum(((v + v1) / 2 + r) * (u1 - u)) as area, greatest(min(u), -any_value(r)) as lo, least(max(u), any_value(r)) as hi from l group by all)
+select contour_id, pos, scale_idx, round(case when n = 1 then 0.5e0 when (hi - lo) * 2 * r > 0 then area / ((hi - lo) * 2 * r) end + 1e-9, 5) as curv from s"""
+
+
+def range_neighbours(spark, sf_dir):
+    """Points of each contour within a tenth of its extent of each of its points."""
+    near = neighbours_within(polylines(spark, sf_dir), 0.1)
+    return near.groupBy("contour_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("first"), F.max("other").alias("last"))
+
+
+_NEAR = f"""with {_P}, {_E}, r as (select contour_id, 0.1e0 * greatest(xmax - xmin, ymax - ymin) as r from e)
+select a.contour_id, a.pos, count(*) as n, min(b.pos) as first, max(b.pos) as last from p a join p b using (contour_id) join r using (contour_id)
+where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= r * r group by all"""
+
+
+def radii(spark, sf_dir):
+    return ct.radii(polylines(spark, sf_dir), list(SCALES)).withColumn("radius", F.round("radius", 6))
+
+
+def rotated(spark, sf_dir):
+    """Contours turned by a tenth of their number about (1, 2)."""
+    p = polylines(spark, sf_dir)
+    angles = p.select("contour_id").distinct().select("contour_id", (F.col("contour_id") / 10).alias("angle"), F.lit(1.0).alias("cx"), F.lit(2.0).alias("cy"))
+    return ct.rotated(p, angles).select("contour_id", "pos", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+def reoriented(spark, sf_dir):
+    """Contours seen from their centre with a level chord."""
+    p = polylines(spark, sf_dir)
+    out = ct.reoriented(p, p.groupBy("contour_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
+    return out.select("contour_id", "pos", F.round(F.col("x") + 1e-9, 4).alias("x"), F.round(F.col("y") + 1e-9, 4).alias("y"))
+
+
+_REORIENTED = f"""with {_P}, {_E}, a as (select *, atan2(y1 - y0, x1 - x0) as a from e)
+select contour_id, pos, round(cos(a) * (x - cx) + sin(a) * (y - cy) + 1e-9, 4) as x, round(cos(a) * (y - cy) - sin(a) * (x - cx) + 1e-9, 4) as y from p join a using (contour_id)"""
+
+
+def mirrored(spark, sf_dir):
+    """Contours in pictures as wide as a hundred more than their number."""
+    p = polylines(spark, sf_dir)
+    return ct.mirrored(p, p.select("contour_id").distinct().withColumn("width", F.col("contour_id") + 100))
+
+
+def keypoints(spark, sf_dir):
+    """At most eight keypoints of each series, resampled to 64 samples and smoothed."""
+    smooth = sg.gaussian_smooth(sg.resample_linear(series(spark, sf_dir), 64).select("series_id", F.col("i").alias("pos"), "value"))
+    smooth = smooth.withColumn("value", F.round("value", 9))
+    return sg.keypoints(sg.local_extrema(smooth), smooth, 64, 8)
+
+
+_KEYPOINTS = f"""with {_P}, l as (select contour_id, list(y order by pos) as v, count(*) as n from p group by 1),
+u as (select contour_id, i::int as i, i * (n - 1) / 64e0 as t, v, n from l, range(0, 64) t(i)),
+e as (select contour_id, list(v[floor(t)::int + 1] + (v[least(floor(t)::int + 2, n)] - v[floor(t)::int + 1]) * (t - floor(t)) order by i) as v from u group by 1),
+s as (select contour_id, i::int as pos, round(list_dot_product([v[case when j < 64 then j + 1 else 128 - j end] for j in [(((i + k) % 128) + 128) % 128 for k in range(-8, 9)]], {_GAUSS}), 9) as y from e, range(0, 64) t(i)),
+b as (select *, first_value(y) over w as lo, last_value(y) over (partition by contour_id order by pos rows between unbounded preceding and unbounded following) as hi from s window w as (partition by contour_id order by pos)),
+a as (select contour_id, pos, y, [{_around('lag', 'lo')}, {_around('lead', 'hi')}] as r from b window w as (partition by contour_id order by pos)),
+x as (select contour_id, pos, case when y > list_max(r) then 0 else 1 end as kind from a where y > list_max(r) or y < list_min(r)),
+k as (select contour_id, list(pos order by kind, pos) as p from x group by 1),
+f as (select contour_id, list_concat(case when p[1] > 1 then [0] else [] end, list_concat(p, case when p[-1] < 62 then [63] else [] end)) as p from k),
+o as (select contour_id, unnest(p) as pos, generate_subscripts(p, 1) as g, len(p) as m from f),
+w as (select o.contour_id, o.pos, row_number() over (partition by o.contour_id order by case when g = 1 or g = m then 1e308 else abs(y - 0.5e0) end desc, o.pos) as rk from o join s using (contour_id, pos))
+select distinct contour_id as series_id, pos::int as pos from w where rk <= 8"""
 
 
 def descriptors(spark, sf_dir):
@@ -288,6 +359,12 @@ QUERIES = {
     "coco_ids": (coco_ids, "select file_name, row_number() over (order by file_name) - 1 as image_id from (select p_name || '-' || p_partkey || '.jpg' as file_name from part)"),
     "coco_bbox": (coco_bbox, _COCO),
     "palette": (palette, _PALETTE),
-    "curvature": (curvature, None),
+    "curvature": (curvature, _CURVATURE),
+    "range_neighbours": (range_neighbours, _NEAR),
+    "radii": (radii, f"with {_P}, {_E} select contour_id, k::int as scale_idx, round(greatest(xmax - xmin, ymax - ymin) * ([0.02e0, 0.04e0, 0.06e0, 0.08e0])[k + 1], 6) as radius from e, range(0, 4) t(k)"),
+    "rotated": (rotated, f"with {_P} select contour_id, pos, round(cos(contour_id / 10) * (x - 1) + sin(contour_id / 10) * (y - 2), 4) as x, round(cos(contour_id / 10) * (y - 2) - sin(contour_id / 10) * (x - 1), 4) as y from p"),
+    "reoriented": (reoriented, _REORIENTED),
+    "mirrored": (mirrored, f"with {_P} select contour_id, pos, contour_id + 100 - 1 - x as x, y from p"),
+    "keypoints": (keypoints, _KEYPOINTS),
     "descriptors": (descriptors, None),
 }

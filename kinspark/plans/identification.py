@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinspark.functions.names import layer_size
 from kinspark.functions.vectors import l2_normalize
 from kinspark.operators import evaluation as ev
 from kinspark.operators import features as ft
@@ -84,15 +83,15 @@ def topk_accuracy(spark, sf_dir):
 
 
 def topk_accuracy_exclude_empty(spark, sf_dir):
-    """Queries without any neighbour closer than the background have no prediction and do not count."""
+    """Every tenth query also stands for a picture without descriptors: it has no prediction and does not count."""
     ranks, r = _true_ranks(spark, sf_dir)
-    return ev.topk_accuracy_predicted_only(ranks, r.filter("score < -0.02"), KS)
+    empty = ranks.filter("image_id % 50 = 0").select((-F.col("image_id") - 1).alias("image_id"), F.lit(None).cast("int").alias("rank"))
+    return ev.topk_accuracy_predicted_only(ranks.union(empty), r, KS)
 
 
-_TOPK = _RANKS + """, t as (select q.id as query_id, r.rank, exists(select 1 from s where s.query_id = q.id and s.score < -0.02) as has
-  from q left join r on r.query_id = q.id and r.name = q.name)
+_TOPK = _RANKS + """, t as (select q.id as query_id, r.rank from q left join r on r.query_id = q.id and r.name = q.name)
 select k.k, count(*) filter (rank <= k.k) as correct, count(*) as total, count(*) filter (rank <= k.k) / count(*)::double as accuracy
-from t, (select unnest([1, 3, 5, 10]) as k) k {where} group by k.k"""
+from t, (select unnest([1, 3, 5, 10]) as k) k group by k.k"""
 
 
 def cosine_top1(spark, sf_dir):
@@ -161,21 +160,6 @@ count(*) filter (quality = 0 and toxic = 1) as fn, count(*) filter (quality = 0
 r as (select *, coalesce(tp / nullif(tp + fp, 0)::double, 0) as p, coalesce(tp / nullif(tp + fn, 0)::double, 0) as r from n)
 select tp, fp, fn, tn, round(p, 6) as precision, round(r, 6) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) as f1 from r"""
 
-# The layers and pools of the tuning grid.
-LAYERS = ["conv3_block4_2_relu", "conv4_block6_out", "conv5_block3_out"]
-POOLS = [1, 2, 4, 6, 8, 10]
-
-
-def config_grid(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in LAYERS], "layer string").withColumn("spatial", layer_size(F.col("layer")))
-    grid = rows.withColumn("pool", F.explode(F.array(*map(F.lit, POOLS)))).filter("pool <= spatial")
-    return grid.select("layer", "pool", "spatial", F.format_string("%s_pool%d", "layer", "pool").alias("model"))
-
-
-_GRID = f"""select layer, pool::int as pool, spatial::int as spatial, layer || '_pool' || pool as model
-from (values {', '.join(f"('{x}', {({'conv3': 28, 'conv4': 14, 'conv5': 7})[x[:5]]})" for x in LAYERS)}) l(layer, spatial), unnest({POOLS}) p(pool) where pool <= spatial"""
-
-
 def results_pivot(spark, sf_dir):
     """Top-k accuracy of each view's queries beside each other; k = 100 exceeds the classes."""
     q, r = _ranks(spark, sf_dir)
@@ -209,23 +193,27 @@ def pca_project(spark, sf_dir):
 def ovr_svm(spark, sf_dir):
     """Classes of the queries, from a classifier of the database, ranked."""
     d = descriptors(spark, sf_dir).withColumn("class_idx", F.col("name").cast("int"))
-    fitted = ft.linear_classifier(d.filter("not is_query"), "vec", "class_idx")
-    return ft.class_probabilities(d.filter("is_query"), fitted, "vec", "desc_id")
+    return ft.linear_classifier(d.filter("not is_query"), "vec", "class_idx").probabilities(d.filter("is_query"), "vec", "desc_id")
+
+
+def probability_rank(spark, sf_dir):
+    """Classes of each user by pooled probability, the most probable first."""
+    return mt.rank_names(opinion_pool(spark, sf_dir).select(F.col("sample_id").alias("image_id"), F.col("class_id").alias("name"), "p"), True, "p")
 
 
 QUERIES = {
     "lnbnn_scores": (lnbnn_scores, _SCORES + " select * from s"),
     "lnbnn_rank": (lnbnn_rank, _RANKS + " select query_id, rank, name, score from r where rank <= 5"),
     "lnbnn_multi_view_scale": (lnbnn_multi_view_scale, _MULTI),
-    "topk_accuracy": (topk_accuracy, _TOPK.format(where="")),
-    "topk_accuracy_exclude_empty": (topk_accuracy_exclude_empty, _TOPK.format(where="where has")),
+    "topk_accuracy": (topk_accuracy, _TOPK),
+    "topk_accuracy_exclude_empty": (topk_accuracy_exclude_empty, _TOPK),
     "cosine_top1": (cosine_top1, _COSINE),
     "cosine_accuracy": (cosine_accuracy, f"select round(avg(correct::int), 6) as accuracy from ({_COSINE})"),
     "l2_normalize": (l2_normalized, _NORMALIZED),
     "population_scale": (population_scale, _SCALED),
     "log_opinion_pool": (opinion_pool, _POOL),
+    "probability_rank": (probability_rank, f"select sample_id as image_id, class_id as name, p, row_number() over (partition by sample_id order by p desc, class_id) as rank from ({_POOL})"),
     "precision_recall_f1": (precision_recall, _PRF),
-    "config_grid": (config_grid, _GRID),
     "results_pivot": (results_pivot, _PIVOT),
     "lsh_knn": (lsh_knn, None),
     "lsh_recall": (lsh_recall, None),

@@ -195,25 +195,34 @@ def test_descriptor_query_has_the_operators_size(spark, monkeypatch):
     assert set(got) == set(want) and max(k for _, k in got) > 900 and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def plain_margins(train, label, asked, iterations, spark):
+    """One-vs-rest margins with every step apart: scaled by hand, the library's machines, dot products."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    mean, scale = train.mean(0), train.std(0)
+    rows = spark.createDataFrame([(Vectors.dense((v - mean) / scale), float(c)) for v, c in zip(train, label, strict=True)], StructType([StructField("features", VectorUDT()), StructField("label", DoubleType())]))
+    models = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01)).fit(rows).models
+    return np.array([[float(m.coefficients.toArray() @ ((v - mean) / scale) + m.intercept) for m in models] for v in asked])
+
+
 def test_classifier_query_has_the_operators_iterations(spark, monkeypatch):
-    from kinspark.operators import features as ft
     from kinspark.plans import identification
 
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.normal(size=6) + 0.6 * (i % 3) * np.arange(6)], str(i % 3), i % 5 == 0) for i in range(120)]
     d = spark.createDataFrame(rows, "desc_id long, vec array<double>, name string, is_query boolean")
     monkeypatch.setattr(identification, "descriptors", lambda spark, sf_dir: d)
-    got = {(x.desc_id, x.class_idx): x.p for x in identification.QUERIES["ovr_svm"][0](spark, "").collect()}
+    got = {(x.desc_id, x.class_idx): (x.p, x.rank) for x in identification.QUERIES["ovr_svm"][0](spark, "").collect()}
     train = np.array([v for _, v, _, asked in rows if not asked])
-    label = np.array([int(n) for _, _, n, asked in rows if not asked])
-    fitted = ft.linear_classifier(d.filter("not is_query").withColumn("class_idx", F.col("name").cast("int")), "vec", "class_idx", 20)
-    mean, scale = train.mean(0), train.std(0)
-    for i, v, _, asked in rows:
-        if asked:
-            margin = [float(m.coefficients.toArray() @ ((np.array(v) - mean) / scale) + m.intercept) for m in fitted[1]]
-            p = np.exp(np.array(margin) - max(margin))
-            assert [got[i, c] for c in range(3)] == pytest.approx(list(p / p.sum()), rel=1e-6)
-    assert len(got) == 3 * sum(x[3] for x in rows) and set(label) == {0, 1, 2}
+    label = [int(n) for _, _, n, asked in rows if not asked]
+    asked = [(i, np.array(v)) for i, v, _, q in rows if q]
+    for (i, _), margin in zip(asked, plain_margins(train, label, [v for _, v in asked], 20, spark), strict=True):
+        p = np.exp(margin - margin.max())
+        assert [got[i, c][0] for c in range(3)] == pytest.approx(list(p / p.sum()), rel=1e-3)
+        assert [got[i, c][1] for c in range(3)] == [1 + sum(x > y for x in margin) for y in margin]
+    assert len(got) == 3 * len(asked)
 
 
 def test_curvature(spark):
@@ -246,7 +255,7 @@ def test_round_trips(spark, tmp_path):
     assert got["a.json"].views == ["left"] and (got["b.json"] is None or got["b.json"].views is None)
     note = sinks.coco_annotations(points(spark, [(0, 0), (2, 3)])).withColumn("image_id", F.lit(0))
     image = spark.createDataFrame([(0, "a.jpg", 5, 6)], "image_id long, file_name string, height int, width int")
-    sinks.coco_document(image, note, "d").write.text(str(tmp_path / "coco"))
+    sinks.write_coco(image, note.withColumn("id", F.lit(1)), str(tmp_path / "coco"), "d")
     r = scans.coco_annotations(spark, str(tmp_path / "coco")).first()
     assert (r.id, r.file_name, r.bbox, r.area, r.keypoints) == (1, "a.jpg", [0, 0, 2, 3], 6, [0, 0, 2, 2, 3, 2])
     split = spark.createDataFrame([("a", "f", "left", "train")], "individual string, filepath string, view string, split string")
