@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -32,6 +34,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def thin(run: Callable) -> Callable:
+    """run, an Arrow operator, giving what it has freed back to the system: Python workers live on and serve other stages."""
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return lean
+
+
 def slices_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[list, ...]]:
     """Columns of an Arrow batch as lists, a slice at a time."""
     for start in range(0, batch.num_rows, ROWS_OUT):

@@ -6,12 +6,14 @@ none. A text of m characters that needs c phrases against a sample of s characte
 c * log2(s) / m bits a character (the Ziv-Merhav estimate); the language with the lowest wins, and the score is its
 share of the weights 2^(-SHARPNESS * entropy).
 
-The automata are stored as full transition tables, so many stretches of many texts walk side by side as array
-operations. A stretch has at most STRETCH characters (a text starts one phrase more for each), so a long text is read
-whole and costs no more memory than short ones.
+The transitions of all automata are one sparse table with a column for every letter of the sample, whatever its script.
+It is made once, on the driver, and looked up as array operations, so many stretches of many texts walk side by side. A
+stretch has at most STRETCH characters (a text starts one phrase more for each); a text is read whole, in blocks.
 
-The sample is bounded and documented: of each language the whole texts of the documents that come first by a hash of
-their id, until SAMPLE_CHARS characters are reached, of at most SAMPLE_DOCS documents. Prediction reads only the text.
+The sample is bounded and documented: of each language the documents that come first by a hash of their id, until
+SAMPLE_CHARS characters are reached, of at most SAMPLE_DOCS documents; of a document that is longer than that alone, as
+many characters. The shares shrink so that all languages together have ALL_CHARS at most, and of more than SAMPLE_LANGS
+languages those with the most documents are learnt. Prediction reads only the text, and all of it.
 
 Cases: a null text or one without a letter is "und" with score 0; without labelled rows every text is; rows without a
 language teach nothing; repeated rows are judged alike; equal entropies go to the language that sorts first; letters
@@ -20,7 +22,6 @@ that no sample has are phrases of their own; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -29,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import arrow_rows, slices_of
+from kinspark.llm.common import arrow_rows, slices_of, thin
+from kinspark.llm.sparse_rows import SparseRows
 
-#: Bound of the sample of one language.
-SAMPLE_CHARS, SAMPLE_DOCS = 40_000, 200
-#: Letters with a column of their own in the transition tables; rarer ones share one.
-ALPHABET = 62
-STRETCH, BLOCK_CHARS = 1024, 4 << 20
+#: Bounds of the training sample: characters and documents of one language, characters of all, languages (the most frequent).
+SAMPLE_CHARS, SAMPLE_DOCS, ALL_CHARS, SAMPLE_LANGS = 40_000, 200, 2_000_000, 256
+STRETCH, BLOCK_CHARS = 1024, 1 << 20
 SHARPNESS = 4.0
 UNDETERMINED = "und"
 #: Score from which a language stands out; equal entropies in four languages give 0.25.
@@ -43,27 +43,22 @@ LEAST_SCORE = 0.4
 
 
 def training_sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """(language, text) of bounded size: see SAMPLE_CHARS and SAMPLE_DOCS."""
-    rows = df.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).filter("lang is not null")
-    order = F.struct(F.xxhash64("k"), F.col("k"))
-    first = Window.partitionBy("lang").orderBy(order)
-    picked = rows.select("k", "lang").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_DOCS)
-    chosen = sorted((r.lang, r.rank, r.k) for r in picked.collect())
-    if not chosen:
+    """(language, text) of bounded size: see SAMPLE_CHARS and the other bounds."""
+    rows = df.select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
+    rows = rows.filter("lang is not null and k is not null and t is not null and t <> ''")
+    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()]
+    if not langs:
         return []
-    # whole texts, shortest documents too, in the order of the hash until the characters suffice
-    keys = [k for _, _, k in chosen if k is not None]
-    sizes = {(r.lang, r.k): r.n for r in rows.filter(F.col("k").isin(keys)).select("lang", "k", F.char_length("t").alias("n")).collect()}
-    use, total = [], {}
-    for lang, _, k in chosen:
-        if k is not None and total.get(lang, 0) < SAMPLE_CHARS and sizes.get((lang, k)):
-            total[lang] = total.get(lang, 0) + min(sizes[lang, k], SAMPLE_CHARS)
-            use.append((lang, k))
-    if not use:
-        return []
-    wanted = set(use)
-    texts = {(r.lang, r.k): r.t for r in rows.filter(F.col("k").isin([k for _, k in use])).collect() if (r.lang, r.k) in wanted}
-    return [(lang, texts[lang, k]) for lang, k in use]
+    share = min(SAMPLE_CHARS, ALL_CHARS // len(langs))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k", "n")
+    picked = rows.filter(F.col("lang").isin(langs)).select("k", "lang", F.char_length("t").alias("n")).withColumn("rank", F.row_number().over(first))
+    use, total = set(), dict.fromkeys(langs, 0)
+    for r in sorted(picked.filter(F.col("rank") <= SAMPLE_DOCS).collect(), key=lambda r: (r.lang, r.rank)):
+        if total[r.lang] < share:
+            total[r.lang] += r.n
+            use.add((r.lang, r.k))
+    texts = rows.filter(F.col("k").isin([k for _, k in use])).select("lang", "k", F.substring("t", 1, share).alias("t")).groupBy("lang", "k").agg(F.min("t").alias("t"))
+    return [(r.lang, r.t) for r in sorted(texts.collect(), key=lambda r: (r.lang, r.k)) if (r.lang, r.k) in use]
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -97,81 +92,82 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
+    """The automata of a sample, one sparse table for all languages; every letter of the sample has a column."""
+
     def __init__(self, sample: tuple[tuple[str, str], ...]):
         self.langs = sorted({lang for lang, _ in sample})
-        codes = np.arange(0x10000)
-        letter = np.fromiter((chr(c).isalpha() for c in codes), bool, len(codes))
-        joined = {lang: " ".join(t for x, t in sample if x == lang).lower() for lang in self.langs}
-        seen = np.zeros(0x10000, np.int64)
-        for t in joined.values():
-            seen += np.bincount(np.minimum(_codes(t), 0xFFFF), minlength=0x10000)
-        common = [c for c in np.argsort(-seen, kind="stable")[: ALPHABET * 4] if seen[c] and letter[c]][:ALPHABET]
-        self.width = len(common) + 2
-        self.classes = np.where(letter, 1, 0).astype(np.uint8)  # 0: no letter, 1: a letter without a column
-        self.classes[common] = np.arange(2, len(common) + 2)
-        tables, roots, base = [], [], 0
-        self.bits = []
-        for lang in self.langs:
-            text = self.classify(_codes(joined[lang]))[: 2 * SAMPLE_CHARS]
-            nexts = suffix_automaton([c for c in text.tolist() if c != 1] or [0])
-            table = np.full((len(nexts), self.width), -1, np.int64)
+        joined = {lang: _codes(" ".join(t for x, t in sample if x == lang).lower()) for lang in self.langs}
+        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        met = np.unique(np.concatenate([*joined.values(), np.zeros(0, np.uint32)]))
+        met = met[letter[met]]
+        self.classes = letter.astype(np.uint32 if len(met) > 65_000 else np.uint16)  # 0: no letter, 1: a letter without a column
+        self.classes[met] = np.arange(2, len(met) + 2)
+        self.width = len(met) + 2
+        rows, cols, values, roots, base, self.bits = [], [], [], [], 0, []
+        self.again = np.zeros((len(self.langs), self.width), np.int32)  # from the root, where a phrase has ended
+        for i, lang in enumerate(self.langs):
+            text = self.classify(joined[lang]).tolist()
+            nexts = suffix_automaton(text)
             for s, out in enumerate(nexts):
-                for c, t in out.items():
-                    table[s, c] = t
-            again = np.where(table[0] >= 0, table[0], 0)
-            table = np.where(table >= 0, (table + base) << 1, ((again + base) << 1 | 1)[None, :])
-            tables.append(table.astype(np.int32))
+                rows += [s + base] * len(out)
+                cols += out.keys()
+                values += [t + base for t in out.values()]
+            self.again[i] = base
+            self.again[i, list(nexts[0].keys())] = [t + base for t in nexts[0].values()]
             roots.append(base)
             base += len(nexts)
             self.bits.append(math.log2(max(2, len(text))))
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.table = SparseRows(np.array(rows, np.int64), np.array(cols, np.int64), np.array(values, np.int64), base, self.width)
         self.roots = np.array(roots, np.int32)
 
     def classify(self, codes: np.ndarray) -> np.ndarray:
         """Column of each character, runs of other characters than letters as one."""
-        c = self.classes[np.minimum(codes, 0xFFFF)]
-        far = np.flatnonzero(codes > 0xFFFF)
-        if len(far):
-            c[far] = [chr(x).isalpha() for x in codes[far]]
+        c = self.classes[codes]
         keep = c != 0
         keep[1:] |= c[:-1] != 0
         return c[keep]
 
     def entropies(self, texts: list[str | None]) -> list[list[float] | None]:
-        """Bits a character in each language; None for a text without a letter."""
-        found: list[np.ndarray] = []
-        start, length, owner = [], [], []
-        at = 0
+        """Bits a character in each language; None for a text without a letter. Memory is that of BLOCK_CHARS, not of a text."""
+        bits, chars = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        parts: list[tuple[int, np.ndarray]] = []
+        size = 0
         for i, t in enumerate(texts):
-            c = self.classify(_codes(t.lower())) if t else np.zeros(0, np.uint8)
-            if not c.any():
-                continue
-            found.append(c)
-            for s in range(0, len(c), STRETCH):
-                start.append(at + s)
-                length.append(min(STRETCH, len(c) - s))
-                owner.append(i)
+            for s in range(0, len(t or ""), BLOCK_CHARS):
+                c = self.classify(_codes(t[s : s + BLOCK_CHARS].lower()))
+                if c.any():
+                    parts.append((i, c))
+                    size += len(c)
+                if size >= BLOCK_CHARS:
+                    self._walk(parts, bits, chars)
+                    parts, size = [], 0
+        self._walk(parts, bits, chars)
+        return [(b / n).tolist() if n and self.langs else None for b, n in zip(bits, chars, strict=True)]
+
+    def _walk(self, parts: list[tuple[int, np.ndarray]], bits: np.ndarray, chars: np.ndarray) -> None:
+        """Add the phrases of parts, in bits, and their characters to those of the texts they belong to."""
+        if not parts or not self.langs:
+            return
+        data = np.concatenate([c for _, c in parts])
+        start, length, owner, at = [], [], [], 0
+        for i, c in parts:
+            start += range(at, at + len(c), STRETCH)
+            length += [min(STRETCH, len(c) - s) for s in range(0, len(c), STRETCH)]
+            owner += [i] * -(-len(c) // STRETCH)
             at += len(c)
-        out: list[list[float] | None] = [None] * len(texts)
-        if not found or not self.langs:
-            return out
-        data = np.concatenate(found)
-        length_a, owner_a = np.array(length), np.array(owner)
-        order = np.argsort(-length_a, kind="stable")
-        starts, lengths, owners = np.array(start)[order], length_a[order], owner_a[order]
+        order = np.argsort(-np.array(length), kind="stable")
+        starts, lengths, owners = (np.array(x)[order] for x in (start, length, owner))
         state = np.repeat(self.roots[:, None], len(starts), 1)
         phrases = np.ones((len(self.langs), len(starts)), np.int64)
         live = np.searchsorted(-lengths, -np.arange(STRETCH), "left")
         for step in range(int(lengths[0])):
             k = int(live[step])
-            v = self.table[state[:, :k] * self.width + data[starts[:k] + step]]
-            phrases[:, :k] += v & 1
-            state[:, :k] = v >> 1
-        chars = np.bincount(owners, lengths, len(texts))
-        sums = np.stack([np.bincount(owners, p, len(texts)) * b for p, b in zip(phrases, self.bits, strict=True)], 1)
-        for i in np.unique(owners).tolist():
-            out[i] = (sums[i] / chars[i]).tolist()
-        return out
+            c = data[starts[:k] + step]
+            there, to = self.table.get(state[:, :k], c)
+            phrases[:, :k] += ~there
+            state[:, :k] = np.where(there, to, self.again[:, c])
+        np.add.at(chars, owners, lengths)
+        np.add.at(bits, owners, phrases.T * np.array(self.bits))
 
     def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, float | None]]:
         """(language, score, entropy) of each text."""
@@ -189,21 +185,16 @@ class CrossParser:
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-
-
-@functools.lru_cache(maxsize=1)
-def _parser(sample: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(sample)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def identify_language(df: DataFrame, sample: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, entropy) of each row; entropy (bits a character) is null for "und". No shuffle."""
     schema = pa.schema([(id_col, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64())])
-    shared = df.sparkSession.sparkContext.broadcast(tuple(sample))
+    shared = df.sparkSession.sparkContext.broadcast(CrossParser(tuple(sample)))
 
     def run(batches):
-        parser = _parser(shared.value)
+        parser = shared.value
 
         def rows():
             for batch in batches:
@@ -214,7 +205,7 @@ def identify_language(df: DataFrame, sample: list[tuple[str, str]], id_col: str
         yield from arrow_rows(rows(), schema)
 
     picked = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    return picked.mapInArrow(run, f"`{id_col}` long, lang_pred string, score double, entropy double")
+    return picked.mapInArrow(thin(run), f"`{id_col}` long, lang_pred string, score double, entropy double")
 
 
 def accept(lang: str, score: float, entropy: float | None) -> bool:
@@ -226,17 +217,17 @@ def keep_identified(df: DataFrame, sample: list[tuple[str, str]], text_col: str
     """The rows of df, with all their columns, whose text a language is found for. No shuffle. Without a sample none is judged and all stay."""
     if not sample:
         return df
-    shared = df.sparkSession.sparkContext.broadcast(tuple(sample))
+    shared = df.sparkSession.sparkContext.broadcast(CrossParser(tuple(sample)))
 
     def run(batches):
-        parser = _parser(shared.value)
+        parser = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
                 yield part.filter(pa.array([accepts(*found) for found in parser.judge(part.column(at).to_pylist())], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(thin(run), df.schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:
