@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinspark.llm.common import slices_of
+from kinspark.llm.common import slices_of, thin
 from kinspark.llm.components import connected_components
 from kinspark.llm.shingles import mix, shingle_sets
 from kinspark.llm.workspace import Workspace
@@ -42,7 +42,8 @@ FILTER_BITS = 26
 BITMAP_WORDS = 16
 #: Members of a block, on average, that its members of other components are compared with, round by round.
 HUBS = (4, 16, 64)
-_CHARS, _ENTRIES, _CHUNK = 1 << 20, 1_000_000, 1 << 16
+#: Bytes of texts, and index entries, that a task holds at a time; counters in a part of the sketch.
+_CHARS, _ENTRIES, _CHUNK = 1 << 18, 250_000, 1 << 16
 _U = np.uint64
 
 
@@ -76,20 +77,14 @@ def _describe(width: int):
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("bits", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        held: list[np.ndarray] = []
-        waiting = 0
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for ids, sets in _sets(batches, width):
             prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             bits = [_bitmap(s) for s in sets]
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-            held += sets
-            waiting += sum(map(len, sets))
-            if waiting > 2_000_000:
-                _count(sketch, held)
-                held, waiting = [], 0
-        _count(sketch, held)
+            for x in sets:
+                np.add.at(sketch, x >> _U(64 - SKETCH_BITS), np.uint32(1))
         for c in range(0, len(sketch), _CHUNK):
             part = sketch[c : c + _CHUNK]
             if part.any():
@@ -98,12 +93,6 @@ def _describe(width: int):
     return run, "doc long, n long, print binary, bits array<long>, chunk int, counts binary"
 
 
-def _count(sketch: np.ndarray, held: list[np.ndarray]) -> None:
-    if held:
-        at = (np.concatenate(held) >> _U(64 - SKETCH_BITS)).astype(np.int64)
-        sketch += np.bincount(at, minlength=len(sketch))
-
-
 def _levels(described: DataFrame) -> bytes:
     """A byte for each counter of the sketch: its rank among rare and frequent, on a scale of logarithms."""
 
@@ -215,7 +204,7 @@ def _wanted_filter(ids: DataFrame) -> bytes:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     out = bytearray(1 << (FILTER_BITS - 3))
-    for row in ids.mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInArrow(join, "chunk int, bits binary").collect():
+    for row in ids.mapInArrow(thin(run), "chunk int, bits binary").groupBy("chunk").applyInArrow(join, "chunk int, bits binary").collect():
         out[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = zlib.decompress(row.bits)
     return bytes(out)
 
@@ -236,7 +225,7 @@ def _sets_of(picked: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for found, sets in _sets(batches, width, hit):
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc", "shingles"])
 
-    return picked.mapInArrow(run, "doc long, shingles array<long>")
+    return picked.mapInArrow(thin(run), "doc long, shingles array<long>")
 
 
 def _overlap(percent: int):
@@ -257,8 +246,10 @@ def _blocks(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     step = math.log(100 / (percent - 1))  # a little wide, so that sizes that may link are one class apart at most
     size_class = F.floor(F.log("n") / step).cast("int")
     index_head = F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(100.0 + percent) - 1e-9) + 1
+    # what stands at or behind the position bounds the size of a set that it may link with: blocks of larger sets are skipped
+    largest = (F.col("n") - F.col("pos")) * F.lit((100.0 + percent) / percent) - F.col("n")
     roles = F.array(
-        F.struct(size_class.alias("cls"), F.lit(False).alias("indexed")),
+        F.when(F.exp(size_class * F.lit(step)) <= largest + 1, F.struct(size_class.alias("cls"), F.lit(False).alias("indexed"))),
         F.struct((size_class - 1).alias("cls"), F.lit(False).alias("indexed")),
         F.when(F.col("pos") < index_head, F.struct(size_class.alias("cls"), F.lit(True).alias("indexed"))),
     )
@@ -321,7 +312,7 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, id_col:
     ws = Workspace(spark, "sets")
     picked = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     run, ddl = _describe(width)
-    described = ws.save(picked.mapInArrow(run, ddl))
+    described = ws.save(picked.mapInArrow(thin(run), ddl))
     levels = spark.sparkContext.broadcast(_levels(described))
     docs = described.filter("chunk is null").select("doc", "n", "print", "bits")
     known = docs.filter("doc is not null and n > 0")
@@ -334,7 +325,7 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, id_col:
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * (100 - percent) / 100 / _ENTRIES) + 1)
     run, ddl = _heads(width, percent, levels, parts)
     shared, shared_ddl = _shared(parts)
-    entries = picked.mapInArrow(run, ddl).groupBy("part").applyInArrow(shared, shared_ddl)
+    entries = picked.mapInArrow(thin(run), ddl).groupBy("part").applyInArrow(shared, shared_ddl)
     entries = entries.join(members, ["doc", "n"], "left").withColumn("doc", F.coalesce("rep", "doc")).drop("rep")
     entries = ws.save(entries.groupBy("token", "doc").agg(F.first("n").alias("n"), F.first("pos").alias("pos")))
 

@@ -1,8 +1,14 @@
-"""Word shingles of texts as 64-bit hashes, by array operations over the bytes of many texts at once."""
+"""Word shingles of texts as 64-bit hashes, by array operations over the bytes of many texts at once.
+
+Words are not compared byte by byte: two different shingles are taken for one with a probability of 2^-64.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -23,43 +29,60 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _BYTE[65:91] = _BYTE[97:123]
 
 
-class Powers:
-    """Powers of the base and of its inverse modulo 2^64, as many as the longest block so far needs."""
+#: Bytes that are hashed together. A longer word is hashed by itself.
+BLOCK = 1 << 18
+with np.errstate(over="ignore"):
+    #: Powers of the base and of its inverse modulo 2^64.
+    _UP = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(BLOCK + 1, _BASE, np.uint64))])
+    _DOWN = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(BLOCK + 1, pow(_BASE, -1, 1 << 64), np.uint64))])
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                cls.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _BASE, np.uint64))])
-                cls.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, pow(_BASE, -1, 1 << 64), np.uint64))])
-        return cls.up, cls.down
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts): a hash for each word of all texts in order, and the number of words of each text."""
-    joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    space = _SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[0::2], edge[1::2]
-    up, down = Powers.of(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * up[: len(data)])])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M2)
-    stops = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, stops), prepend=0)
-    return hashes, counts
+def _blocks(data: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of blocks that end with a word; a word of BLOCK bytes or more is a block of its own."""
+    start = 0
+    while start < len(data):
+        if len(data) - start <= BLOCK:
+            yield start, len(data)
+            return
+        space = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, BLOCK, start)])
+        if len(space):
+            end = start + int(space[-1]) + 1
+            yield start, end
+        else:
+            end = start + BLOCK
+            while end < len(data) and not _SPACE[data[end]]:
+                end += 1
+            yield start, end
+        start = end
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of a text in UTF-8, where each begins); memory beside the result is that of a block."""
+    hashes, starts = [], []
+    for a, b in _blocks(data):
+        if b - a > BLOCK:
+            hashes.append(np.array([xxhash.xxh3_64_intdigest(data[a:b].translate(_LOWER))], np.uint64))
+            starts.append(np.array([a]))
+            continue
+        part = np.frombuffer(data, np.uint8, b - a, a)
+        space = _SPACE[part]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edge = np.concatenate([[0][: not space[0]], edge, [len(part)][: not space[-1]]]).astype(np.int64)
+        first, last = edge[0::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * _UP[: len(part)])])
+            hashes.append(mix((sums[last] - sums[first]) * _DOWN[first] + (last - first).astype(np.uint64) * _M2))
+        starts.append(first + a)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return (hashes[0], starts[0]) if len(hashes) == 1 else (np.concatenate(hashes), np.concatenate(starts))
 
 
 def shingle_sets(texts: list[bytes], width: int = 4) -> list[np.ndarray]:
     """For each text (UTF-8) its sorted distinct shingles of `width` words; of fewer words, one for the whole sequence."""
-    hashes, counts = word_hashes(texts)
+    hashes, starts = word_hashes(b"\n".join(texts))
+    counts = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
     with np.errstate(over="ignore"):
         n = len(hashes)
         out = np.zeros(max(0, n - width + 1), np.uint64)

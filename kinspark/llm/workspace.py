@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from kinspark.llm.common import ensure_checkpoint_dir
 
 
+#: Bytes of an Arrow batch that goes to a Python worker while an intermediate table is written.
+BATCH_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def _modest_batches(spark: SparkSession):
+    """Batches bounded by bytes, so their memory does not follow the length of texts; the session's own bound is put back."""
+    before = spark.conf.get(_SETTING, None)
+    spark.conf.set(_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SETTING, before) if before is not None else spark.conf.unset(_SETTING)
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -19,7 +36,8 @@ class Workspace:
         """Write df as Parquet and read it again: cuts the lineage."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        df.write.parquet(path)
+        with _modest_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_at = path
         return out
