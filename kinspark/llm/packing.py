@@ -27,18 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.llm.bpe import codec
-from kinspark.llm.common import arrow_rows, slices_of
+from kinspark.llm.common import arrow_rows, slices_of, thin
 
 #: Examples that wait for a bin at a time, or more until they have the tokens of two bins or the segments of more than one.
 WINDOW = 1024
+#: Turns of a conversation that are one example.
+STRETCH = 256
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Of one sequence. Half as many segments as tokens: even documents of a single token then fill a power of two."""
+    """Of one sequence. With as many segments as tokens, segments are no limit of their own."""
 
     tokens: int = 4096
-    segments: int = 2048
+    segments: int = 4096
     loss: int = 4096
 
 
@@ -170,47 +172,77 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 2, limits: Limits = L
     schema = _SCHEMA.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, False)
-        end = np.array([end_id], "<u4")
+        bpe = codec(path)
+        end = np.array([end_id], np.uint32)
 
         def pieces():
             for batch in batches:
                 for keys, texts in slices_of(batch, "k", "t"):
-                    for key, (ids, _) in zip(keys, bpe.encode_many(texts), strict=True):
-                        whole = np.concatenate([np.frombuffer(ids, "<u4"), end])
+                    for key, ids in zip(keys, bpe.encode_many(texts), strict=True):
+                        whole = np.concatenate([ids, end])
                         yield Piece(key, 0, whole, None, len(whole))
 
         yield from arrow_rows(_rows(VectorBinPacker(limits, cut=True).bins(pieces()), with_ids), schema)
 
     picked = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    return picked.mapInArrow(run, _DDL.format(f"`{id_col}`") + (", ids array<int>" if with_ids else ""))
+    return picked.mapInArrow(thin(run), _DDL.format(f"`{id_col}`") + (", ids array<int>" if with_ids else ""))
 
 
 def pack_conversations(df: DataFrame, path: str, end_id: int = 2, limits: Limits = Limits(segments=64), loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Whole conversations (conv_id, turn, role, text) in sequences, none cut; the turns of loss_roles bear loss.
+    """Conversations (conv_id, turn, role, text) in sequences; the turns of loss_roles bear loss. A stretch of STRETCH turns
+    of one conversation is an example; one beyond the limits is cut between turns, and a turn beyond them where it must.
 
-    A conversation beyond the limits stands in a sequence of its own. Turns are put in order within a conversation by
-    (turn, role, text); null roles bear no loss.
+    (conv_id, stretch, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss); start and doc_tokens count
+    within the stretch. Turns are put in order by (turn, role, text). A null id or turn is a value of its own, a null
+    role bears no loss, a null text is an empty one; repeated rows are repeated turns. A task holds one stretch at a
+    time, however many turns a conversation has.
     """
-    schema = _SCHEMA.set(0, pa.field("conv_id", pa.int64()))
+    schema = pa.schema([("conv_id", pa.int64()), ("stretch", pa.int64()), *list(_SCHEMA)[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, False)
-        end = np.array([end_id], "<u4")
+        bpe = codec(path)
+        end = np.array([end_id], np.uint32)
 
         def pieces():
             for batch in batches:
-                for keys, turns in slices_of(batch, "conv_id", "turns"):
-                    for key, own in zip(keys, turns, strict=True):
-                        ids = [np.concatenate([np.frombuffer(x, "<u4"), end]) for x, _ in bpe.encode_many([t["text"] for t in own])]
+                for keys, stretches, turns in slices_of(batch, "conv_id", "stretch", "turns"):
+                    for key, stretch, own in zip(keys, stretches, turns, strict=True):
+                        ids = [np.concatenate([x, end]) for x in bpe.encode_many([t["text"] for t in own])]
                         loss = [np.full(len(x), t["role"] in loss_roles, np.uint8) for x, t in zip(ids, own, strict=True)]
-                        whole = np.concatenate(ids)
-                        yield Piece(key, 0, whole, np.concatenate(loss), len(whole))
-
-        yield from arrow_rows(_rows(VectorBinPacker(limits, cut=False).bins(pieces()), False), schema)
-
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce(F.col("text"), F.lit("")).alias("text")))).alias("turns")
-    return df.groupBy("conv_id").agg(turns).mapInArrow(run, _DDL.format("conv_id"))
+                        yield from _within(limits, (key, stretch), ids, loss)
+
+        yield from arrow_rows(((*r[0], *r[1:]) for r in _rows(VectorBinPacker(limits, cut=False).bins(pieces()), False)), schema)
+
+    turn = F.col("turn").cast("long")
+    turns = F.sort_array(F.collect_list(F.struct(turn.alias("turn"), "role", F.coalesce(F.col("text"), F.lit("")).alias("text")))).alias("turns")
+    examples = df.groupBy(F.col("conv_id").cast("long").alias("conv_id"), F.floor(turn / STRETCH).alias("stretch")).agg(turns)
+    return examples.mapInArrow(thin(run), _DDL.format("conv_id").replace("conv_id long", "conv_id long, stretch long"))
+
+
+def _within(limits: Limits, key: object, ids: list[np.ndarray], loss: list[np.ndarray]) -> Iterator[Piece]:
+    """A stretch of turns as pieces within the limits, as few as go in order."""
+    total, start = sum(map(len, ids)), 0
+    held_ids: list[np.ndarray] = []
+    held_loss: list[np.ndarray] = []
+    tokens = bearing = 0
+    for x, y in zip(ids, loss, strict=True):
+        while True:
+            room = min(limits.tokens - tokens, len(x))
+            if bearing + int(y[:room].sum()) > limits.loss:
+                room = int(np.searchsorted(np.cumsum(y[:room]), limits.loss - bearing, "right"))
+            if room == len(x):
+                break
+            if tokens == 0:
+                yield Piece(key, start, x[:room], y[:room], total)
+                start, x, y = start + room, x[room:], y[room:]
+            else:
+                yield Piece(key, start, np.concatenate(held_ids), np.concatenate(held_loss), total)
+                start, tokens, bearing, held_ids, held_loss = start + tokens, 0, 0, [], []
+        held_ids.append(x)
+        held_loss.append(y)
+        tokens, bearing = tokens + len(x), bearing + int(y.sum())
+    if tokens:
+        yield Piece(key, start, np.concatenate(held_ids), np.concatenate(held_loss), total)
 
 
 def _rows(bins: Iterator[list[Piece]], with_ids: bool) -> Iterator[tuple]:

@@ -67,10 +67,10 @@ def test_bpe_equals_the_library(library):
     pools = [range(0x250), range(0x530), range(0x300, 0x3000), range(0x20, 0x7F), [x for x in range(0x1FFFF) if not 0xD800 <= x < 0xE000]]
     texts = ["".join(chr(r.choice(p)) for _ in range(r.randint(0, 40))) for p in pools for _ in range(150)]
     texts += ["a<|endoftext|>B <|startoftext|>", "Σίσυφος ΟΔΟΣ", "don't I'LL we've 12345 x\x1cy", "日本語 ①②½", "a" * 3000, "ab" * 40 + " " + "xyz" * 30, "", "İ K ſ", "<|ENDOFTEXT|>"]
-    for text, (ids, out) in zip(texts, bpe.encode_many(texts), strict=True):
+    for text, ids in zip(texts, bpe.encode_many(texts), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want
-        assert out.decode() == library.decode(want, skip_special_tokens=False)
+        assert ids.tolist() == want
+        assert bpe.texts_of(ids).decode() == library.decode(want, skip_special_tokens=False)
 
 
 def test_bpe_query(spark, library):
@@ -142,18 +142,31 @@ def test_packing_of_very_short_texts():
     r = np.random.default_rng(1)
     for low, high in ((1, 2), (1, 3), (2, 3), (1, 1)):
         sizes = [*r.integers(low, high + 1, 9000).tolist(), 3000, 5000, 700, *r.integers(low, high + 1, 3000).tolist()]
-        bins = list(VectorBinPacker(Limits(), cut=True).bins(Piece(i, 0, np.arange(n), None, n) for i, n in enumerate(sizes)))
+        every = [sum(len(p.ids) for p in b) for b in VectorBinPacker(Limits(), cut=True).bins(Piece(i, 0, np.arange(n), None, n) for i, n in enumerate(sizes))]
+        assert sum(every) == sum(sizes) and all(n <= 4096 and not n & (n - 1) for n in every) and sum(n < 4096 for n in every) <= 12
+        bins = list(VectorBinPacker(Limits(segments=2048), cut=True).bins(Piece(i, 0, np.arange(n), None, n) for i, n in enumerate(sizes)))
         lengths = [sum(len(p.ids) for p in b) for b in bins]
         assert sum(lengths) == sum(sizes) and all(n <= 4096 and not n & (n - 1) for n in lengths) and all(len(b) <= 2048 for b in bins)
-        whole = list(VectorBinPacker(Limits(), cut=False).bins(Piece(i, 0, np.arange(n), None, n) for i, n in enumerate(sizes) if n <= 4096))
+        whole = list(VectorBinPacker(Limits(segments=2048), cut=False).bins(Piece(i, 0, np.arange(n), None, n) for i, n in enumerate(sizes) if n <= 4096))
         assert sum(len(p.ids) for b in whole for p in b) == sum(n for n in sizes if n <= 4096)
         assert all(len(b) == 2048 or sum(len(p.ids) for p in b) > 4096 - 4 for b in whole[:-1])
 
 
 def test_packing_of_conversations(spark):
     c = table(spark, SMALL, "conversations")
-    rows = pack_conversations(c, PATH).collect()
-    assert len(rows) == c.select("conv_id").distinct().count() and all(r.start == 0 and r.length == r.doc_tokens and r.n_loss <= r.length for r in rows)
+    many = spark.createDataFrame([(10**6, i, "assistant" if i % 2 else None, "word " * (9000 if i == 7 else i % 50)) for i in range(600)] + [(None, None, None, None)] * 2, "conv_id long, turn long, role string, text string")
+    rows = pack_conversations(c.select("conv_id", "turn", "role", "text").union(many), PATH).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.conv_id, r.stretch].append(r)
+        sequences[r.sequence_id].append(r)
+    assert {k for k, _ in pieces} == {r.conv_id for r in c.select("conv_id").distinct().collect()} | {10**6, None} and {s for k, s in pieces if k == 10**6} == {0, 1, 2}
+    for own in pieces.values():
+        own.sort(key=lambda r: r.start)
+        assert [r.start for r in own] == list(itertools.accumulate((r.length for r in own[:-1]), initial=0)) and sum(r.length for r in own) == own[0].doc_tokens
+    assert all(sum(r.length for r in own) <= 4096 and len(own) <= 64 and sum(r.n_loss for r in own) <= 4096 for own in sequences.values())
+    assert all(len(own) == 1 for (k, _), own in pieces.items() if own[0].doc_tokens <= 4096)
+    assert pack_conversations(c.limit(0), PATH).count() == 0
 
 
 def plain_spans(text):
