@@ -1,14 +1,21 @@
 """URL filters: listed rules first, then a path-template tree with labelled purity. Native.
 
-The tree has a root for each host and a level for each path segment (segments beyond DEPTH count as one). On each level
-a node with many different children is variable there: digits of its children become "#", and children that are rare
-even so become "*". Branches of a host that differ in one segment only are merged where the labels they hold do not
-tell them apart (a z test of the share of blocked pages against that of all such branches; branches without labels
-merge among themselves only). A template is rejected if its share of blocked labels, smoothed towards its host's share
-and that towards the share of all, reaches REJECT. The pages that rules judge are the labels; a table of own labels
-can be added.
+The tree has a root for each host and a level for each path segment, however many there are. A node with more than
+CHILDREN different children is variable: digits of its children become "#", and children that are rare even so become
+"*". That may make nodes one and the same, so it goes on until nothing changes.
 
-Counts are summed by (host, template, segment) before they are shuffled and compared; no host is gathered in a task.
+Branches of a host that differ in one literal segment only are then compared, the deepest such segment first: each
+branch's share of blocked labels is tested against that of all branches in its place (z test). Those that do not differ
+become one branch, with "{}" for the segment, and so do branches without labels if none of the labelled ones differs;
+branches that differ stay apart. That, too, goes on until no segment is left to compare.
+
+A template's purity is its share of blocked labels, smoothed towards that of the node above it, which is smoothed
+towards the node above that, up to the host and the share of all labels. So a template without labels has the purity of
+the nearest node that has some. It is rejected if the purity exceeds REJECT. The pages that rules judge are the labels;
+a table of own labels can be added.
+
+Counts are summed by node before they are shuffled; where rows meet the decision on their node, the join is salted, so
+a host with a third of all pages is no hot spot. Only nodes of many children are joined at all.
 
 Cases: a null url or one without "://" has an empty host and path, no rule, and is allowed; very long paths are read
 whole; equal urls share a template and a verdict; an empty table gives no rows; other columns are not read.
@@ -23,10 +30,13 @@ from pyspark.sql import functions as F
 
 from kinspark.llm.workspace import Workspace
 
-#: Levels of the tree; children a node may have before it counts as variable; share of its pages below which a child is rare.
-DEPTH, CHILDREN, RARE = 5, 12, 0.02
-#: Weight of the smoothing, in labels; share of blocked labels from which a template is rejected; z of the merge test.
-SMOOTHING, REJECT, MERGE_Z = 4.0, 0.8, 2.0
+#: Children a node may have before it counts as variable; share of its pages below which a child is rare.
+CHILDREN, RARE = 12, 0.02
+#: Weight of the smoothing, in labels; purity beyond which a template is rejected (more of its labels are blocked than
+#: allowed); z of the merge test.
+SMOOTHING, REJECT, MERGE_Z = 4.0, 0.5, 2.0
+#: Parts that the rows of one node are dealt into where they meet a decision.
+SALT = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,7 +87,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = N
         seen, blocked = seen.join(own, "id", "left"), F.coalesce(blocked, F.col("blocked"))
     tree = template_tree(seen.select("host", "path", blocked.alias("blocked")), ws)
     judged = seen.select("id", "host", "path", "rule", "ruled").join(tree, ["host", "path"])
-    judged = judged.select("id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
+    judged = judged.select("id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") > REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
     rest = rows.filter("host = ''").select("id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit("").alias("template"), F.lit(None).cast("double").alias("purity"))
     return judged.unionByName(rest).withColumnRenamed("id", id_col)
 
@@ -86,44 +96,83 @@ def template_tree(labelled: DataFrame, ws: Workspace) -> DataFrame:
     """(host, path, template, purity) for each different path of (host, path, blocked); blocked is null without a label."""
     count = [F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("blocked"), 1)).alias("bad"), F.count("blocked").alias("known")]
     paths = labelled.groupBy("host", "path").agg(*count)
-    segments = F.split("path", "/", DEPTH + 1)
-    paths = ws.save(paths.withColumn("segs", F.slice(segments, 2, DEPTH)).withColumn("tpl", F.array().cast("array<string>")))
-    for level in range(DEPTH):
-        seg = F.get("segs", F.lit(level))
-        here = paths.withColumn("seg", seg)
-        children = here.filter("seg is not null").groupBy("host", "tpl", "seg").agg(F.sum("n").alias("c"))
-        digits = F.regexp_replace("seg", "[0-9]+", "#")
-        # digits first, then what is rare even without them
-        nodes = children.groupBy("host", "tpl").agg(F.count(F.lit(1)).alias("k"))
-        shaped = children.join(nodes, ["host", "tpl"]).withColumn("shape", F.when(F.col("k") > CHILDREN, digits).otherwise(F.col("seg")))
-        shapes = shaped.groupBy("host", "tpl", "shape").agg(F.sum("c").alias("c"))
-        totals = shapes.groupBy("host", "tpl").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("t"))
-        final = shapes.join(totals, ["host", "tpl"]).select("host", "tpl", "shape", F.when((F.col("k") > CHILDREN) & (F.col("c") < RARE * F.col("t")), "*").otherwise(F.col("shape")).alias("name"))
-        named = shaped.select("host", "tpl", "seg", "shape").join(final, ["host", "tpl", "shape"]).select("host", "tpl", "seg", "name")
-        new = here.join(named, ["host", "tpl", "seg"], "left")
-        new = new.withColumn("tpl", F.when(F.col("name").isNotNull(), F.concat("tpl", F.array("name"))).otherwise(F.col("tpl"))).drop("seg", "name")
-        new = ws.save(new)
-        ws.drop(paths)
-        paths = new
+    tokens = F.split("path", "/")
+    paths = ws.save(paths.withColumn("tpl", F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))).withColumn("id", F.monotonically_increasing_id()))
+    while (changes := _generalised(paths, ws)) is not None:
+        new = F.transform("tpl", lambda x, i: F.coalesce(F.try_element_at("changes", i), x))
+        older, paths = paths, ws.save(paths.join(changes, "id", "left").withColumn("tpl", F.coalesce(new, "tpl")).drop("changes"))
+        ws.drop(older, changes)
     templates = paths.groupBy("host", "tpl").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-    merged = ws.save(_merge_branches(templates))
-    whole = merged.agg((F.sum("bad") / F.greatest(F.sum("known"), F.lit(1))).alias("p")).first().p or 0.0
-    host = merged.groupBy("host").agg(((F.sum("bad") + F.lit(SMOOTHING * whole)) / (F.sum("known") + F.lit(SMOOTHING))).alias("ph"))
-    pooled = merged.groupBy("host", "group").agg(F.sum("bad").alias("b"), F.sum("known").alias("m"))
-    purity = pooled.join(host, "host").select("host", "group", ((F.col("b") + SMOOTHING * F.col("ph")) / (F.col("m") + F.lit(SMOOTHING))).alias("purity"))
-    named = merged.select("host", "tpl", "group").join(purity, ["host", "group"])
-    return paths.select("host", "path", "tpl").join(named, ["host", "tpl"]).select("host", "path", F.col("group").alias("template"), "purity")
-
-
-def _merge_branches(templates: DataFrame) -> DataFrame:
-    """(host, tpl, group, bad, known): templates of a host that differ in one literal segment and not in their labels share a group."""
-    literal = F.filter(F.sequence(F.lit(0), F.greatest(F.size("tpl") - 1, F.lit(0))), lambda i: ~F.coalesce(F.get("tpl", i), F.lit("*")).rlike("[#*]|^$"))
-    at = F.coalesce(F.array_max(literal), F.lit(-1))  # the deepest literal segment
-    t = templates.withColumn("at", at).withColumn("mask", F.transform("tpl", lambda x, i: F.when(i == F.col("at"), F.lit("{}")).otherwise(x)))
-    pool = t.filter("known > 0").groupBy("host", "mask").agg((F.sum("bad") / F.sum("known")).alias("p"))
-    t = t.join(pool, ["host", "mask"], "left")
-    z = F.abs(F.col("bad") / F.col("known") - F.col("p")) / F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("known") + F.lit(1e-9))
-    own = F.concat(F.lit("/"), F.array_join("tpl", "/"))
-    shared = F.concat(F.lit("/"), F.array_join("mask", "/"))
-    group = F.when(F.col("at") < 0, own).when(F.col("known") == 0, F.concat(shared, F.lit(" unlabelled"))).when(z <= MERGE_Z, shared).otherwise(own)
-    return t.select("host", "tpl", group.alias("group"), "bad", "known")
+    groups = _merged(ws.save(templates.withColumn("group", F.col("tpl")).withColumn("tested", F.array().cast("array<int>"))), ws)
+    purity = _purity(groups.groupBy("host", "group").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")), ws)
+    named = groups.select("host", "tpl", "group").join(purity, ["host", "group"])
+    return paths.select("host", "path", "tpl").join(named, ["host", "tpl"]).select("host", "path", F.concat(F.lit("/"), F.array_join("group", "/")).alias("template"), "purity")
+
+
+def _salted(decisions: DataFrame) -> DataFrame:
+    return decisions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def _generalised(paths: DataFrame, ws: Workspace) -> DataFrame | None:
+    """(id, changes map<position, token>) of paths with a variable node; None if no token changes."""
+    cells = paths.select("id", "n", "host", "tpl", F.posexplode("tpl").alias("pos", "child"))
+    cells = cells.select("id", "n", "pos", "child", F.xxhash64("host", "pos", F.slice("tpl", 1, F.col("pos"))).alias("node"))
+    children = ws.save(cells.groupBy("node", "child").agg(F.sum("n").alias("c")))
+    digit = F.col("child").rlike("[0-9]")
+    totals = children.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("t"), F.max(digit).alias("digits"))
+    variable = ws.save(totals.filter(F.col("k") > CHILDREN))
+    common = children.withColumn("salt", F.pmod(F.xxhash64("child"), F.lit(SALT)).cast("int")).join(_salted(variable.filter("not digits")), ["node", "salt"])
+    common = common.filter(F.col("c") >= RARE * F.col("t")).groupBy("node").agg(F.collect_list("child").alias("common"))  # 1 / RARE of them at most
+    decisions = ws.save(variable.join(common, "node", "left").select("node", "digits", F.coalesce("common", F.array().cast("array<string>")).alias("common")))
+    name = F.when(F.col("digits"), F.regexp_replace("child", "[0-9]+", "#")).when(F.array_contains("common", F.col("child")), F.col("child")).otherwise("*")
+    met = cells.withColumn("salt", F.pmod("id", F.lit(SALT)).cast("int")).join(_salted(decisions), ["node", "salt"]).withColumn("name", name).filter("name <> child")
+    changes = ws.save(met.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "name"))).alias("changes")))
+    ws.drop(children, variable, decisions)
+    if changes.isEmpty():
+        ws.drop(changes)
+        return None
+    return changes
+
+
+def _literals(group: str, tested: str) -> Column:
+    """Positions of the tokens of a template that are names, and have not been compared."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(group) - 1, F.lit(0)))
+    return F.filter(at, lambda i: F.coalesce(~F.get(group, i).rlike("[#*{}]|^$"), F.lit(False)) & ~F.array_contains(tested, i))
+
+
+def _merged(templates: DataFrame, ws: Workspace) -> DataFrame:
+    """templates (host, tpl, group, tested, bad, known) with the group that each has come into."""
+    while True:
+        groups = templates.groupBy("host", "group", "tested").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
+        each = groups.withColumn("pos", F.explode(_literals("group", "tested")))
+        mask = F.transform("group", lambda x, i: F.when(i == F.col("pos"), F.lit("{}")).otherwise(x))
+        each = ws.save(each.withColumn("mask", mask).withColumn("place", F.xxhash64("host", "mask")))
+        shared = each.groupBy("place").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("place")
+        chosen = each.join(shared, "place", "left_semi").groupBy("host", "group", "tested").agg(F.max_by(F.struct("pos", "mask", "place", "bad", "known"), "pos").alias("c")).select("host", "group", "tested", "c.*")
+        chosen = ws.save(chosen)
+        ws.drop(each)
+        if chosen.isEmpty():
+            ws.drop(chosen)
+            return templates
+        pool = chosen.groupBy("place").agg(F.count(F.lit(1)).alias("m"), (F.try_divide(F.sum("bad"), F.sum("known"))).alias("p"))
+        own = F.try_divide(F.col("bad"), F.col("known"))
+        differs = F.abs(own - F.col("p")) > MERGE_Z * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("known")) + 1e-9
+        judged = chosen.join(pool, "place").withColumn("differs", F.coalesce(differs, F.lit(False)))
+        torn = judged.groupBy("place").agg(F.max("differs").alias("torn"))
+        judged = judged.join(torn, "place")
+        joins = (F.col("m") > 1) & ~F.col("differs") & ~((F.col("known") == 0) & F.col("torn"))
+        step = judged.select("host", "group", "tested", F.when(joins, F.col("mask")).otherwise(F.col("group")).alias("new_group"), F.array_append("tested", F.col("pos")).alias("new_tested"))
+        older, templates = templates, templates.join(step, ["host", "group", "tested"], "left")
+        templates = templates.select("host", "tpl", "n", "bad", "known", F.coalesce("new_group", "group").alias("group"), F.array_sort(F.coalesce("new_tested", "tested")).alias("tested"))
+        templates = ws.save(templates)
+        ws.drop(older, chosen)
+
+
+def _purity(groups: DataFrame, ws: Workspace) -> DataFrame:
+    """(host, group, purity): smoothed from the share of all labels down to the template."""
+    whole = groups.agg((F.sum("bad") / F.greatest(F.sum("known"), F.lit(1))).alias("p")).first().p or 0.0
+    depths = groups.withColumn("d", F.explode(F.sequence(F.lit(0), F.size("group"))))
+    nodes = ws.save(depths.select("host", "group", "bad", "known", "d", F.xxhash64("host", "d", F.slice("group", 1, F.col("d"))).alias("node")))
+    sums = nodes.groupBy("node").agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
+    line = nodes.select("host", "group", "d", "node").join(sums, "node").groupBy("host", "group").agg(F.array_sort(F.collect_list(F.struct("d", "b", "k"))).alias("line"))
+    return line.select("host", "group", F.aggregate("line", F.lit(float(whole)), lambda p, x: (x.b + SMOOTHING * p) / (x.k + SMOOTHING)).alias("purity"))
