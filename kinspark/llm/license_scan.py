@@ -75,6 +75,8 @@ TEMPLATES = {
 
 #: Shortest stretch that counts (a whole template always does) and the share of a template that must be covered.
 LEAST_MATCH, LEAST_COVER = 4, 0.75
+#: Words that may stand between two stretches of a chain, beside twice what the template has there.
+GAP = 24
 
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -96,6 +98,7 @@ class LicenceAutomaton:
         for c in self.coded:
             self.pairs[c[:-1], c[1:]] = True
         self.base = {label: [self.ids[w] for w in words_of(p)] for label, p in self.phrases.items()}
+        self.least = min([3, *(len(c) for c in self.coded if c)])  # words of a run that is worth a walk
         self.nexts: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[dict[int, list[int]]] = [{}]  # for each state, the places (template, last word) of its stretches
@@ -151,8 +154,8 @@ class LicenceAutomaton:
         breaks = np.flatnonzero(np.diff(at) > 1)
         starts, stops = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])] + 1
         for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-            if b - a < 2:
-                continue  # two words: shorter than any stretch that counts
+            if b - a + 1 < self.least:
+                continue
             state = size = 0
             for i in range(a, b + 1):
                 c = int(coded[i])
@@ -181,31 +184,49 @@ class LicenceAutomaton:
                 for i, w in enumerate(p[1:], 1):
                     at = at[coded[at + i] == w]
                 places += [(int(i), label) for i in at]
-        chains: dict[int, list[list[int]]] = {}  # template: [covered, first word, end, place in the template]
+        chains: dict[int, Chains] = {}
         for last, size, state in self.matches(coded):
             for t, where in self.ends[state].items():
                 if size < min(LEAST_MATCH, len(self.coded[t])):
                     continue
                 for e in where:
-                    self._chain(chains.setdefault(t, []), last - size + 1, last + 1, e - size + 1, e + 1)
+                    chains.setdefault(t, Chains(len(self.coded[t]))).add(last - size + 1, last + 1, e - size + 1, e + 1)
         spans = []
         for t, found in chains.items():
             total = len(self.coded[t])
-            spans += [(a, b, self.texts[t][0], covered / total) for covered, a, b, _ in found if covered >= LEAST_COVER * total]
+            spans += [(a, b, self.texts[t][0], covered / total) for a, b, covered in found.spans(LEAST_COVER * total)]
         return sorted(places), sorted(spans)
 
-    @staticmethod
-    def _chain(chains: list[list[int]], a: int, b: int, ta: int, tb: int) -> None:
-        """Join a stretch to the chain it continues best, in document and template order; else it begins one."""
-        best = None
-        for c in chains[-32:]:
-            if c[3] < tb and c[2] <= b and a - c[2] <= 2 * (ta - c[3]) + 24 and (best is None or c[0] > best[0]):
-                best = c
-        if best is None:
-            chains.append([tb - ta, a, b, tb])
-        else:
-            best[0] += tb - max(ta, best[3])
-            best[2], best[3] = b, tb
+
+class Chains:
+    """Best chains of stretches of one template, in document and template order; each ends with another stretch.
+
+    A chain is (covered words, first word, end, place in the template).
+    """
+
+    def __init__(self, words: int):
+        self.reach = 2 * words + GAP  # no stretch that begins further on can go on with a chain
+        self.open: list[tuple[int, int, int, int]] = []
+        self.done: list[tuple[int, int, int, int]] = []
+
+    def add(self, a: int, b: int, ta: int, tb: int) -> None:
+        """A stretch goes on with the chain that then covers most, or begins one. Stretches come in the order of their ends."""
+        if self.open and a - self.open[0][2] > self.reach:
+            self.done += [c for c in self.open if a - c[2] > self.reach]
+            self.open = [c for c in self.open if a - c[2] <= self.reach]
+        best = (tb - ta, a)
+        for covered, first, end, place in self.open:
+            if place < tb and end <= b and a - end <= 2 * (ta - place) + GAP:
+                best = max(best, (covered + tb - max(ta, place), first))
+        self.open.append((*best, b, tb))
+
+    def spans(self, least: float) -> list[tuple[int, int, int]]:
+        """(first word, end, covered) of chains that cover at least so much; of those that share words the one that covers most."""
+        out: list[tuple[int, int, int]] = []
+        for covered, first, end, _ in sorted((c for c in self.done + self.open if c[0] >= least), key=lambda c: (-c[0], c[1], c[2])):
+            if all(end <= a or b <= first for a, b, _ in out):
+                out.append((first, end, covered))
+        return out
 
 
 @functools.lru_cache(maxsize=1)
