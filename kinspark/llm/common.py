@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; on one machine, where none is set, a folder of our own."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="kinspark-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
@@ -28,12 +31,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it from there: a lost executor then costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def thin(run: Callable) -> Callable:
     """run, an Arrow operator, giving what it has freed back to the system: Python workers live on and serve other stages."""
 

@@ -347,11 +347,10 @@ def jaccard_components(df: DataFrame, width: int = 4, percent: int = 85, id_col:
             new, linked = found
             tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
             links = links.union(linked)
-            labels, stale = connected_components(links, ws), False
+            labels, stale = ws.save(connected_components(links, ws)), False
     if stale:
         labels = connected_components(links, ws)
-    ws.drop(entries, members_of)
-    return _with_components(docs, classes, labels).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return ws.result(_with_components(docs, classes, labels).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id"))
 
 
 def _with_components(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:

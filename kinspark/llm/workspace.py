@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import uuid
 
@@ -27,10 +28,14 @@ def _modest_batches(spark: SparkSession):
 
 
 class Workspace:
+    """Tables of one operator's run. What its result still reads lives until the driver's end, all else until it is dropped."""
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kinspark-{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.live: list[str] = []
+        atexit.register(self.clear)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet and read it again: cuts the lineage."""
@@ -38,12 +43,30 @@ class Workspace:
         path = f"{self.root}/{self.count:03d}"
         with _modest_batches(self.spark):
             df.write.parquet(path)
+        self.live.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_at = path
         return out
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """save(), and drop all other tables."""
+        out = self.save(df)
+        for path in self.live[:-1]:
+            self._delete(path)
+        self.live = [out.saved_at]
+        return out
+
     def drop(self, *saved: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in saved:
-            path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            if df.saved_at in self.live:
+                self.live.remove(df.saved_at)
+                self._delete(df.saved_at)
+
+    def clear(self) -> None:
+        """Delete what is left, if the session still lives."""
+        with contextlib.suppress(Exception):
+            self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
