@@ -27,16 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinspark.llm.common import thin
 from kinspark.llm.components import connected_components
 from kinspark.llm.workspace import Workspace
 
-#: Rows that train the codebooks and set the slack; share of pairs to find; rows of a cell in a list on average; rows of a block.
-SAMPLE, TARGET, PER_CELL, BLOCK = 8192, 0.98, 48, 2048
-#: Bounds of the codes of one half.
-LEAST_CODES, MOST_CODES = 4, 256
+#: Share of pairs to find; rows of a cell in a list on average; rows of a block.
+TARGET, PER_CELL, BLOCK = 0.96, 64, 2048
+#: Bounds of the codes of one half: their squares are the cells of a grid, which grows with the rows up to some 10^9 of them.
+LEAST_CODES, MOST_CODES = 4, 4096
+#: Rows that train the codebooks and set the slack: so many, or so many for each code of a half.
+SAMPLE, SAMPLE_PER_CODE = 8192, 16
 
 
 class MultiIndex:
@@ -81,8 +85,8 @@ class MultiIndex:
     def _slack(self, v: np.ndarray, limit: float, target: float, rng) -> float:
         d, need = self.distances(v), []
         own = self.cells(d)
-        for s in range(0, len(v), 1024):
-            i, j = np.nonzero(v[s : s + 1024] @ v.T >= limit)
+        for s in range(0, len(v), 256):
+            i, j = np.nonzero(v[s : s + 256] @ v.T >= limit)
             i, j = (i + s)[i + s < j], j[i + s < j]
             need.append(np.minimum(self.extra((d[0][i], d[1][i]), own[j]), self.extra((d[0][j], d[1][j]), own[i])))
         found = np.concatenate(need)
@@ -100,7 +104,7 @@ class MultiIndex:
 def _k_means(part: np.ndarray, codes: int, rng, rounds: int = 15) -> np.ndarray:
     book = part[rng.choice(len(part), min(codes, len(part)), replace=False)].copy()
     for _ in range(rounds):
-        near = ((book**2).sum(1) - 2 * part @ book.T).argmin(1)
+        near = np.concatenate([((book**2).sum(1) - 2 * part[s : s + 2048] @ book.T).argmin(1) for s in range(0, len(part), 2048)])
         count = np.bincount(near, minlength=len(book))
         sums = np.zeros_like(book)
         np.add.at(sums, near, part)
@@ -108,29 +112,42 @@ def _k_means(part: np.ndarray, codes: int, rng, rounds: int = 15) -> np.ndarray:
     return book
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows at unit length, NaN for a row without one. Divided by the largest component before squaring, so neither very
+    large nor very small vectors lose their length."""
+    v = v.astype(np.float64)
+    largest = np.abs(v).max(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v = np.where(np.isfinite(largest) & (largest > 0), v / largest, np.nan)
+    return v / np.sqrt((v * v).sum(1, keepdims=True)) + 0.0
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, u), the unit vectors of rows (id, v) that have a length and finite components only."""
-    schema = pa.schema([("id", pa.int64()), ("u", pa.list_(pa.float64()))])
-    for batch in batches:
-        sizes = np.diff(batch.column(1).offsets.to_numpy())
-        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
-        starts = np.cumsum(sizes) - sizes
-        for size in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == size)
-            v = flat[starts[at][:, None] + np.arange(size)]
-            # divided by the largest component before squaring, so neither very large nor very small vectors lose their length
-            largest = np.abs(v).max(1)
-            good = np.isfinite(largest) & (largest > 0)
-            v = v[good] / largest[good, None]
-            u = v / np.linalg.norm(v, axis=1, keepdims=True) + 0.0
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, u.size + 1, size), pa.int32()), pa.array(u.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[good])), lists], schema=schema)
+def _matrix(column, dim: int, kind: str) -> np.ndarray:
+    """Unit vectors of a column of raw components."""
+    return _units(np.frombuffer(b"".join(x.as_py() for x in column), kind).reshape(-1, dim))
+
+
+def _unit_rows(kind: str):
+    """(id, key, dim, vec) of rows (id, v) that have a length and finite components only: vec holds the components as
+    they came, key is a digest of the unit vector."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("dim", pa.int32()), ("vec", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1024):
+                part = batch.slice(s, 1024)
+                sizes = np.diff(part.column(1).offsets.to_numpy())
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+                starts = np.cumsum(sizes) - sizes
+                for size in np.unique(sizes).tolist():
+                    at = np.flatnonzero(sizes == size)
+                    v = flat[starts[at][:, None] + np.arange(size)].astype(kind)
+                    u = _units(v)
+                    good = np.isfinite(u).all(1)
+                    keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in u[good]]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at[good])), pa.array(keys, pa.binary()), pa.array(np.full(len(keys), size, np.int32)), pa.array([x.tobytes() for x in v[good]], pa.binary())], schema=schema)
+
+    return run
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,96 +168,108 @@ def near_duplicates(df: DataFrame, limit: float = 0.9, id_col: str = "vec_id", v
     """One row per row of df: (id_col, n_links, component_id, kept)."""
     spark = df.sparkSession
     ws = Workspace(spark, "vectors")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    unit = rows.filter("id is not null and size(v) > 0").mapInArrow(_unit_rows, "id long, u array<double>")
-    classes = ws.save(unit.groupBy("u").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("m")))
-    members = ws.save(unit.join(classes.filter("m > 1"), "u").select("id", "rep", "m").distinct())
-    lengths = {r.dim: r["count"] for r in classes.groupBy(F.size("u").alias("dim")).count().collect()}
-    result = rows.select("id").withColumn("n_links", F.lit(0).cast("long")).withColumn("comp", F.col("id"))
-    if lengths:
-        counts, edges = spark.createDataFrame([], "node long, links long"), spark.createDataFrame([], "a long, b long")
-        for dim, n in sorted(lengths.items()):
-            if n < 2:
-                continue
-            own = classes.filter(F.size("u") == dim)
-            sample = own.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("u").collect()
-            vectors = np.array([r.u for r in sample])
-            codes = int(min(MOST_CODES, max(LEAST_CODES, 2 ** round(np.log2(max(1.0, np.sqrt(n / PER_CELL)))))))
-            index = MultiIndex(vectors, min(codes, len(vectors)), limit)
-            own_counts, own_edges = _search(own, index, limit, dim, ws)
-            counts, edges = counts.union(own_counts), edges.union(own_edges)
-        counts = counts.groupBy("node").agg(F.sum("links").alias("links"))
-        comps = connected_components(edges, ws)
-        of_class = classes.select("rep", "m").join(counts, F.col("rep") == F.col("node"), "left").join(comps.withColumnRenamed("node", "cnode"), F.col("rep") == F.col("cnode"), "left")
-        of_class = ws.save(of_class.select("rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("comp")))
-        single = classes.filter("m = 1").select(F.col("rep").alias("id"), "rep")
-        of_id = single.union(members.select("id", "rep")).join(of_class, "rep").groupBy("id").agg(F.max("n_links").alias("found"), F.min("comp").alias("found_comp"))
-        result = rows.select("id").join(of_id, "id", "left").select("id", F.coalesce("found", F.lit(0)).alias("n_links"), F.coalesce("found_comp", "id").alias("comp"))
-    return result.select(F.col("id").alias(id_col), F.col("n_links").cast("long"), F.col("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
-
-
-def _search(classes: DataFrame, index: MultiIndex, limit: float, dim: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Links of each representative, (node, links), and edges (a, b) with the same components as all links found."""
+    kind = "<f4" if dict(df.dtypes)[vector_col] == "array<float>" else "<f8"  # float components travel as they came
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
+    unit = ws.save(rows.filter("id is not null and size(v) > 0").mapInArrow(thin(_unit_rows(kind)), "id long, key binary, dim int, vec binary"))
+    ids = unit.select("id", "key", "dim").distinct()
+    sizes = ws.save(ids.groupBy("key", "dim").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")))
+    lengths = {r.dim: r["count"] for r in sizes.groupBy("dim").count().collect()}
+    counts, edges = spark.createDataFrame([], "node long, links long"), spark.createDataFrame([], "a long, b long")
+    for dim, n in sorted(lengths.items()):
+        if n < 2:
+            continue
+        codes = int(min(MOST_CODES, max(LEAST_CODES, 2 ** round(np.log2(max(1.0, np.sqrt(n / PER_CELL)))))))
+        # one row of each class: its smallest id's
+        own = unit.filter(F.col("dim") == dim).join(sizes.select("key", "dim", F.col("rep").alias("id"), "m"), ["key", "dim", "id"]).groupBy("id", "m").agg(F.min("vec").alias("vec"))
+        sample = own.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, SAMPLE_PER_CODE * codes)).select("vec").collect()
+        vectors = _units(np.frombuffer(b"".join(bytes(r.vec) for r in sample), kind).reshape(-1, dim))
+        index = MultiIndex(vectors, min(codes, len(vectors)), limit)
+        own_counts, own_edges = _search(own, index, limit, dim, kind, ws)
+        counts, edges = counts.union(own_counts), edges.union(own_edges)
+    members = ws.save(ids.join(sizes, ["key", "dim"]).select("id", "rep", "m"))
+    ws.drop(unit)
+    comps = connected_components(edges, ws)
+    of_class = sizes.select("rep", "m").join(counts, F.col("rep") == F.col("node"), "left").join(comps.withColumnRenamed("node", "cnode"), F.col("rep") == F.col("cnode"), "left")
+    of_class = of_class.select("rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("comp"))
+    of_id = members.select("id", "rep").join(of_class, "rep").groupBy("id").agg(F.max("n_links").alias("found"), F.min("comp").alias("found_comp"))
+    result = rows.select("id").join(of_id, "id", "left").select("id", F.coalesce("found", F.lit(0)).alias("n_links"), F.coalesce("found_comp", "id").alias("comp"))
+    return ws.result(result.select(F.col("id").alias(id_col), F.col("n_links").cast("long"), F.col("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept")))
+
+
+def _search(classes: DataFrame, index: MultiIndex, limit: float, dim: int, kind: str, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Links of each representative, (node, links), and edges (a, b) with the same components as all links found.
+
+    A vector is kept once, with the cells it visits; a copy goes to each of them only when the cells are dealt. In its
+    own cell the listed rows are the queries, too.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(index)
-    vector = pa.binary()
-    listed_schema = pa.schema([("cell", pa.int32()), ("id", pa.int64()), ("m", pa.int64()), ("own", pa.int32()), ("u", vector), ("query", pa.bool_())])
+    placed_schema = pa.schema([("id", pa.int64()), ("m", pa.int64()), ("vec", pa.binary()), ("own", pa.int32()), ("others", pa.list_(pa.int32()))])
 
     def place(batches):
         index = shared.value
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 part = batch.slice(s, 1024)
-                u = _matrix(part.column(2), dim)
-                d = index.distances(u)
+                d = index.distances(_matrix(part.column(2), dim, kind))
                 own = index.cells(d)
-                raw = [r.tobytes() for r in u]
-                ids, m = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = [(int(own[i]), ids[i], m[i], int(own[i]), raw[i], False) for i in range(len(ids))]
-                rows += [(c, ids[i], m[i], int(own[i]), raw[i], True) for i in range(len(ids)) for c in index.visits(d[0][i], d[1][i])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), listed_schema, strict=True)], schema=listed_schema)
-
-    placed = ws.save(classes.select("rep", "m", "u").mapInArrow(place, "cell int, id long, m long, own int, u binary, query boolean"))
-    sizes = placed.groupBy("cell").agg(F.count(F.when(~F.col("query"), 1)).alias("rows"), F.count(F.when(F.col("query"), 1)).alias("asks")).filter("rows > 0 and asks > 0")
-    sizes = sizes.select("cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("nr"), F.ceil(F.col("asks") / BLOCK).cast("int").alias("nq"))
-    dealt = placed.join(sizes, "cell")
-    block = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("nq")).otherwise(F.col("nr"))).cast("int")
-    dealt = dealt.withColumn("own_block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("nr")).otherwise(F.col("nq")) - 1)))
-    dealt = dealt.withColumn("r", F.when(F.col("query"), F.col("other")).otherwise(F.col("own_block"))).withColumn("q", F.when(F.col("query"), F.col("own_block")).otherwise(F.col("other")))
+                others = [[c for c in index.visits(a, b) if c != o] for a, b, o in zip(*d, own.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32)), pa.array(others, pa.list_(pa.int32()))], schema=placed_schema)
+
+    placed = ws.save(classes.select("id", "m", "vec").mapInArrow(thin(place), "id long, m long, vec binary, own int, others array<int>"))
+    listed = placed.groupBy(F.col("own").alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    asks = placed.select(F.explode("others").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asks"))
+    sizes = listed.join(asks, "cell", "left").select("cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("nr"), F.ceil(F.coalesce("asks", F.lit(0)) / BLOCK).cast("int").alias("nq"))
+    each = placed.select("id", "m", "vec", "own", "others", F.explode(F.concat(F.array(F.struct(F.col("own").alias("cell"), F.lit(False).alias("query"))), F.transform("others", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("query"))))).alias("c"))
+    dealt = each.select("id", "m", "vec", "own", F.when(~F.col("c.query"), F.col("others")).alias("others"), "c.cell", "c.query").join(sizes, "cell")
+    # listed rows are cut into nr blocks, which meet each other once and each of the nq blocks of queries
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("nq")).otherwise(F.col("nr"))).cast("int")
+    lists = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda r: F.struct(F.least(F.col("mine"), r).alias("r"), F.greatest(F.col("mine"), r).alias("q"), F.lit(False).alias("asked")))
+    queries = F.when(F.col("nq") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("nq") - 1, F.lit(0))), lambda q: F.struct(F.col("mine").alias("r"), q.alias("q"), F.lit(True).alias("asked")))).otherwise(F.array().cast("array<struct<r:int,q:int,asked:boolean>>"))
+    asking = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda r: F.struct(r.alias("r"), F.col("mine").alias("q"), F.lit(True).alias("asked")))
+    dealt = dealt.withColumn("mine", mine).withColumn("g", F.explode(F.when(F.col("query"), asking).otherwise(F.concat(lists, queries))))
     out_schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def compare(key, group):
-        index = shared.value
-        cell = key[0].as_py()
+        among = not key[3].as_py()
         ask = group.column("query").to_numpy()
         ids, m, own = (group.column(x).to_numpy() for x in ("id", "m", "own"))
-        u = np.frombuffer(b"".join(x.as_py() for x in group.column("u")), np.float64).reshape(-1, dim)
-        q, r = np.flatnonzero(ask), np.flatnonzero(~ask)
+        u = _matrix(group.column("vec"), dim, kind)
+        if among:  # one block, or two that meet: a pair is looked at where its first row is in the first block
+            blocks = group.column("mine").to_numpy()
+            q, r = np.flatnonzero(blocks == key[1].as_py()), np.flatnonzero(blocks == key[2].as_py())
+        else:
+            q, r = np.flatnonzero(ask), np.flatnonzero(~ask)
         if not len(q) or not len(r):
             return out_schema.empty_table()
         links = np.zeros(len(ids), np.int64)
+        if not among:  # whether a listed row visits the cell that a query is listed in
+            cells, cell_of = np.unique(own, return_inverse=True)
+            visits = np.zeros((len(r), len(cells)), bool)
+            for n, x in enumerate(r.tolist()):
+                visits[n] = np.isin(cells, group.column("others")[x].as_py())
         pairs_q, pairs_r = [], []
-        dr = index.distances(u[r])
-        width = len(index.books[1])
         for s in range(0, len(q), 512):
             part = q[s : s + 512]
             i, j = np.nonzero(u[part] @ u[r].T >= limit)
             a, b = part[i], r[j]
-            other = ids[a] != ids[b]
-            a, b, j = a[other], b[other], j[other]
+            if among:  # within one block each pair is seen twice
+                keep = ids[a] < ids[b] if key[1].as_py() == key[2].as_py() else np.ones(len(a), bool)
+            else:  # a pair whose rows visit each other's cells is met twice, too: it counts where the smaller id asks
+                keep = ~visits[j, cell_of[a]] | (ids[a] < ids[b])
+            a, b = a[keep], b[keep]
             np.add.at(links, a, m[b])
-            # the other way round is counted here too, unless that vector visits this one's cell itself
-            back = dr[0][j, own[a] // width] + dr[1][j, own[a] % width] > index.slack
-            np.add.at(links, b[back], m[a[back]])
+            np.add.at(links, b, m[a])
             pairs_q.append(a)
             pairs_r.append(b)
         a, b = np.concatenate(pairs_q), np.concatenate(pairs_r)
         nodes, place = np.unique(ids, return_inverse=True)
         root = nodes[_roots(len(nodes), place[a], place[b])]
         total = np.bincount(place, links, len(nodes)).astype(np.int64)
-        keep = total > 0
-        keep[np.unique(np.concatenate([place[a], place[b]]))] = True
+        keep = np.zeros(len(nodes), bool)
+        keep[np.concatenate([place[a], place[b]])] = True
         return pa.table([pa.array(nodes[keep]), pa.array(total[keep]), pa.array(root[keep])], schema=out_schema)
 
-    found = ws.save(dealt.select("cell", "r", "q", "query", "id", "m", "own", "u").groupBy("cell", "r", "q").applyInArrow(compare, "node long, links long, root long"))
+    found = ws.save(dealt.select("cell", F.col("g.r").alias("r"), F.col("g.q").alias("q"), F.col("g.asked").alias("asked"), "query", "mine", "id", "m", "own", "others", "vec").groupBy("cell", "r", "q", "asked").applyInArrow(compare, "node long, links long, root long"))
+    ws.drop(placed)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     return counts, found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
