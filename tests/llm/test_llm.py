@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from kinspark.llm import queries as q
+from kinspark.llm import url_filter
 from kinspark.llm.bpe import BpeCodec, SegmentTree, bpe_decode, bpe_encode, bpe_round_trip
 from kinspark.llm.common import table
 from kinspark.llm.components import connected_components
@@ -22,7 +23,7 @@ from kinspark.llm.exact_dedup import drop_copies, exact_dedup
 from kinspark.llm.language_id import UNDETERMINED, identify_language, keep_identified, training_sample
 from kinspark.llm.license_scan import LicenceAutomaton, scan_licenses, words_of
 from kinspark.llm.packing import Limits, Piece, VectorBinPacker, pack_conversations, pack_documents
-from kinspark.llm.secret_scan import KINDS, base_spans, find_secrets, redact_secrets, redacted, scan_secrets
+from kinspark.llm.secret_scan import KINDS, base_spans, find_secrets, learnt_identifiers, redact_secrets, redacted, scan_secrets
 from kinspark.llm.set_join import drop_near_copies, jaccard_components
 from kinspark.llm.shingles import shingle_sets
 from kinspark.llm.token_rollup import Rollup, counted, deleted, inserted, revised
@@ -206,6 +207,43 @@ def test_secret_novelty():
     assert redacted("abcdef", [(1, 0, 3), (2, 1, 4)]) == "a[SECRET]ef"
 
 
+def code(r, secret=None, kind="token"):
+    """A file of made-up code, with a secret in one of its settings."""
+    nouns = ["client", "session", "worker", "bucket", "queue", "handler", "request", "parser", "buffer", "account", "customer", "invoice", "registry", "scheduler"]
+    verbs = ["load", "open", "fetch", "parse", "merge", "flush", "render", "update", "validate", "dispatch"]
+    name = lambda: "_".join([r.choice(verbs), r.choice(nouns), r.choice(nouns)])
+    lines = []
+    for _ in range(30):
+        lines.append(r.choice([
+            f"def {name()}({r.choice(nouns)}, {r.choice(nouns)}_id=None):", f"    return {name()}({r.choice(nouns)}.{r.choice(verbs)}_{r.choice(nouns)}_v{r.randint(1, 9)})", f"import {r.choice(nouns)}_{r.choice(nouns)}",
+            f"    auth_header = build_authorization_header_v{r.randint(1, 3)}({r.choice(nouns)})", f"    credentials = {r.choice(nouns).title()}CredentialsProvider2.get_default_{r.choice(nouns)}_credentials()", f"    private_key_path = '/etc/{r.choice(nouns)}/{r.choice(nouns)}-private-key-2024.pem'",
+            f"# see https://example.com/docs/{r.choice(nouns)}/authorization-code-flow-{r.randint(1, 99)}.html", f"    cookie_name = 'session_cookie_{r.choice(nouns)}_{r.choice(nouns)}_{r.randint(1, 9)}'",
+        ]))
+    if secret is not None:
+        lines.insert(r.randint(5, 25), {"bearer": f'    headers["Authorization"] = "Bearer {secret}"', "credential": f"credential_{r.choice(nouns)} = '{secret}'", "signature": f"X-Signature: {secret}"}[kind])
+    return "\n".join(lines)
+
+
+def test_secret_recall_and_false_alarms_in_code(spark):
+    r = random.Random(11)
+    alphabets = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
+    clean = [code(r) for _ in range(300)]
+    planted = []
+    for kind in ("bearer", "credential", "signature"):
+        for letters in alphabets.values():
+            for n in (24, 40, 64):
+                for _ in range(10):
+                    secret = "".join(r.choice(letters) for _ in range(n - 1)) + "7"
+                    planted.append((code(r, secret, kind), secret))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, *(t for t, _ in planted)])], "doc_id long, text string")
+    words = learnt_identifiers(d)
+    assert b"scheduler" in words and not any(secret.encode() in words for _, secret in planted)
+    found = [any(t[a:b] in secret or secret in t[a:b] for a, _, b in find_secrets(t, words)[1]) for t, secret in planted]
+    false = [len(find_secrets(t, words)[1]) for t in clean]
+    assert sum(found) / len(found) >= 0.98
+    assert sum(1 for n in false if n) / len(false) <= 0.02
+
+
 def random_key(r, n):
     return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
 
@@ -470,6 +508,15 @@ def test_embeddings_of_several_lengths(spark):
     assert [(got[i].n_links, got[i].component_id) for i in range(360, 364)] == [(1, 360), (1, 360), (0, 362), (0, 363)]
 
 
+def test_license_chains_and_short_templates():
+    own = LicenceAutomaton({"two": ["alpha beta"], "long": [" ".join(f"w{i}" for i in range(40))]}, {})
+    assert [x[2] for x in own.scan(words_of("x alpha beta y"))[1]] == ["two"] and own.scan(words_of("alpha x beta"))[1] == []
+    # a chain goes on behind many others that began after it
+    head, tail = [f"w{i}" for i in range(16)], [f"w{i}" for i in range(16, 40)]
+    noise = [w for _ in range(4) for w in ("w36", "w37", "w38", "w39", "z")]
+    assert any(x[2] == "long" and x[3] >= 0.75 for x in own.scan([w.encode() for w in [*head, *noise, *tail]])[1])
+
+
 def test_token_counts_match_sql(spark, duck):
     compare(spark, duck, q.op10_token_counts, q.OP10_SQL)
 
@@ -482,11 +529,20 @@ def test_rollup_batches(spark, tmp_path):
     rollup.commit("revise", revised(rows))
     rollup.commit("remove", deleted(rows.filter("source = 't'")))
     rollup.commit("empty", inserted(rows.limit(0)))
-    (tmp_path / "rollup/batch-broken").mkdir()  # a batch without its success mark does not count
+    (tmp_path / "rollup/marks/batch%20broken").touch()  # a batch whose mark its writer has not finished does not count
     assert rollup.batches() == ["empty", "load/1", "remove", "revise"]
     got = {(r.source, r.lang): (r.docs, r.tokens) for r in rollup.totals().collect()}
     assert got == {("s", None): (2, 13), ("t", "en"): (0, 1)}
-    assert rollup.commit("broken", deleted(rows)) and counted(docs(spark)).count() == 2 * len(TEXTS)
+    assert rollup.compact() and rollup.commit("broken", deleted(rows)) and counted(docs(spark)).count() == 2 * len(TEXTS)
+    got = {(r.source, r.lang): (r.docs, r.tokens) for r in rollup.totals().collect()}
+    assert got == {("s", None): (0, 1), ("t", "en"): (-1, 0)} and len(rollup._parts()[0]) == 2 and rollup.compact() and len(rollup._parts()[0]) == 1
+    assert {(r.source, r.lang): (r.docs, r.tokens) for r in rollup.totals().collect()} == got
+    assert not rollup.commit("remove", deleted(rows.filter("source = 't'")), verify=True)
+    with pytest.raises(ValueError):
+        rollup.commit("remove", deleted(rows), verify=True)
+    late = Rollup(spark, rollup.path)
+    late.committed = lambda batch: False  # a second delivery that began before the first had ended
+    assert not late.commit("revise", revised(rows)) and {(r.source, r.lang): (r.docs, r.tokens) for r in rollup.totals().collect()} == got
 
 
 def test_url_query(spark):
@@ -508,6 +564,108 @@ def test_url_query(spark):
     assert judge_urls(pages.limit(0), q.URL_RULES).count() == 0
 
 
+def plain_template_tree(rows):
+    """{(host, path): (template, purity)} of (host, path, blocked or None), by the rules that the module states."""
+    paths = {}
+    for host, path, blocked in rows:
+        c = paths.setdefault((host, path), [0, 0, 0])
+        c[0] += 1
+        c[1] += blocked is True
+        c[2] += blocked is not None
+    tpl = {k: k[1].split("/")[1:] for k in paths}
+    while True:
+        children = defaultdict(Counter)
+        for (host, path), t in tpl.items():
+            for i, x in enumerate(t):
+                children[host, tuple(t[:i])][x] += paths[host, path][0]
+        new = {}
+        for (host, path), t in tpl.items():
+            own = []
+            for i, x in enumerate(t):
+                c = children[host, tuple(t[:i])]
+                if len(c) > url_filter.CHILDREN:
+                    if any(re.search("[0-9]", y) for y in c):
+                        x = re.sub("[0-9]+", "#", x)
+                    elif c[x] < url_filter.RARE * sum(c.values()):
+                        x = "*"
+                own.append(x)
+            new[host, path] = own
+        if new == tpl:
+            break
+        tpl = new
+    groups = {(h, tuple(t)): (tuple(t), ()) for (h, _), t in tpl.items()}
+    counts = defaultdict(lambda: [0, 0])
+    for (h, p), t in tpl.items():
+        counts[h, tuple(t)][0] += paths[h, p][1]
+        counts[h, tuple(t)][1] += paths[h, p][2]
+    while True:
+        held = defaultdict(lambda: [0, 0])
+        for (h, t), (g, tested) in groups.items():
+            held[h, g, tested][0] += counts[h, t][0]
+            held[h, g, tested][1] += counts[h, t][1]
+        places = defaultdict(list)
+        for h, g, tested in held:
+            for i, x in enumerate(g):
+                if i not in tested and x and not re.search("[#*{}]", x):
+                    places[h, (*g[:i], "{}", *g[i + 1 :])].append(((h, g, tested), i))
+        chosen = {}
+        for place, members in places.items():
+            if len(members) > 1:
+                for k, i in members:
+                    if k not in chosen or i > chosen[k][0]:
+                        chosen[k] = i, place
+        if not chosen:
+            break
+        met = defaultdict(list)
+        for k, (_, place) in chosen.items():
+            met[place].append(k)
+        step = {}
+        for place, members in met.items():
+            bad, known = (sum(held[k][j] for k in members) for j in (0, 1))
+            differs = {k: known > 0 and held[k][1] > 0 and abs(held[k][0] / held[k][1] - bad / known) > url_filter.MERGE_Z * ((bad / known) * (1 - bad / known) / held[k][1]) ** 0.5 + 1e-9 for k in members}
+            for k in members:
+                joins = len(members) > 1 and not differs[k] and not (held[k][1] == 0 and any(differs.values()))
+                step[k] = place[1] if joins else k[1], tuple(sorted((*k[2], chosen[k][0])))
+        groups = {(h, t): step.get((h, g, tested), (g, tested)) for (h, t), (g, tested) in groups.items()}
+    nodes = defaultdict(lambda: [0, 0])
+    for (h, t), (g, _) in groups.items():
+        for d in range(len(g) + 1):
+            nodes[h, d, g[:d]][0] += counts[h, t][0]
+            nodes[h, d, g[:d]][1] += counts[h, t][1]
+    bad, known = (sum(c[j] for c in counts.values()) for j in (0, 1))
+    out = {}
+    for (h, path), t in tpl.items():
+        g, p = groups[h, tuple(t)][0], bad / max(known, 1)
+        for d in range(len(g) + 1):
+            b, k = nodes[h, d, g[:d]]
+            p = (b + url_filter.SMOOTHING * p) / (k + url_filter.SMOOTHING)
+        out[h, path] = "/" + "/".join(g), p
+    return out
+
+
+def test_url_tree_equals_the_plain_form(spark, tmp_path):
+    r = random.Random(4)
+    rows = []
+    for host in ("a.com", "b.net", "c.org"):
+        for _ in range(500):
+            kind = r.choice(["news", "blog", "shop", "spam", "user", "new"])
+            path = {"news": f"/news/{r.randint(2000, 2020)}/{r.choice('abcdef')}.html", "blog": f"/{r.choice(['blog', 'diary', 'notes'])}/{r.randint(1, 99)}", "shop": "/shop/" + "/".join(r.choice("xyz") for _ in range(r.randint(0, 3))), "spam": f"/{r.choice(['win', 'bet'])}/{r.randint(1, 50)}/go", "user": f"/user/{r.choice('abcdefghij')}{r.choice('klmnopqrs')}/post/{r.choice(['x', 'y'])}", "new": f"/new/{r.randint(1, 30)}"}[kind]
+            blocked = None if kind == "new" or r.random() < 0.3 else r.random() < {"spam": 0.95, "shop": 0.5 * (host == "a.com")}.get(kind, 0.05)
+            rows.append((host, path, blocked))
+    rows += [("a.com", "", None), ("a.com", "/", True), ("d.com", "/" + "/".join(["deep"] * 60), None), ("d.com", "/one/1", None)]
+    got = {(x.host, x.path): (x.template, x.purity) for x in url_filter.template_tree(spark.createDataFrame(rows, "host string, path string, blocked boolean"), Workspace(spark, "test")).collect()}
+    want = plain_template_tree(rows)
+    assert set(got) == set(want) and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+    assert any("{}" in v[0] for v in got.values()) and any("*" in v[0] for v in got.values()) and got["b.net", "/win/1/go"][1] > url_filter.REJECT
+
+
+def test_url_tree_decides_pages_without_a_rule(spark):
+    rows = q.op2_urls(spark, SMALL.replace("sf0.001", "sf0.1")).collect()
+    assert {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
+    assert all((r.verdict == "block") == (r.purity > url_filter.REJECT) for r in rows if r.rule is None and r.purity is not None)
+
+
 def test_url_templates_learn_from_labels(spark):
     rows = [(i, f"http://h.net/bad/{i}.html") for i in range(60)] + [(100 + i, f"http://h.net/good/{i}.html") for i in range(60)] + [(200 + i, f"http://h.net/new/{i}/x") for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
