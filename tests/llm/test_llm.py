@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -13,14 +14,14 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from kinspark.llm import language_id, url_filter
 from kinspark.llm import queries as q
-from kinspark.llm import url_filter
 from kinspark.llm.bpe import BpeCodec, SegmentTree, bpe_decode, bpe_encode, bpe_round_trip
 from kinspark.llm.common import table
 from kinspark.llm.components import connected_components
 from kinspark.llm.embedding_dedup import near_duplicates
 from kinspark.llm.exact_dedup import drop_copies, exact_dedup
-from kinspark.llm.language_id import UNDETERMINED, identify_language, keep_identified, training_sample
+from kinspark.llm.language_id import UNDETERMINED, CrossParser, identify_language, keep_identified, training_sample
 from kinspark.llm.license_scan import LicenceAutomaton, scan_licenses, words_of
 from kinspark.llm.packing import Limits, Piece, VectorBinPacker, pack_conversations, pack_documents
 from kinspark.llm.secret_scan import KINDS, base_spans, find_secrets, learnt_identifiers, redact_secrets, redacted, scan_secrets
@@ -380,6 +381,57 @@ def test_language_on_held_out_documents(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) / len(held) >= 0.95 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_phrases_equal_brute_force():
+    r = random.Random(8)
+    pool = "abcdeéß  日本語한국.,1😀"
+    sample = tuple((lang, "".join(r.choice(pool[k : k + 12]) for _ in range(300))) for k, lang in enumerate(("x", "y", "z")))
+    parser = CrossParser(sample)
+    texts = ["".join(r.choice(pool + "qΩ語") for _ in range(r.randint(0, 120))) for _ in range(200)]
+
+    def classes(text):  # letters as they are, each run of others as one mark, the letters that no sample has as another
+        known = {c for _, t in sample for c in t.lower() if c.isalpha()}
+        return re.sub("_+", "_", "".join("_" if not c.isalpha() else c if c in known else "?" for c in text.lower())).lstrip("_")
+
+    for text, got in zip(texts, parser.entropies(texts), strict=True):
+        t = classes(text)
+        if not any(c != "_" for c in t):
+            assert got is None
+            continue
+        for lang, found in zip("xyz", got, strict=True):
+            s = classes(" ".join(x for k, x in sample if k == lang))
+            count, held = 1, ""
+            for c in t:
+                if c != "?" and held + c in s:
+                    held += c
+                else:
+                    count, held = count + 1, c if c != "?" and c in s else ""
+            assert found == pytest.approx(count * math.log2(len(s)) / len(t))
+    long = "日本語한국 abc " * 30
+    assert parser.entropies([long * 40])[0] == pytest.approx(parser.entropies([long])[0], rel=0.2)
+
+
+def test_language_of_many_letters(spark):
+    r = random.Random(9)
+    scripts = {"zh": [chr(0x4E00 + i) for i in range(3000)], "ja": [chr(0x3041 + i) for i in range(80)] + [chr(0x4E00 + 7 * i) for i in range(200)], "ko": [chr(0xAC00 + 5 * i) for i in range(1500)], "en": list("abcdefghijklmnopqrstuvwxyz"), "ru": [chr(0x430 + i) for i in range(32)]}
+    words = {k: ["".join(r.choice(v) for _ in range(r.randint(1, 3) if len(v) > 100 else r.randint(2, 8))) for _ in range(600)] for k, v in scripts.items()}
+
+    def text(k, n):
+        return (" " if len(scripts[k]) < 100 else "").join(r.choice(words[k]) for _ in range(n))
+
+    sample = [(k, text(k, 4000)) for k in scripts]
+    rows = [(i, text(k, r.randint(8, 60)), k) for i, k in enumerate(sorted(scripts) * 40)]
+    got = {x.doc_id: x.lang_pred for x in identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample).collect()}
+    assert sum(got[i] == k for i, _, k in rows) / len(rows) >= 0.98
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_LANGS", 3)
+    rows = [(i, "word " * 30_000, "big") for i in range(5)] + [(10 + i, f"text {i}", f"l{i % 4}") for i in range(9)] + [(None, "no id", "big"), (30, None, "big"), (31, "no language", None)]
+    found = training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert Counter(k for k, _ in found) == {"big": 1, "l0": 3, "l1": 2}
+    assert all(len(t) <= language_id.SAMPLE_CHARS for _, t in found) and len({k for k, _ in found}) == 3
+
+
 def test_language_edges(spark):
     d = docs(spark, [*TEXTS, "123 !!", "日本語"])
     assert {r.lang_pred for r in identify_language(d, []).collect()} == {UNDETERMINED}
@@ -692,6 +744,66 @@ def test_pipeline(spark):
     assert set(after["exact_dedup"]) == set(best.values())
     comps = brute_components([(i, r.text) for i, r in after["exact_dedup"].items()], 5, 80)
     assert set(after["near_dedup"]) == {i for i, (_, c) in comps.items() if i == c}
-    assert {i: redacted(r.text, find_secrets(r.text)[1]) for i, r in after["near_dedup"].items()} == {i: r.text for i, r in after["secret_scan"].items()}
+    words = learnt_identifiers(stage_docs["near_dedup"])
+    assert {i: redacted(r.text, find_secrets(r.text, words)[1]) for i, r in after["near_dedup"].items()} == {i: r.text for i, r in after["secret_scan"].items()}
     assert all(r.n_chars == len(r.text) for r in after["secret_scan"].values())
     assert {r.doc_id for r in stage_docs["packing"].collect()} == set(after["secret_scan"])
+
+
+CLASHING = ["k", "t", "id", "key", "norm", "doc", "n", "part", "rep", "comp", "spans", "host", "path", "template", "purity", "docs", "tokens", "tokenizer", "rule", "verdict", "length", "start", "keep_id", "own"]
+
+
+def test_pipeline_edges(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    prose = [r for r in table(spark, SMALL, "documents").filter("lang is not null and length(text) between 300 and 3000").orderBy("doc_id").limit(60).collect()]
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in prose]
+    a, b, c = (r.text for r in prose[:3])
+    odd = [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "12 !!", "en", "s", 5), (None, a + " one tail of its own", "en", "s", 1), (None, b[::-1], None, "s", 1), (910, " ".join(sorted(b.split())), "en", "s", 1), (910, " ".join(reversed(a.split())), "en", "s", 1), (-5, " ".join(reversed(b.split())), "en", "s", 1)]
+    odd += [odd[-1], odd[-2], (911, "password = hunter2hunter2 " + " ".join(sorted(c.split())), "en", "s", None)]
+    d = spark.createDataFrame(base + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    d = d.select("*", *(F.lit(x).alias(x) for x in CLASHING))
+    for docs_in in (d, d.drop("lang", "n_chars"), d.limit(0)):
+        current, ws = docs_in, Workspace(spark, "test")
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            before, current = current, ws.save(stage(spark, current, SMALL))
+            assert current.columns == docs_in.columns, name
+        rows = current.collect()
+        packed = corpus_pipeline.STAGES[4][1](spark, current, SMALL).collect()
+        assert sum(1 for r in packed if r.start == 0) == len(rows)
+        if docs_in is d:
+            kept = Counter((r.doc_id, r.text) for r in rows)
+            assert max(kept.values()) == 1 and not {900, 901, 902} & {i for i, _ in kept}
+            texts = [t for _, t in kept]
+            assert sum(i == 910 for i, _ in kept) == 2 and sum(i == -5 for i, _ in kept) == 1 and [t.startswith("[SECRET]") for i, t in kept if i == 911] == [True]
+            assert all(sum(x in (t, t + " one tail of its own") or x.startswith(t) for x in texts) >= 1 for t in (a, b, c) if Counter(r.text for r in prose)[t] == 1)
+        elif docs_in.isEmpty():
+            assert not rows and not packed
+        else:
+            assert sum(not (r.text or "") for r in rows) == 1  # null and empty texts are copies of one another
+
+
+def test_operators_read_no_clashing_columns(spark):
+    d = docs(spark).select("*", *(F.lit("x").alias(x) for x in CLASHING))
+    plain = docs(spark)
+    same = [
+        lambda x: bpe_round_trip(x, PATH), lambda x: pack_documents(x, PATH).select("doc_id", "start", "length", "ids_crc32"), lambda x: scan_secrets(x), lambda x: jaccard_components(x),
+        lambda x: identify_language(x, [("a", "some words"), ("b", "ganz andere")]), lambda x: scan_licenses(x), lambda x: exact_dedup(x),
+    ]
+    for run in same:
+        assert sorted(map(str, run(d).collect())) == sorted(map(str, run(plain).collect()))
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<float>")
+    assert sorted(near_duplicates(v.select("*", *(F.lit("x").alias(x) for x in CLASHING))).collect()) == sorted(near_duplicates(v).collect())
+    p = spark.createDataFrame([(i, f"http://a.com/x/{i}") for i in range(20)], "page_id long, url string")
+    assert sorted(judge_urls(p.select("*", *(F.lit("x").alias(x) for x in CLASHING)), q.URL_RULES).collect()) == sorted(judge_urls(p, q.URL_RULES).collect())
+    c = counted(d.withColumns({"source": F.lit("s"), "lang": F.lit("l")}))
+    assert c.columns == ["source", "lang", "tokenizer", "tokens"] and c.count() == 2 * len(TEXTS)
+
+
+def test_set_join_of_one_very_long_text(spark):
+    r = random.Random(3)
+    words = [f"w{r.randint(0, 40_000)}" for _ in range(900_000)]
+    long = " ".join(words)
+    rows = [(1, long), (2, long + " one more word"), (3, " ".join(words[:600_000])), (4, "x" * 700_000), (5, "X" * 700_000), (6, "x" * 700_001), (7, None)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (len({tuple(words[i : i + 4]) for i in range(len(words) - 3)}), 1) and got[2][1] == 1 and got[3][1] == 3
+    assert (got[4], got[5], got[6], got[7]) == ((1, 4), (1, 4), (1, 6), (0, 7))
