@@ -2,6 +2,12 @@
 
 Each stage works on all rows that the one before it kept; what lies between two stages is a Parquet table in the shared
 folder, so a lost executor repeats a part of one stage only.
+
+Cases: an empty table passes through; a null or empty text, or one without a letter, goes in the first stage where there
+are labelled rows to learn from (else nothing is judged there and it counts as an empty text: copies of one another, of
+which one stays and is packed as its end mark); rows that repeat an id and a text become one; rows that share an id but
+not their text, and rows without an id, are documents of their own and stay; texts of any length are read whole; extra
+columns stay as they are until the packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +26,8 @@ from kinspark.llm.workspace import Workspace
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or in which no language stands out, go."""
-    return keep_identified(docs, training_sample(docs))
+    """Texts without a letter, or in which no language stands out, go; without labelled rows none is judged."""
+    return keep_identified(docs, training_sample(docs) if "lang" in docs.columns else [])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
