@@ -14,7 +14,7 @@ from kinspark.llm.embedding_dedup import near_duplicates
 from kinspark.llm.exact_dedup import exact_dedup
 from kinspark.llm.language_id import fold, identify_language, training_sample
 from kinspark.llm.license_scan import scan_licenses
-from kinspark.llm.packing import pack_documents
+from kinspark.llm.packing import pack_conversations, pack_documents
 from kinspark.llm.secret_scan import scan_secrets
 from kinspark.llm.set_join import jaccard_components
 from kinspark.llm.token_rollup import TOKENIZERS, Rollup, counted, deleted, inserted, revised
@@ -51,6 +51,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in sequences of at most 4096 tokens, 64 examples and 4096 tokens that bear loss."""
+    return pack_conversations(table(spark, sf_dir, "conversations"), vocabulary_path())
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -150,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_embeddings": op9_embeddings,
         "op10_token_counts": op10_token_counts,
+        "instruction_packing": instruction_packing,
     }
 
 

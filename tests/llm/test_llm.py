@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from kinspark.llm import language_id, url_filter
+from kinspark.llm import embedding_dedup, language_id, url_filter
 from kinspark.llm import queries as q
 from kinspark.llm.bpe import BpeCodec, SegmentTree, bpe_decode, bpe_encode, bpe_round_trip
 from kinspark.llm.common import table
@@ -154,6 +154,22 @@ def test_packing_of_very_short_texts():
         assert all(len(b) == 2048 or sum(len(p.ids) for p in b) > 4096 - 4 for b in whole[:-1])
 
 
+def test_packing_of_short_documents_in_one_partition(spark, library):
+    d = spark.createDataFrame([(i, "word" if i % 3 else None) for i in range(6000)], "doc_id long, text string").coalesce(1)
+    one = len(library.encode("word", add_special_tokens=False).ids)
+    rows = pack_documents(d, PATH).collect()
+    want = {i: [*(library.encode("word", add_special_tokens=False).ids if i % 3 else []), 2] for i in range(6000)}
+    assert check_packing(rows, want) <= 0.01 * sum(r.length for r in rows) and one == 1
+
+
+def test_instruction_packing_query(spark):
+    rows, sequences = q.instruction_packing(spark, SMALL).collect(), defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append(r)
+    assert {r.conv_id for r in rows} == {r.conv_id for r in table(spark, SMALL, "conversations").collect()}
+    assert all(sum(r.length for r in own) <= 4096 and len(own) <= 64 and sum(r.n_loss for r in own) <= 4096 for own in sequences.values())
+
+
 def test_packing_of_conversations(spark):
     c = table(spark, SMALL, "conversations")
     many = spark.createDataFrame([(10**6, i, "assistant" if i % 2 else None, "word " * (9000 if i == 7 else i % 50)) for i in range(600)] + [(None, None, None, None)] * 2, "conv_id long, turn long, role string, text string")
@@ -546,6 +562,18 @@ def test_embeddings_recall(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 48)
+    x = vectors(1500, 64, 5).astype(np.float32)
+    x = np.concatenate([x, x[:300] + np.float32(0.002) * np.random.default_rng(6).normal(size=(300, 64)).astype(np.float32), np.repeat(x[7:8], 200, 0) + np.float32(0.05) * np.random.default_rng(7).normal(size=(200, 64)).astype(np.float32), x[:5] * np.float32(2)])
+    got = {r.vec_id: r for r in near_duplicates(spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = unit @ unit.T >= 0.9
+    np.fill_diagonal(want, False)
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= want.sum(1)).all() and found.sum() >= 0.95 * want.sum() > 40_000
+
+
 def test_embeddings_of_several_lengths(spark):
     x, y = vectors(240, 64, 1), vectors(120, 48, 2)
     rows = [(i, [float(v) for v in row]) for i, row in enumerate([*x, *y])] + [(360, [2.0]), (361, [5.0]), (362, [-1.0]), (363, [1.0, 2.0, 3.0])]
