@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of vectors (as Catalyst estimates them) in a block of the database and of the queries.
@@ -140,23 +140,7 @@ def cosine_top1(queries: DataFrame, database: DataFrame, blocks: tuple[int, int]
     return best.select("query_id", "desc_id", "name", (-F.col("dist")).alias("similarity"))
 
 
-def lsh_knn(queries: DataFrame, database: DataFrame, n: int, dim: int, tables: int = 8, width: float = 0.5, reach: float = 1.5, seed: int = 42) -> DataFrame:
-    """Approximate form of knn_join by random projections: rows within `reach` that share a bucket in one table at least."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def vec(df: DataFrame, c: str) -> DataFrame:
-        return df.withColumn("features", array_to_vector(F.col(c).cast("array<double>")))
-
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed)
-    q, d = vec(queries, "query_vec"), vec(database, "vec")
-    near = model.fit(d).approxSimilarityJoin(q, d, reach, "dist")
-    rows = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.desc_id").alias("desc_id"), F.col("datasetB.name").alias("name"), "dist")
-    w = Window.partitionBy("query_id").orderBy("dist", "desc_id")
-    return rows.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n)
-
-
-def recall_at(exact: DataFrame, found: DataFrame) -> Column:
+def recall_at(exact: DataFrame, found: DataFrame) -> DataFrame:
     """Share of the exact neighbours that the approximate join found, as a one-row DataFrame."""
     hit = exact.join(found.select("query_id", "desc_id").distinct().withColumn("hit", F.lit(1)), ["query_id", "desc_id"], "left")
     return hit.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kinspark.functions.vectors import l2_normalize
 from kinspark.operators import evaluation as ev
 from kinspark.operators import features as ft
 from kinspark.operators import matching as mt
+from kinspark.operators.ann import AnnIndex
 from kinspark.operators.fusion import log_opinion_pool as pool
-from kinspark.plans.tables import descriptors, queries_and_database, table
+from kinspark.plans.tables import descriptors, queries_and_database, shared_folder, table
 
 KS = [1, 3, 5, 10]
 _PARTS = """
@@ -175,15 +178,29 @@ select config, printf('%.1f', 100 * avg((rank <= 1)::int)) as top_1, printf('%.1
 printf('%.1f', 100 * avg((rank <= 5)::int)) as top_5, 'N/A' as top_100 from t group by config"""
 
 
-def lsh_knn(spark, sf_dir):
+def _found(spark, sf_dir):
+    """Exact and approximate neighbours of the queries; the index is kept in a folder and read again."""
     q, db = queries_and_database(spark, sf_dir)
-    return mt.lsh_knn(q.select("query_id", "query_vec"), db.select("desc_id", "vec", "name"), 3, 64).select("query_id", "desc_id", "name", "rk")
+    q, db = q.select("query_id", "query_vec"), db.select("desc_id", "vec", "name")
+    folder = f"{shared_folder(spark)}/kinspark-index-{uuid.uuid4().hex}"
+    AnnIndex.fit(db, folder, 3)
+    return mt.knn_join(q, db, 3), AnnIndex.load(spark, folder).search(q, 3)
+
+
+def ann_search(spark, sf_dir):
+    return _found(spark, sf_dir)[1].select("query_id", "desc_id", "name", "rk")
 
 
-def lsh_recall(spark, sf_dir):
+def ann_recall(spark, sf_dir):
+    return mt.recall_at(*_found(spark, sf_dir))
+
+
+def ann_search_all_cells(spark, sf_dir):
+    """With every cell probed the index finds what the exact join finds."""
     q, db = queries_and_database(spark, sf_dir)
-    q, db = q.select("query_id", "query_vec"), db.select("desc_id", "vec", "name")
-    return mt.recall_at(mt.knn_join(q, db, 3), mt.lsh_knn(q, db, 3, 64))
+    index = AnnIndex.fit(db.select("desc_id", "vec", "name"), f"{shared_folder(spark)}/kinspark-index-{uuid.uuid4().hex}", 3)
+    found = index.search(q.select("query_id", "query_vec"), 3, probe=len(index.centers))
+    return found.select("query_id", "desc_id", "name", F.round("dist", 6).alias("dist"), "rk")
 
 
 def pca_project(spark, sf_dir):
@@ -215,8 +232,9 @@ QUERIES = {
     "probability_rank": (probability_rank, f"select sample_id as image_id, class_id as name, p, row_number() over (partition by sample_id order by p desc, class_id) as rank from ({_POOL})"),
     "precision_recall_f1": (precision_recall, _PRF),
     "results_pivot": (results_pivot, _PIVOT),
-    "lsh_knn": (lsh_knn, None),
-    "lsh_recall": (lsh_recall, None),
+    "ann_search": (ann_search, None),
+    "ann_recall": (ann_recall, None),
+    "ann_search_all_cells": (ann_search_all_cells, f"with {_PARTS} select q.id as query_id, db.id as desc_id, db.name, round(list_distance(q.v, db.v), 6) as dist, row_number() over (partition by q.id order by list_distance(q.v, db.v), db.id) as rk from q, db qualify rk <= 3"),
     "pca_project": (pca_project, None),
     "ovr_svm": (ovr_svm, None),
 }

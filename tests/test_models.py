@@ -12,6 +12,7 @@ from kinspark.models.appearance import AppearanceIdentifier, AppearanceModel, ca
 from kinspark.models.contour import ContourIdentifier, ContourModel, identify
 from kinspark.operators import features as ft
 from kinspark.operators import matching as mt
+from kinspark.operators.ann import AnnIndex
 from kinspark.operators.curvature import curvature_at, curvatures
 from kinspark.operators.numbering import numbered
 from kinspark.schemas import CONTOUR_CACHE, FACE_CACHE, MASK_CACHE
@@ -241,3 +242,28 @@ def test_matches_in_blocks(spark):
                 got.setdefault(x.query_id, []).append((x.rk, x.desc_id))
             assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: w for i, w in want.items() if w}
     assert mt.best_matches(q, d.limit(0), 3).count() == 0 and mt.best_matches(q.limit(0), d, 3).count() == 0
+
+
+def test_ann_index(spark, tmp_path):
+    r = np.random.default_rng(7)
+    centers = r.normal(size=(40, 16)) * 3
+    x = (centers[r.integers(0, 40, 6000)] + r.normal(size=(6000, 16))).astype(np.float32)
+    db = spark.createDataFrame([(i, str(i % 9), [float(c) for c in v], i % 2) for i, v in enumerate(x[:5800])] + [(9999, "z", None, 0)], "desc_id long, name string, vec array<float>, view int")
+    q = spark.createDataFrame([(i, [float(c) for c in v], i % 2) for i, v in enumerate(x[5800:])], "query_id long, query_vec array<float>, view int")
+    AnnIndex.fit(db, str(tmp_path / "i"), 5)
+    index = AnnIndex.load(spark, str(tmp_path / "i"))
+    assert index.probe < len(index.centers) and index.rows.count() == 5800
+    exact = mt.knn_join(q, db, 5, ["view"])
+    assert mt.recall_at(exact, index.search(q, 5, ["view"])).first().recall >= 0.9
+    same = index.search(q, 5, ["view"], probe=len(index.centers)).select("query_id", "view", "desc_id", "rk")
+    assert sorted(same.collect()) == sorted(exact.select("query_id", "view", "desc_id", "rk").collect())
+    with pytest.raises(ValueError):
+        sinks.write_record(spark, str(tmp_path / "x/index"), {"kind": "contour"})
+        AnnIndex.load(spark, str(tmp_path / "x"))
+
+
+def test_ann_query_reaches_its_recall(spark):
+    from kinspark.plans import identification
+    from tests.conftest import DATA
+
+    assert identification.QUERIES["ann_recall"][0](spark, str(DATA / "sf0.01")).first().recall >= 0.9
