@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from kinspark.functions.vectors import l2_normalize
@@ -12,7 +10,7 @@ from kinspark.operators import features as ft
 from kinspark.operators import matching as mt
 from kinspark.operators.ann import AnnIndex
 from kinspark.operators.fusion import log_opinion_pool as pool
-from kinspark.plans.tables import descriptors, queries_and_database, shared_folder, table
+from kinspark.plans.tables import descriptors, queries_and_database, scratch_folder, table
 
 KS = [1, 3, 5, 10]
 _PARTS = """
@@ -182,7 +180,7 @@ def _found(spark, sf_dir):
     """Exact and approximate neighbours of the queries; the index is kept in a folder and read again."""
     q, db = queries_and_database(spark, sf_dir)
     q, db = q.select("query_id", "query_vec"), db.select("desc_id", "vec", "name")
-    folder = f"{shared_folder(spark)}/kinspark-index-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "index")
     AnnIndex.fit(db, folder, 3)
     return mt.knn_join(q, db, 3), AnnIndex.load(spark, folder).search(q, 3)
 
@@ -198,7 +196,7 @@ def ann_recall(spark, sf_dir):
 def ann_search_all_cells(spark, sf_dir):
     """With every cell probed the index finds what the exact join finds."""
     q, db = queries_and_database(spark, sf_dir)
-    index = AnnIndex.fit(db.select("desc_id", "vec", "name"), f"{shared_folder(spark)}/kinspark-index-{uuid.uuid4().hex}", 3)
+    index = AnnIndex.fit(db.select("desc_id", "vec", "name"), scratch_folder(spark, "index"), 3)
     found = index.search(q.select("query_id", "query_vec"), 3, probe=len(index.centers))
     return found.select("query_id", "desc_id", "name", F.round("dist", 6).alias("dist"), "rk")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from kinspark.models import prepare
@@ -14,19 +12,15 @@ from kinspark.operators import features as ft
 from kinspark.operators.curation import MIN_IMAGES
 from kinspark.plans.curating import _CUT
 from kinspark.plans.identification import _CONTRIBUTIONS, _PARTS
-from kinspark.plans.tables import boxes, catalogue, descriptors, shared_folder, table
+from kinspark.plans.tables import boxes, catalogue, descriptors, scratch_folder, table
 
 _KS = [1, 3, 5, 10]
 
 
-def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/kinspark-model-{uuid.uuid4().hex}"
-
-
 def _contour_model(spark, sf_dir) -> ContourModel:
     """Database descriptors of odd vectors stand for the left view; kept in a folder and read again."""
     d = descriptors(spark, sf_dir).withColumn("view", F.when(F.col("view") == 1, "left").otherwise("right"))
-    folder = _folder(spark)
+    folder = scratch_folder(spark, "model")
     ContourIdentifier().fit_descriptors(d.filter("not is_query"), folder)
     return ContourModel.load(spark, folder)
 
@@ -69,7 +63,7 @@ def _centroids(spark, sf_dir) -> AppearanceModel:
     """A model of class means, kept in a folder and read again."""
     d = descriptors(spark, sf_dir).filter("not is_query").withColumn("class_idx", F.col("name").cast("int"))
     head = ft.centroid_classifier(d, "vec", "class_idx")
-    folder = _folder(spark)
+    folder = scratch_folder(spark, "model")
     AppearanceModel(AppearanceIdentifier(), head, [str(i) for i in range(len(head.weights))]).save(spark, folder)
     return AppearanceModel.load(spark, folder)
 

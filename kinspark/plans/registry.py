@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinspark.plans import curating, exchange, geometry, identification, models, parsing
+from kinspark.plans import curating, exchange, files, geometry, identification, models, parsing
 
-_ALL = identification.QUERIES | curating.QUERIES | geometry.QUERIES | parsing.QUERIES | exchange.QUERIES | models.QUERIES
+_ALL = identification.QUERIES | curating.QUERIES | geometry.QUERIES | parsing.QUERIES | exchange.QUERIES | files.QUERIES | models.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

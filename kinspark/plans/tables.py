@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,19 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="kinspark-")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted at the driver's end if the session then still lives."""
+    folder = f"{shared_folder(spark)}/kinspark-{name}-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        with contextlib.suppress(Exception):
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    atexit.register(clear)
+    return folder
+
+
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as descriptors: label is the individual; view, scale and image come from the id; a fifth of all are queries."""
     v = F.col("vec_id")

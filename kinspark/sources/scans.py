@@ -11,7 +11,7 @@ from kinspark.operators.numbering import numbered
 
 
 def images(spark: SparkSession, folder: str, recursive: bool = True, content: bool = False) -> DataFrame:
-    """Image files below a folder: (path, file_name, individual, view, length, content?)."""
+    """Image files below a folder: (path, file_name, individual, view, length, content?). Files without a byte are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     out = files.filter(is_image(F.col("path"))).select("path", base_name(F.col("path")).alias("file_name"), "length", *(["content"] if content else []))
     return out.withColumn("individual", individual(F.col("path"))).withColumn("view", view_strict(F.col("path")))
