@@ -99,8 +99,7 @@ class ContourModel:
         that the model does not have, has no rows."""
         asked = queries.select("image_id", "view").distinct()
         found = asked.select(F.struct("image_id", "view").alias("image_id"), "view")
-        names = self.database.select("view", "name").distinct()
-        every = found.join(names, "view")  # names of one view to the pictures of that view: the size of the answer
+        every = mt.with_names(found, self.database.select("view", "name"), ["view"])
         hits = self.hits(queries, k).select(F.struct("image_id", "view").alias("image_id"), "name", "score")
         scores = every.join(hits, ["image_id", "name"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return mt.rank_names(scores.select("image_id", "name", F.round("score", 9).alias("score"))).select("image_id.image_id", "image_id.view", "name", "score", "rank")

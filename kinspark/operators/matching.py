@@ -114,6 +114,14 @@ def lnbnn_hits(contributions: DataFrame, owners: DataFrame) -> DataFrame:
     return contributions.join(owners, "query_id").groupBy("image_id", "name").agg(F.sum("contribution").alias("score"))
 
 
+def with_names(images: DataFrame, names: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """images with every name, among rows with equal `by`. The names meet the images in NAME_PARTS lists."""
+    by = by or []
+    lists = names.groupBy(*by, F.pmod(F.xxhash64("name"), F.lit(NAME_PARTS)).alias("__part")).agg(F.collect_set("name").alias("__names"))
+    parts = images.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))))
+    return parts.join(lists, [*by, "__part"]).select(*images.columns, F.explode("__names").alias("name"))
+
+
 def lnbnn_scores(contributions: DataFrame, owners: DataFrame, names: DataFrame) -> DataFrame:
     """(image_id, name, score) of every image and name: contributions summed over an image's descriptors; names never hit have 0.
 
@@ -122,9 +130,7 @@ def lnbnn_scores(contributions: DataFrame, owners: DataFrame, names: DataFrame)
     hit matter, lnbnn_hits is enough.
     """
     hits = lnbnn_hits(contributions, owners)
-    lists = names.groupBy(F.pmod(F.xxhash64("name"), F.lit(NAME_PARTS)).alias("part")).agg(F.collect_set("name").alias("names"))
-    images = owners.select("image_id").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))))
-    every = images.join(lists, "part").select("image_id", F.explode("names").alias("name"))
+    every = with_names(owners.select("image_id").distinct(), names)
     return every.join(hits, ["image_id", "name"], "left").select("image_id", "name", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
