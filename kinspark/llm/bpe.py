@@ -41,8 +41,30 @@ _POS = 32
 _FAR, _COLUMN = (1 << 31) - 1, 6
 #: White space of the vocabulary's rules (Unicode White_Space), which differs from str.split() in U+001C-U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-#: Characters whose case, class or normal form may depend on the Unicode version: those texts use the library's own rules.
-_UNSETTLED = re.compile("[\x1c-\x1f]|[^\x00-ԯ]")
+#: White space beyond ASCII that cuts texts like a blank.
+_BLANKS = {c: " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
+
+
+def _settled(c: int) -> bool:
+    """Whether case, class and normal form of a character are the same by any version of Unicode that a library may have."""
+    if c <= 0x52F or c in _BLANKS or 0x1F300 <= c <= 0x1FAFF:  # the last are signs or unassigned, which are cut alike
+        return not 0x1C <= c <= 0x1F
+    ch, old = chr(c), unicodedata.ucd_3_2_0
+    kind = unicodedata.category(ch)
+    same = kind == old.category(ch) and kind[0] in "LNPS" and unicodedata.combining(ch) == 0
+    return same and unicodedata.normalize("NFC", ch) == ch and len(ch.lower()) == 1 and not 0x1100 <= c <= 0x11FF
+
+
+def _ranges(keep) -> str:
+    """The characters below U+20000 that are kept, as ranges of a regular expression."""
+    flags = np.fromiter(map(keep, range(0x20000)), bool, 0x20000)
+    flags[0xD800:0xE000] = False
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist())
+
+
+#: Other characters: texts that have them are normalised and cut by the library's own rules.
+_UNSETTLED = re.compile(f"[^{_ranges(_settled)}]")
 
 
 class SegmentTree:
@@ -279,11 +301,13 @@ class BpeCodec:
 
     def _plain(self, text: str) -> str | None:
         """The text as it is cut at white space; None if it has rare characters."""
-        if text.isascii():
-            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.lower()
-        if _UNSETTLED.search(text) is not None:
+        latin = _is_latin(text)
+        if any(c in text for c in "\x1c\x1d\x1e\x1f") if latin else _UNSETTLED.search(text) is not None:
             return None
-        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower().replace("\x85", " ").replace("\xa0", " ")
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        return text.replace("\x85", " ").replace("\xa0", " ") if latin else text.translate(_BLANKS)
 
     def _parts(self, text: str | None) -> list[str | int | list[int]]:
         """What a text is made of: plain texts, special tokens, and ids of what has rare characters."""
@@ -345,6 +369,15 @@ class BpeCodec:
         return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(ids)], pa.int64()), self.spaced.take(pa.array(ids))), b"")[0].as_py()[:-1] if len(ids) else b""
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _blocks(text: str) -> Iterator[str]:
     """A plain text in blocks that end before white space."""
     start = 0
@@ -358,7 +391,7 @@ def _blocks(text: str) -> Iterator[str]:
 def _kinds() -> np.ndarray:
     """0 white space, 1 letter, 2 number, 3 any other, of the characters that a plain text may have."""
     kind = {"L": 1, "N": 2}
-    out = np.array([kind.get(unicodedata.category(chr(c))[0], 3) for c in range(0x3000)], np.uint8)
+    out = np.array([kind.get(unicodedata.category(chr(c))[0], 3) for c in range(0x20000)], np.uint8)
     out[[9, 10, 11, 12, 13, 32]] = 0
     return out
 
@@ -392,7 +425,7 @@ def _pre_tokens(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
     if code.dtype == np.uint8:
         width = kind != 0
     else:
-        width = ((kind != 0) * (1 + (code >= 0x80).view(np.uint8) + (code >= 0x800))).astype(np.uint8)
+        width = ((kind != 0) * (1 + (code >= 0x80).view(np.uint8) + (code >= 0x800) + (code >= 0x10000))).astype(np.uint8)
     at = np.flatnonzero(begins & (kind != 0))
     bytes_before = np.concatenate([[0], np.cumsum(width)])
     offsets = np.append(bytes_before[at], bytes_before[-1])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from kinspark.llm import embedding_dedup, language_id, url_filter
+from kinspark.llm import bpe, embedding_dedup, language_id, url_filter
 from kinspark.llm import queries as q
 from kinspark.llm.bpe import BpeCodec, SegmentTree, bpe_decode, bpe_encode, bpe_round_trip
 from kinspark.llm.common import table
@@ -75,6 +75,21 @@ def test_bpe_equals_the_library(library):
         assert bpe.texts_of(ids).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_every_character(library):
+    own = BpeCodec(PATH)
+    chars = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and (bpe._settled(c) or c % 97 == 0)]
+    texts = [f"a{c}b {c}{c} 1{c}2 '{c}s x\u0301{c} {c}\u0301" for c in chars]
+    for text, ids in zip(texts, own.encode_many(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_bpe_of_long_texts(library):
+    own, part = BpeCodec(PATH), "the quick brown fox's jumps \u00fcber 12 lazy dogs\u2019 "
+    ids = next(own.encode_many([part * 100_000]))
+    want = library.encode(part, add_special_tokens=False).ids
+    assert (ids.reshape(-1, len(want)) == want).all()
+
+
 def test_bpe_query(spark, library):
     got = {r.doc_id: r for r in q.op1_bpe(spark, SMALL).collect()}
     for r in table(spark, SMALL, "documents").collect():
