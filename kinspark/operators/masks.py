@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +44,23 @@ def overlap(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> bool:
 def absorb_tusks(masks: DataFrame) -> DataFrame:
     """(image_id, idx, runs) of the body masks after each took in the tusks that overlap it, one after the other:
     a tusk may overlap only what an earlier one added. masks: (image_id, kind body or tusk, idx, runs)."""
+    run_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    schema = pa.schema([("image_id", pa.int64()), ("idx", pa.int32()), ("runs", run_type)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        runs = {k: [(i, [(r["start"], r["stop"]) for r in rs]) for i, rs in zip(g.idx, g.runs, strict=True)] for k, g in pdf.groupby("kind")}
-        out = []
-        for i, body in runs.get("body", []):
-            for _, tusk in runs.get("tusk", []):
-                if overlap(body, tusk):
-                    body = merge(body, tusk)
-            out.append((pdf.image_id.iloc[0], int(i), [{"start": s, "stop": e} for s, e in body]))
-        return pd.DataFrame(out, columns=["image_id", "idx", "runs"])
-
-    return masks.groupBy("image_id").applyInPandas(run, f"image_id long, idx int, runs {_RUNS}")
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                out = []
+                part = batch.slice(start, 1000)
+                for image, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    runs = {k: [(m["idx"], [(r["start"], r["stop"]) for r in m["runs"]]) for m in own if m["kind"] == k] for k in ("body", "tusk")}
+                    for i, body in runs["body"]:
+                        for _, tusk in runs["tusk"]:
+                            if overlap(body, tusk):
+                                body = merge(body, tusk)
+                        out.append((image, i, [{"start": s, "stop": e} for s, e in body]))
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
+
+    # the masks of one picture are a row: pictures are many and small
+    each = masks.groupBy(F.col("image_id").cast("long").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "kind", "runs"))).alias("masks"))
+    return each.mapInArrow(run, f"image_id long, idx int, runs {_RUNS}")
