@@ -230,13 +230,14 @@ def _search(classes: DataFrame, index: MultiIndex, limit: float, dim: int, kind:
     out_schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def compare(key, group):
-        among = not key[3].as_py()
+        block = key[0].as_py()
+        among = not block["asked"]
         ask = group.column("query").to_numpy()
         ids, m, own = (group.column(x).to_numpy() for x in ("id", "m", "own"))
         u = _matrix(group.column("vec"), dim, kind)
         if among:  # one block, or two that meet: a pair is looked at where its first row is in the first block
             blocks = group.column("mine").to_numpy()
-            q, r = np.flatnonzero(blocks == key[1].as_py()), np.flatnonzero(blocks == key[2].as_py())
+            q, r = np.flatnonzero(blocks == block["r"]), np.flatnonzero(blocks == block["q"])
         else:
             q, r = np.flatnonzero(ask), np.flatnonzero(~ask)
         if not len(q) or not len(r):
@@ -253,7 +254,7 @@ def _search(classes: DataFrame, index: MultiIndex, limit: float, dim: int, kind:
             i, j = np.nonzero(u[part] @ u[r].T >= limit)
             a, b = part[i], r[j]
             if among:  # within one block each pair is seen twice
-                keep = ids[a] < ids[b] if key[1].as_py() == key[2].as_py() else np.ones(len(a), bool)
+                keep = ids[a] < ids[b] if block["r"] == block["q"] else np.ones(len(a), bool)
             else:  # a pair whose rows visit each other's cells is met twice, too: it counts where the smaller id asks
                 keep = ~visits[j, cell_of[a]] | (ids[a] < ids[b])
             a, b = a[keep], b[keep]
@@ -269,7 +270,9 @@ def _search(classes: DataFrame, index: MultiIndex, limit: float, dim: int, kind:
         keep[np.concatenate([place[a], place[b]])] = True
         return pa.table([pa.array(nodes[keep]), pa.array(total[keep]), pa.array(root[keep])], schema=out_schema)
 
-    found = ws.save(dealt.select("cell", F.col("g.r").alias("r"), F.col("g.q").alias("q"), F.col("g.asked").alias("asked"), "query", "mine", "id", "m", "own", "others", "vec").groupBy("cell", "r", "q", "asked").applyInArrow(compare, "node long, links long, root long"))
+    # one key of all four: by the cell alone, which the join has dealt the rows by, all blocks of a cell would meet in one task
+    block = F.struct("cell", F.col("g.r").alias("r"), F.col("g.q").alias("q"), F.col("g.asked").alias("asked")).alias("block")
+    found = ws.save(dealt.select(block, "query", "mine", "id", "m", "own", "others", "vec").groupBy("block").applyInArrow(compare, "node long, links long, root long"))
     ws.drop(placed)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     return counts, found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
