@@ -287,6 +287,12 @@ def _all_pairs(blocks: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
     return minor.join(other, ["token", "cls"]).filter("cx <> cy and ix <> iy").filter(ordered).filter(_may_link(percent)).select("x", "nx", "px", "y", "ny", "py")
 
 
+def _different(pairs: DataFrame) -> DataFrame:
+    """Different (a, b). As one key: by both columns Spark would leave the rows where a join on b has dealt them, and could
+    not split the task of a hub with very many pairs."""
+    return pairs.select(F.struct("a", "b").alias("p")).distinct().select("p.a", "p.b")
+
+
 def _links(pairs: DataFrame, prints: DataFrame, tested: DataFrame | None, picked: DataFrame, width: int, percent: int, ws: Workspace) -> tuple[DataFrame, DataFrame] | None:
     """(pairs that were compared, those that link); None if there was nothing to compare."""
     a = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -295,14 +301,14 @@ def _links(pairs: DataFrame, prints: DataFrame, tested: DataFrame | None, picked
     bits_a = prints.select(F.col("doc").alias("a"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
     bits_b = prints.select(F.col("doc").alias("b"), F.col("n").alias("ny"), F.col("bits").alias("by"))
     differ = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    a = ws.save(a.join(bits_a, "a").join(bits_b, "b").filter(differ <= F.col("nx") + F.col("ny") - 2 * _overlap(percent)).select("a", "b").distinct())
+    a = ws.save(_different(a.join(bits_a, "a").join(bits_b, "b").filter(differ <= F.col("nx") + F.col("ny") - 2 * _overlap(percent))))
     if a.isEmpty():
         ws.drop(a)
         return None
     sets = _sets_of(picked, a.select("a").union(a.select("b")).distinct(), width)
     sa, sb = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
     both = a.select("a", "b").join(sa, "a").join(sb, "b").withColumns({"nx": F.size("sa"), "ny": F.size("sb")})
-    linked = ws.save(both.filter(F.size(F.array_intersect("sa", "sb")) >= _overlap(percent)).select("a", "b").distinct())
+    linked = ws.save(_different(both.filter(F.size(F.array_intersect("sa", "sb")) >= _overlap(percent))))
     return a, linked
 
 
