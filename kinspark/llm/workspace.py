@@ -27,6 +27,12 @@ def _modest_batches(spark: SparkSession):
         spark.conf.set(_SETTING, before) if before is not None else spark.conf.unset(_SETTING)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """The same bound for all that the session runs from now on, unless it has one of its own."""
+    if spark.conf.get(_SETTING, None) is None:
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
 class Workspace:
     """Tables of one operator's run. What its result still reads lives until the driver's end, all else until it is dropped."""
 
