@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: language ID, exact dedup, near dedup, secrets, packing.
 
 Each stage works on all rows that the one before it kept; what lies between two stages is a Parquet table in the shared
-folder, so a lost executor repeats a part of one stage only.
+folder, so a lost executor repeats a part of one stage only. Batches of rows that go to Python workers are bounded by
+bytes for the session, unless it sets a bound of its own, so their memory does not follow the length of texts.
 
 Cases: an empty table passes through; a null or empty text, or one without a letter, goes in the first stage where there
 are labelled rows to learn from (else nothing is judged there and it counts as an empty text: copies of one another, of
@@ -22,11 +23,12 @@ from kinspark.llm.packing import pack_documents
 from kinspark.llm.queries import vocabulary_path
 from kinspark.llm.secret_scan import redact_secrets
 from kinspark.llm.set_join import drop_near_copies
-from kinspark.llm.workspace import Workspace
+from kinspark.llm.workspace import Workspace, bound_batches
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or in which no language stands out, go; without labelled rows none is judged."""
+    bound_batches(spark)
     return keep_identified(docs, training_sample(docs) if "lang" in docs.columns else [])
 
 
@@ -42,12 +44,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are replaced by a mark."""
+    bound_batches(spark)
     clean = redact_secrets(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of all documents in sequences of 4096: a row for each piece of a document."""
+    bound_batches(spark)
     return pack_documents(docs, vocabulary_path())
 
 
