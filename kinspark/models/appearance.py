@@ -11,11 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspark.operators import evaluation as ev
 from kinspark.operators.features import LinearHead, linear_classifier
+from kinspark.operators.matrices import matrix
 from kinspark.sources.scans import not_done
 from kinspark.sources.sinks import read_record, write_record
 
@@ -51,12 +53,14 @@ def _cached(spark: SparkSession, folder: str, schema: str) -> DataFrame | None:
 
 @dataclass(frozen=True)
 class AppearanceIdentifier:
-    """Settings: the layer and pool that features were taken with (for the record), principal components, iterations."""
+    """Settings: the layer and pool that features were taken with (for the record), principal components, most steps of
+    the classifier, seed of the folds that its probabilities are calibrated on."""
 
     layer: str = "conv3_block4_2_relu"
     pool: int = 6
     components: int = 10000
-    iterations: int = 20
+    iterations: int = 50
+    seed: int = 42
 
     def fit(self, train: DataFrame, classes: DataFrame) -> AppearanceModel:
         """A model of train (image_id, name, vec); classes: (name, class_idx) from 0. A row without a vector is an error."""
@@ -65,7 +69,7 @@ class AppearanceIdentifier:
             n = train.agg(F.count(F.lit(1)).alias("n"), F.count("vec").alias("known")).first()
             if n.n != n.known or n.n != rows.count():
                 raise ValueError(f"{n.n} rows to train with, {n.known} with features, {rows.count()} with a class")
-            head = linear_classifier(rows, "vec", "class_idx", self.iterations, self.components)
+            head = linear_classifier(rows, "vec", "class_idx", self.iterations, self.components, self.seed)
         finally:
             rows.unpersist()
         names = [r["name"] for r in sorted(classes.collect(), key=lambda r: r.class_idx)]  # as large as the model
@@ -79,8 +83,13 @@ class AppearanceModel:
     names: list[str]
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        rows = [(i, n, w.tolist(), float(b)) for i, (n, w, b) in enumerate(zip(self.names, self.head.weights, self.head.intercepts, strict=True))]
-        spark.createDataFrame(rows, "class_idx int, name string, weights array<double>, intercept double").write.mode("overwrite").parquet(f"{folder}/classes")
+        weights, c = self.head.weights, len(self.names)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(c + 1, dtype=np.int32) * weights.shape[1]), pa.array(weights.ravel()))
+        classes = pa.table({"class_idx": pa.array(range(c), pa.int32()), "name": pa.array(self.names, pa.string()), "weights": lists, "intercept": self.head.intercepts})
+        spark.createDataFrame(classes).write.mode("overwrite").parquet(f"{folder}/classes")
+        i, j = np.triu_indices(c if self.head.sigmoids else 0, 1)
+        a, b = (m[i, j] for m in self.head.sigmoids or np.zeros((2, 0, 0)))
+        spark.createDataFrame(pa.table({"i": i.astype(np.int32), "j": j.astype(np.int32), "a": a, "b": b})).write.mode("overwrite").parquet(f"{folder}/pairs")
         write_record(spark, f"{folder}/settings", {"kind": "appearance", **self.settings.__dict__})
 
     @classmethod
@@ -88,9 +97,16 @@ class AppearanceModel:
         record = read_record(spark, f"{folder}/settings")
         if record.pop("kind", None) != "appearance":
             raise ValueError(f"no appearance model in {folder}")
-        rows = sorted(spark.read.parquet(f"{folder}/classes").collect(), key=lambda r: r.class_idx)
-        head = LinearHead(np.array([r.weights for r in rows]), np.array([r.intercept for r in rows]))
-        return cls(AppearanceIdentifier(**record), head, [r["name"] for r in rows])
+        rows = spark.read.parquet(f"{folder}/classes").toArrow().sort_by("class_idx")
+        pairs = spark.read.parquet(f"{folder}/pairs").toArrow()
+        c, sigmoids = rows.num_rows, None
+        if pairs.num_rows:
+            i, j, x, y = (pairs.column(n).to_numpy() for n in ("i", "j", "a", "b"))
+            sigmoids = np.zeros((c, c)), np.zeros((c, c))
+            sigmoids[0][i, j] = sigmoids[0][j, i] = x
+            sigmoids[1][i, j], sigmoids[1][j, i] = y, -y
+        head = LinearHead(matrix(rows.column("weights").combine_chunks()), rows.column("intercept").to_numpy(), sigmoids)
+        return cls(AppearanceIdentifier(**record), head, rows.column("name").to_pylist())
 
     def summary(self) -> str:
         s = self.settings
@@ -103,7 +119,7 @@ class AppearanceModel:
         """(id_col, name, p, rank), the most probable first; a null vector has no rows."""
         p = self.head.probabilities(features, column, id_col)
         p = p if top is None else p.filter(F.col("rank") <= top)
-        named = p.join(F.broadcast(self.classes(features.sparkSession)), "class_idx", "left")  # no larger than the model's names
+        named = p.join(self.classes(features.sparkSession), "class_idx", "left")  # the names' size is known, so Spark broadcasts them where they are few
         return named.select(id_col, F.coalesce("name", F.lit(UNKNOWN)).alias("name"), "p", "rank")
 
     def evaluate(self, test: DataFrame, ks: list[int], id_col: str = "image_id", column: str = "vec") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinspark.functions.vectors import l2_normalize
@@ -10,6 +11,9 @@ from kinspark.operators import features as ft
 from kinspark.operators import matching as mt
 from kinspark.operators.ann import AnnIndex
 from kinspark.operators.fusion import log_opinion_pool as pool
+from kinspark.operators.matrices import appended
+from kinspark.operators.pairwise import coupled_rows, sigmoids
+from kinspark.operators.principal import principal_axes
 from kinspark.plans.tables import descriptors, queries_and_database, scratch_folder, table
 
 KS = [1, 3, 5, 10]
@@ -201,12 +205,90 @@ def ann_search_all_cells(spark, sf_dir):
     return found.select("query_id", "desc_id", "name", F.round("dist", 6).alias("dist"), "rk")
 
 
+def _low_rank(spark, sf_dir):
+    """Vectors of 24 dimensions and rank 6: sums of the first six numbers of an embedding with whole factors."""
+    e = F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda j: F.aggregate(F.transform(e, lambda x, i: x * ((i + 1) * (j + 2) % 7 - 3)), F.lit(0.0), lambda a, x: a + x)).alias("vec"))
+
+
 def pca_project(spark, sf_dir):
-    return ft.pca(table(spark, sf_dir, "embeddings"), "embedding", 8).select("vec_id", "projected")
+    """Scores on six components of vectors of rank six: their squared length is that of the scaled vector, as axes are
+    orthonormal and nothing is lost, and the seventh component has none."""
+    p = ft.pca(_low_rank(spark, sf_dir), "vec", 7)
+    squares = F.aggregate(F.slice("projected", 1, 6), F.lit(0.0), lambda a, x: a + x * x)
+    return p.select("vec_id", F.round(squares, 5).alias("squares"), (F.round(F.abs(F.element_at("projected", 7)), 5) + 0.0).alias("beyond"))
+
+
+_RANK = """with x as (select vec_id, j::int as j, sum(embedding[i]::double * ((i * (j + 2)) % 7 - 3)) as x from embeddings, unnest(range(1, 7)) a(i), unnest(range(0, 24)) b(j) group by all),
+s as (select j, avg(x) as m, stddev_pop(x) as s from x group by j), z as (select vec_id, j, (x - m) / (case when s > 0 then s else 1 end) as z from x join s using (j))"""
+
+
+def pca_spectrum(spark, sf_dir):
+    """Sums of powers of the variances, the components found in the randomised way: traces of powers of the correlations."""
+    axes = principal_axes(_low_rank(spark, sf_dir), "vec", 6, way="random")
+    return spark.createDataFrame([(k, float((axes.variances**k).sum())) for k in (1, 2, 3)], "power int, trace double").select("power", F.round("trace", 4).alias("trace"))
+
+
+_SPECTRUM = _RANK + """, c as (select a.j as i, b.j as j, avg(a.z * b.z) as c from z a join z b using (vec_id) group by all),
+c2 as (select a.i, b.j, sum(a.c * b.c) as c from c a join c b on a.j = b.i group by all)
+select 1 as power, round(sum(c), 4) as trace from c where i = j union all select 2, round(sum(c), 4) from c2 where i = j union all select 3, round(sum(a.c * b.c), 4) from c2 a join c b on a.j = b.i and a.i = b.j"""
+
+
+def _margins(spark, sf_dir):
+    """Margins of the ten class means for each query, as an array."""
+    d = descriptors(spark, sf_dir).withColumn("class_idx", F.col("name").cast("int"))
+    head = ft.centroid_classifier(d.filter("not is_query"), "vec", "class_idx")
+    return appended(d.filter("is_query"), "vec", "scores", (head.weights, head.intercepts), lambda h, v: v @ h[0].T + h[1])
+
+
+def pairwise_coupling(spark, sf_dir):
+    """Probabilities of the ten classes from those of their pairs, sigmoids of the differences of margins."""
+    a = -np.ones((10, 10)) * 2
+    return coupled_rows(_margins(spark, sf_dir), "desc_id", a, np.zeros((10, 10))).select("desc_id", "class_idx", F.round("p", 6).alias("p"))
+
+
+_MARGINS = f"""{_PARTS}, m as (select name, i, avg(v[i]) as m from db, unnest(range(1, 65)) t(i) group by all), w as (select name, list(m order by i) as w from m group by 1),
+g as (select q.id, q.name::int as truth, w.name::int as c, list_dot_product(q.v, w.w) - list_dot_product(w.w, w.w) / 2 as s from q, w)"""
+#: A state goes from class to class, 40 times around.
+_COUPLED = f"""with recursive {_MARGINS}, r as (select a.id, a.c as i, b.c as j, least(greatest(1 / (1 + exp(-2 * (a.s - b.s))), 1e-7), 1 - 1e-7) as r from g a join g b on a.id = b.id and a.c <> b.c),
+dg as (select id, i as j, sum(r.r2) as q from (select id, j as i, r * r as r2 from r) r group by id, i),
+e as (select id, i, j, q from (select a.id, a.i, a.j, -a.r * b.r as q from r a join r b on a.id = b.id and a.i = b.j and a.j = b.i) union all select id, j, j, q from dg),
+qm as materialized (select id, i, list(q order by j) as q from e group by id, i), qs as materialized (select id, list(q order by i) as q from qm group by id),
+f as (select id, 0 as step, q, list_transform(range(0, 10), lambda k: 0.1::double) as p, list_transform(q, lambda x: list_sum(x) / 10) as qp, list_sum(list_transform(q, lambda x: list_sum(x))) / 100 as pqp from qs
+  union all select id, step + 1, q, list_transform(p, lambda x, k: (x + (case when k = t + 1 then d else 0 end)) / (1 + d)), list_transform(qp, lambda x, k: (x + d * q[t + 1][k]) / (1 + d)), (pqp + d * (d * q[t + 1][t + 1] + 2 * qp[t + 1])) / (1 + d) / (1 + d)
+    from (select *, step % 10 as t, (pqp - qp[step % 10 + 1]) / q[step % 10 + 1][step % 10 + 1] as d from f where step < 400))
+select id as desc_id, c::int as class_idx, round(p[c + 1], 6) as p from f, unnest(range(0, 10)) t(c) where step = 400"""
+
+
+def sigmoid_fit(spark, sf_dir):
+    """Sigmoids of all pairs of classes on the queries' margins."""
+    rows = _margins(spark, sf_dir).select("scores", F.col("name").cast("int").alias("class_idx"))
+    a, b = sigmoids(rows, 10)
+    return spark.createDataFrame([(i, j, float(a[i, j]), float(b[i, j])) for i in range(10) for j in range(i + 1, 10)], "i int, j int, a double, b double").select("i", "j", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
+
+
+#: Newton's steps with halving for each pair, its rows in lists; `h` is how often the step in hand was halved.
+_SIGMOID = f"""with recursive {_MARGINS.replace('q as', 'q as materialized')},
+rows as (select x.c as i, y.c as j, x.s - y.s as f, x.truth = x.c as yes from g x join g y on x.id = y.id and x.c < y.c and x.truth in (x.c, y.c)),
+n as (select i, j, count(*) filter (yes) as np, count(*) filter (not yes) as nn from rows group by all),
+l as materialized (select i, j, list(f) as f, list(case when yes then (np + 1) / (np + 2)::double else 1 / (nn + 2)::double end) as t, any_value(np) as np, any_value(nn) as nn from rows join n using (i, j) group by i, j),
+it as (
+  select i, j, 0 as step, f, t, 0::double as a, ln((nn + 1) / (np + 1)::double) as b, 1e300::double as v, 0::double as da, 0::double as db, 0::double as slope, 0::double as s, false as done from l
+  union all
+  select i, j, step + 1, f, t, case when ok then ta else a end, case when ok then tb else b end, case when ok then nv else v end,
+    case when ok then -(h22 * g1 - h21 * g2) / det else da end, case when ok then -(-h21 * g1 + h11 * g2) / det else db end,
+    case when ok then g1 * -(h22 * g1 - h21 * g2) / det + g2 * -(-h21 * g1 + h11 * g2) / det else slope end, case when ok then 1 else s / 2 end, ok and abs(g1) < 1e-5 and abs(g2) < 1e-5
+  from (select *, h11 * h22 - h21 * h21 as det, nv < v + 1e-4 * s * slope as ok from (
+    select *, a + s * da as ta, b + s * db as tb, list_sum(list_transform(z, lambda x, k: (case when x >= 0 then t[k] else t[k] - 1 end) * x + ln(1 + exp(-abs(x))))) as nv,
+      list_sum(list_transform(z, lambda x, k: f[k] * (t[k] - 1 / (1 + exp(x))))) as g1, list_sum(list_transform(z, lambda x, k: t[k] - 1 / (1 + exp(x)))) as g2,
+      1e-12 + list_sum(list_transform(z, lambda x, k: f[k] * f[k] / (1 + exp(x)) / (1 + exp(-x)))) as h11, 1e-12 + list_sum(list_transform(z, lambda x, k: 1 / (1 + exp(x)) / (1 + exp(-x)))) as h22,
+      list_sum(list_transform(z, lambda x, k: f[k] / (1 + exp(x)) / (1 + exp(-x)))) as h21
+    from (select *, list_transform(f, lambda x: x * (a + s * da) + b + s * db) as z from it where not done and step < 80))))
+select i::int as i, j::int as j, round(a, 3) as a, round(b, 3) as b from it where done"""
 
 
 def ovr_svm(spark, sf_dir):
-    """Classes of the queries, from a classifier of the database, ranked."""
+    """Classes of the queries, from a classifier of the database, ranked by coupled probabilities of pairs."""
     d = descriptors(spark, sf_dir).withColumn("class_idx", F.col("name").cast("int"))
     return ft.linear_classifier(d.filter("not is_query"), "vec", "class_idx").probabilities(d.filter("is_query"), "vec", "desc_id")
 
@@ -233,6 +315,9 @@ QUERIES = {
     "ann_search": (ann_search, None),
     "ann_recall": (ann_recall, None),
     "ann_search_all_cells": (ann_search_all_cells, f"with {_PARTS} select q.id as query_id, db.id as desc_id, db.name, round(list_distance(q.v, db.v), 6) as dist, row_number() over (partition by q.id order by list_distance(q.v, db.v), db.id) as rk from q, db qualify rk <= 3"),
-    "pca_project": (pca_project, None),
+    "pca_project": (pca_project, _RANK + " select vec_id, round(sum(z * z), 5) as squares, 0.0e0 as beyond from z group by vec_id"),
+    "pca_spectrum": (pca_spectrum, _SPECTRUM),
+    "pairwise_coupling": (pairwise_coupling, _COUPLED),
+    "sigmoid_fit": (sigmoid_fit, _SIGMOID),
     "ovr_svm": (ovr_svm, None),
 }

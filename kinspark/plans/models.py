@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinspark.models import prepare
@@ -89,6 +90,23 @@ _HEAD_EVALUATE = _HEAD + """, t as (select rank from r where name = truth), n as
 select k::int as k, count(*) filter (rank <= k) as correct, any_value(total) as total, count(*) filter (rank <= k) / any_value(total)::double as accuracy from t, n, unnest([1, 3, 5, 10]) k(k) group by k"""
 
 
+def _fitted(spark, sf_dir):
+    """A model of the database vectors on sixteen components, kept in a folder and read again; the queries."""
+    d = descriptors(spark, sf_dir).select(F.col("desc_id").alias("image_id"), "name", "vec", "is_query")
+    classes = d.select("name").distinct().select("name", F.col("name").cast("int").alias("class_idx"))
+    folder = scratch_folder(spark, "model")
+    AppearanceIdentifier(components=16).fit(d.filter("not is_query"), classes).save(spark, folder)
+    return AppearanceModel.load(spark, folder), d.filter("is_query")
+
+
+def appearance_fit_predict(spark, sf_dir):
+    """Of each query how many names have a probability, their sum, and how many of them stand in the order of their ranks."""
+    model, asked = _fitted(spark, sf_dir)
+    p = model.predict(asked)
+    after = F.lead("p").over(Window.partitionBy("image_id").orderBy("rank"))
+    return p.withColumn("ok", ((F.col("p") > 0) & (F.coalesce(after, F.lit(0.0)) <= F.col("p"))).cast("int")).groupBy("image_id").agg(F.count_distinct("name").alias("names"), F.round(F.sum("p"), 6).alias("total"), F.sum("ok").alias("in_order"), F.max("rank").cast("int").alias("last"))
+
+
 def model_grid(spark, sf_dir):
     return grid(spark).select("layer", "spatial", "pool", "components", "model")
 
@@ -170,6 +188,7 @@ QUERIES = {
     "stacked_descriptors": (stacked_descriptors, f"with {_PARTS} select view::int as view, scale_idx::int as scale_idx, 'i' || image_id as name, count(*) as n from d where image_id % 4 <> 3 group by all"),
     "appearance_model_predict": (appearance_model_predict, _HEAD + " select id as desc_id, name, round(p, 6) as p, rank from r"),
     "appearance_model_evaluate": (appearance_model_evaluate, _HEAD_EVALUATE),
+    "appearance_fit_predict": (appearance_fit_predict, f"with {_PARTS}, n as (select count(distinct name) as n from db) select id as image_id, n as names, 1.0e0 as total, n as in_order, n::int as last from q, n"),
     "model_grid": (model_grid, _GRID),
     "face_crops": (face_crops, _FACES + f" select name, 'crops/' || path as filepath, path as original_path, {_FACE_BOX}, cached from a where cached or reason is null"),
     "face_rejects": (face_rejects, _FACES + " select reason, count(*) as n from a where not cached and reason is not null group by 1"),
