@@ -1,7 +1,7 @@
 """Identification by contours: descriptors of curvature, a database by view and scale, LNBNN scores.
 
-A contour is a picture of one ear: (image_id, view, pos, x, y), image_id a number. What a fitted model holds is a
-Parquet table of descriptors, partitioned by view and scale, and a JSON record of its settings; nothing of it is in the
+A contour is a picture of one ear: (image_id, view, pos, x, y), image_id a number. What a fitted model holds is an index
+of descriptors, kept by view, scale and cell, and a JSON record of its settings; of the descriptors nothing is in the
 driver's memory.
 """
 
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from kinspark.operators import evaluation as ev
 from kinspark.operators import matching as mt
 from kinspark.operators import signal as sg
+from kinspark.operators.ann import AnnIndex
 from kinspark.operators.curvature import SCALES, integral_curvature
-from kinspark.sources.sinks import read_record, write_database, write_record
+from kinspark.sources.sinks import read_record, write_record
 
 VIEWS = ("left", "right")
+#: What a descriptor is searched among, and neighbours that the index is set for.
+KEYS, INDEXED = ["view", "scale_idx"], 3
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,7 @@ class ContourIdentifier:
 
     def fit_descriptors(self, rows: DataFrame, folder: str) -> ContourModel:
         """A model of ready-made descriptors (view, scale_idx, desc_id, name, vec)."""
-        write_database(rows.select("desc_id", "name", "vec", "view", "scale_idx"), f"{folder}/descriptors")
+        AnnIndex.fit(rows.select("desc_id", "name", "vec", "view", "scale_idx"), f"{folder}/descriptors", INDEXED, keys=KEYS)
         write_record(rows.sparkSession, f"{folder}/settings", {"kind": "contour", **asdict(self)})
         return ContourModel.load(rows.sparkSession, folder)
 
@@ -65,14 +68,18 @@ def stacked(descriptors: DataFrame, names: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class ContourModel:
     settings: ContourIdentifier
-    database: DataFrame
+    index: AnnIndex
+
+    @property
+    def database(self) -> DataFrame:
+        return self.index.rows.drop("cell")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> ContourModel:
         record = read_record(spark, f"{folder}/settings")
         if record.pop("kind", None) != "contour":
             raise ValueError(f"no contour model in {folder}")
-        return cls(ContourIdentifier(**record | {"scales": tuple(record["scales"])}), spark.read.parquet(f"{folder}/descriptors"))
+        return cls(ContourIdentifier(**record | {"scales": tuple(record["scales"])}), AnnIndex.load(spark, f"{folder}/descriptors"))
 
     def save(self, folder: str) -> None:
         """Another copy of the model."""
@@ -82,32 +89,32 @@ class ContourModel:
         """(view, scale_idx, descriptors, individuals)."""
         return self.database.groupBy("view", "scale_idx").agg(F.count(F.lit(1)).alias("descriptors"), F.countDistinct("name").alias("individuals"))
 
-    def hits(self, queries: DataFrame, k: int = 2) -> DataFrame:
+    def hits(self, queries: DataFrame, k: int = 2, exact: bool = False) -> DataFrame:
         """(image_id, view, name, score) of the names met by descriptors (image_id, view, scale_idx, desc_id, vec), more negative is better.
 
-        Search is among descriptors of the same view and scale; scores are summed over scales.
+        Search is among descriptors of the same view and scale, in the cells nearest to each; exact, in all cells that
+        may hold a neighbour. Scores are summed over scales.
         """
-        keys = ["view", "scale_idx"]
-        # the database's files are by view and scale, so what no query asks for is not read
-        near = mt.knn_join(queries.select(F.col("desc_id").alias("query_id"), F.col("vec").alias("query_vec"), *keys), self.database, k + 1, keys)
+        asked = queries.select(F.col("desc_id").alias("query_id"), F.col("vec").alias("query_vec"), *KEYS)
+        near = self.index.search(asked, k + 1, exact=exact)
         owners = queries.select(F.col("desc_id").alias("query_id"), "image_id", "view")
-        c = mt.lnbnn_contributions(near, keys)
+        c = mt.lnbnn_contributions(near, KEYS)
         return c.join(owners, ["query_id", "view"]).groupBy("image_id", "view", "name").agg(F.sum("contribution").alias("score"))
 
-    def predict_descriptors(self, queries: DataFrame, k: int = 2) -> DataFrame:
-        """(image_id, view, name, score, rank) over all names of the view; a picture without descriptors, or of a view
-        that the model does not have, has no rows."""
-        asked = queries.select("image_id", "view").distinct()
-        found = asked.select(F.struct("image_id", "view").alias("image_id"), "view")
-        every = mt.with_names(found, self.database.select("view", "name"), ["view"])
-        hits = self.hits(queries, k).select(F.struct("image_id", "view").alias("image_id"), "name", "score")
+    def predict_descriptors(self, queries: DataFrame, k: int = 2, top: int | None = None, exact: bool = False) -> DataFrame:
+        """(image_id, view, name, score, rank) of the first `top` names of the view, or all of them; a picture without
+        descriptors, or of a view that the model does not have, has no rows."""
+        asked, names, hits = queries.select("image_id", "view").distinct(), self.database.select("view", "name"), self.hits(queries, k, exact)
+        if top is not None:
+            return mt.top_names(hits, asked, names, top, ["view"])
+        every = mt.with_names(asked.select(F.struct("image_id", "view").alias("image_id"), "view"), names, ["view"])
+        hits = hits.select(F.struct("image_id", "view").alias("image_id"), "name", "score")
         scores = every.join(hits, ["image_id", "name"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return mt.rank_names(scores.select("image_id", "name", F.round("score", 9).alias("score"))).select("image_id.image_id", "image_id.view", "name", "score", "rank")
 
-    def predict(self, contours: DataFrame, k: int = 2, top: int | None = None) -> DataFrame:
-        """predict_descriptors() of contours, as many as there are; the first `top` names of each."""
-        ranked = self.predict_descriptors(self.settings.describe(contours), k)
-        return ranked if top is None else ranked.filter(F.col("rank") <= top)
+    def predict(self, contours: DataFrame, k: int = 2, top: int | None = None, exact: bool = False) -> DataFrame:
+        """predict_descriptors() of contours, as many as there are."""
+        return self.predict_descriptors(self.settings.describe(contours), k, top, exact)
 
     def evaluate(self, predictions: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
         """(k, correct, total, accuracy) over the pictures of truth (image_id, name) that have predictions."""

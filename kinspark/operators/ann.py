@@ -1,46 +1,84 @@
 """Approximate nearest neighbours: a database kept by cells of a codebook, searched in the few cells nearest to a query.
 
-The index is a Parquet table partitioned by cell and a record with the codebook and the number of cells to probe, which
-is set on the bounded sample that also trains the codebook so that TARGET of the exact neighbours are found there. All
-rows are indexed. In its cells a search is exact, block by block like best_matches().
+An index is a Parquet table partitioned by its keys and by cell, and a table of cells: for each set of keys (a view and a
+scale, say) a codebook of its own, with each cell's center, rows and reach (the largest distance of a row from its
+center), and the number of cells to probe, set on the bounded sample that also trains the codebook so that TARGET of the
+exact neighbours are found there. All rows are indexed.
+
+A search reads the partitions of the cells that its queries ask for and no others: which these are is a bounded list, so
+it goes into the scan as a filter on partitions. Rows and queries of a cell meet in blocks whose number follows from how
+many of each that cell has, so a cell that holds a third of the rows, or that a third of the queries ask for, is many
+groups. `exact` adds a second search for the queries that need it: of the cells that were left out, those whose center
+is not farther than the reach and the distance of the last neighbour found, by the triangle inequality; so nothing is
+missed.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinspark.operators.matching import best_matches
+from kinspark.operators.matching import best_in_groups
+from kinspark.operators.matrices import matrix
 from kinspark.sources.sinks import read_record, write_record
 
-#: Share of neighbours to find; rows of a cell on average; bounds of the cells.
-TARGET, PER_CELL, LEAST_CELLS, MOST_CELLS = 0.95, 256, 4, 4096
+#: Share of neighbours to find; rows of a cell on average; bounds of the cells; most sets of keys.
+TARGET, PER_CELL, LEAST_CELLS, MOST_CELLS, MOST_KEYS = 0.95, 256, 4, 4096, 256
 #: Rows of the sample: so many, or so many for each cell; queries among them that set the number of probes.
 SAMPLE, SAMPLE_PER_CELL, TRIED = 4096, 16, 256
+#: Bytes of vectors of a cell's rows, and of the queries that ask for it, in a block.
+BLOCK_BYTES, QUERY_BYTES = 16 << 20, 4 << 20
+_SLACK = 1e-6
 
 
 @dataclass(frozen=True)
-class AnnIndex:
-    rows: DataFrame
+class Book:
+    """Cells of one set of keys: centers, rows and reach of each, and how many a search probes."""
+
     centers: np.ndarray
     probe: int
+    rows: np.ndarray
+    reach: np.ndarray
+
+
+@dataclass(frozen=True)
+class AnnIndex:
+    rows: DataFrame
+    keys: list[str]
+    books: dict[str, Book]
 
     @classmethod
-    def fit(cls, database: DataFrame, folder: str, n: int = 3, target: float = TARGET) -> AnnIndex:
-        """An index of database (desc_id, name, vec, other columns) in folder, for searches of n neighbours or so. A row without a vector is not indexed."""
-        spark = database.sparkSession
-        known = database.filter("vec is not null and size(vec) > 0").withColumn("vec", F.col("vec").cast("array<float>"))
-        cells = int(min(MOST_CELLS, max(LEAST_CELLS, 2 ** round(np.log2(max(1.0, known.count() / PER_CELL))))))
-        sample = known.orderBy(F.xxhash64("desc_id"), "desc_id").limit(max(SAMPLE, SAMPLE_PER_CELL * cells)).select("vec").collect()
-        v = np.array([r.vec for r in sample], float).reshape(len(sample), -1)
-        centers = _codebook(v, min(cells, len(v)))
-        _with_cells(known, "vec", centers, 1).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
-        write_record(spark, f"{folder}/index", {"kind": "ann", "centers": centers.tolist(), "probe": _probe(v, centers, n, target)})
+    def fit(cls, database: DataFrame, folder: str, n: int = 3, target: float = TARGET, keys: list[str] | None = None) -> AnnIndex:
+        """An index of database (desc_id, name, vec, other columns) in folder, for searches of n neighbours or so among
+        rows with equal keys. A row without a vector or without a key is not indexed."""
+        spark, keys = database.sparkSession, keys or []
+        known = database.filter("vec is not null and size(vec) > 0").withColumn("vec", F.col("vec").cast("array<float>")).dropna(subset=keys)
+        known = known.withColumn("__key", _key(keys))
+        counts = dict(known.groupBy("__key").agg(F.count(F.lit(1))).limit(MOST_KEYS + 1).collect())
+        if len(counts) > MOST_KEYS:
+            raise ValueError(f"more than {MOST_KEYS} sets of keys")
+        books = {}
+        for key, v in _samples(known, counts).items():
+            centers = _codebook(v, min(_cells(counts[key]), len(v)))
+            books[key] = Book(centers, _probe(v, centers, n, target), np.zeros(len(centers)), np.zeros(len(centers)))
+        placed = _nearest(known, "vec", {k: (b.centers, 1) for k, b in books.items()})
+        stored = placed.drop("__key").withColumnRenamed("__away", "away")
+        stored.hint("rebalance", *keys, "cell").write.mode("overwrite").partitionBy(*keys, "cell").parquet(f"{folder}/rows")  # few files for each cell
+        written = spark.read.schema(stored.schema).parquet(f"{folder}/rows")
+        for r in written.groupBy(_key(keys).alias("key"), "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("reach")).toArrow().to_pylist():  # a row for each cell
+            books[r["key"]].rows[r["cell"]], books[r["key"]].reach[r["cell"]] = r["n"], r["reach"]
+        cells = [(k, i, c, b.probe, int(b.rows[i]), b.reach[i]) for k, b in books.items() for i, c in enumerate(b.centers)]
+        names = ["key", "cell", "center", "probe", "rows", "reach"]
+        kinds = [pa.string(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.int64(), pa.float64()]
+        table = pa.table([pa.array([x[i] for x in cells], k) for i, k in enumerate(kinds)], names=names)
+        spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(f"{folder}/cells")
+        write_record(spark, f"{folder}/index", {"kind": "ann", "keys": keys, "schema": stored.drop("away").schema.json()})
         return cls.load(spark, folder)
 
     @classmethod
@@ -48,16 +86,85 @@ class AnnIndex:
         record = read_record(spark, f"{folder}/index")
         if record.get("kind") != "ann":
             raise ValueError(f"no index in {folder}")
-        return cls(spark.read.parquet(f"{folder}/rows"), np.array(record["centers"]), record["probe"])
-
-    def search(self, queries: DataFrame, n: int, keys: list[str] | None = None, probe: int | None = None) -> DataFrame:
-        """(query_id, *keys, desc_id, name, dist, rk): as knn_join(), of the rows in the `probe` cells nearest to each query."""
-        keys = keys or []
-        asked = queries.filter("query_vec is not null").select("query_id", *keys, F.col("query_vec").cast("array<float>").alias("query_vec"))
-        asked = _with_cells(asked, "query_vec", self.centers, min(probe or self.probe, len(self.centers)))
-        near = best_matches(asked, self.rows, n, [*keys, "cell"])
-        best = Window.partitionBy("query_id", *keys).orderBy("dist", "desc_id")
-        return near.drop("rk", "cell").withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= n)
+        found = spark.read.parquet(f"{folder}/cells").toArrow().sort_by([("key", "ascending"), ("cell", "ascending")])
+        books, key = {}, np.array(found.column("key").to_pylist(), object)
+        for k in dict.fromkeys(key):
+            own = found.filter(pa.array(key == k))
+            books[k] = Book(matrix(own.column("center").combine_chunks()), own.column("probe")[0].as_py(), *(own.column(c).to_numpy() for c in ("rows", "reach")))
+        schema = T.StructType.fromJson(json.loads(record["schema"]))
+        return cls(spark.read.schema(schema).parquet(f"{folder}/rows"), record["keys"], books)
+
+    @property
+    def centers(self) -> np.ndarray:
+        """Of an index without keys."""
+        return self.books[""].centers
+
+    @property
+    def probe(self) -> int:
+        return self.books[""].probe
+
+    def search(self, queries: DataFrame, n: int, keys: list[str] | None = None, probe: int | None = None, exact: bool = False) -> DataFrame:
+        """(query_id, *keys, desc_id, name, dist, rk): as knn_join(), of the rows in the `probe` cells nearest to each
+        query; exact, of all rows. keys: those of the index, or more columns that rows and queries share."""
+        keys = list(dict.fromkeys([*self.keys, *(keys or [])]))
+        asked = queries.filter("query_vec is not null").dropna(subset=self.keys).select("query_id", *keys, F.col("query_vec").cast("array<float>").alias("query_vec")).withColumn("__key", _key(self.keys))
+        near = _nearest(asked, "query_vec", {k: (b.centers, min(probe or b.probe, len(b.centers))) for k, b in self.books.items()}).drop("__away")
+        best = _first(self._meet(near, n, keys), keys, n)
+        if not exact:
+            return best
+        bound = best.groupBy("query_id", *keys).agg(F.when(F.count(F.lit(1)) == n, F.max("dist")).alias("__bound"))
+        left = asked.join(bound, ["query_id", *keys], "left")
+        more = self._meet(_unread(left, self.books, probe), n, keys)
+        return _first(best.drop("rk").unionByName(more.select(*best.drop("rk").columns)), keys, n)
+
+    def _meet(self, asked: DataFrame, n: int, keys: list[str]) -> DataFrame:
+        """The best n of each query in each block of the cells it asks for. asked: (query_id, *keys, query_vec, __key, cell)."""
+        spark = asked.sparkSession
+        wanted = asked.groupBy("__key", "cell").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()  # a row for each cell
+        plan = []
+        for r in wanted:
+            book = self.books[r["__key"]]
+            size = 4 * book.centers.shape[1] + 32
+            if book.rows[r["cell"]]:
+                plan.append((r["__key"], r["cell"], int(book.rows[r["cell"]] * size // BLOCK_BYTES + 1), int(r["n"] * size // QUERY_BYTES + 1)))
+        blocks = F.broadcast(spark.createDataFrame(plan, "__key string, cell int, __parts int, __asks int"))  # of cells, at most MOST_CELLS for each set of keys
+        # the cells, and for each key its values, as filters on partitions
+        rows = self.rows.filter(F.col("cell").isin(sorted({c for _, c, _, _ in plan})) & _key(self.keys).isin(sorted({k for k, *_ in plan})))
+
+        def dealt(df: DataFrame, own: str, count: str, other: str, others: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+            return df.join(blocks, ["__key", "cell"]).withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop("__parts", "__asks")
+
+        d = rows.select(*keys, "cell", _key(self.keys).alias("__key"), F.col("desc_id").cast("long").alias("id"), F.col("name").cast("string").alias("name"), "vec", F.lit(False).alias("side"))
+        q = asked.select(*keys, "cell", "__key", F.col("query_id").cast("long").alias("id"), F.lit(None).cast("string").alias("name"), F.col("query_vec").alias("vec"), F.lit(True).alias("side"))
+        both = dealt(d, "db", "__parts", "ask", "__asks").unionByName(dealt(q, "ask", "__asks", "db", "__parts"))
+        return best_in_groups(both, n, [*keys, "cell"]).drop("cell")
+
+
+def _key(keys: list[str]) -> Column:
+    """The values of the keys as one string."""
+    return F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys)) if keys else F.lit("")
+
+
+def _first(found: DataFrame, keys: list[str], n: int) -> DataFrame:
+    return found.withColumn("rk", F.row_number().over(Window.partitionBy("query_id", *keys).orderBy("dist", "desc_id"))).filter(F.col("rk") <= n)
+
+
+def _cells(rows: int) -> int:
+    return int(min(MOST_CELLS, max(LEAST_CELLS, 2 ** round(np.log2(max(1.0, rows / PER_CELL))))))
+
+
+def _samples(known: DataFrame, counts: dict[str, int]) -> dict[str, np.ndarray]:
+    """Vectors of each set of keys: those with the smallest hashes of their ids, max(SAMPLE, SAMPLE_PER_CELL a cell) of them or all."""
+    wanted = {k: max(SAMPLE, SAMPLE_PER_CELL * _cells(c)) for k, c in counts.items()}
+    shares = {k: min(1.0, 1.1 * wanted[k] / c) for k, c in counts.items()}
+    if not counts:
+        return {}
+    share = F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("__key"))
+    place = F.pmod(F.xxhash64("desc_id"), F.lit(1 << 30))
+    found = known.filter(place < share * (1 << 30)).select("__key", "vec", place.alias("place"), "desc_id").toArrow().sort_by([("place", "ascending"), ("desc_id", "ascending")])
+    key = np.array(found.column("__key").to_pylist(), object)
+    return {k: matrix(found.column("vec").filter(pa.array(key == k)).combine_chunks())[: wanted[k]] for k in dict.fromkeys(key)}
 
 
 def _squares(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -67,8 +174,6 @@ def _squares(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 def _codebook(v: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
     """Centers of cells by Lloyd's rounds; a cell that nothing is nearest to keeps its center."""
-    if not len(v):
-        return np.zeros((1, 1))
     centers = v[np.random.default_rng(5).choice(len(v), cells, replace=False)].copy()
     for _ in range(rounds):
         near = np.concatenate([_squares(v[s : s + 2048], centers).argmin(1) for s in range(0, len(v), 2048)])
@@ -91,21 +196,49 @@ def _probe(v: np.ndarray, centers: np.ndarray, n: int, target: float) -> int:
     return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))))]) if len(needed) else 1
 
 
-def _with_cells(df: DataFrame, column: str, centers: np.ndarray, probe: int) -> DataFrame:
-    """df with `cell`: a row for each of the `probe` cells nearest to its vector. The codebook's size is bounded, so it is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(centers)
-    at, names = df.columns.index(column), [*df.columns, "cell"]
+def _spread(df: DataFrame, column: str, shared, choose, extra: list[str] | None = None) -> DataFrame:
+    """df with `cell` and `__away`: for each row the (cells, distances) that choose(value of its key, vectors, extra columns) names."""
+    sent = df.sparkSession.sparkContext.broadcast(shared)
+    names = df.columns
+    at, key, more = names.index(column), names.index("__key"), [names.index(c) for c in extra or []]
 
     def run(batches):
-        centers = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                v = part.column(at)
-                square = _squares(v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1), centers)
-                near = np.argsort(square, 1, kind="stable")[:, :probe].astype(np.int32)
-                rows = part.take(pa.array(np.repeat(np.arange(len(v)), probe)))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel())], names=names)
+                keys = np.array(part.column(key).to_pylist(), object)
+                for k in dict.fromkeys(keys):
+                    if k not in sent.value:
+                        continue
+                    own = part.filter(pa.array(keys == k))
+                    row, cell, away = choose(sent.value[k], matrix(own.column(at)), [own.column(i).to_numpy(zero_copy_only=False) for i in more])
+                    yield pa.RecordBatch.from_arrays([*own.take(pa.array(row)).columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=[*names, "cell", "__away"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("__away", T.DoubleType())]))
+
+
+def _nearest(df: DataFrame, column: str, books: dict[str, tuple[np.ndarray, int]]) -> DataFrame:
+    """A row for each of the cells nearest to its vector, as many as its key's book says. Codebooks are bounded, so they are broadcast."""
+
+    def choose(book, v, _):
+        centers, probe = book
+        square = _squares(v, centers)
+        cell = np.argsort(square, 1, kind="stable")[:, :probe]
+        row = np.repeat(np.arange(len(v)), cell.shape[1])
+        return row, cell.ravel(), np.sqrt(((v[row] - centers[cell.ravel()]) ** 2).sum(1))
+
+    return _spread(df, column, books, choose)
+
+
+def _unread(df: DataFrame, books: dict[str, Book], probe: int | None) -> DataFrame:
+    """Of the cells that a first search left out those that may hold a neighbour nearer than __bound (null: any)."""
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())]))
+    def choose(book, v, extra):
+        square = _squares(v, book.centers)
+        cell = np.argsort(square, 1, kind="stable")[:, min(probe or book.probe, len(book.centers)) :]
+        away = np.sqrt(np.maximum(0.0, np.take_along_axis(square, cell, 1) + (v * v).sum(1)[:, None]))
+        bound = np.where(np.isnan(extra[0].astype(float)), np.inf, extra[0].astype(float))
+        row, place = np.nonzero(away <= bound[:, None] + book.reach[cell] + _SLACK * (1 + away))
+        return row, cell[row, place], away[row, place]
 
+    return _spread(df, "query_vec", books, choose, ["__bound"]).drop("__bound", "__away")

@@ -114,6 +114,18 @@ def linear_classifier(train: DataFrame, column: str, label: str, iterations: int
     return LinearHead.folded(scaler, own[:, :-1], own[:, -1], axes, pairs)
 
 
+def one_vs_rest_classifier(train: DataFrame, column: str, label: str, iterations: int = 20) -> LinearHead:
+    """Spark's linear support vector machine of each class against the rest, on scaled features, with the softmax of its
+    margins: a fit for each class, so for few classes."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.functions import array_to_vector
+
+    scaler = PopulationScaler.fit(train, column)
+    rows = scaler.transform(train, column, "__scaled").select(array_to_vector("__scaled").alias("features"), F.col(label).cast("double").alias("label"))
+    models = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01), parallelism=4).fit(rows).models
+    return LinearHead.folded(scaler, np.array([m.coefficients.toArray() for m in models]), np.array([m.intercept for m in models]))
+
+
 def centroid_classifier(train: DataFrame, column: str, label: str) -> LinearHead:
     """The linear classifier of the nearest class mean: weights are the means, intercepts half their squared lengths below 0."""
     sums = train.select(F.col(label).alias("c"), F.posexplode(F.col(column).cast("array<double>")).alias("dim", "x")).groupBy("c", "dim").agg(F.avg("x").alias("m"))

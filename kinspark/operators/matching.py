@@ -86,12 +86,17 @@ def best_matches(queries: DataFrame, database: DataFrame, n: int, keys: list[str
         return df.filter("vec is not null").withColumn(own, mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     both = dealt(d, "db", nd, "ask", nq).unionByName(dealt(q, "ask", nq, "db", nd))
+    best = best_in_groups(both, n, keys, cosine)
+    overall = Window.partitionBy("query_id", *keys).orderBy("dist", "desc_id")
+    return best.withColumn("rk", F.row_number().over(overall)).filter(F.col("rk") <= n)
+
+
+def best_in_groups(both: DataFrame, n: int, keys: list[str], cosine: bool = False) -> DataFrame:
+    """(query_id, *keys, desc_id, name, dist): of each query its n best in each group of keys, db and ask. both: (*keys, db, ask, id, name, vec, side), side true for queries."""
     kinds = dict(both.select(*keys).dtypes)
     ddl = ", ".join(["query_id long", *(f"`{k}` {kinds[k]}" for k in keys), "desc_id long", "name string", "dist double"])
     arrow = pa.schema([("query_id", pa.int64()), *((k, _ARROW[kinds[k]]) for k in keys), ("desc_id", pa.int64()), ("name", pa.string()), ("dist", pa.float64())])
-    best = both.groupBy(*keys, "db", "ask").applyInArrow(_best_of_block(n, cosine, arrow), ddl)
-    overall = Window.partitionBy("query_id", *keys).orderBy("dist", "desc_id")
-    return best.withColumn("rk", F.row_number().over(overall)).filter(F.col("rk") <= n)
+    return both.groupBy(*keys, "db", "ask").applyInArrow(_best_of_block(n, cosine, arrow), ddl)
 
 
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16()}
@@ -140,6 +145,28 @@ def rank_names(scores: DataFrame, descending: bool = False, by: str = "score") -
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(order, "name")))
 
 
+def top_names(hits: DataFrame, images: DataFrame, names: DataFrame, n: int, by: list[str] | None = None, digits: int = 9) -> DataFrame:
+    """(*images.columns, name, score, rank): the first n names of each image, as rank_names() of every image and name has them.
+
+    hits: (image_id, *by, name, score) with scores of at most 0; images: (image_id, *by), each once; names: (*by, name).
+    Names that an image did not meet share the score 0 and the order of names, so the first n names follow from its best
+    n hits and the first 2 n - 1 names: no row for each image and name. Scores are rounded to digits.
+    """
+    by = by or []
+    score = F.round("score", digits)
+    best = Window.partitionBy("image_id", *by).orderBy("score", "name")
+    met = hits.select("image_id", *by, "name", score.alias("score")).filter("score < 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+    lists = met.groupBy("image_id", *by).agg(F.array_sort(F.collect_list(F.struct("score", "name"))).alias("met"))
+    one = F.lit(0).alias("__all")
+    first = names.select(*by, one, "name").distinct().withColumn("at", F.row_number().over(Window.partitionBy(*by, "__all").orderBy("name"))).filter(F.col("at") <= 2 * n - 1)
+    first = first.groupBy(*by, "__all").agg(F.array_sort(F.collect_list("name")).alias("first"))
+    every = images.withColumn("__all", F.lit(0)).join(first, [*by, "__all"]).join(lists, ["image_id", *by], "left")
+    zero = F.lit(0.0)
+    rest = F.transform(F.array_except("first", F.coalesce(F.col("met.name"), F.array().cast("array<string>"))), lambda x: F.struct(zero.alias("score"), x.alias("name")))
+    ranked = F.slice(F.concat(F.coalesce("met", F.array().cast("array<struct<score:double,name:string>>")), rest), 1, n)
+    return every.select(*images.columns, F.posexplode(ranked).alias("p", "c")).select(*images.columns, "c.name", "c.score", (F.col("p") + 1).alias("rank"))
+
+
 def cosine_top1(queries: DataFrame, database: DataFrame, blocks: tuple[int, int] | None = None) -> DataFrame:
     """(query_id, desc_id, name, similarity) of the most similar database row, ties by desc_id."""
     best = best_matches(queries, database, 1, cosine=True, blocks=blocks)

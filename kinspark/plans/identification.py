@@ -9,7 +9,7 @@ from kinspark.functions.vectors import l2_normalize
 from kinspark.operators import evaluation as ev
 from kinspark.operators import features as ft
 from kinspark.operators import matching as mt
-from kinspark.operators.ann import AnnIndex
+from kinspark.operators.ann import MOST_CELLS, AnnIndex
 from kinspark.operators.fusion import log_opinion_pool as pool
 from kinspark.operators.matrices import appended
 from kinspark.operators.pairwise import coupled_rows, sigmoids
@@ -48,8 +48,12 @@ def _ranks(spark, sf_dir):
 
 
 def lnbnn_rank(spark, sf_dir):
-    _, r = _ranks(spark, sf_dir)
-    return r.filter(F.col("rank") <= 5).select(F.col("image_id").alias("query_id"), "rank", "name", "score")
+    """The first five names of each query, from those that it met and the list of names."""
+    q, db = queries_and_database(spark, sf_dir)
+    c = mt.lnbnn_contributions(mt.knn_join(q.select("query_id", "query_vec"), db.select("desc_id", "vec", "name"), 3))
+    images = q.select(F.col("query_id").alias("image_id"))
+    hits = mt.lnbnn_hits(c, q.select("query_id", F.col("query_id").alias("image_id")))
+    return mt.top_names(hits, images, db.select("name"), 5, digits=6).select(F.col("image_id").alias("query_id"), "rank", "name", "score")
 
 
 _SCORES = f"""with {_PARTS}, {_CONTRIBUTIONS.format(on='true')},
@@ -180,29 +184,49 @@ select config, printf('%.1f', 100 * avg((rank <= 1)::int)) as top_1, printf('%.1
 printf('%.1f', 100 * avg((rank <= 5)::int)) as top_5, 'N/A' as top_100 from t group by config"""
 
 
-def _found(spark, sf_dir):
-    """Exact and approximate neighbours of the queries; the index is kept in a folder and read again."""
+def _index(spark, sf_dir):
+    """(queries, database, index of the database), the index kept in a folder and read again."""
     q, db = queries_and_database(spark, sf_dir)
     q, db = q.select("query_id", "query_vec"), db.select("desc_id", "vec", "name")
     folder = scratch_folder(spark, "index")
     AnnIndex.fit(db, folder, 3)
-    return mt.knn_join(q, db, 3), AnnIndex.load(spark, folder).search(q, 3)
+    return q, db, AnnIndex.load(spark, folder)
 
 
 def ann_search(spark, sf_dir):
-    return _found(spark, sf_dir)[1].select("query_id", "desc_id", "name", "rk")
+    """The neighbours in the cells nearest to each query."""
+    q, _, index = _index(spark, sf_dir)
+    return index.search(q, 3).select("query_id", "desc_id", "name", "rk")
 
 
 def ann_recall(spark, sf_dir):
-    return mt.recall_at(*_found(spark, sf_dir))
+    q, db, index = _index(spark, sf_dir)
+    return mt.recall_at(mt.knn_join(q, db, 3), index.search(q, 3))
+
+
+def ann_recall_reached(spark, sf_dir):
+    """How many queries got all their neighbours' places filled, how many pairs have the distance of their vectors, and whether 0.95 of the true neighbours were found."""
+    q, db, index = _index(spark, sf_dir)
+    found, exact = index.search(q, 3), mt.knn_join(q, db, 3)
+    vectors = found.join(q, "query_id").join(db.select("desc_id", "vec"), "desc_id")
+    square = F.aggregate(F.zip_with("query_vec", "vec", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
+    right = vectors.agg(F.count_distinct("query_id").alias("queries"), F.count(F.when(F.abs(F.sqrt(square) - F.col("dist")) < 1e-9, 1)).alias("pairs"))
+    return right.crossJoin(mt.recall_at(exact, found).select((F.col("recall") >= 0.95).alias("reached")))  # one row beside one row
+
+
+def ann_search_exact(spark, sf_dir):
+    """The true neighbours, from cells whose reach does not rule them out."""
+    q, _, index = _index(spark, sf_dir)
+    return index.search(q, 3, exact=True).select("query_id", "desc_id", "name", F.round("dist", 6).alias("dist"), "rk")
 
 
 def ann_search_all_cells(spark, sf_dir):
     """With every cell probed the index finds what the exact join finds."""
-    q, db = queries_and_database(spark, sf_dir)
-    index = AnnIndex.fit(db.select("desc_id", "vec", "name"), scratch_folder(spark, "index"), 3)
-    found = index.search(q.select("query_id", "query_vec"), 3, probe=len(index.centers))
-    return found.select("query_id", "desc_id", "name", F.round("dist", 6).alias("dist"), "rk")
+    q, _, index = _index(spark, sf_dir)
+    return index.search(q, 3, probe=MOST_CELLS).select("query_id", "desc_id", "name", F.round("dist", 6).alias("dist"), "rk")
+
+
+_NEAREST = f"with {_PARTS} select q.id as query_id, db.id as desc_id, db.name, round(list_distance(q.v, db.v), 6) as dist, row_number() over (partition by q.id order by list_distance(q.v, db.v), db.id) as rk from q, db qualify rk <= 3"
 
 
 def _low_rank(spark, sf_dir):
@@ -288,9 +312,9 @@ select i::int as i, j::int as j, round(a, 3) as a, round(b, 3) as b from it wher
 
 
 def ovr_svm(spark, sf_dir):
-    """Classes of the queries, from a classifier of the database, ranked by coupled probabilities of pairs."""
+    """Classes of the queries, from a classifier of the database, ranked."""
     d = descriptors(spark, sf_dir).withColumn("class_idx", F.col("name").cast("int"))
-    return ft.linear_classifier(d.filter("not is_query"), "vec", "class_idx").probabilities(d.filter("is_query"), "vec", "desc_id")
+    return ft.one_vs_rest_classifier(d.filter("not is_query"), "vec", "class_idx").probabilities(d.filter("is_query"), "vec", "desc_id")
 
 
 def probability_rank(spark, sf_dir):
@@ -314,7 +338,9 @@ QUERIES = {
     "results_pivot": (results_pivot, _PIVOT),
     "ann_search": (ann_search, None),
     "ann_recall": (ann_recall, None),
-    "ann_search_all_cells": (ann_search_all_cells, f"with {_PARTS} select q.id as query_id, db.id as desc_id, db.name, round(list_distance(q.v, db.v), 6) as dist, row_number() over (partition by q.id order by list_distance(q.v, db.v), db.id) as rk from q, db qualify rk <= 3"),
+    "ann_recall_reached": (ann_recall_reached, f"with {_PARTS} select count(*) as queries, 3 * count(*) as pairs, true as reached from q"),
+    "ann_search_exact": (ann_search_exact, _NEAREST),
+    "ann_search_all_cells": (ann_search_all_cells, _NEAREST),
     "pca_project": (pca_project, _RANK + " select vec_id, round(sum(z * z), 5) as squares, 0.0e0 as beyond from z group by vec_id"),
     "pca_spectrum": (pca_spectrum, _SPECTRUM),
     "pairwise_coupling": (pairwise_coupling, _COUPLED),

@@ -32,15 +32,16 @@ def _asked(spark, sf_dir):
 
 
 def contour_model_predict(spark, sf_dir):
-    found = _contour_model(spark, sf_dir).predict_descriptors(_asked(spark, sf_dir))
-    return found.filter("rank <= 5").select("image_id", "view", "name", F.round("score", 6).alias("score"), "rank")
+    """The first five names, with a search that misses no neighbour."""
+    found = _contour_model(spark, sf_dir).predict_descriptors(_asked(spark, sf_dir), top=5, exact=True)
+    return found.select("image_id", "view", "name", F.round("score", 6).alias("score"), "rank")
 
 
 def contour_model_evaluate(spark, sf_dir):
     """Every tenth query also stands for a picture without descriptors, which does not count."""
     asked, model = _asked(spark, sf_dir), _contour_model(spark, sf_dir)
     truth = asked.select("image_id", "name").union(asked.filter("image_id % 50 = 0").select((-F.col("image_id") - 1).alias("image_id"), "name"))
-    return model.evaluate(model.predict_descriptors(asked), truth, _KS)
+    return model.evaluate(model.predict_descriptors(asked, top=max(_KS), exact=True), truth, _KS)
 
 
 def contour_model_summary(spark, sf_dir):

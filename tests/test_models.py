@@ -262,6 +262,50 @@ def test_ann_index(spark, tmp_path):
         AnnIndex.load(spark, str(tmp_path / "x"))
 
 
+def test_index_by_keys_reads_few_cells_and_misses_nothing(spark, tmp_path):
+    r = np.random.default_rng(8)
+    centers = r.normal(size=(30, 8)) * 4
+    x = np.round(centers[r.integers(0, 30, 4000)] + r.normal(size=(4000, 8)), 2).astype(np.float32)
+    x[:900] = x[0]  # a hot cell of equal rows
+    kind = "desc_id long, name string, vec array<float>, view string, scale_idx int"
+    db = spark.createDataFrame([(i, str(i % 9), v.tolist(), "ab"[i % 2], i % 3) for i, v in enumerate(x[:3900])] + [(5000, "z", None, "a", 0), (5001, "z", [1.0] * 8, None, 0)], kind)
+    ask = [(i, v.tolist(), "ab"[i % 2], i % 3) for i, v in enumerate(x[3900:])] + [(900 + i, x[0].tolist(), "a", 0) for i in range(40)] + [(2000, [0.0] * 8, "c", 0), (2001, None, "a", 0)]
+    q = spark.createDataFrame(ask, "query_id long, query_vec array<float>, view string, scale_idx int")
+    AnnIndex.fit(db, str(tmp_path / "i"), 3, keys=["view", "scale_idx"])
+    index = AnnIndex.load(spark, str(tmp_path / "i"))
+    assert len(index.books) == 6 and index.rows.count() == 3900 and sum(int(b.rows.sum()) for b in index.books.values()) == 3900
+    want = mt.knn_join(q, db.filter("vec is not null and view is not null"), 3, ["view", "scale_idx"])
+    columns = ["query_id", "view", "scale_idx", "desc_id", "name", "rk"]
+    assert sorted(index.search(q, 3, exact=True).select(columns).collect()) == sorted(want.select(columns).collect())
+    assert mt.recall_at(want, index.search(q, 3)).first().recall >= 0.9
+    few = index.search(q.filter("query_id = 901"), 3, probe=1)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    filters = [f.split("PushedFilters")[0] for f in plan.split("PartitionFilters:")[1:]]
+    assert any("cell#" in f and "view#" in f for f in filters)
+    assert index.search(q.limit(0), 3).count() == 0 and index.search(q, 3, exact=True, probe=1).count() == want.count()
+    empty = AnnIndex.fit(db.limit(0), str(tmp_path / "e"), 3)
+    assert empty.search(q, 3).count() == 0 and empty.search(q, 3, exact=True).count() == 0
+
+
+def test_an_index_has_few_files(spark, tmp_path):
+    db = spark.range(2000, numPartitions=20).selectExpr("id as desc_id", "'n' as name", "array(cast(id % 7 as float), cast(id % 11 as float)) as vec")
+    AnnIndex.fit(db, str(tmp_path / "i"), 2)
+    assert len(list((tmp_path / "i/rows").rglob("*.parquet"))) < 60  # not one for each task and cell
+
+
+def test_first_names_without_a_row_for_each(spark):
+    r = np.random.default_rng(9)
+    names = spark.createDataFrame([(v, f"n{i:02}") for v in "ab" for i in range(12) if (v, i) != ("b", 3)] * 2, "view string, name string")
+    images = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(30)] + [(99, "c")], "image_id long, view string")
+    hits = spark.createDataFrame([(i, "ab"[i % 2], f"n{j:02}", float(-r.integers(0, 3)) - 1e-12) for i in range(28) for j in r.permutation(12)[: r.integers(0, 12)] if (i % 2, j) != (1, 3)], "image_id long, view string, name string, score double")
+    every = mt.with_names(images.select(F.struct("image_id", "view").alias("image_id"), "view"), names, ["view"])
+    scores = every.join(hits.select(F.struct("image_id", "view").alias("image_id"), "name", "score"), ["image_id", "name"], "left").select("image_id", "name", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+    whole = mt.rank_names(scores)
+    for n in (1, 5, 50):
+        want = sorted((x.image_id.image_id, x.image_id.view, x.name, x.score + 0.0, x.rank) for x in whole.collect() if x.rank <= n)
+        assert sorted((x.image_id, x.view, x.name, x.score, x.rank) for x in mt.top_names(hits, images, names, n, ["view"]).collect()) == want
+
+
 def test_ann_query_reaches_its_recall(spark):
     from kinspark.plans import identification
     from tests.conftest import DATA
