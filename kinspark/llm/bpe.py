@@ -29,12 +29,12 @@ from kinspark.llm.sparse_rows import SparseRows
 # Fixed value: the pattern by which the vocabulary's pre-tokenizer cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Pre-tokens that a worker keeps the ids of; a full table is emptied, which costs time and no result.
-CACHE_PIECES = 500_000
+#: Pre-tokens that a worker keeps the ids of, and characters of them; a full table is emptied, which costs time and no result.
+CACHE_PIECES, CACHE_CHARS = 200_000, 4 << 20
 #: Pre-tokens of up to so many bytes are merged side by side, one segment tree each in the rows of one array.
 WIDE = 64
 #: Characters of text that are encoded together.
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 19
 _NONE = 1 << 62
 _POS = 32
 #: The same for the arrays: positions below WIDE and ranks below 2^24.
@@ -160,7 +160,7 @@ class BpeCodec:
         self.inner_of, self.last_of = np.array(self.inner, np.int32), np.array(self.last, np.int32)
         self.by_char = {c: b for b, c in enumerate(chars)}
         self.pieces: dict[str, int] = {}  # number of a pre-token in runs
-        self.runs = Runs()
+        self.runs, self.held = Runs(), 0
 
     @functools.cached_property
     def library(self):
@@ -264,6 +264,7 @@ class BpeCodec:
         for p in texts:
             raw = p.encode()
             n = len(raw)
+            self.held += n
             size = 8 if n <= 8 else 16 if n <= 16 else 32 if n <= 32 else WIDE if n <= WIDE else 0
             if size not in by_size:
                 by_size[size] = [], []
@@ -350,8 +351,8 @@ class BpeCodec:
 
     def _encode_block(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Each different pre-token of the texts is looked up once."""
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces, self.runs = {}, Runs()
+        if len(self.pieces) > CACHE_PIECES or self.held > CACHE_CHARS:
+            self.pieces, self.runs, self.held = {}, Runs(), 0
         coded, stops = _pre_tokens(texts)
         met = coded.dictionary.to_pylist()
         pieces = self.pieces
