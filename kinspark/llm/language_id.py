@@ -2,9 +2,11 @@
 
 For each language a suffix automaton of labelled text. A text is cut, from left to right, into the longest phrases that
 occur in that sample: the walk goes on while the automaton has a transition and starts again at the root where it has
-none. A text of m characters that needs c phrases against a sample of s characters has a cross entropy of about
-c * log2(s) / m bits a character (the Ziv-Merhav estimate); the language with the lowest wins, and the score is its
-share of the weights 2^(-SHARPNESS * entropy).
+none. A phrase found in a sample of s characters costs log2(s) bits, the place where it stands (the Ziv-Merhav estimate),
+but never more than its letters by themselves do, and a letter that the sample does not have costs what it costs by
+itself. Letters have one price for all languages, by their mean share in the samples, so samples of unequal sizes
+compare: where no sample knows a text, all languages need the same bits and none stands out. The language with the
+fewest bits a character, the entropy, wins, and the score is its share of the weights 2^(-SHARPNESS * entropy).
 
 The transitions of all automata are one sparse table with a column for every letter of the sample, whatever its script.
 It is made once, on the driver, and looked up as array operations, so many stretches of many texts walk side by side. A
@@ -38,8 +40,9 @@ SAMPLE_CHARS, SAMPLE_DOCS, ALL_CHARS, SAMPLE_LANGS = 40_000, 200, 2_000_000, 256
 STRETCH, BLOCK_CHARS = 1024, 1 << 20
 SHARPNESS = 4.0
 UNDETERMINED = "und"
-#: Score from which a language stands out; equal entropies in four languages give 0.25.
-LEAST_SCORE = 0.4
+#: Score from which a language stands out (equal entropies in four languages give 0.25), and the most that its entropy may
+#: be of that of the letters by themselves; bits of a letter that no sample has.
+LEAST_SCORE, MOST_SHARE, RARE_BITS = 0.4, 0.97, 20.0
 
 
 def training_sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
@@ -104,6 +107,7 @@ class CrossParser:
         self.classes[met] = np.arange(2, len(met) + 2)
         self.width = len(met) + 2
         rows, cols, values, roots, base, self.bits = [], [], [], [], 0, []
+        used = np.zeros(self.width)  # shares of the columns, languages alike
         self.again = np.zeros((len(self.langs), self.width), np.int32)  # from the root, where a phrase has ended
         for i, lang in enumerate(self.langs):
             text = self.classify(joined[lang]).tolist()
@@ -117,8 +121,11 @@ class CrossParser:
             roots.append(base)
             base += len(nexts)
             self.bits.append(math.log2(max(2, len(text))))
+            used += np.bincount(text, minlength=self.width) / max(1, len(text))
         self.table = SparseRows(np.array(rows, np.int64), np.array(cols, np.int64), np.array(values, np.int64), base, self.width)
         self.roots = np.array(roots, np.int32)
+        with np.errstate(divide="ignore"):
+            self.letter_bits = np.minimum(RARE_BITS, -np.log2(used / max(1, len(self.langs))))
 
     def classify(self, codes: np.ndarray) -> np.ndarray:
         """Column of each character, runs of other characters than letters as one."""
@@ -128,8 +135,8 @@ class CrossParser:
         return c[keep]
 
     def entropies(self, texts: list[str | None]) -> list[list[float] | None]:
-        """Bits a character in each language; None for a text without a letter. Memory is that of BLOCK_CHARS, not of a text."""
-        bits, chars = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        """Bits a character in each language and, last, of the letters by themselves; None for a text without a letter. Memory is that of BLOCK_CHARS, not of a text."""
+        bits, chars = np.zeros((len(texts), len(self.langs) + 1)), np.zeros(len(texts))
         parts: list[tuple[int, np.ndarray]] = []
         size = 0
         for i, t in enumerate(texts):
@@ -158,29 +165,39 @@ class CrossParser:
         order = np.argsort(-np.array(length), kind="stable")
         starts, lengths, owners = (np.array(x)[order] for x in (start, length, owner))
         state = np.repeat(self.roots[:, None], len(starts), 1)
-        phrases = np.ones((len(self.langs), len(starts)), np.int64)
+        cost = np.zeros((len(self.langs), len(starts)))
+        spelt = np.zeros_like(cost)  # what the letters of the phrase in hand cost
+        alone = np.zeros(len(starts))
+        pointer = np.array(self.bits)[:, None]
         live = np.searchsorted(-lengths, -np.arange(STRETCH), "left")
         for step in range(int(lengths[0])):
             k = int(live[step])
             c = data[starts[:k] + step]
             there, to = self.table.get(state[:, :k], c)
-            phrases[:, :k] += ~there
-            state[:, :k] = np.where(there, to, self.again[:, c])
+            first, letter = self.again[:, c], self.letter_bits[c]
+            unknown = ~there & (first == self.roots[:, None])
+            cost[:, :k] += np.where(there, 0.0, np.minimum(pointer, spelt[:, :k]))
+            cost[:, :k] += unknown * letter
+            spelt[:, :k] = np.where(there, spelt[:, :k] + letter, np.where(unknown, 0.0, letter))
+            alone[:k] += letter
+            state[:, :k] = np.where(there, to, first)
+        cost += np.minimum(pointer, spelt)
         np.add.at(chars, owners, lengths)
-        np.add.at(bits, owners, phrases.T * np.array(self.bits))
+        np.add.at(bits, owners, np.vstack([cost, alone]).T)
 
-    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, float | None]]:
-        """(language, score, entropy) of each text."""
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[str, float, float | None, float | None]]:
+        """(language, score, entropy, bits a character of the letters by themselves) of each text."""
         start = size = 0
         for stop, t in enumerate(texts, 1):
             size += len(t or "")
             if size >= BLOCK_CHARS or stop == len(texts):
-                for h in self.entropies(texts[start:stop]):
-                    if h is None:
-                        yield UNDETERMINED, 0.0, None
+                for found in self.entropies(texts[start:stop]):
+                    if found is None:
+                        yield UNDETERMINED, 0.0, None, None
                         continue
+                    *h, alone = found
                     best = min(range(len(h)), key=h.__getitem__)
-                    yield self.langs[best], 1 / sum(2 ** (SHARPNESS * (h[best] - x)) for x in h), h[best]
+                    yield self.langs[best], 1 / sum(2 ** (SHARPNESS * (h[best] - x)) for x in h), h[best], alone
                 start, size = stop, 0
 
 
@@ -200,7 +217,7 @@ def identify_language(df: DataFrame, sample: list[tuple[str, str]], id_col: str
             for batch in batches:
                 for keys, texts in slices_of(batch, "k", "t"):
                     for key, found in zip(keys, parser.judge(texts), strict=True):
-                        yield key, *found
+                        yield key, *found[:3]
 
         yield from arrow_rows(rows(), schema)
 
@@ -208,9 +225,9 @@ def identify_language(df: DataFrame, sample: list[tuple[str, str]], id_col: str
     return picked.mapInArrow(thin(run), f"`{id_col}` long, lang_pred string, score double, entropy double")
 
 
-def accept(lang: str, score: float, entropy: float | None) -> bool:
-    """A text with letters in which one language stands out."""
-    return lang != UNDETERMINED and score >= LEAST_SCORE
+def accept(lang: str, score: float, entropy: float | None, alone: float | None) -> bool:
+    """A text with letters in which one language stands out and explains more than the letters by themselves do."""
+    return lang != UNDETERMINED and score >= LEAST_SCORE and entropy <= MOST_SHARE * alone
 
 
 def keep_identified(df: DataFrame, sample: list[tuple[str, str]], text_col: str = "text", accepts=accept) -> DataFrame:

@@ -14,6 +14,7 @@ alike; a tie between templates gives both labels; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -222,10 +223,11 @@ class Chains:
 
     def spans(self, least: float) -> list[tuple[int, int, int]]:
         """(first word, end, covered) of chains that cover at least so much; of those that share words the one that covers most."""
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int]] = []  # apart from each other, in the order of the text
         for covered, first, end, _ in sorted((c for c in self.done + self.open if c[0] >= least), key=lambda c: (-c[0], c[1], c[2])):
-            if all(end <= a or b <= first for a, b, _ in out):
-                out.append((first, end, covered))
+            at = bisect.bisect_left(out, (first,))
+            if (at == 0 or out[at - 1][1] <= first) and (at == len(out) or end <= out[at][0]):
+                out.insert(at, (first, end, covered))
         return out
 
 

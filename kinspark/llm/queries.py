@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspark.llm.bpe import bpe_round_trip
-from kinspark.llm.common import ensure_checkpoint_dir, table
+from kinspark.llm.common import table
 from kinspark.llm.embedding_dedup import near_duplicates
 from kinspark.llm.exact_dedup import exact_dedup
 from kinspark.llm.fill_in_middle import fill_in_middle, restored
@@ -22,6 +21,7 @@ from kinspark.llm.set_join import jaccard_components
 from kinspark.llm.timestamps import normalise_stamps
 from kinspark.llm.token_rollup import TOKENIZERS, Rollup, counted, deleted, inserted, revised
 from kinspark.llm.url_filter import judge_urls, rule
+from kinspark.llm.workspace import Workspace
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -120,7 +120,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     provisional = docs.select("source", "lang", guess.alias("tokens"), F.explode(F.array(*map(F.lit, TOKENIZERS))).alias("tokenizer"))
     actual = counted(docs.withColumn("old_tokens", guess), keep=("doc_id", "old_tokens"))
     gone = actual.join(toxic, "doc_id")  # an inner join: a semi join would be pushed below the counting and shuffle the texts
-    rollup = Rollup(spark, f"{ensure_checkpoint_dir(spark)}/kinspark-rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, Workspace(spark, "rollup").root)  # deleted at the driver's end
     for _ in range(2):
         rollup.commit("provisional", inserted(provisional))
         rollup.commit("revision", revised(actual))

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -423,24 +424,49 @@ def test_language_phrases_equal_brute_force():
         known = {c for _, t in sample for c in t.lower() if c.isalpha()}
         return re.sub("_+", "_", "".join("_" if not c.isalpha() else c if c in known else "?" for c in text.lower())).lstrip("_")
 
+    streams = [classes(" ".join(x for k, x in sample if k == lang)) for lang in "xyz"]
+    share = {c: sum(s.count(c) / len(s) for s in streams) / 3 for c in set("".join(streams)) | {"?"}}
+    price = {c: min(20.0, -math.log2(n)) if n else 20.0 for c, n in share.items()}
     for text, got in zip(texts, parser.entropies(texts), strict=True):
         t = classes(text)
         if not any(c != "_" for c in t):
             assert got is None
             continue
-        for lang, found in zip("xyz", got, strict=True):
-            s = classes(" ".join(x for k, x in sample if k == lang))
-            count, held = 1, ""
+        for s, found in zip(streams, got, strict=False):
+            bits, held = 0.0, ""
+
+            def phrase():
+                return min(math.log2(len(s)), sum(price[c] for c in held))
+
             for c in t:
                 if c != "?" and held + c in s:
                     held += c
                 else:
-                    count, held = count + 1, c if c != "?" and c in s else ""
-            assert found == pytest.approx(count * math.log2(len(s)) / len(t))
+                    bits += phrase()
+                    held = c if c != "?" and c in s else ""
+                    bits += 0 if held else price[c]
+            assert found == pytest.approx((bits + phrase()) / len(t))
+        assert got[3] == pytest.approx(sum(price[c] for c in t) / len(t))
     long = "日本語한국 abc " * 30
     assert parser.entropies([long * 40])[0] == pytest.approx(parser.entropies([long])[0], rel=0.2)
 
 
+def test_languages_of_unequal_samples_and_unseen_scripts(spark):
+    rows = [r for r in table(spark, str(DATA / "sf0.01"), "documents").collect() if r.lang and r.text]
+    langs = sorted({r.lang for r in rows})
+    for small in langs:
+        sample = [(k, "\n".join(r.text for r in rows if r.lang == k and zlib.crc32(str(r.doc_id).encode()) % 4 != 2)[: 300 if k == small else 40_000]) for k in langs]
+        parser = CrossParser(tuple(sample))
+        held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2][:150]
+        found = list(parser.judge([r.text for r in held]))
+        assert sum(f[0] == r.lang for f, r in zip(found, held, strict=True)) / len(held) >= 0.97
+        assert sum(language_id.accept(*f) for f in found) / len(held) >= 0.98
+        for unseen in ("これは日本語の文章です。東京へ行きました。", "Это русское предложение о погоде и природе.", "한국어 문장입니다 오늘 날씨가 좋네요"):
+            lang, score, entropy, alone = next(parser.judge([unseen]))
+            assert score == pytest.approx(1 / len(langs), abs=0.05) and entropy == pytest.approx(alone, rel=0.01)
+            assert lang in langs and not language_id.accept(lang, score, entropy, alone)
+
+
 def test_language_of_many_letters(spark):
     r = random.Random(9)
     scripts = {"zh": [chr(0x4E00 + i) for i in range(3000)], "ja": [chr(0x3041 + i) for i in range(80)] + [chr(0x4E00 + 7 * i) for i in range(200)], "ko": [chr(0xAC00 + 5 * i) for i in range(1500)], "en": list("abcdefghijklmnopqrstuvwxyz"), "ru": [chr(0x430 + i) for i in range(32)]}
@@ -475,6 +501,13 @@ def test_language_edges(spark):
     assert identify_language(d.limit(0), sample).count() == 0
 
 
+def test_one_notice_a_quarter_of_a_million_times():
+    own, began = LicenceAutomaton(), time.perf_counter()
+    places, spans = own.scan(words_of("All rights reserved. foo " * 250_000))
+    assert time.perf_counter() - began < 30 and not places  # with every chain tested against all others it took hours
+    assert [(a, b) for a, b, _, _ in spans] == [(4 * i, 4 * i + 3) for i in range(250_000)]
+
+
 def test_license_query(spark):
     phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
     d = docs(spark, [*TEXTS, "x under, the MIT-license; under the mit license", "CC BY-NC cc by nc é", "Apache License, Version 2.0", "under the mit\u00a0license"])
