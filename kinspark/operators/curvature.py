@@ -80,10 +80,16 @@ def integral_curvature(points: DataFrame, scales: tuple[float, ...] = SCALES) ->
 def neighbours_within(points: DataFrame, share: float) -> DataFrame:
     """(contour_id, pos, other) of points of one contour whose distance is at most `share` of the larger side of its extent.
 
-    A range join within a contour, which is one image's outline.
+    A range join by cells as wide as that distance: a point meets the points of its own cell and of the eight around it,
+    so the work follows the matches and not the pairs of a contour's points. Each contour and cell is a key of an inner
+    join, which Spark splits where one has very many points.
     """
     reach = points.groupBy("contour_id").agg((F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * F.lit(share)).alias("r"))
-    a = points.join(reach, "contour_id")
-    b = points.select("contour_id", F.col("pos").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    wide = F.col("r") * (1 + 1e-9)  # what rounding may move over a cell's edge
+    cell = [F.coalesce(F.floor(F.try_divide(F.col(c), wide)), F.lit(0)) for c in ("x", "y")]  # without an extent all points share one
+    placed = points.join(reach, "contour_id").select("contour_id", "pos", "x", "y", "r", cell[0].alias("cx"), cell[1].alias("cy"))
+    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    around = placed.select("contour_id", F.col("pos").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy", F.explode(steps).alias("i"))
+    around = around.select("*", F.explode(steps).alias("j")).select("contour_id", "other", "ox", "oy", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    return a.join(b, "contour_id").filter(dx * dx + dy * dy <= F.col("r") * F.col("r")).select("contour_id", "pos", "other")
+    return placed.join(around, ["contour_id", "cx", "cy"]).filter(dx * dx + dy * dy <= F.col("r") * F.col("r")).select("contour_id", "pos", "other")

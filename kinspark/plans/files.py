@@ -149,6 +149,79 @@ def checked_splits(spark, sf_dir):
     return checked_split(catalogue(spark, sf_dir).select("individual", "filepath")).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("filepath").alias("total"))
 
 
+def mask_round_trip(spark, sf_dir):
+    """Two bodies and three tusks of each part in a cache: the second tusk overlaps what the first one added, every third
+    part's last tusk what the second one did, and odd parts list them the other way round. Bodies with their tusks go
+    into a cache as one mask each and are read again."""
+    k = F.col("p_partkey").cast("int")
+    a, u = k % 40, k % 40 + 55 + 10 * (k % 3)
+
+    def mask(start, stop):
+        return mk.mask_json(F.lit(20), F.lit(20), F.array(F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"))))
+
+    tusks = [mask(a + 25, a + 45), mask(a + 40, a + 60), mask(u, u + 100)]
+
+    def predictions(*masks):
+        return F.struct(F.array(*(F.struct(m.alias("rle_mask")) for m in masks)).alias("predictions"))
+
+    cached = F.struct(
+        F.struct(*(F.lit(0).alias(c) for c in ("x_min", "y_min", "x_max", "y_max"))).alias("crop_bbox"), F.struct(F.lit(20).alias("width"), F.lit(20).alias("height")).alias("image_size"),
+        predictions(F.col("b1"), F.col("b2")).alias("sam_body"), F.when(k % 2 == 0, predictions(*map(F.col, ("t0", "t1", "t2")))).otherwise(predictions(*map(F.col, ("t2", "t1", "t0")))).alias("sam_tusk"),
+    )
+    masks = {"b1": mask(a, a + 30), "b2": mask(k % 7 + 150, k % 7 + 170), **{f"t{i}": t for i, t in enumerate(tusks)}}
+    rows = table(spark, sf_dir, "part").select("p_partkey", *(m.alias(n) for n, m in masks.items()))
+    first, second = scratch_folder(spark, "masks"), scratch_folder(spark, "masks")
+    sinks.write_cache(rows.select(F.col("p_partkey").cast("string").alias("path"), cached.alias("cached")), first)
+    found = mk.foreground(scans.cached_lines(spark, first, schemas.MASK_CACHE), smooth=False)
+    one = F.struct(F.struct(F.col("width"), F.col("height")).alias("image_size"), predictions(mk.mask_json("height", "width", "runs")).alias("sam_body"))
+    sinks.write_cache(found.select("path", one.alias("cached")), second)
+    again = mk.foreground(scans.cached_lines(spark, second, schemas.MASK_CACHE), smooth=False)
+    return again.select("path", F.explode("runs").alias("r")).select("path", "r.start", "r.stop")
+
+
+def _taken(body: str, order: list[str]) -> str:
+    """SQL of a body's interval after it took in tusks in an order."""
+    out = f"(select p_partkey as k, {body} from part)"
+    for i in order:
+        out = f"(select k, case when s < e{i} and s{i} < e then least(s, s{i}) else s end as s, case when s < e{i} and s{i} < e then greatest(e, e{i}) else e end as e from {out} join t using (k))"
+    return out
+
+
+_A, _U = "p_partkey % 40", "p_partkey % 40 + 55 + 10 * (p_partkey % 3)"
+_BODIES = " union all ".join(f"select * from {_taken(b, order)} where k % 2 = {odd}" for b in (f"{_A} as s, {_A} + 30 as e", "p_partkey % 7 + 150 as s, p_partkey % 7 + 170 as e") for odd, order in ((0, "012"), (1, "210")))
+_ROUND_TRIP = f"""with t as (select p_partkey as k, {_A} + 25 as s0, {_A} + 45 as e0, {_A} + 40 as s1, {_A} + 60 as e1, {_U} as s2, {_U} + 100 as e2 from part), b as ({_BODIES}),
+m as (select *, max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) as reach from b),
+g as (select *, sum((reach is null or s > reach)::int) over (partition by k order by s, e rows unbounded preceding) as island from m)
+select k::varchar as path, min(s)::bigint as start, max(e)::bigint as stop from g group by k, island"""
+
+
+def masks_smoothed(spark, sf_dir):
+    """Masks of ten by ten pixels, one for each part, their largest part closed."""
+    k, p = F.col("p_partkey"), F.sequence(F.lit(0), F.lit(99))
+
+    def on(i):
+        x, y = F.floor(i / 10), i % 10
+        return (k * 7 + x * x * 3 + y * y * 5 + x * y * (k % 5)) % 11 < 3
+
+    runs = F.transform(F.filter(p, on), lambda i: F.struct(i.cast("long").alias("start"), (i + 1).cast("long").alias("stop")))
+    masks = table(spark, sf_dir, "part").select(k.cast("long").alias("mask_id"), F.lit(10).alias("height"), F.lit(10).alias("width"), runs.alias("runs"))
+    return mk.smoothed_masks(masks).select("mask_id", F.explode("runs").alias("r")).select("mask_id", "r.start", "r.stop")
+
+
+#: Pixels that reach each other are found by going on from pixel to pixel; then closing by two joins with the square around.
+_SMOOTHED = """with recursive a as (select p_partkey as k, i, i // 10 as x, i % 10 as y from part, unnest(range(0, 100)) t(i)),
+p as materialized (select * from a where (k * 7 + x * x * 3 + y * y * 5 + x * y * (k % 5)) % 11 < 3),
+n as materialized (select p.k, p.i, q.i as j from p join p q on p.k = q.k and abs(p.x - q.x) <= 1 and abs(p.y - q.y) <= 1),
+c as (select k, i, i as of from p union select c.k, n.j, c.of from c join n on n.k = c.k and n.i = c.i),
+o as (select k, i, min(of) as of from c group by k, i), s as (select k, of, count(*) as area, min((i % 10) * 10 + i // 10) as first from o group by k, of),
+b as (select k, of from s qualify row_number() over (partition by k order by area desc, first) = 1),
+l as (select o.k, o.i // 10 as x, o.i % 10 as y from o join b on o.k = b.k and o.of = b.of),
+d as (select distinct a.k, a.i, a.x, a.y from a join l on a.k = l.k and abs(a.x - l.x) <= 2 and abs(a.y - l.y) <= 2),
+z as (select a.* from a anti join d on a.k = d.k and a.i = d.i where a.k in (select k from l)),
+e as (select d.k, d.i from d anti join (select distinct d.k, d.i from d join z on d.k = z.k and abs(d.x - z.x) <= 2 and abs(d.y - z.y) <= 2) g on d.k = g.k and d.i = g.i),
+r as (select k, i, i - row_number() over (partition by k order by i) as island from e)
+select k as mask_id, min(i)::bigint as start, max(i)::bigint + 1 as stop from r group by k, island"""
+
 _RUNS = "r as (select l_orderkey as mask_id, l_partkey % 500 as s, l_partkey % 500 + l_quantity::bigint as e from lineitem)"
 _SIDES = f"with {SPLIT}, v as (select case view when 'O' then 'left' else 'right' end || '_' || split as part, split, filepath from s where view <> 'P')"
 
@@ -163,6 +236,8 @@ QUERIES = {
     "coco_round_trip": (coco_round_trip, f"with {_P}, {_E}, i as (select contour_id, row_number() over (order by contour_id) - 1 as image_id from e) select row_number() over (order by image_id) as id, image_id, printf('u%08d.jpg', contour_id) as file_name, 10 as height, round(xmax - xmin, 4) as w, round((xmax - xmin) * (ymax - ymin), 3) as area, 6 as n from e join i using (contour_id) where e.n >= 2"),
     "result_lines": (result_lines, f"with {_N} select individual::varchar as name, n from n"),
     "stored_features": (stored_features, "select p_partkey::varchar as path, case when p_partkey % 5 <> 0 then length(p_name) end::int as length from part"),
+    "mask_round_trip": (mask_round_trip, _ROUND_TRIP),
+    "masks_smoothed": (masks_smoothed, _SMOOTHED),
     "mask_union": (mask_union, f"with {_RUNS}, m as (select *, max(e) over (partition by mask_id order by s, e rows between unbounded preceding and 1 preceding) as reach from r), g as (select *, sum((reach is null or s > reach)::int) over (partition by mask_id order by s, e rows unbounded preceding) as island from m) select mask_id, min(s) as start, max(e) as stop from g group by mask_id, island"),
     "tusks_absorbed": (tusks_absorbed, "with o as (select o_orderkey as image_id, o_custkey % 40 as a, o_orderkey % 40 as b from orders) select image_id, case when abs(a - b) < 10 then least(a, b) else a end as start, case when abs(a - b) < 10 then greatest(a, b) + 10 else a + 10 end as stop from o"),
     "checked_splits": (checked_splits, f"with {SINGLE} select split, count(*) as n, sum(filepath)::bigint as total from s group by 1"),
