@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinspark.functions.names import model_name
+from kinspark.functions.names import layer_size, model_name
 from kinspark.models.appearance import AppearanceIdentifier, AppearanceModel
 from kinspark.operators import evaluation as ev
 from kinspark.operators.features import config_grid
@@ -35,7 +35,13 @@ def grid(spark: SparkSession, layers: list[str] = LAYERS, pools: list[int] = POO
     return rows.withColumn("model", name)
 
 
-def tune(features: Callable[[str, int], tuple[DataFrame, DataFrame]], classes: DataFrame, folder: str, ks: list[int], configurations: DataFrame, iterations: int = 20) -> DataFrame:
+def asked_for(requests: DataFrame, data: Data = Data()) -> DataFrame:
+    """requests (layer, pool, components, other columns) that are valid, each with `spatial` and the `model` that serves it."""
+    rows = requests.withColumn("spatial", layer_size(F.col("layer"))).filter("pool <= spatial")
+    return rows.withColumn("model", model_name(F.lit(data.ratio), F.lit(data.rembg), F.lit(data.least), F.col("layer"), F.col("pool"), F.col("components")))
+
+
+def tune(features: Callable[[str, int], tuple[DataFrame, DataFrame]], classes: DataFrame, folder: str, ks: list[int], configurations: DataFrame, iterations: int = 50) -> DataFrame:
     """(config, k, accuracy) of every configuration; features gives (train, test) for a layer and a pool.
 
     The grid is a handful of rows; each configuration is one distributed fit and one evaluation.

@@ -12,6 +12,7 @@ from kinspark.operators import contours as ct
 from kinspark.operators import detections as dt
 from kinspark.operators import signal as sg
 from kinspark.operators.curvature import SCALES, integral_curvature, neighbours_within
+from kinspark.operators.numbering import numbered
 from kinspark.plans.tables import boxes, polylines, series, table
 from kinspark.sources import sinks
 
@@ -248,12 +249,16 @@ round(x0, 5) as k0, round(y0, 5) as k1, 2.0e0 as k2, round(x1, 5) as k3, round(y
 
 
 def palette(spark, sf_dir):
-    """Twelve evenly spread colours, one for each customer market segment's months of the year."""
-    return spark.range(12).select(F.col("id").alias("i"), bx.palette(F.col("id"), F.lit(12)).alias("c")).select("i", *(F.get("c", F.lit(k)).alias(n) for k, n in enumerate("rgb")))
+    """A colour for each supplier, evenly spread in the order of their keys."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    n = s.agg(F.count(F.lit(1)).alias("n"))
+    rows = numbered(s, ["s_suppkey"], "i").crossJoin(n)  # beside one row
+    return rows.select("s_suppkey", bx.palette(F.col("i"), F.col("n")).alias("c")).select("s_suppkey", *(F.get("c", F.lit(k)).alias(n) for k, n in enumerate("rgb")))
 
 
-_PALETTE = """with h as (select i, i * 30 as h, trunc(255 * (1 - abs(((i * 30 / 60e0) % 2) - 1)))::int as x, i * 30 // 60 as s from range(0, 12) t(i))
-select i, case s when 0 then 255 when 1 then x when 2 then 0 when 3 then 0 when 4 then x else 255 end as r, case s when 0 then x when 1 then 255 when 2 then 255 when 3 then x else 0 end as g, case s when 0 then 0 when 1 then 0 when 2 then x when 3 then 255 when 4 then 255 else x end as b from h"""
+_PALETTE = """with n as (select s_suppkey, (row_number() over (order by s_suppkey) - 1) * 360 // (select count(*) from supplier) as h from supplier),
+h as (select s_suppkey, trunc(255 * (1 - abs(((h / 60e0) % 2) - 1)))::int as x, h // 60 as s from n)
+select s_suppkey, case s when 0 then 255 when 1 then x when 2 then 0 when 3 then 0 when 4 then x else 255 end as r, case s when 0 then x when 1 then 255 when 2 then 255 when 3 then x else 0 end as g, case s when 0 then 0 when 1 then 0 when 2 then x when 3 then 255 when 4 then 255 else x end as b from h"""
 
 
 def curvature(spark, sf_dir):

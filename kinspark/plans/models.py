@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from kinspark.models import prepare
 from kinspark.models.appearance import AppearanceIdentifier, AppearanceModel
-from kinspark.models.contour import ContourIdentifier, ContourModel, stacked
-from kinspark.models.tuning import COMPONENTS, LAYERS, POOLS, grid
+from kinspark.models.contour import ContourIdentifier, ContourModel, identify, stacked
+from kinspark.models.train import train_appearance, train_contours
+from kinspark.models.tuning import COMPONENTS, LAYERS, POOLS, asked_for, grid, tune
 from kinspark.operators import features as ft
 from kinspark.operators.curation import MIN_IMAGES
 from kinspark.plans.curating import _CUT
 from kinspark.plans.identification import _CONTRIBUTIONS, _PARTS
-from kinspark.plans.tables import boxes, catalogue, descriptors, scratch_folder, table
+from kinspark.plans.tables import boxes, catalogue, descriptors, polylines, scratch_folder, table
 
 _KS = [1, 3, 5, 10]
 
@@ -109,11 +110,100 @@ def appearance_fit_predict(spark, sf_dir):
 
 
 def model_grid(spark, sf_dir):
-    return grid(spark).select("layer", "spatial", "pool", "components", "model")
+    """Configurations that orders ask for, by their keys, and how many ask for each; a pool larger than its layer has no model."""
+    def pick(values, key):
+        return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
 
+    asked = table(spark, sf_dir, "orders").select(pick(LAYERS, "o_orderkey").alias("layer"), pick(POOLS, "o_custkey").alias("pool"), F.lit(COMPONENTS[0]).alias("components"))
+    counts = asked.groupBy("layer", "pool", "components").agg(F.count(F.lit(1)).alias("n"))
+    return asked_for(counts).select("layer", "spatial", "pool", "components", "model", "n")
 
-_GRID = f"""select layer, spatial::int as spatial, pool::int as pool, c::int as components, 'split0.67_rembg_min9_' || layer || '_pool' || pool || '_pca' || c as model
-from (values {', '.join(f"('{x}', {({'conv3': 28, 'conv4': 14, 'conv5': 7})[x[:5]]})" for x in LAYERS)}) l(layer, spatial), unnest({POOLS}) p(pool), unnest({COMPONENTS}) c(c) where pool <= spatial"""
+
+_SIZES = ", ".join(f"('{x}', {i}, {({'conv3': 28, 'conv4': 14, 'conv5': 7})[x[:5]]})" for i, x in enumerate(LAYERS))
+_GRID = f"""with o as (select o_orderkey % {len(LAYERS)} as k, ({POOLS})[o_custkey % {len(POOLS)} + 1] as pool, count(*) as n from orders group by all)
+select layer, spatial::int as spatial, pool::int as pool, {COMPONENTS[0]}::int as components, 'split0.67_rembg_min9_' || layer || '_pool' || pool || '_pca' || {COMPONENTS[0]} as model, n
+from o join (values {_SIZES}) l(layer, i, spatial) on k = i where pool <= spatial"""
+
+
+def appearance_tune(spark, sf_dir):
+    """Two configurations, tuned twice, the second time from the saved models: accuracies are shares, and among as many
+    names as there are every picture has its own."""
+    d = descriptors(spark, sf_dir).select(F.col("desc_id").alias("image_id"), "name", "vec", "is_query")
+    classes = d.select("name").distinct().select("name", F.col("name").cast("int").alias("class_idx"))
+    configurations = grid(spark, [LAYERS[2]], POOLS[:2], [4])
+    folder = scratch_folder(spark, "tuned")
+
+    def features(layer, pool):
+        return d.filter("not is_query"), d.filter("is_query")
+
+    first = tune(features, classes, folder, [1, 10], configurations, 10)
+    again = tune(features, classes, folder, [1, 10], configurations, 10)
+    both = first.join(again.withColumnRenamed("accuracy", "again"), ["config", "k"])
+    a = F.col("accuracy")
+    return both.select("config", "k", ((a >= 0) & (a <= 1) & (a == F.col("again")) & ((F.col("k") < 10) | (a == 1))).alias("right"))
+
+
+_TUNED = f"select 'split0.67_rembg_min9_{LAYERS[2]}_pool' || p || '_pca4' as config, k::int as k, true as right from unnest({POOLS[:2]}) p(p), unnest([1, 10]) k(k)"
+
+
+def contour_identify(spark, sf_dir):
+    """The first name of each user's contour among all of them, from contours to descriptors, index and scores."""
+    p = polylines(spark, sf_dir).select(F.col("contour_id").alias("image_id"), F.when(F.col("contour_id") % 2 == 0, "left").otherwise("right").alias("view"), "pos", "x", "y")
+    names = p.select("image_id").distinct().select("image_id", F.concat(F.lit("u"), F.col("image_id").cast("string")).alias("name"))
+    settings = ContourIdentifier(scales=(0.06,), length=64, dim=16, number=6)
+    return identify(p, names, p, scratch_folder(spark, "model"), 1, settings).select("image_id", "view", "name", "rank")
+
+
+_IDENTIFIED = "select distinct user_id as image_id, case user_id % 2 when 0 then 'left' else 'right' end as view, 'u' || user_id as name, 1::int as rank from events"
+
+
+def contour_train(spark, sf_dir):
+    """Users' contours as pictures named by user and view, a fifth without a view: individuals of the model that training saves."""
+    p = polylines(spark, sf_dir)
+    end = F.element_at(F.array(*map(F.lit, ("_left.jpg", "_right.jpg", "_left.jpg", "_right.jpg", ".jpg"))), (F.col("contour_id") % 5 + 1).cast("int"))
+    drawn = p.withColumn("filepath", F.concat(F.lit("ears/"), F.floor(F.col("contour_id") / 2).cast("string"), F.lit("_"), F.col("contour_id").cast("string"), end))
+    model = train_contours(drawn.select("filepath"), drawn.select("filepath", "pos", "x", "y"), scratch_folder(spark, "model"), ContourIdentifier(scales=(0.06,), length=64, dim=16, number=6))
+    return model.summary().select("view", "scale_idx", "individuals")
+
+
+_TRAINED = "select case user_id % 5 % 2 when 0 then 'left' else 'right' end as view, 0 as scale_idx, count(distinct user_id // 2) as individuals from events where user_id % 5 < 4 group by 1"
+
+
+def appearance_train(spark, sf_dir):
+    """Vectors as pictures of their label: splits, classes and a model in one go, and how many test pictures it judges."""
+    d = descriptors(spark, sf_dir).select(F.concat_ws("_", "name", F.concat(F.col("desc_id").cast("string"), F.lit(".jpg"))).alias("filepath"), "name", "vec")
+    train, test, classes = prepare.appearance_splits(d.select("name", "filepath"))
+    model = train_appearance(train, d.select("filepath", "vec"), classes, scratch_folder(spark, "model"), AppearanceIdentifier(components=8, iterations=10))
+    measured = model.evaluate(test.join(d.select("filepath", "vec"), "filepath").withColumnRenamed("filepath", "image_id"), [len(model.names)])
+    return measured.select("k", "correct", "total")
+
+
+_TRAINED_APPEARANCE = f"""with c as (select label::varchar as name, label::varchar || '_' || vec_id || '.jpg' as filepath from embeddings), e as (select *, count(*) over (partition by name) as n from c),
+m as (select *, row_number() over (partition by name order by md5('42:' || filepath), filepath) as rn from e where n >= {MIN_IMAGES})
+select count(distinct name)::int as k, count(*) filter (rn > {_CUT}) as correct, count(*) filter (rn > {_CUT}) as total from m"""
+
+
+def _ear_crops(spark, sf_dir):
+    """An ear of each order: its line items' points, in pictures of orders."""
+    images = _pictures(spark, sf_dir)
+    ears = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("filepath")).agg(F.collect_list(F.struct((F.col("l_partkey") % 100).cast("double").alias("x"), (F.col("l_suppkey") % 100).cast("double").alias("y"))).alias("points"))
+    found = images.join(ears, "filepath").filter("filepath % 7 <> 0").select("path", F.when(F.col("filepath") % 2 == 0, "left").otherwise("right").alias("view"), "points")
+    done = images.filter("filepath % 10 = 0").select(F.concat(F.regexp_replace("path", "[.]jpg$", ""), F.lit("_left.jpg")).alias("file_name"))
+    return prepare.ear_crops(images.drop("filepath"), found, done, "ears")
+
+
+def ear_crops(spark, sf_dir):
+    return _ear_crops(spark, sf_dir)[0]
+
+
+def ear_rejects(spark, sf_dir):
+    return _ear_crops(spark, sf_dir)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EAR_BOXES = """with b as (select l_orderkey as k, min(l_partkey % 100)::double as x1, min(l_suppkey % 100)::double as y1, max(l_partkey % 100)::double as x2, max(l_suppkey % 100)::double as y2 from lineitem where l_orderkey % 7 <> 0 group by 1),
+i as (select o_custkey || '_' || o_orderkey as stem, o_custkey::varchar as name, o_orderkey as k, o_orderstatus as s, case o_orderkey % 2 when 0 then 'left' else 'right' end as view from orders),
+a as (select i.*, b.x1, b.y1, b.x2, b.y2, i.k % 10 = 0 and b.k is not null as cached, case when s = 'P' then 'unreadable' when b.k is null then 'no contour' end as reason from i left join b using (k))"""
+_EAR_BOX = ", ".join(f"case when not cached then greatest(0, least(trunc({c}{e} {s} 0.1e0 * ({c}2 - {c}1))::int, {m})) end as {n}" for n, c, e, s, m in [("x0", "x", 1, "-", 120), ("y0", "y", 1, "-", 110), ("x1", "x", 2, "+", 120), ("y1", "y", 2, "+", 110)])
 
 
 def _pictures(spark, sf_dir):
@@ -191,6 +281,12 @@ QUERIES = {
     "appearance_model_evaluate": (appearance_model_evaluate, _HEAD_EVALUATE),
     "appearance_fit_predict": (appearance_fit_predict, f"with {_PARTS}, n as (select count(distinct name) as n from db) select id as image_id, n as names, 1.0e0 as total, n as in_order, n::int as last from q, n"),
     "model_grid": (model_grid, _GRID),
+    "appearance_tune": (appearance_tune, _TUNED),
+    "appearance_train": (appearance_train, _TRAINED_APPEARANCE),
+    "contour_identify": (contour_identify, _IDENTIFIED),
+    "contour_train": (contour_train, _TRAINED),
+    "ear_crops": (ear_crops, _EAR_BOXES + f" select name, view, 'ears/' || stem || '_' || view || '.jpg' as filepath, stem || '.jpg' as original_path, {_EAR_BOX}, cached from a where cached or reason is null"),
+    "ear_rejects": (ear_rejects, _EAR_BOXES + " select reason, count(*) as n from a where not cached and reason is not null group by 1"),
     "face_crops": (face_crops, _FACES + f" select name, 'crops/' || path as filepath, path as original_path, {_FACE_BOX}, cached from a where cached or reason is null"),
     "face_rejects": (face_rejects, _FACES + " select reason, count(*) as n from a where not cached and reason is not null group by 1"),
     "contour_splits": (contour_splits, _EARS),

@@ -311,3 +311,23 @@ def test_ann_query_reaches_its_recall(spark):
     from tests.conftest import DATA
 
     assert identification.QUERIES["ann_recall"][0](spark, str(DATA / "sf0.01")).first().recall >= 0.9
+
+
+def test_training_in_one_call(spark, tmp_path):
+    from kinspark.models.train import pictures_of, train_appearance, train_contours
+
+    paths = [f"d/{k}_{j}_{'left' if k < 2 else 'right'}.jpg" for k in range(3) for j in range(2)] + ["d/9_front.jpg"]
+    listed = spark.createDataFrame([(p,) for p in paths * 2], "filepath string")
+    assert {(r.image_id, r.filepath, r["name"], r.view) for r in pictures_of(listed).collect()} == {(i, p, p[2], p.rsplit("_", 1)[1][:-4]) for i, p in enumerate(sorted(paths[:6]))}
+    drawn = spark.createDataFrame([(p, i, x, y) for k, p in enumerate(paths) for i, (x, y) in enumerate(outline(k // 2, 0.2, k))], "filepath string, pos int, x double, y double")
+    settings = ContourIdentifier(scales=(0.06,), length=128, dim=16, number=8)
+    model = train_contours(listed, drawn, str(tmp_path / "c"), settings)
+    assert {(r.view, r.individuals) for r in model.summary().collect()} == {("left", 2), ("right", 1)}
+    first = model.predict(contours(spark, [(100 + k, "left" if k < 2 else "right", outline(k, 0.2, 50 + k)) for k in range(3)]), top=1).collect()
+    assert {r.image_id: r["name"] for r in first} == {100: "0", 101: "1", 102: "2"}
+    d = labelled(spark).select(F.concat(F.lit("p"), F.col("image_id").cast("string")).alias("filepath"), "name", "vec")
+    classes = spark.createDataFrame([(f"n{i}", i) for i in range(3)], "name string, class_idx int")
+    fitted = train_appearance(d.select("filepath", "name"), d.select("filepath", "vec"), classes, str(tmp_path / "a"), AppearanceIdentifier(components=4))
+    assert fitted.names == ["n0", "n1", "n2"] and AppearanceModel.load(spark, str(tmp_path / "a")).settings.components == 4
+    with pytest.raises(ValueError):
+        train_appearance(d.select("filepath", "name"), d.filter("filepath <> 'p1'").select("filepath", "vec"), classes, str(tmp_path / "b"))
