@@ -7,7 +7,9 @@ there is verified by the cosine in double precision, so no link is below the lim
 vectors visits the cell of the other.
 
 The slack is set, on the bounded sample that also trains the codebooks, so that TARGET of the pairs are found, both of
-the linked pairs of the sample and of sample vectors turned by random angles up to the limit. The index holds all rows.
+the linked pairs of the sample and of sample vectors turned by random angles up to the limit. Of grids that are coarser
+by halves the one with the least work is taken, by the visits that sample vectors make: where vectors spread evenly in
+many dimensions a fine grid would copy each to most of its cells. The index holds all rows.
 
 Equal vectors are one class (its members link with each other, and count as many times in n_links). Lists longer than
 BLOCK are cut into blocks, and the queries of a cell likewise, so a task holds two blocks at a time whatever the size
@@ -23,6 +25,7 @@ repeated rows of an id are one node; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,10 @@ TARGET, PER_CELL, BLOCK = 0.96, 64, 2048
 LEAST_CODES, MOST_CODES = 4, 4096
 #: Rows that train the codebooks and set the slack: so many, or so many for each code of a half.
 SAMPLE, SAMPLE_PER_CODE = 8192, 16
+#: Sample rows whose pairs are looked at together; steps of the slack, up to the most that two halves of unit vectors can need.
+BLOCK_PAIRS, BINS, WIDEST = 64, 1 << 16, 8.0
+#: Sample vectors whose visits are counted to choose the codes, and comparisons that a copy of a vector to a cell is as dear as.
+TRIED, COPY = 256, 32
 
 
 class MultiIndex:
@@ -83,22 +90,67 @@ class MultiIndex:
                     heapq.heappush(heap, (a[oa[x]] + b[ob[y]], x, y))
 
     def _slack(self, v: np.ndarray, limit: float, target: float, rng) -> float:
-        d, need = self.distances(v), []
-        own = self.cells(d)
-        for s in range(0, len(v), 256):
-            i, j = np.nonzero(v[s : s + 256] @ v.T >= limit)
-            i, j = (i + s)[i + s < j], j[i + s < j]
-            need.append(np.minimum(self.extra((d[0][i], d[1][i]), own[j]), self.extra((d[0][j], d[1][j]), own[i])))
-        found = np.concatenate(need)
+        """Memory is that of BLOCK_PAIRS rows against the sample, whatever the codes and however many pairs link."""
+        halves, size = (v[:, : self.half], v[:, self.half :]), len(self.books[1])
+        least, own = np.empty((2, len(v))), np.empty((2, len(v)), np.int64)
+        for s in range(0, len(v), BLOCK):
+            for k, (part, book) in enumerate(zip(halves, self.books, strict=True)):
+                d = (book**2).sum(1) - 2 * part[s : s + BLOCK] @ book.T
+                own[k, s : s + BLOCK], least[k, s : s + BLOCK] = d.argmin(1), d.min(1)
+        counts = np.zeros(BINS, np.int64)  # linked pairs by the slack they need, in steps of WIDEST / BINS
+        for s in range(0, len(v), BLOCK_PAIRS):
+            rows = slice(s, s + BLOCK_PAIRS)
+            i, j = np.nonzero(v[rows] @ v.T >= limit)
+            i, j = i[i + s < j], j[i + s < j]
+            if len(i):
+                there, back = np.zeros(len(i)), np.zeros(len(i))
+                for k, (part, book) in enumerate(zip(halves, self.books, strict=True)):
+                    d = (book**2).sum(1) - 2 * part[rows] @ book.T - least[k, rows, None]
+                    there += d[i, own[k, j]]
+                    mine = book[own[k, rows]]
+                    d = (mine**2).sum(1) - 2 * part @ mine.T - least[k, :, None]
+                    back += d[j, i]
+                need = np.minimum(there, back)
+                counts += np.bincount(np.clip(need * (BINS / WIDEST), 0, BINS - 1).astype(np.int64), minlength=BINS)
+        found = (np.searchsorted(np.cumsum(counts), target * counts.sum()) + 1) * (WIDEST / BINS) if counts.any() else 0.0
+        turned = []
         pick = rng.integers(0, len(v), 4096)
-        x, z = v[pick], rng.normal(size=(len(pick), v.shape[1]))
-        z -= (z * x).sum(1, keepdims=True) * x
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        c = rng.uniform(limit, 1, (len(pick), 1))
-        y = c * x + np.sqrt(1 - c * c) * z
-        dx, dy = self.distances(x), self.distances(y)
-        turned = np.minimum(self.extra(dx, self.cells(dy)), self.extra(dy, self.cells(dx)))
-        return max(float(np.quantile(turned, target)), float(np.quantile(found, target)) if len(found) else 0.0) + 1e-9
+        for s in range(0, len(pick), 512):
+            x = v[pick[s : s + 512]]
+            z = rng.normal(size=x.shape)
+            z -= (z * x).sum(1, keepdims=True) * x
+            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+            c = rng.uniform(limit, 1, (len(x), 1))
+            y = c * x + np.sqrt(1 - c * c) * z
+            dx, dy = self.distances(x), self.distances(y)
+            turned.append(np.minimum(self.extra(dx, self.cells(dy)), self.extra(dy, self.cells(dx))))
+        return max(float(np.quantile(np.concatenate(turned), target)), float(found)) + 1e-9
+
+    def mean_visits(self, v: np.ndarray, most: int) -> float:
+        """Cells that a vector visits on average, counted up to `most` each."""
+        a, b = self.distances(v)
+        return float(np.mean([sum(1 for _ in itertools.islice(self.visits(x, y), most)) for x, y in zip(a, b, strict=True)]))
+
+
+def chosen_index(vectors: np.ndarray, rows: int, limit: float) -> MultiIndex:
+    """The index of the least work for so many rows, among codes from the finest grid (PER_CELL rows a cell) down by halves.
+
+    Work is counted on TRIED sample vectors: each visited cell costs a copy of the vector, as dear as COPY comparisons,
+    and a comparison with each of the cell's rows. It ends where coarser grids cost more.
+    """
+    codes = int(min(MOST_CODES, max(LEAST_CODES, 2 ** round(np.log2(max(1.0, np.sqrt(rows / PER_CELL)))))))
+    best, least = None, np.inf
+    while codes >= LEAST_CODES:
+        index = MultiIndex(vectors, min(codes, len(vectors)), limit)
+        cell = rows / codes**2
+        tried = vectors[:: max(1, len(vectors) // TRIED)][:TRIED]
+        most = codes * codes if not np.isfinite(least) else int(least / (COPY + cell)) + 1
+        work = index.mean_visits(tried, min(most, codes * codes)) * (COPY + cell)
+        if work >= least:
+            break
+        best, least = index, work
+        codes //= 2
+    return best
 
 
 def _k_means(part: np.ndarray, codes: int, rng, rounds: int = 15) -> np.ndarray:
@@ -178,12 +230,12 @@ def near_duplicates(df: DataFrame, limit: float = 0.9, id_col: str = "vec_id", v
     for dim, n in sorted(lengths.items()):
         if n < 2:
             continue
-        codes = int(min(MOST_CODES, max(LEAST_CODES, 2 ** round(np.log2(max(1.0, np.sqrt(n / PER_CELL)))))))
         # one row of each class: its smallest id's
         own = unit.filter(F.col("dim") == dim).join(sizes.select("key", "dim", F.col("rep").alias("id"), "m"), ["key", "dim", "id"]).groupBy("id", "m").agg(F.min("vec").alias("vec"))
-        sample = own.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, SAMPLE_PER_CODE * codes)).select("vec").collect()
+        many = max(SAMPLE, SAMPLE_PER_CODE * min(MOST_CODES, int(np.sqrt(n / PER_CELL)) + 1))
+        sample = own.orderBy(F.xxhash64("id"), "id").limit(many).select("vec").collect()
         vectors = _units(np.frombuffer(b"".join(bytes(r.vec) for r in sample), kind).reshape(-1, dim))
-        index = MultiIndex(vectors, min(codes, len(vectors)), limit)
+        index = chosen_index(vectors, n, limit)
         own_counts, own_edges = _search(own, index, limit, dim, kind, ws)
         counts, edges = counts.union(own_counts), edges.union(own_edges)
     members = ws.save(ids.join(sizes, ["key", "dim"]).select("id", "rep", "m"))

@@ -883,3 +883,42 @@ def test_set_join_of_one_very_long_text(spark):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == (len({tuple(words[i : i + 4]) for i in range(len(words) - 3)}), 1) and got[2][1] == 1 and got[3][1] == 3
     assert (got[4], got[5], got[6], got[7]) == ((1, 4), (1, 4), (1, 6), (0, 7))
+
+
+def test_slack_of_a_large_family_in_little_memory():
+    """A third of the sample in one family: the pairs are counted, not kept, and the slack is the same as with all of them at hand."""
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    v = r.normal(size=(2000, 32))
+    v[:600] = v[0] + 0.12 * r.normal(size=(600, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tracemalloc.start()
+    index = embedding_dedup.MultiIndex(v, 256, 0.9)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    d = index.distances(v)
+    cells = index.cells(d)
+    i, j = np.nonzero(np.triu(v @ v.T >= 0.9, 1))
+    need = np.array([min(index.extra((d[0][a : a + 1], d[1][a : a + 1]), cells[b : b + 1])[0], index.extra((d[0][b : b + 1], d[1][b : b + 1]), cells[a : a + 1])[0]) for a, b in zip(i[::37], j[::37], strict=True)])
+    assert (need <= index.slack).mean() >= 0.94  # of every 37th pair
+    coarse = embedding_dedup.chosen_index(v, 1_000_000, 0.9)
+    assert len(coarse.books[0]) < 128  # evenly spread vectors would visit most cells of the finest grid
+
+
+def test_identifiers_of_whole_texts_whatever_the_partitions(spark):
+    words = [f"ident{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    texts = ["filler " * 5000 + " ".join(words[k % 7 :]) for k in range(12)] + ["filler " * 5000 + " ".join(words)] * 30
+    d = docs(spark, texts, [*range(12), *[5] * 30])
+    found = learnt_identifiers(d)
+    assert set(words[7:]) <= set(found.decode().split()) and found == learnt_identifiers(d.repartition(7)) == learnt_identifiers(d.coalesce(1))
+    assert learnt_identifiers(d.limit(0)) == b""
+
+
+def test_a_candidate_over_many_base_spans():
+    token = "token=" + "=".join("ab12cd34" for _ in range(3))
+    known = [(10 + 2 * i, 2, 11 + 2 * i) for i in range(40)]
+    from kinspark.llm.secret_scan import _overlapping
+
+    assert _overlapping(known, 0, 50, 60) == [k for k in known if k[0] < 60 and k[2] > 50] and _overlapping(known, 0, 11, 12) == []
+    assert base_spans(token)
