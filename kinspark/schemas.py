@@ -14,11 +14,8 @@ CONTOUR_CACHE = "struct<contours:array<array<array<int>>>,views:array<string>>"
 FACE_CACHE = "struct<predictions:array<struct<x:double,y:double,width:double,height:double,confidence:double>>>"
 MASK_CACHE = "struct<crop_bbox:struct<x_min:int,y_min:int,x_max:int,y_max:int>,image_size:struct<width:int,height:int>,sam_body:struct<predictions:array<struct<rle_mask:string>>>,sam_tusk:struct<predictions:array<struct<rle_mask:string>>>>"
 POINT_PREDICTIONS = f"struct<predictions:array<struct<points:array<{POINT}>,keypoints:array<{POINT}>,confidence:double>>>"
-COCO = (
-    "struct<info:map<string,string>,licenses:array<map<string,string>>,categories:array<struct<id:bigint,name:string>>,"
-    "images:array<struct<id:bigint,file_name:string,height:int,width:int>>,"
-    "annotations:array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,segmentation:array<array<double>>,iscrowd:int,keypoints:array<double>>>>"
-)
+COCO_IMAGE = "struct<id:bigint,file_name:string,height:int,width:int>"
+COCO_ANNOTATION = "struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,area:double,segmentation:array<array<double>>,iscrowd:int,keypoints:array<double>>"
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:

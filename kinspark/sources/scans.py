@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinspark import schemas
 from kinspark.functions.names import base_name, individual, is_image, stem, view_strict
 from kinspark.operators.numbering import numbered
+from kinspark.sources.documents import records
 
 
 def images(spark: SparkSession, folder: str, recursive: bool = True, content: bool = False) -> DataFrame:
@@ -35,14 +36,13 @@ def json_cache(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def coco_images(spark: SparkSession, path: str) -> DataFrame:
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.COCO).alias("d"))
-    return doc.select(F.explode("d.images").alias("i")).select("i.*")
+    """Pictures of an annotation document of any size."""
+    return records(spark, path, "images", schemas.COCO_IMAGE)
 
 
 def coco_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Annotations with their image, joined by id whatever their order."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.COCO).alias("d"))
-    notes = doc.select(F.explode("d.annotations").alias("a")).select("a.*")
+    notes = records(spark, path, "annotations", schemas.COCO_ANNOTATION)
     return notes.join(coco_images(spark, path).select(F.col("id").alias("image_id"), "file_name", "height", "width"), "image_id")
 
 

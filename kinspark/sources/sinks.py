@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,7 +119,7 @@ def write_coco(images: DataFrame, annotations: DataFrame, folder: str, descripti
     """One annotation document, folder/document.json.
 
     images: (image_id from 0, file_name, height, width); annotations: (id from 1, image_id, bbox, area, keypoints). Rows
-    are written by many tasks, in order; the document is put together from their files as streams.
+    are written by many tasks, in order; the document is put together from their files.
     """
     spark = images.sparkSession
     i = images.select(F.col("image_id").alias("id"), F.lit(1).alias("license"), "file_name", "height", "width")
@@ -132,23 +134,43 @@ def write_coco(images: DataFrame, annotations: DataFrame, folder: str, descripti
 
 
 def _assembled(spark: SparkSession, folder: str, parts: list[tuple[DataFrame, str, str]]) -> None:
-    """folder/document.json: for each part its head, its lines and its tail."""
+    """folder/document.json: for each part its head, its lines and its tail.
+
+    Lines are written by many tasks. Where the file system can put files together itself (concat, as HDFS does), no byte
+    of them goes through the driver; elsewhere it copies them as a stream.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for n, (df, _, _) in enumerate(parts):
-        df.write.mode("overwrite").text(f"{folder}/_rows/{n}")
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/document.json")
+    path = jvm.org.apache.hadoop.fs.Path
+    target = path(f"{folder}/document.json")
     fs = target.getFileSystem(conf)
-    out = fs.create(target, True)
-    try:
-        for n, (_, head, tail) in enumerate(parts):
-            out.write(bytearray(head.encode()))
-            files = sorted(s.getPath().toString() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/_rows/{n}")))
-            for f in files:
-                if f.rsplit("/", 1)[1].startswith("part-"):
-                    source = fs.open(jvm.org.apache.hadoop.fs.Path(f))
-                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
-                    source.close()
-            out.write(bytearray(tail.encode()))
-    finally:
+    pieces = []
+
+    def mark(text: str) -> None:
+        pieces.append(path(f"{folder}/_rows/mark-{len(pieces)}"))
+        out = fs.create(pieces[-1], True)
+        out.write(bytearray(text.encode()))
         out.close()
-    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/_rows"), True)
+
+    for n, (df, head, tail) in enumerate(parts):
+        df.write.mode("overwrite").text(f"{folder}/_rows/{n}")
+        mark(head)
+        files = sorted(s.getPath().toString() for s in fs.listStatus(path(f"{folder}/_rows/{n}")))
+        pieces += [path(f) for f in files if f.rsplit("/", 1)[1].startswith("part-")]
+        mark(tail)
+    fs.delete(target, False)
+    rest = spark.sparkContext._gateway.new_array(path, len(pieces) - 1)
+    for i, p in enumerate(pieces[1:]):
+        rest[i] = p
+    try:
+        fs.concat(pieces[0], rest)
+        fs.rename(pieces[0], target)
+    except (Py4JJavaError, UnsupportedOperationException):  # a file system without it; nothing was moved
+        out = fs.create(target, True)
+        try:
+            for p in pieces:
+                source = fs.open(p)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+                source.close()
+        finally:
+            out.close()
+    fs.delete(path(f"{folder}/_rows"), True)
