@@ -113,10 +113,16 @@ def _salted(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
 
+def _nodes(tokens: str) -> Column:
+    """The nodes from the root of `host` down to the whole of an array of tokens: each a hash of the node above and a token."""
+    root = F.array(F.xxhash64("host"))
+    return F.aggregate(tokens, root, lambda nodes, x: F.array_append(nodes, F.xxhash64(F.element_at(nodes, -1), x)))
+
+
 def _generalised(paths: DataFrame, ws: Workspace) -> DataFrame | None:
     """(id, changes map<position, token>) of paths with a variable node; None if no token changes."""
-    cells = paths.select("id", "n", "host", "tpl", F.posexplode("tpl").alias("pos", "child"))
-    cells = cells.select("id", "n", "pos", "child", F.xxhash64("host", "pos", F.slice("tpl", 1, F.col("pos"))).alias("node"))
+    cells = paths.select("id", "n", F.posexplode(F.arrays_zip(F.col("tpl").alias("child"), F.slice(_nodes("tpl"), 1, F.size("tpl")).alias("node"))).alias("pos", "c"))
+    cells = cells.select("id", "n", "pos", "c.child", "c.node")
     children = ws.save(cells.groupBy("node", "child").agg(F.sum("n").alias("c")))
     digit = F.col("child").rlike("[0-9]")
     totals = children.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("t"), F.max(digit).alias("digits"))
@@ -144,13 +150,17 @@ def _merged(templates: DataFrame, ws: Workspace) -> DataFrame:
     """templates (host, tpl, group, tested, bad, known) with the group that each has come into."""
     while True:
         groups = templates.groupBy("host", "group", "tested").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-        each = groups.withColumn("pos", F.explode(_literals("group", "tested")))
-        mask = F.transform("group", lambda x, i: F.when(i == F.col("pos"), F.lit("{}")).otherwise(x))
-        each = ws.save(each.withColumn("mask", mask).withColumn("place", F.xxhash64("host", "mask")))
+        groups = ws.save(groups.withColumn("gid", F.monotonically_increasing_id()))
+        whole = F.aggregate(F.transform("group", lambda x, i: F.xxhash64(i, x)), F.xxhash64("host"), lambda h, x: h.bitwiseXOR(x))
+        each = groups.withColumn("whole", whole).select("gid", "group", "whole", F.explode(_literals("group", "tested")).alias("pos"))
+        # a template with a mark in place of one token: its hash, without the template, which is as long as all these together
+        place = F.col("whole").bitwiseXOR(F.xxhash64("pos", F.get("group", F.col("pos")))).bitwiseXOR(F.xxhash64("pos", F.lit("{}")))
+        each = ws.save(each.select("gid", "pos", place.alias("place")))
         shared = each.groupBy("place").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("place")
-        chosen = each.join(shared, "place", "left_semi").groupBy("host", "group", "tested").agg(F.max_by(F.struct("pos", "mask", "place", "bad", "known"), "pos").alias("c")).select("host", "group", "tested", "c.*")
-        chosen = ws.save(chosen)
-        ws.drop(each)
+        deepest = each.join(shared, "place", "left_semi").groupBy("gid").agg(F.max(F.struct("pos", "place")).alias("c")).select("gid", "c.*")
+        mask = F.transform("group", lambda x, i: F.when(i == F.col("pos"), F.lit("{}")).otherwise(x))
+        chosen = ws.save(groups.join(deepest, "gid").withColumn("mask", mask).drop("gid"))
+        ws.drop(each, groups)
         if chosen.isEmpty():
             ws.drop(chosen)
             return templates
@@ -171,8 +181,8 @@ def _merged(templates: DataFrame, ws: Workspace) -> DataFrame:
 def _purity(groups: DataFrame, ws: Workspace) -> DataFrame:
     """(host, group, purity): smoothed from the share of all labels down to the template."""
     whole = groups.agg((F.sum("bad") / F.greatest(F.sum("known"), F.lit(1))).alias("p")).first().p or 0.0
-    depths = groups.withColumn("d", F.explode(F.sequence(F.lit(0), F.size("group"))))
-    nodes = ws.save(depths.select("host", "group", "bad", "known", "d", F.xxhash64("host", "d", F.slice("group", 1, F.col("d"))).alias("node")))
+    groups = ws.save(groups.withColumn("gid", F.monotonically_increasing_id()))
+    nodes = ws.save(groups.select("gid", "bad", "known", F.posexplode(_nodes("group")).alias("d", "node")))
     sums = nodes.groupBy("node").agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
-    line = nodes.select("host", "group", "d", "node").join(sums, "node").groupBy("host", "group").agg(F.array_sort(F.collect_list(F.struct("d", "b", "k"))).alias("line"))
-    return line.select("host", "group", F.aggregate("line", F.lit(float(whole)), lambda p, x: (x.b + SMOOTHING * p) / (x.k + SMOOTHING)).alias("purity"))
+    line = nodes.select("gid", "d", "node").join(sums, "node").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("d", "b", "k"))).alias("line"))
+    return groups.join(line, "gid").select("host", "group", F.aggregate("line", F.lit(float(whole)), lambda p, x: (x.b + SMOOTHING * p) / (x.k + SMOOTHING)).alias("purity"))

@@ -922,3 +922,11 @@ def test_a_candidate_over_many_base_spans():
 
     assert _overlapping(known, 0, 50, 60) == [k for k in known if k[0] < 60 and k[2] > 50] and _overlapping(known, 0, 11, 12) == []
     assert base_spans(token)
+
+
+def test_urls_with_thousands_of_segments(spark):
+    long = ["https://h.org/" + "/".join(f"s{(7 * i + k) % 90}x" for i in range(4000)) for k in range(3)] + ["https://h.org/" + "/" * 5000, "https://h.org/a/b"]
+    began = time.perf_counter()
+    got = judge_urls(spark.createDataFrame(list(enumerate(long)), "page_id long, url string"), [rule("block", "org/")]).collect()
+    assert len(got) == 5 and {r.verdict for r in got} == {"block"} and all(r.path == u.removeprefix("https://h.org") for r, u in zip(sorted(got), long, strict=True))
+    assert time.perf_counter() - began < 120
