@@ -123,5 +123,10 @@ class ContourModel:
 
 
 def identify(contours: DataFrame, names: DataFrame, queries: DataFrame, folder: str, top: int = 5, settings: ContourIdentifier = ContourIdentifier()) -> DataFrame:
-    """From contours to names in one step: fit on named pictures, then the first names of each query picture and view."""
-    return settings.fit(contours, names, folder).predict(queries, top=top)
+    """From contours to names in one step: fit on named pictures, then the first names of each query picture and view.
+
+    The queries' descriptors are kept in folder, too: they are read several times.
+    """
+    model = settings.fit(contours, names, folder)
+    settings.describe(queries).write.mode("overwrite").parquet(f"{folder}/queries")
+    return model.predict_descriptors(contours.sparkSession.read.parquet(f"{folder}/queries"), top=top)

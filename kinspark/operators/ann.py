@@ -60,16 +60,20 @@ class AnnIndex:
         spark, keys = database.sparkSession, keys or []
         known = database.filter("vec is not null and size(vec) > 0").withColumn("vec", F.col("vec").cast("array<float>")).dropna(subset=keys)
         known = known.withColumn("__key", _key(keys))
-        counts = dict(known.groupBy("__key").agg(F.count(F.lit(1))).limit(MOST_KEYS + 1).collect())
-        if len(counts) > MOST_KEYS:
-            raise ValueError(f"more than {MOST_KEYS} sets of keys")
-        books = {}
-        for key, v in _samples(known, counts).items():
-            centers = _codebook(v, min(_cells(counts[key]), len(v)))
-            books[key] = Book(centers, _probe(v, centers, n, target), np.zeros(len(centers)), np.zeros(len(centers)))
-        placed = _nearest(known, "vec", {k: (b.centers, 1) for k, b in books.items()})
-        stored = placed.drop("__key").withColumnRenamed("__away", "away")
-        stored.hint("rebalance", *keys, "cell").write.mode("overwrite").partitionBy(*keys, "cell").parquet(f"{folder}/rows")  # few files for each cell
+        known = known.persist()  # read three times
+        try:
+            counts = dict(known.groupBy("__key").agg(F.count(F.lit(1))).limit(MOST_KEYS + 1).collect())
+            if len(counts) > MOST_KEYS:
+                raise ValueError(f"more than {MOST_KEYS} sets of keys")
+            books = {}
+            for key, v in _samples(known, counts).items():
+                centers = _codebook(v, min(_cells(counts[key]), len(v)))
+                books[key] = Book(centers, _probe(v, centers, n, target), np.zeros(len(centers)), np.zeros(len(centers)))
+            placed = _nearest(known, "vec", {k: (b.centers, 1) for k, b in books.items()})
+            stored = placed.drop("__key").withColumnRenamed("__away", "away")
+            stored.hint("rebalance", *keys, "cell").write.mode("overwrite").partitionBy(*keys, "cell").parquet(f"{folder}/rows")  # few files for each cell
+        finally:
+            known.unpersist()
         written = spark.read.schema(stored.schema).parquet(f"{folder}/rows")
         for r in written.groupBy(_key(keys).alias("key"), "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("reach")).toArrow().to_pylist():  # a row for each cell
             books[r["key"]].rows[r["cell"]], books[r["key"]].reach[r["cell"]] = r["n"], r["reach"]
