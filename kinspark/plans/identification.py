@@ -15,6 +15,7 @@ from kinspark.operators.matrices import appended
 from kinspark.operators.pairwise import coupled_rows, sigmoids
 from kinspark.operators.principal import principal_axes
 from kinspark.plans.tables import descriptors, queries_and_database, scratch_folder, table
+from kinspark.streaming.scoring import arrived_scores, keep_nearest, meet_arrivals
 
 KS = [1, 3, 5, 10]
 _PARTS = """
@@ -322,7 +323,20 @@ def probability_rank(spark, sf_dir):
     return mt.rank_names(opinion_pool(spark, sf_dir).select(F.col("sample_id").alias("image_id"), F.col("class_id").alias("name"), "p"), True, "p")
 
 
+def arriving_database(spark, sf_dir):
+    """Scores of the names that images met, as the database arrives in three deliveries and the first of them once more."""
+    q, db = queries_and_database(spark, sf_dir)
+    folder = scratch_folder(spark, "arrivals")
+    arrived = db.select("desc_id", "name", "vec")
+    for delivery in (0, 1, 2, 0):
+        arrived.filter(F.pmod("desc_id", F.lit(3)) == delivery).write.mode("append").parquet(f"{folder}/in")
+        meet_arrivals(spark.readStream.schema(arrived.schema).parquet(f"{folder}/in"), q, f"{folder}/met", f"{folder}/read").awaitTermination()
+        keep_nearest(f"{folder}/met", f"{folder}/out", spark, f"{folder}/kept").awaitTermination()
+    return arrived_scores(spark, f"{folder}/out").select("image_id", "name", F.round("score", 6).alias("score"))
+
+
 QUERIES = {
+    "arriving_database": (arriving_database, f"with {_PARTS}, {_CONTRIBUTIONS.format(on='true')} select image_id, name, round(sum(contribution), 6) as score from c group by image_id, name"),
     "lnbnn_scores": (lnbnn_scores, _SCORES + " select * from s"),
     "lnbnn_rank": (lnbnn_rank, _RANKS + " select query_id, rank, name, score from r where rank <= 5"),
     "lnbnn_multi_view_scale": (lnbnn_multi_view_scale, _MULTI),
