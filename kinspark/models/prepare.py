@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinspark.functions import boxes as bx
 from kinspark.functions.names import base_name, individual, stem, view_strict
 from kinspark.operators import curation as cu
-from kinspark.sources.scans import not_done
 from kinspark.sources.sinks import write_class_map, write_split_files
 
 
@@ -18,18 +17,11 @@ def face_crops(images: DataFrame, faces: DataFrame, done: DataFrame, folder: str
     A crop is (name, filepath, original_path, x0, y0, x1, y1, cached): the most confident face, padded and held within
     the picture, or, cached, one that is there already. Rejects (path, reason) could not be read or show no face.
     """
-    named = images.withColumn("file_name", F.concat(stem(F.col("path")), F.lit(".jpg")))
-    old = named.join(done.select("file_name").distinct(), "file_name", "left_semi")
-    todo = not_done(named, done, "file_name").join(faces.select("path", "predictions"), "path", "left")
+    rows = images.withColumn("file_name", F.concat(stem(F.col("path")), F.lit(".jpg"))).join(faces.select("path", "predictions"), "path", "left")
     best = F.array_max(F.transform("predictions", lambda p, i: F.struct(F.coalesce(p.confidence, F.lit(0.0)).alias("c"), (-i).alias("i"), p.alias("p"))))["p"]
-    reason = F.when(F.col("width").isNull() | F.col("height").isNull(), "unreadable").when(F.col("predictions").isNull() | (F.size("predictions") == 0), "no face")
-    judged = todo.withColumn("reason", reason).withColumn("face", best)
+    rows = rows.withColumn("face", best)
     box = bx.face_crop(*(F.col(f"face.{c}") for c in ("x", "y", "width", "height")), F.col("width"), F.col("height"))
-    shared = [individual(F.col("path")).alias("name"), F.concat(F.lit(folder.rstrip("/") + "/"), "file_name").alias("filepath"), F.col("path").alias("original_path")]
-    corners = ("x0", "y0", "x1", "y1")
-    new = judged.filter("reason is null").select(*shared, *(c.cast("int").alias(n) for c, n in zip(box, corners, strict=True)), F.lit(False).alias("cached"))
-    kept = old.select(*shared, *(F.lit(None).cast("int").alias(n) for n in corners), F.lit(True).alias("cached"))
-    return kept.unionByName(new), judged.filter("reason is not null").select("path", "reason")
+    return _crops(rows, F.col("predictions").isNull() | (F.size("predictions") == 0), "no face", box, done, folder, [])
 
 
 def ear_crops(images: DataFrame, contours: DataFrame, done: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -38,17 +30,19 @@ def ear_crops(images: DataFrame, contours: DataFrame, done: DataFrame, folder: s
     Padding and clamping as for faces, but of the contour's box; a crop's file name ends with its view.
     """
     named = contours.withColumn("file_name", F.concat(stem(F.col("path")), F.lit("_"), "view", F.lit(".jpg")))
-    rows = images.join(named, "path", "left")
-    old = rows.filter("view is not null").join(done.select("file_name").distinct(), "file_name", "left_semi")
-    reason = F.when(F.col("width").isNull() | F.col("height").isNull(), "unreadable").when(F.col("points").isNull() | (F.size("points") == 0), "no contour")
-    judged = rows.join(done.select("file_name").distinct(), "file_name", "left_anti").withColumn("reason", reason)
     x, y = F.col("points.x"), F.col("points.y")
     box = bx.ear_crop(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y), F.col("width"), F.col("height"))
-    shared = [individual(F.col("path")).alias("name"), "view", F.concat(F.lit(folder.rstrip("/") + "/"), "file_name").alias("filepath"), F.col("path").alias("original_path")]
-    corners = ("x0", "y0", "x1", "y1")
-    new = judged.filter("reason is null").select(*shared, *(c.cast("int").alias(n) for c, n in zip(box, corners, strict=True)), F.lit(False).alias("cached"))
-    kept = old.select(*shared, *(F.lit(None).cast("int").alias(n) for n in corners), F.lit(True).alias("cached"))
-    return kept.unionByName(new), judged.filter("reason is not null").select("path", "reason")
+    return _crops(images.join(named, "path", "left"), F.col("points").isNull() | (F.size("points") == 0), "no contour", box, done, folder, ["view"])
+
+
+def _crops(rows: DataFrame, none: Column, why: str, box: tuple[Column, ...], done: DataFrame, folder: str, more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(crops, rejects) of rows (path, width, height, file_name, *more); one join tells which crops are there already."""
+    there = done.select("file_name").distinct().withColumn("__there", F.lit(True))
+    reason = F.when(F.col("width").isNull() | F.col("height").isNull(), "unreadable").when(none, why)
+    judged = rows.join(there, "file_name", "left").withColumns({"cached": F.col("__there").isNotNull(), "reason": reason})
+    shared = [individual(F.col("path")).alias("name"), *more, F.concat(F.lit(folder.rstrip("/") + "/"), "file_name").alias("filepath"), F.col("path").alias("original_path")]
+    corners = [F.when(~F.col("cached"), c.cast("int")).alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), box, strict=True)]
+    return judged.filter("cached or reason is null").select(*shared, *corners, "cached"), judged.filter("not cached and reason is not null").select("path", "reason")
 
 
 def appearance_splits(crops: DataFrame, folder: str | None = None, least: int = cu.MIN_IMAGES, ratio: float = cu.RATIO, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
