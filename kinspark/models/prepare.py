@@ -37,9 +37,11 @@ def ear_crops(images: DataFrame, contours: DataFrame, done: DataFrame, folder: s
 
 def _crops(rows: DataFrame, none: Column, why: str, box: tuple[Column, ...], done: DataFrame, folder: str, more: list[str]) -> tuple[DataFrame, DataFrame]:
     """(crops, rejects) of rows (path, width, height, file_name, *more); one join tells which crops are there already."""
-    there = done.select("file_name").distinct().withColumn("__there", F.lit(True))
+    there = done.filter("file_name is not null").select(F.col("file_name").alias("__key")).distinct().withColumn("__there", F.lit(True))
+    # a picture without a contour has no file name: its own path, which no file name is, keeps such rows out of one task
+    key = F.coalesce("file_name", F.concat(F.lit("/"), "path"))
     reason = F.when(F.col("width").isNull() | F.col("height").isNull(), "unreadable").when(none, why)
-    judged = rows.join(there, "file_name", "left").withColumns({"cached": F.col("__there").isNotNull(), "reason": reason})
+    judged = rows.withColumn("__key", key).join(there, "__key", "left").withColumns({"cached": F.col("__there").isNotNull(), "reason": reason})
     shared = [individual(F.col("path")).alias("name"), *more, F.concat(F.lit(folder.rstrip("/") + "/"), "file_name").alias("filepath"), F.col("path").alias("original_path")]
     corners = [F.when(~F.col("cached"), c.cast("int")).alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), box, strict=True)]
     return judged.filter("cached or reason is null").select(*shared, *corners, "cached"), judged.filter("not cached and reason is not null").select("path", "reason")
