@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES, QUERY_BYTES = 16 << 20, 4 << 20
 #: Estimates from here on are no estimates: the rows are counted instead, at so many bytes each.
 _UNKNOWN, _ROW_BYTES = 1 << 60, 1024
+#: Rough distances, and numbers of the vectors of candidates, that a task holds at a time (of 8 bytes, a few arrays of each).
+CELLS, CANDIDATES = 1 << 20, 1 << 20
 #: Squared distances of a matrix product that are closer than this may change places; they are computed again, exactly.
 _NEAR = 1e-9
 #: Lists that the names of a database are dealt into.
@@ -43,18 +45,30 @@ def _best_of_block(n: int, cosine: bool, schema: pa.Schema):
         k = min(n, len(d))
         norm_d = np.linalg.norm(d, axis=1) if cosine else (d * d).sum(1)
         found_q, found_d, found = [], [], []
-        for s in range(0, len(q), 512):
-            part = q[s : s + 512]
+        step = max(1, min(512, CELLS // len(d)))
+        for s in range(0, len(q), step):
+            part = q[s : s + step]
+            rough = part @ d.T
             with np.errstate(divide="ignore", invalid="ignore"):
-                rough = -(part @ d.T) / (np.linalg.norm(part, axis=1)[:, None] * norm_d) if cosine else (part * part).sum(1)[:, None] + norm_d - 2 * part @ d.T
-            rough = np.where(np.isnan(rough), np.inf, rough)
+                if cosine:
+                    rough /= -np.linalg.norm(part, axis=1)[:, None]
+                    rough /= norm_d
+                else:
+                    rough *= -2
+                    rough += (part * part).sum(1)[:, None]
+                    rough += norm_d
+            rough[np.isnan(rough)] = np.inf
             scale = 1.0 if cosine else 1 + np.abs(norm_d).max()
             bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + _NEAR * scale
             i, j = np.nonzero((rough <= bound[:, None]) & (rough < np.inf))
-            if cosine:
-                exact = -(part[i] * d[j]).sum(1) / np.sqrt((part[i] ** 2).sum(1) * (d[j] ** 2).sum(1))
-            else:
-                exact = np.sqrt(((part[i] - d[j]) ** 2).sum(1))
+            exact = np.zeros(len(i))
+            few = max(1, CANDIDATES // d.shape[1])
+            for at in range(0, len(i), few):
+                x, y = part[i[at : at + few]], d[j[at : at + few]]
+                if cosine:
+                    exact[at : at + few] = -(x * y).sum(1) / np.sqrt((x**2).sum(1) * (y**2).sum(1))
+                else:
+                    exact[at : at + few] = np.sqrt(((x - y) ** 2).sum(1))
             order = np.lexsort((ids[at_d[j]], exact, i))
             i, j, exact = i[order], j[order], exact[order]
             first = np.searchsorted(i, i)
