@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinspark.operators.numbering import many_parts
+
 #: Radii as shares of the larger side of a contour's extent.
 SCALES = (0.02, 0.04, 0.06, 0.08)
 #: Distances that are held at a time.
@@ -73,7 +75,8 @@ def integral_curvature(points: DataFrame, scales: tuple[float, ...] = SCALES) ->
         n, k = curv.shape
         return pd.DataFrame({"contour_id": np.repeat(pdf.contour_id.to_numpy(), k), "pos": np.repeat(pdf.pos.to_numpy(), k), "scale_idx": np.tile(np.arange(k), n), "curv": curv.ravel()})
 
-    out = points.groupBy("contour_id").applyInPandas(run, "contour_id long, pos int, scale_idx int, curv double")
+    dealt = points.repartition(many_parts(points), "contour_id")
+    out = dealt.groupBy("contour_id").applyInPandas(run, "contour_id long, pos int, scale_idx int, curv double")
     return out.withColumn("curv", F.when(~F.isnan("curv"), F.col("curv")))
 
 

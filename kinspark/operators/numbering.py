@@ -1,4 +1,4 @@
-"""Consecutive numbers in an order, without sorting all rows in one task."""
+"""Consecutive numbers in an order, without sorting all rows in one task; how many parts rows are dealt into."""
 
 from __future__ import annotations
 
@@ -25,3 +25,12 @@ def numbered(df: DataFrame, order: list[str], out: str, start: int = 0) -> DataF
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = marked.groupBy("__range").agg(F.count(F.lit(1)).alias("__c")).withColumn("__start", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
     return marked.withColumn("__rn", rn).join(starts, "__range").withColumn(out, (F.col("__start") + F.col("__rn") + start).cast("long")).drop("__range", "__rn", "__start")
+
+
+def many_parts(df: DataFrame) -> int:
+    """Partitions for rows whose work their bytes tell little of: Spark would put many of them into one task, as they are small.
+
+    One more than a shuffle has, or Spark would take a shuffle by the same key for this one and join its partitions.
+    """
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kinspark.operators.numbering import many_parts
 
 
 def _by_pos():
@@ -43,8 +48,7 @@ def resample_polyline(points: DataFrame, length: int) -> DataFrame:
 def gaussian_smooth(series: DataFrame, sigma: float = 2.0, truncate: float = 4.0) -> DataFrame:
     """(series_id, pos, value) smoothed; beyond the ends the signal is mirrored with the end sample repeated."""
     radius = int(truncate * sigma + 0.5)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    weights = [w / sum(weights) for w in weights]
+    weights = _weights(sigma, truncate)
     arrays = series.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("a"))
     arrays = arrays.select("series_id", F.col("a.value").alias("v"), F.size("a").alias("n"))
 
@@ -95,7 +99,97 @@ def keypoint_pairs(points: DataFrame) -> DataFrame:
 
 
 def descriptors(series: DataFrame, length: int = 1024, dim: int = 32, number: int = 32) -> DataFrame:
-    """(series_id, kp0, kp1, feature) of each pair of keypoints: the resampled, unsmoothed signal between them in `dim` samples, at unit length."""
+    """(series_id, kp0, kp1, feature) of each pair of keypoints: the resampled, unsmoothed signal between them in `dim` samples, at unit length.
+
+    A series is one row, its samples never rows of their own: resampled, smoothed and cut as arrays, with the rules of
+    the functions above. A series with a value that is no finite number goes through those functions.
+    """
+    arrays = series.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("a")).select("series_id", F.col("a.value").cast("array<double>").alias("v"))
+    plain = F.forall("v", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+    odd = arrays.filter(~plain).select("series_id", F.posexplode("v").alias("pos", "value"))
+    kind = series.schema["series_id"].dataType
+    schema = T.StructType([T.StructField("series_id", kind), T.StructField("kp0", T.IntegerType()), T.StructField("kp1", T.IntegerType()), T.StructField("feature", T.ArrayType(T.DoubleType()))])
+    weights = _weights(2.0, 4.0)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                rows, pairs, cut = [], [], []
+                for at, v in enumerate(part.column(1)):
+                    even = _even(v.values.to_numpy(zero_copy_only=False), length)
+                    kp = _keypoints(_smoothed(even, weights), length, number)
+                    i, j = np.triu_indices(len(kp), 1)
+                    rows.append(np.full(len(i), at))
+                    pairs.append(np.stack([kp[i], kp[j]]))
+                    cut.append(_features(even, kp[i], kp[j], dim))
+                made, (kp0, kp1), row = np.concatenate(cut), np.concatenate(pairs, 1), np.concatenate(rows)
+                flat = pa.array(made.ravel(), from_pandas=True)  # a feature of length zero has no values
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * dim), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(kp0.astype(np.int32)), pa.array(kp1.astype(np.int32)), lists], names=schema.names)
+
+    dealt = arrays.filter(plain).repartition(many_parts(series), "series_id")
+    return dealt.mapInArrow(run, schema).unionByName(_descriptors_by_rows(odd, length, dim, number))
+
+
+def _weights(sigma: float, truncate: float) -> list[float]:
+    radius = int(truncate * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    return [w / sum(weights) for w in weights]
+
+
+def _even(v: np.ndarray, length: int) -> np.ndarray:
+    """resample_linear() of one series."""
+    return _read(v, np.arange(length) * (len(v) - 1) / float(length), len(v) - 1)
+
+
+def _read(v: np.ndarray, at: np.ndarray, last, first=0) -> np.ndarray:
+    """v at places that need not be whole, counted from first."""
+    lo = np.floor(at).astype(np.int64)
+    a, b = v[first + lo], v[first + np.minimum(lo + 1, last)]
+    return a + (b - a) * (at - lo)
+
+
+def _smoothed(v: np.ndarray, weights: list[float]) -> np.ndarray:
+    """gaussian_smooth() of one series."""
+    n, radius = len(v), len(weights) // 2
+    m = np.arange(-radius, n + radius) % (2 * n)
+    wide = v[np.where(m < n, m, 2 * n - 1 - m)]
+    out = np.zeros(n)
+    for k, w in enumerate(weights):
+        out = out + wide[k : k + n] * w
+    return out
+
+
+def _keypoints(smooth: np.ndarray, length: int, number: int, order: int = 3) -> np.ndarray:
+    """keypoints() of local_extrema() of one series, in order."""
+    n = len(smooth)
+    wide = np.concatenate([np.full(order, smooth[0]), smooth, np.full(order, smooth[-1])])
+    around = np.stack([wide[order + k : order + k + n] for k in range(-order, order + 1) if k])
+    tops, lows = np.flatnonzero(smooth > around.max(0)), np.flatnonzero(smooth < around.min(0))
+    listed = np.concatenate([tops, lows])
+    if not len(listed):
+        return listed
+    if listed[0] > 1:
+        listed = np.append(0, listed)
+    if listed[-1] < length - 2:
+        listed = np.append(listed, length - 1)
+    weight = np.abs(smooth[listed] - 0.5)
+    weight[[0, -1]] = np.inf
+    return np.unique(listed[np.lexsort((listed, -weight))[:number]])
+
+
+def _features(even: np.ndarray, kp0: np.ndarray, kp1: np.ndarray, dim: int) -> np.ndarray:
+    last = (kp1 - kp0)[:, None]
+    f = _read(even, np.arange(dim) * last / float(dim), last, kp0[:, None])
+    square = np.zeros(len(f))
+    for i in range(dim):
+        square = square + f[:, i] * f[:, i]
+    norm = np.sqrt(square)[:, None]
+    return np.divide(f, norm, out=np.full(f.shape, np.nan), where=norm > 0)
+
+
+def _descriptors_by_rows(series: DataFrame, length: int, dim: int, number: int) -> DataFrame:
     even = resample_linear(series, length).select("series_id", F.col("i").alias("pos"), "value")
     smooth = gaussian_smooth(even)
     pairs = keypoint_pairs(keypoints(local_extrema(smooth), smooth, length, number))

@@ -4,9 +4,13 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from kinspark.operators import ann
+from kinspark.operators import curvature as cv
+from kinspark.operators import masks as mk
 from kinspark.operators import matching as mt
+from kinspark.operators import signal as sg
 from kinspark.operators.ann import MOST_CELLS, AnnIndex
 
 
@@ -50,3 +54,25 @@ def test_a_search_of_all_cells_sends_a_query_once_for_a_block(spark, tmp_path):
     assert index.books[""].units(1) is None
     found = index.search(queries, 3, probe=MOST_CELLS).select("query_id", "desc_id", "rk").collect()
     assert sorted(found) == sorted(mt.knn_join(queries, db, 3).select("query_id", "desc_id", "rk").collect())
+
+
+def test_descriptors_of_arrays_are_those_of_rows_and_make_no_row_of_a_sample(spark):
+    rng = np.random.default_rng(7)
+    rows = [(s, i, float(x)) for s, n in enumerate((1, 2, 40, 60, 60, 60, 60)) for i, x in enumerate(rng.normal(size=n))]
+    value = F.when((F.col("series_id") == 3) & (F.col("pos") == 5), None).when((F.col("series_id") == 4) & (F.col("pos") == 5), float("nan")).when(F.col("series_id") == 5, 0.0).otherwise(F.col("value"))
+    series = spark.createDataFrame(rows, "series_id long, pos int, value double").withColumn("value", value)
+    found = sg.descriptors(series, 128, 8, 6)
+    assert sorted(map(str, found.collect())) == sorted(map(str, sg._descriptors_by_rows(series, 128, 8, 6).collect()))
+    plain = sg.descriptors(series.filter("series_id = 6"), 128, 8, 6)
+    assert "MapInArrow" in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def _python_partitions(spark, df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_contours_and_masks_are_dealt_to_many_tasks(spark):
+    points = spark.range(400).selectExpr("id % 40 as contour_id", "cast(id div 40 as int) as pos", "cast(id % 7 as double) as x", "cast(id % 11 as double) as y").coalesce(1)
+    assert _python_partitions(spark, cv.integral_curvature(points, (0.1,))) > 4
+    masks = spark.range(100).selectExpr("id as mask_id", "4 as height", "4 as width", "array(struct(1L as start, 3L as stop)) as runs").coalesce(1)
+    assert _python_partitions(spark, mk.smoothed_masks(masks)) > 4
