@@ -102,11 +102,9 @@ def descriptors(series: DataFrame, length: int = 1024, dim: int = 32, number: in
     """(series_id, kp0, kp1, feature) of each pair of keypoints: the resampled, unsmoothed signal between them in `dim` samples, at unit length.
 
     A series is one row, its samples never rows of their own: resampled, smoothed and cut as arrays, with the rules of
-    the functions above. A series with a value that is no finite number goes through those functions.
+    the functions above.
     """
     arrays = series.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("a")).select("series_id", F.col("a.value").cast("array<double>").alias("v"))
-    plain = F.forall("v", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
-    odd = arrays.filter(~plain).select("series_id", F.posexplode("v").alias("pos", "value"))
     kind = series.schema["series_id"].dataType
     schema = T.StructType([T.StructField("series_id", kind), T.StructField("kp0", T.IntegerType()), T.StructField("kp1", T.IntegerType()), T.StructField("feature", T.ArrayType(T.DoubleType()))])
     weights = _weights(2.0, 4.0)
@@ -117,19 +115,27 @@ def descriptors(series: DataFrame, length: int = 1024, dim: int = 32, number: in
                 part = batch.slice(start, 64)
                 rows, pairs, cut = [], [], []
                 for at, v in enumerate(part.column(1)):
-                    even = _even(v.values.to_numpy(zero_copy_only=False), length)
-                    kp = _keypoints(_smoothed(even, weights), length, number)
+                    kp, features = _of_series(v.values, length, dim, number, weights)
                     i, j = np.triu_indices(len(kp), 1)
                     rows.append(np.full(len(i), at))
                     pairs.append(np.stack([kp[i], kp[j]]))
-                    cut.append(_features(even, kp[i], kp[j], dim))
-                made, (kp0, kp1), row = np.concatenate(cut), np.concatenate(pairs, 1), np.concatenate(rows)
-                flat = pa.array(made.ravel(), from_pandas=True)  # a feature of length zero has no values
+                    cut.append(features(kp[i], kp[j]))
+                made, (kp0, kp1), row = np.ma.concatenate(cut), np.concatenate(pairs, 1), np.concatenate(rows)
+                flat = pa.array(made.data.ravel(), mask=np.ma.getmaskarray(made).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * dim), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(kp0.astype(np.int32)), pa.array(kp1.astype(np.int32)), lists], names=schema.names)
 
-    dealt = arrays.filter(plain).repartition(many_parts(series), "series_id")
-    return dealt.mapInArrow(run, schema).unionByName(_descriptors_by_rows(odd, length, dim, number))
+    return arrays.repartition(many_parts(series), "series_id").mapInArrow(run, schema)
+
+
+def _of_series(v: pa.Array, length: int, dim: int, number: int, weights: list[float]):
+    """Keypoints of a series, and a function of pairs of them that cuts their features."""
+    plain = v.to_numpy(zero_copy_only=False)
+    if not v.null_count and np.isfinite(plain).all():
+        even = _even(plain, length)
+        return _keypoints(_smoothed(even, weights), length, number), lambda a, b: _features(even, a, b, dim)
+    odd = _odd_read(v.to_pylist(), 0, len(v) - 1, length)
+    return _odd_keypoints(odd, weights, length, number), lambda a, b: _odd_features(odd, a.tolist(), b.tolist(), dim)
 
 
 def _weights(sigma: float, truncate: float) -> list[float]:
@@ -185,8 +191,62 @@ def _features(even: np.ndarray, kp0: np.ndarray, kp1: np.ndarray, dim: int) -> n
     square = np.zeros(len(f))
     for i in range(dim):
         square = square + f[:, i] * f[:, i]
-    norm = np.sqrt(square)[:, None]
-    return np.divide(f, norm, out=np.full(f.shape, np.nan), where=norm > 0)
+    norm = np.broadcast_to(np.sqrt(square)[:, None], f.shape)
+    return np.ma.array(np.divide(f, norm, out=np.zeros(f.shape), where=norm != 0), mask=norm == 0)
+
+
+def _odd_read(v: list, first: int, last: int, n: int) -> list:
+    """_read() at n places between first and last, where values may be null or no finite numbers."""
+    out = []
+    for i in range(n):
+        at = i * (last - first) / float(n)
+        a, b = v[first + int(at)], v[first + min(int(at) + 1, last - first)]
+        out.append(None if a is None or b is None else a + (b - a) * (at - int(at)))
+    return out
+
+
+def _odd_keypoints(even: list, weights: list[float], length: int, number: int, order: int = 3) -> np.ndarray:
+    """_keypoints() by Spark's rules: NaN is the largest number, greatest and least pass over nulls, null is no extremum."""
+    n, radius, smooth = len(even), len(weights) // 2, []
+    for i in range(n):
+        total = 0.0
+        for k, w in enumerate(weights):
+            m = (i + k - radius) % (2 * n)
+            x = even[m if m < n else 2 * n - 1 - m]
+            total = None if total is None or x is None else total + x * w
+        smooth.append(total)
+    rank = [None if x is None else (x != x, 0.0 if x != x else x) for x in smooth]
+    tops, lows = [], []
+    for i, own in enumerate(rank):
+        before = [x if x is not None else rank[0] for x in (rank[i - k] if i >= k else None for k in range(1, order + 1))]
+        after = [x if x is not None else rank[-1] for x in (rank[i + k] if i + k < n else None for k in range(1, order + 1))]
+        around = [x for x in before + after if x is not None]
+        if own is not None and around:
+            if own > max(around):
+                tops.append(i)
+            elif own < min(around):
+                lows.append(i)
+    listed = tops + lows
+    if not listed:
+        return np.zeros(0, np.int64)
+    listed = [0] * (listed[0] > 1) + listed
+    listed += [length - 1] * (listed[-1] < length - 2)
+    forced = {0, len(listed) - 1}
+    weighed = [(float("inf") if at in forced else abs(smooth[p] - 0.5), p) for at, p in enumerate(listed)]
+    weighed.sort(key=lambda x: (x[0] == x[0], 0.0 if x[0] != x[0] else -x[0], x[1]))
+    return np.unique(np.array([p for _, p in weighed[:number]], np.int64))
+
+
+def _odd_features(even: list, kp0: list[int], kp1: list[int], dim: int) -> np.ma.MaskedArray:
+    out = np.ma.array(np.zeros((len(kp0), dim)), mask=np.zeros((len(kp0), dim), bool))
+    for row, (a, b) in enumerate(zip(kp0, kp1, strict=True)):
+        f, square = _odd_read(even, a, b, dim), 0.0
+        for x in f:
+            square = None if square is None or x is None else square + x * x
+        norm = square and math.sqrt(square)
+        for i, x in enumerate(f):
+            out[row, i] = np.ma.masked if x is None or not norm else x / norm
+    return out
 
 
 def _descriptors_by_rows(series: DataFrame, length: int, dim: int, number: int) -> DataFrame:
