@@ -6,8 +6,8 @@ URL, anywhere before it on its line; or a line break and no letter or digit betw
 (wrapped values). A shorter last line of a wrapped value goes with it, and the body of a private key between its
 BEGIN and END marks is reported line by line whatever its novelty. A zstandard compressor is primed with a dictionary of
 identifiers followed by the text around the candidate, without the copies of the candidate or of SHORTEST characters of
-it; the candidate's marginal bytes are what it adds to the compressed context. The dictionary is learnt from a bounded
-sample of the corpus: the words that identifiers are made of (letters in one case, or a capital first) that stand in
+it; the candidate's marginal bytes are what it adds to the compressed context. The dictionary is learnt from all
+texts of the corpus: the words that identifiers are made of (letters in one case, or a capital first) that stand in
 LEARN_TEXTS different texts or more, the most common ones, beside a list of names that settings use everywhere. A
 secret that is copied from text to text teaches its longest stretches of letters only.
 Names and words are mostly references to the dictionary; a string that stays near its own length is reported, at all
@@ -61,8 +61,8 @@ IDENTIFIERS = (
     b"class string integer boolean object array value number result response request session cookie signature certificate version document"
 )
 
-#: Documents that identifiers are learnt from; texts an identifier stands in at least; bytes of the dictionary.
-LEARN_DOCS, LEARN_TEXTS, LEARN_BYTES = 1000, 3, 8192
+#: Texts an identifier stands in at least; bytes of the dictionary.
+LEARN_TEXTS, LEARN_BYTES = 3, 8192
 _IDENTIFIER = "[A-Z]?[a-z]{3,}|[A-Z]{4,}"
 
 _HEX_RUN, _WORD_RUN = (bytes(120 if chr(b) in s else 32 for b in range(256)) for s in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
@@ -84,16 +84,15 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
 
 
 def learnt_identifiers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """The dictionary of a corpus: identifiers of whole texts, of the documents that come first by a hash of their id.
+    """The dictionary of a corpus: identifiers of all its whole texts, whatever id_col holds.
 
-    Texts are taken apart and counted in the tasks; the driver gets the identifiers that may fit the dictionary.
+    Texts are taken apart and counted in the tasks, the copies of a text once: its hash and identifiers are shuffled, not
+    the text. The driver gets the identifiers that may fit the dictionary.
     """
-    rows = df.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    picked = [r.k for r in rows.select("k").filter("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(LEARN_DOCS).collect()]
-    if not picked:
-        return b""
-    found = rows.filter(F.col("k").isin(picked) & F.col("t").isNotNull()).select(F.xxhash64("t").alias("text"), F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(_IDENTIFIER), F.lit(0)))).alias("word"))
-    counts = found.groupBy("word").agg(F.count_distinct("text").alias("n")).filter(F.col("n") >= LEARN_TEXTS)
+    rows = df.select(F.col(text_col).cast("string").alias("t")).filter("t is not null")
+    words = F.array_distinct(F.regexp_extract_all("t", F.lit(_IDENTIFIER), F.lit(0)))
+    texts = rows.select(F.xxhash64("t").alias("text"), words.alias("words")).groupBy("text").agg(F.first("words").alias("words"))
+    counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEARN_TEXTS)
     return dictionary([(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(LEARN_BYTES // 4).collect()])  # an identifier has three letters or more
 
 

@@ -296,3 +296,13 @@ def test_skipped_and_repeated_wall_times():
 def test_no_stamps(spark):
     df = spark.createDataFrame([], "stamp_id long, source string, zone string, raw string")
     assert normalise_stamps(df).collect() == [] and majorities(df).collect() == []
+
+
+def test_identifiers_are_learnt_from_all_documents(spark):
+    """Every text counts, however many there are, copies once: a word of each of 3,000 texts, one of three of them, and one of 50 copies."""
+    from kinspark.llm.secret_scan import learnt_identifiers
+
+    rare = F.when(F.col("id").isin(7, 1500, 2999), F.lit(" Uncommon")).otherwise(F.lit(""))
+    texts = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("everywhere "), F.col("id").cast("string"), rare).alias("text"))
+    copies = spark.range(5000, 5050).select(F.col("id").alias("doc_id"), F.lit("repeated").alias("text"))
+    assert learnt_identifiers(texts.union(copies)).split() == [b"Uncommon", b"everywhere"]
