@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinspark.operators.numbering import many_parts
+
 _RUNS = "array<struct<start:bigint,stop:bigint>>"
 _RUN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 #: Pixels of the square that holes are closed with.
@@ -226,7 +228,8 @@ def smoothed_masks(masks: DataFrame, key: str = "mask_id") -> DataFrame:
             out.append(None if r is None else [{"start": a, "stop": b} for a, b in smoothed(merge([(x["start"], x["stop"]) for x in r], []), h, w)])
         return pa.array(out, _RUN_TYPE)
 
-    return masks.select(key, "height", "width", smooth("height", "width", "runs").alias("runs"))
+    # masks are a few bytes of a file that one task would read
+    return masks.repartition(many_parts(masks), key).select(key, "height", "width", smooth("height", "width", "runs").alias("runs"))
 
 
 def union_runs(runs: DataFrame) -> DataFrame:
