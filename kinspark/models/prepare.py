@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinspark.functions import boxes as bx
 from kinspark.functions.names import base_name, individual, stem, view_strict
 from kinspark.operators import curation as cu
+from kinspark.operators.numbering import dealt
 from kinspark.sources.sinks import write_class_map, write_split_files
 
 
@@ -67,13 +68,12 @@ def contour_splits(paths: DataFrame, folder: str | None = None, least: int = cu.
     Names that tell no view go. Individuals need `least` pictures of either ear. Each view is dealt by itself.
     """
     rows = paths.select(individual(F.col("filepath")).alias("individual"), "filepath", view_strict(base_name(F.col("filepath"))).alias("view")).filter("view is not null")
-    rows = cu.min_per_ear(rows, least)
-    if rows.isEmpty():
+    # dealt by individual once and sorted once: the split's order serves the counts of both ears, which choose whole individuals
+    split = cu.min_per_ear(cu.stratified_split(dealt(rows, "individual"), ratio, seed, ["individual", "view"]), least)
+    if cu.valid_in_both(rows, least, ("left", "right")).isEmpty():
         raise ValueError(f"no individual has {least} images of both ears")
-    split = cu.stratified_split(rows, ratio, seed, ["view", "individual"])
     out = {f"{v}_{s}": split.filter((F.col("view") == v) & (F.col("split") == s)).drop("split") for v in ("left", "right") for s in ("train", "test")}
-    for s in ("train", "test"):
-        out[s] = out[f"left_{s}"].unionByName(out[f"right_{s}"])
+    out |= {s: split.filter(F.col("split") == s).drop("split") for s in ("train", "test")}
     if folder:
         write_split_files(out, folder)
     return out

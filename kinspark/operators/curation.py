@@ -36,8 +36,11 @@ def valid_in_both(df: DataFrame, least: int, views: tuple[str, str]) -> DataFram
 
 
 def min_per_ear(df: DataFrame, least: int, views: tuple[str, str] = ("left", "right")) -> DataFrame:
-    """Rows in either view of the individuals valid in both."""
-    return df.filter(F.col("view").isin(*views)).join(valid_in_both(df, least, views), "individual", "left_semi")
+    """Rows in either view of the individuals valid in both: counted beside the rows, so one shuffle by individual serves, and rows dealt by it stay."""
+    each = Window.partitionBy("individual")
+    marked = df.filter(F.col("view").isin(*views) & F.col("individual").isNotNull())
+    marked = marked.withColumns({f"__n{i}": F.count(F.when(F.col("view") == v, 1)).over(each) for i, v in enumerate(views)})
+    return marked.filter((F.col("__n0") >= least) & (F.col("__n1") >= least)).drop("__n0", "__n1")
 
 
 def stratified_split(df: DataFrame, ratio: float = RATIO, seed: int = 42, by: list[str] | None = None, key: str = "filepath", single_trains: bool = False) -> DataFrame:
@@ -56,7 +59,7 @@ def stratified_split(df: DataFrame, ratio: float = RATIO, seed: int = 42, by: li
     cut = F.when(cut >= F.col("__n"), F.col("__n") - 1).otherwise(cut)
     if single_trains:
         cut = F.when(F.col("__n") == 1, F.lit(1)).otherwise(cut)
-    marked = df.withColumn("__n", n).withColumn("__rn", rn)
+    marked = df.withColumn("__rn", rn).withColumn("__n", n)  # in this order one sort serves both
     return marked.withColumn("split", F.when(F.col("__rn") <= cut, "train").otherwise("test")).drop("__n", "__rn")
 
 

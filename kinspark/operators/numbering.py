@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ranges that rows are dealt into, and values that their bounds are picked from (those with the smallest hashes).
 RANGES, PICKED = 64, 2048
+#: Bytes of a part, as Catalyst estimates them (of files as they are stored), and the most parts.
+PART_BYTES, MOST_PARTS = 4 << 20, 4096
 
 
 def numbered(df: DataFrame, order: list[str], out: str, start: int = 0) -> DataFrame:
@@ -34,3 +36,16 @@ def many_parts(df: DataFrame) -> int:
     """
     spark = df.sparkSession
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by columns into parts that stay of one size as the table grows, so that a task's sorts do, too.
+
+    Spark would join the parts of a shuffle until there are hardly more than cores. Where a size is not known, Spark's
+    number of parts stays.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = -(-size // PART_BYTES) if size < 1 << 60 else 0
+    least = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(least, min(known, MOST_PARTS)), *by)

@@ -1,15 +1,18 @@
 """What grows with the input, and what may not: memory of tasks, searches and their recall."""
 
+import re
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from kinspark.models import prepare
 from kinspark.operators import ann
 from kinspark.operators import curvature as cv
 from kinspark.operators import masks as mk
 from kinspark.operators import matching as mt
+from kinspark.operators import numbering
 from kinspark.operators import signal as sg
 from kinspark.operators.ann import MOST_CELLS, AnnIndex
 
@@ -76,3 +79,15 @@ def test_contours_and_masks_are_dealt_to_many_tasks(spark):
     assert _python_partitions(spark, cv.integral_curvature(points, (0.1,))) > 4
     masks = spark.range(100).selectExpr("id as mask_id", "4 as height", "4 as width", "array(struct(1L as start, 3L as stop)) as runs").coalesce(1)
     assert _python_partitions(spark, mk.smoothed_masks(masks)) > 4
+
+
+def test_ear_splits_deal_and_sort_once(spark, monkeypatch):
+    paths = spark.range(4000).select(F.format_string("%d_%d_%s.jpg", F.col("id") % 50, "id", F.when(F.floor(F.col("id") / 50) % 2 == 0, "left").otherwise("right")).alias("filepath"))
+    train = prepare.contour_splits(paths)["train"]
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and len(re.findall(r"\bSort \[", plan)) == 1
+    few = train.rdd.getNumPartitions()
+    monkeypatch.setattr(numbering, "PART_BYTES", 1 << 10)  # as if the table were larger
+    more = prepare.contour_splits(paths)["train"]
+    assert more.rdd.getNumPartitions() > 2 * few and sorted(more.collect()) == sorted(train.collect())
+    assert train.count() == 50 * 2 * 27
