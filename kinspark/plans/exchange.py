@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinspark import schemas
 from kinspark.functions import boxes as bx
 from kinspark.functions import names as nm
+from kinspark.operators.numbering import dealt
 from kinspark.plans.geometry import _P
 from kinspark.plans.tables import boxes, catalogue, polylines, table
 from kinspark.sources import scans, sinks
@@ -98,7 +99,7 @@ def coco_detections(spark, sf_dir):
     """Detections of orders as annotations, with the ids of a document; odd ones have one keypoint, which is none."""
     b = boxes(spark, sf_dir).select(F.format_string("%09d.jpg", "image_id").alias("file_name"), "det_idx", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"))
     point = F.struct(F.col("x"), F.col("y"))
-    b = b.dropDuplicates(["file_name", "det_idx"]).withColumn("keypoints", F.when(F.col("det_idx") % 2 == 0, F.array(point, point)).otherwise(F.array(point)))
+    b = dealt(b, "file_name").dropDuplicates(["file_name", "det_idx"]).withColumn("keypoints", F.when(F.col("det_idx") % 2 == 0, F.array(point, point)).otherwise(F.array(point)))
     files = table(spark, sf_dir, "orders").select(F.format_string("%09d.jpg", "o_orderkey").alias("file_name"))
     images, notes = sinks.coco_images_with(files, sinks.coco_detections(b))
     return notes.select("file_name", "image_id", "id", *(F.get("bbox", F.lit(i)).alias(f"b{i}") for i in range(4)), F.round("area", 4).alias("area"), F.size("keypoints").alias("n"), F.get("keypoints", F.lit(3)).alias("k3"))

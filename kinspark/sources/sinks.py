@@ -6,7 +6,7 @@ import json
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import UnsupportedOperationException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinspark.operators.numbering import numbered
@@ -93,11 +93,14 @@ def coco_detections(detections: DataFrame) -> DataFrame:
 def coco_images_with(files: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) of the files (file_name, ...) that have an annotation: others consume no id.
 
-    Images are numbered from 0 by name, annotations (file_name, det_idx, ...) from 1 by image and index.
+    Images are numbered from 0 by name, annotations (file_name, det_idx, ...) from 1 by image and index: an image's begin
+    after those of the images before, whose counts are summed with the images' numbers, so annotations are not put in one order.
     """
-    images = coco_ids(files.join(annotations.select("file_name").distinct(), "file_name", "left_semi"))
-    notes = numbered(annotations.join(images.select("file_name", "image_id"), "file_name"), ["image_id", "det_idx"], "id", 1)
-    return images, notes
+    counted = annotations.groupBy("file_name").agg(F.count(F.lit(1)).alias("__n"))
+    images = numbered(files.join(counted, "file_name"), ["file_name"], "image_id", sums={"__before": "__n"})
+    within = F.row_number().over(Window.partitionBy("file_name").orderBy("det_idx"))
+    notes = annotations.withColumn("__rn", within).join(images.select("file_name", "image_id", "__before"), "file_name")
+    return images.drop("__n", "__before"), notes.withColumn("id", (F.col("__before") + F.col("__rn")).cast("long")).drop("__before", "__rn")
 
 
 def flat_polygons(polygons: Column) -> Column:

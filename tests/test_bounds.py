@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from kinspark.models import prepare
@@ -15,6 +16,7 @@ from kinspark.operators import matching as mt
 from kinspark.operators import numbering
 from kinspark.operators import signal as sg
 from kinspark.operators.ann import MOST_CELLS, AnnIndex
+from kinspark.sources import sinks
 
 
 def test_a_block_is_compared_in_bounded_memory():
@@ -91,3 +93,24 @@ def test_ear_splits_deal_and_sort_once(spark, monkeypatch):
     more = prepare.contour_splits(paths)["train"]
     assert more.rdd.getNumPartitions() > 2 * few and sorted(more.collect()) == sorted(train.collect())
     assert train.count() == 50 * 2 * 27
+
+
+def test_annotations_are_numbered_without_an_order_of_all(spark):
+    files = spark.createDataFrame([("b",), ("a",), ("c",), ("b",), (None,)], "file_name string")  # b is listed twice, c has nothing
+    found = spark.createDataFrame([("b", 7), ("a", 2), ("b", 5), ("a", 1), ("x", 1), (None, 1)], "file_name string, det_idx int")
+    images, notes = sinks.coco_images_with(files, found)
+    assert images.columns == ["file_name", "image_id"] and sorted(map(tuple, images.collect())) == [("a", 0), ("b", 1), ("b", 2)]
+    assert sorted((r.id, r.image_id, r.file_name, r.det_idx) for r in notes.collect()) == [(1, 0, "a", 1), (2, 0, "a", 2), (3, 1, "b", 5), (4, 1, "b", 7), (5, 2, "b", 5), (6, 2, "b", 7)]
+    # annotations and files are read for the ranges' rows and their starts, annotations once more as rows
+    plan = notes.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [row_number()") == 1 and plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") <= 5
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "timestamp", "date", "int"])
+def test_numbers_and_sums_of_any_order(spark, kind):
+    rows = spark.range(700).select(F.when(F.col("id") % 50 != 0, F.col("id") * 7919 % 701).alias("k"), F.col("id").alias("w")).repartition(3)
+    value = {"string": F.concat(F.lit("\u00e9"), F.col("k").cast("string")), "double": F.when(F.col("k") % 90 == 0, float("nan")).otherwise(F.col("k") / 3 - 90), "timestamp": F.timestamp_micros(F.lit(1793485000000000) + F.col("k") * 17000000), "date": F.date_add(F.lit("2020-01-01"), F.col("k").cast("int")), "int": F.col("k").cast("int")}[kind]
+    got = numbering.numbered(rows.withColumn("v", value), ["v", "w"], "n", 1, {"s": "w"}).orderBy("v", "w").collect()
+    assert [r.n for r in got] == list(range(1, 701))
+    assert [r.s for r in got] == [0, *np.cumsum([r.w for r in got])[:-1].tolist()]
+    assert numbering.numbered(rows.filter("false"), ["k"], "n", 0, {"s": "w"}).count() == 0
