@@ -102,11 +102,12 @@ def descriptors(series: DataFrame, length: int = 1024, dim: int = 32, number: in
     """(series_id, kp0, kp1, feature) of each pair of keypoints: the resampled, unsmoothed signal between them in `dim` samples, at unit length.
 
     A series is one row, its samples never rows of their own: resampled, smoothed and cut as arrays, with the rules of
-    the functions above.
+    the functions above. All is computed in double precision; a feature is rounded once, at the end, to numbers of four
+    bytes, as the reference keeps its descriptors: features are nearly all that a series takes on disk.
     """
     arrays = series.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("a")).select("series_id", F.col("a.value").cast("array<double>").alias("v"))
     kind = series.schema["series_id"].dataType
-    schema = T.StructType([T.StructField("series_id", kind), T.StructField("kp0", T.IntegerType()), T.StructField("kp1", T.IntegerType()), T.StructField("feature", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("series_id", kind), T.StructField("kp0", T.IntegerType()), T.StructField("kp1", T.IntegerType()), T.StructField("feature", T.ArrayType(T.FloatType()))])
     weights = _weights(2.0, 4.0)
 
     def run(batches):
@@ -121,7 +122,7 @@ def descriptors(series: DataFrame, length: int = 1024, dim: int = 32, number: in
                     pairs.append(np.stack([kp[i], kp[j]]))
                     cut.append(features(kp[i], kp[j]))
                 made, (kp0, kp1), row = np.ma.concatenate(cut), np.concatenate(pairs, 1), np.concatenate(rows)
-                flat = pa.array(made.data.ravel(), mask=np.ma.getmaskarray(made).ravel())
+                flat = pa.array(made.data.ravel().astype(np.float32), mask=np.ma.getmaskarray(made).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * dim), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(kp0.astype(np.int32)), pa.array(kp1.astype(np.int32)), lists], names=schema.names)
 
@@ -265,4 +266,4 @@ def _descriptors_by_rows(series: DataFrame, length: int, dim: int, number: int)
 
     f = cut.select("series_id", "kp0", "kp1", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), read).alias("f"))
     norm = F.sqrt(F.aggregate("f", F.lit(0.0), lambda s, x: s + x * x))
-    return f.select("series_id", "kp0", "kp1", F.transform("f", lambda x: F.try_divide(x, norm)).alias("feature"))
+    return f.select("series_id", "kp0", "kp1", F.transform("f", lambda x: F.try_divide(x, norm)).cast("array<float>").alias("feature"))

@@ -70,9 +70,14 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as points of a user's contour: position in time and value."""
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("contour_id"), rn.cast("int").alias("pos"), rn.cast("double").alias("x"), F.col("value").alias("y"))
+    """events as points of a user's contour: position in time and value.
+
+    The window is over the column that goes on, so Spark knows that a contour's points lie together and does not shuffle
+    them again for what comes by contour.
+    """
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("contour_id"), "ts", "event_id", F.col("value").alias("y"))
+    rn = F.row_number().over(Window.partitionBy("contour_id").orderBy("ts", "event_id")) - 1
+    return events.select("contour_id", rn.cast("int").alias("pos"), rn.cast("double").alias("x"), "y")
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ from kinspark.operators import matching as mt
 from kinspark.operators import numbering
 from kinspark.operators import signal as sg
 from kinspark.operators.ann import MOST_CELLS, AnnIndex
+from kinspark.plans import geometry
 from kinspark.sources import sinks
+from tests.conftest import DATA
 
 
 def test_a_block_is_compared_in_bounded_memory():
@@ -72,6 +74,28 @@ def test_descriptors_of_arrays_are_those_of_rows_and_make_no_row_of_a_sample(spa
     assert "MapInArrow" in plain._jdf.queryExecution().executedPlan().toString()
 
 
+def test_descriptors_take_four_bytes_a_number_on_disk(spark, tmp_path):
+    """As the reference's do; what is stored is the double precision result, rounded once."""
+    rng = np.random.default_rng(8)
+    values = {s: rng.normal(size=70) for s in range(20)}
+    series = spark.createDataFrame([(s, i, float(x)) for s, v in values.items() for i, x in enumerate(v)], "series_id long, pos int, value double")
+    found = sg.descriptors(series)
+    assert found.schema["feature"].dataType.simpleString() == "array<float>"
+    found.coalesce(1).write.parquet(str(tmp_path / "out"))
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert kept.count() > 5000 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 150 * kept.count()
+    own = kept.filter("series_id = 3").collect()
+    even = sg._even(values[3], 1024)
+    want = sg._features(even, np.array([r.kp0 for r in own]), np.array([r.kp1 for r in own]), 32)
+    assert (np.array([r.feature for r in own], np.float32) == want.data.astype(np.float32)).all()
+
+
+def test_the_descriptor_query_shuffles_points_once(spark):
+    """Then only the series, as arrays, are dealt to many tasks."""
+    plan = geometry.QUERIES["descriptors"][0](spark, str(DATA / "sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def _python_partitions(spark, df):
     return df.select(F.spark_partition_id().alias("p")).distinct().count()
 
