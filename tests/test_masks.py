@@ -117,3 +117,17 @@ def test_growing_and_shrinking(closing):
     base = pixels_of([(11, 13), (18, 20)], 7, 4)
     k = closing // 2
     assert (big == np.array([[base[max(0, y - k) : y + k + 1, max(0, x - k) : x + k + 1].any() for x in range(4)] for y in range(7)])).all()
+
+
+def test_union_of_equal_runs_in_any_order(spark):
+    """Runs that occur several times are ties of any order by start and stop; which comes first may not matter."""
+    r = random.Random(4)
+    runs = [(m, s, s + r.choice([0, 1, 5, 9])) for m in range(40) for s in r.choices(range(0, 60, 3), k=8)]
+    runs += r.choices(runs, k=200)
+    runs += [(99, s, e) for s, e in [(66, 87), (89, 127), (392, 412), (463, 485), (463, 485)]]
+    want = sorted((m, a, b) for m in {x[0] for x in runs} for a, b in mk.merge([x[1:] for x in runs if x[0] == m], []))
+    for _ in range(3):
+        r.shuffle(runs)
+        got = mk.union_runs(spark.createDataFrame(runs, "mask_id long, start long, stop long").repartition(5)).collect()
+        assert sorted(map(tuple, got)) == want
+    assert [x[1:] for x in want if x[0] == 99] == [(66, 87), (89, 127), (392, 412), (463, 485)]
